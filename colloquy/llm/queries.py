@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, simhash
+from . import bitpack, exact, packing, simhash, toxicity
 from .common import read_table
 
 
@@ -12,13 +12,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op8_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_exact": op5_exact,
+    "op7_packing": op7_packing,
+    "op8_bitpack": op8_bitpack,
 }
 
 SQL = {
