@@ -35,6 +35,17 @@ def texts(docs: DataFrame, column: str = "text", key: str = "doc_id") -> DataFra
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
 
 
+def text_key(column: str = "text"):
+    """A 64-bit hash of a text (null: empty); with doc_id it tells rows apart that share a doc_id."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """docs without the rows in drop(doc_id, text_key), all columns. Rows without doc_id stay."""
+    gone = drop.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__key")), "left_anti")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,6 +82,16 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def chunks(batches, chars: int = 4 << 20, column: str = "text"):
+    """Batches cut so that each holds about chars characters, or one longer text."""
+    for b in batches:
+        if len(b):
+            total = np.cumsum(b[column].str.len().to_numpy(np.int64))
+            cuts = np.flatnonzero(np.diff(total // chars)) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(b)]):
+                yield b.iloc[a:z]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -154,6 +154,11 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataF
 
 
 def keep_one(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """docs without exact duplicates, all columns; rows that repeat a winner's doc_id and text stay once."""
-    drop = saved(exact_duplicates(docs.where("doc_id is not null"), history).where("not kept").select("doc_id").distinct(), "exact")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """docs without exact duplicates, all columns. Rows without doc_id stay; of rows that repeat a winner's doc_id and
+    text one stays."""
+    found = saved(exact_duplicates(docs.where("doc_id is not null"), history), "exact")
+    drop = found.where("not kept").select("doc_id", "text_sha256").distinct()
+    twice = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
+    gone = saved(drop.withColumn("again", F.lit(False)).union(twice.withColumn("again", F.lit(True))), "exact").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("again").alias("__again"))
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == F.col("__sha"))
+    return docs.join(gone, same, "left_anti").union(docs.join(gone.where("__again"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

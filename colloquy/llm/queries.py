@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, exact, packing, simhash, toxicity
+from . import bitpack, exact, html, mixing, multihash, ngrams, packing, simhash, substring, toxicity
 from .common import read_table
 
 
@@ -12,6 +12,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -20,6 +28,10 @@ def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -28,12 +40,25 @@ def op8_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op10_multihash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multihash.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op3_ngrams": op3_ngrams,
     "op4_toxicity": op4_toxicity,
     "op5_exact": op5_exact,
+    "op6_html": op6_html,
     "op7_packing": op7_packing,
     "op8_bitpack": op8_bitpack,
+    "op9_substring": op9_substring,
+    "op10_multihash": op10_multihash,
 }
 
 SQL = {

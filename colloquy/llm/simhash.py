@@ -9,7 +9,7 @@ its lanes are over the radius. Large buckets are dealt as pairs of chunks, each
 gathered in a task; every chunk pair returns a spanning star of its links, not its pairs.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows with one doc_id share
-its component; an empty table gives an empty result; other columns are ignored.
+its component; rows without doc_id have their component's id, or null where all of it lacks one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import saved, text_key, texts, without
 from .graph import connected_components
 
 RADIUS = 3
@@ -58,12 +58,12 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fp = np.fromiter(map(fingerprint, b.text), np.uint64, len(b))
-        yield pd.DataFrame({"doc_id": b.doc_id, "fp": fp.view(np.int64)})
+        yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "fp": fp.view(np.int64)})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
-    return texts(docs).mapInPandas(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_key, fp): the 64 bits as a signed long."""
+    return texts(docs).withColumn("text_key", text_key()).mapInPandas(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -196,18 +196,22 @@ def links(reps: DataFrame) -> DataFrame:
     return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def _components(docs: DataFrame) -> DataFrame:
     fps = saved(fingerprints(docs), "simhash")
-    reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash")
+    # a fingerprint that only rows without doc_id have is a component of its own, without an id
+    reps = saved(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash")
     roots = connected_components(links(reps))
     of = saved(reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(of, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return _components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays (rows that repeat
-    that doc_id stay too). All columns return; rows without doc_id stay."""
-    near = near_duplicates(docs.where("doc_id is not null"))
-    drop = saved(near.where("doc_id <> component_id").select("doc_id").distinct(), "simhash")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays. All columns return; rows
+    without doc_id stay."""
+    drop = _components(docs.where("doc_id is not null")).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    return without(docs, saved(drop, "simhash"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import saved, text_key, texts, without
 
 MAX_TRAIN = 20_000  # labelled rows that the model is fitted on
 FOLDS, HELD_OUT = 3, 1
@@ -309,15 +309,19 @@ def _scores_of(model: dict):
             else:
                 x = np.array([features(*lexicon.hits(t), model["weights"]) for t in b.text]).reshape(len(b), -1)
                 score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(b))] @ np.array(w), -30, 30))) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "score": score})
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "score": score})
 
     return run
 
 
+def _scored(docs: DataFrame, model: dict) -> DataFrame:
+    rows = texts(docs).withColumn("text_key", text_key())
+    return rows.mapInPandas(_scores_of(model), "doc_id long, text_key long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    scored = texts(docs).mapInPandas(_scores_of(model), "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return _scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -326,5 +330,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic, all columns. Rows without doc_id stay."""
-    drop = saved(toxicity(docs.where("doc_id is not null"), labels).where("predicted = 1").select("doc_id").distinct(), "toxicity")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    drop = _scored(docs.where("doc_id is not null"), train(docs, labels)).where("predicted = 1").select("doc_id", "text_key").distinct()
+    return without(docs, saved(drop, "toxicity"))
