@@ -7,17 +7,23 @@ per worker. Texts that hold the string of an added token are encoded whole, as i
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # Unicode white space, as the tokenizer's pattern has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: the split of byte-level tokenizers, as published with them.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE = 400_000  # pieces
+CACHE = 500_000  # pieces in each of two generations
 LONGEST = 64  # longer pieces aren't kept
+PLAIN = 0x500  # below this code point every Unicode version agrees on what is a letter or digit
 
 
 class Encoder:
@@ -26,6 +32,7 @@ class Encoder:
     _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,6 +40,15 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # A byte-level tokenizer without a normaliser: its model can be asked for one word at a time.
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts.get("pre_tokenizer") or {}
+        self.direct = not parts.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.split = regex.compile(PATTERN).findall
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {**{b: b for b in shown}, **{b: 256 + k for k, b in enumerate(hidden)}}  # the byte alphabet
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -44,19 +60,36 @@ class Encoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """One word of the tokenizer's own split."""
+        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        ids = self._encode(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            if not self.direct or max(piece) >= chr(PLAIN):
+                ids = self._encode(piece)
+            elif piece.lstrip(" ").isalpha() or len(found := self.split(piece)) == 1:
+                ids = self._word(piece)
+            else:
+                ids = b"".join([self.cache.get(w) or self._piece(w) for w in found])
         if len(piece) <= LONGEST:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         if self.added and self.added.search(text):
             return self._encode(text)
-        get, piece = self.cache.get, self._piece
-        return b"".join([get(p) or piece(p) for p in PIECE.findall(text)])
+        piece, out = self._piece, []
+        for p in PIECE.findall(text):
+            out.append(self.cache.get(p) or piece(p))
+        return b"".join(out)
 
 
 def default_path() -> str:
