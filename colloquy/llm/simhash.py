@@ -4,16 +4,23 @@ Fingerprints: lower-case A-Z, words [^\\x20\\x09-\\x0D]+, 3-word shingles with r
 over half of the shingles' XXH64 (seed 42). Equal fingerprints collapse first. The 64 bits are cut into five blocks;
 3 differing bits touch three blocks at most, so each linked pair agrees on two whole blocks and meets in one of ten
 tables (keys of 24 to 26 bits). Inside a bucket fingerprints are compared in bit-sliced form: 64 of them are
-one column of 64 vertical planes, differences go into carry-save counters, and a column is abandoned as soon as all of
+one column of vertical planes, differences go into carry-save counters, and a column is abandoned as soon as all of
 its lanes are over the radius. Large buckets are dealt as pairs of chunks, each of a bounded size, so none is ever
 gathered in a task; every chunk pair returns a spanning star of its links, not its pairs.
 
+Radius 3 finds copies that are very close. keep_one() also links texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more, as estimated from wide fingerprints of 256 bits: at 0.8 the vectors' angle is
+27 degrees and 39 bits differ on average (standard deviation 6), at 0.7 it is 49. Wide fingerprints meet in tables
+of sampled bits and are compared in the same bit-sliced way.
+
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows with one doc_id share
-its component; rows without doc_id have their component's id, or null where all of it lacks one; an empty table gives an empty result; other columns are ignored.
+its component; rows without doc_id have their component's id, or null where all of it lacks one; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_key, texts, without
+from .common import mix64, saved, text_key, texts, without
 from .graph import connected_components
 
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+WIDE, WIDE_RADIUS = 4, 44  # 64-bit words of a wide fingerprint; its radius
+TABLES, SAMPLED = 40, 16  # tables of wide fingerprints, bits in a key: a pair at 39 differing bits is missed 5 times in 100
 CHUNK = 1024  # fingerprints in a chunk of a large bucket
 PAIRS = 1 << 16  # fingerprint-column pairs that are compared at once
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -38,7 +47,30 @@ def _block(i: int) -> int:
     return ((1 << n) - 1) << at
 
 
-MASKS = [_block(i) | _block(j) for i, j in combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)]
+MASKS = [[_block(i) | _block(j)] for i, j in combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)]
+
+
+def _sampled(seed: int) -> list[list[int]]:
+    r, out = random.Random(seed), []
+    for _ in range(TABLES):
+        masks = [0] * WIDE
+        for bit in r.sample(range(64 * WIDE), SAMPLED):
+            masks[bit // 64] |= 1 << bit % 64
+        out.append(masks)
+    return out
+
+
+WIDE_MASKS = _sampled(5)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits that are set in over half of (n, words) hashes, as words."""
+    n, words = hashes.shape
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, n, 1 << 13):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 13)]).astype("<u8").view(np.uint8).reshape(-1, 8 * words)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def fingerprint(text: str) -> int:
@@ -47,49 +79,85 @@ def fingerprint(text: str) -> int:
         return 0
     h = xxhash.xxh64_intdigest
     grams = map(b" ".join, zip(ws, ws[1:], ws[2:])) if len(ws) > 2 else [b" ".join(ws)]
-    hs = np.array([h(g, 42) for g in grams], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hs), 1 << 15):
-        part = hs[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hs), bitorder="little").view("<u8")[0])
+    return int(_majority(np.array([h(g, 42) for g in grams], np.uint64)[:, None])[0])
+
+
+def wide_fingerprint(text: str) -> np.ndarray:
+    """256 bits over the set of five-word shingles; without words all clear."""
+    ws = text.encode("utf-8", "surrogatepass").lower().split()
+    if not ws:
+        return np.zeros(WIDE, np.uint64)
+    h = xxhash.xxh64_intdigest
+    grams = set(map(b" ".join, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))) if len(ws) > 4 else {b" ".join(ws)}
+    x = np.array([h(g) for g in grams], np.uint64)
+    return _majority(np.stack([mix64(x + np.uint64(k + 1)) for k in range(WIDE)], 1))
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        fp = np.fromiter(map(fingerprint, b.text), np.uint64, len(b))
-        yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "fp": fp.view(np.int64)})
+def _fingerprints_of(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if words == 1:
+                fp = np.fromiter(map(fingerprint, b.text), np.uint64, len(b))[:, None]
+            else:
+                fp = np.array([wide_fingerprint(t) for t in b.text], np.uint64).reshape(len(b), words)
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "fp": list(fp.view(np.int64))})
 
+    return run
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp): the 64 bits as a signed long."""
-    return texts(docs).withColumn("text_key", text_key()).mapInPandas(_fingerprints, "doc_id long, text_key long, fp long")
+
+def fingerprints(docs: DataFrame, words: int = 1) -> DataFrame:
+    """(doc_id, text_key, fp): the bits as signed longs."""
+    rows = texts(docs).withColumn("text_key", text_key())
+    return rows.mapInPandas(_fingerprints_of(words), "doc_id long, text_key long, fp array<long>")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(columns, 64 lanes) fingerprints -> (64, columns) vertical bit planes."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8").reshape(64, len(fps)).astype(np.uint64)
+    """(columns, 64 lanes, words) fingerprints -> (bits, columns) vertical bit planes."""
+    n, _, words = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps).astype("<u8").view(np.uint8).reshape(n, 64, 8 * words), axis=2, bitorder="little")
+    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8").reshape(64 * words, n).astype(np.uint64)
 
 
-def within_radius(queries: np.ndarray, q: np.ndarray, plane: np.ndarray, c: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of queries[q] and columns c: (pair numbers left, lanes at RADIUS or fewer differing bits).
+def within_radius(queries: np.ndarray, q: np.ndarray, plane: np.ndarray, c: np.ndarray, radius: int, known: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of queries[q] and columns c: (numbers of the pairs left, lanes at radius or fewer differing bits).
 
-    Two counters and an overflow plane hold 64 distances at a time; pairs whose lanes all overflowed are
-    abandoned after every eighth plane. skip: bits that are known to agree.
+    Counters stand so that they run over at radius + 1. Four planes at a time go through full adders into the
+    two lowest counters, one carry into the others; pairs whose lanes have all run over are abandoned.
+    known: masks of the bits that agree.
     """
+    size = radius.bit_length()
+    start = (1 << size) - 1 - radius
     left = np.arange(len(q))
-    ones, twos, over = (np.zeros(len(q), np.uint64) for _ in range(3))
-    for n, bit in enumerate(b for b in range(64) if not skip >> b & 1):
-        differ = plane[bit][c] ^ (ALL * ((queries[q] >> np.uint64(bit)) & np.uint64(1)))
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if n % 8 == 7:
+    counter = [np.full(len(q), ALL if start >> k & 1 else 0, np.uint64) for k in range(size)]
+    over = np.zeros(len(q), np.uint64)
+    todo = [b for b in range(64 * queries.shape[1]) if not known[b // 64] >> b % 64 & 1]
+    todo += [-1] * (-len(todo) % 4)
+    nothing = None
+    for n in range(0, len(todo), 4):
+        d = []
+        for bit in todo[n : n + 4]:
+            if bit < 0:
+                nothing = np.zeros(len(q), np.uint64) if nothing is None or len(nothing) != len(q) else nothing
+                d.append(nothing)
+            else:
+                d.append(plane[bit][c] ^ (np.uint64(0) - ((queries[q, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1))))
+        a = counter[0] ^ d[0]
+        two = (counter[0] & d[0]) | (a & d[1])
+        a ^= d[1]
+        b = a ^ d[2]
+        other = (a & d[2]) | (b & d[3])
+        counter[0] = b ^ d[3]
+        a = counter[1] ^ two
+        carry = (counter[1] & two) | (a & other)
+        counter[1] = a ^ other
+        for k in range(2, size):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
+        if n % 16 == 12:
             alive = over != ALL
             if not alive.all():
-                left, q, c, ones, twos, over = (x[alive] for x in (left, q, c, ones, twos, over))
+                left, q, c, over = left[alive], q[alive], c[alive], over[alive]
+                counter = [x[alive] for x in counter]
             if not len(left):
                 break
     return left, ~over
@@ -118,7 +186,7 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links inside groups of rows (sorted by group). second: the row belongs to the pair's second chunk; in a
     group with second rows, first rows are compared to second rows only."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -133,11 +201,11 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
     rows = (t_from[owner] + 64 * (np.arange(len(owner)) - col_from[owner]))[:, None] + np.arange(64)
     valid = rows < (t_from + t_size)[owner][:, None]
     rows = np.where(valid, rows, 0)
-    plane = planes(np.where(valid, fp[rows], np.uint64(0)))
+    plane = planes(np.where(valid[:, :, None], fp[rows], np.uint64(0)))
     lanes = np.packbits(valid, axis=1, bitorder="little").view("<u8").reshape(-1)
     work = q_size * cols
-    for table in np.unique(mask[starts]):
-        of = np.flatnonzero((mask[starts] == table) & (work > 0))
+    for table in np.unique(table_of[starts]):
+        of = np.flatnonzero((table_of[starts] == table) & (work > 0))
         ends = np.cumsum(work[of])
         total = int(ends[-1]) if len(of) else 0
         for at in range(0, total, PAIRS):
@@ -145,7 +213,7 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
             g = of[np.searchsorted(ends, k, side="right")]
             inner = k - (ends - work[of])[np.searchsorted(of, g)]
             q, c = starts[g] + inner // cols[g], col_from[g] + inner % cols[g]
-            left, near = within_radius(fp, q, plane, c, int(MASKS[table]))
+            left, near = within_radius(fp, q, plane, c, radius, masks[table])
             near &= lanes[c[left]]
             hit = np.flatnonzero(near)
             if not len(hit):
@@ -157,61 +225,82 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
                 yield stars(rep[a[apart]], rep[b[apart]])
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by group; a group never crosses a call to _compare."""
-    held: list[pd.DataFrame] = []
-    n = 0
-
+def _links_of(masks: list[list[int]], radius: int):
     def flush(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key = b[["t", "m", "i", "j"]].to_numpy()
         group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(1)])
-        for u, v in _compare(b.fp.to_numpy().view(np.uint64), b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy()):
+        fp = np.stack(b.fp.to_list()).astype(np.int64).view(np.uint64)
+        for u, v in _compare(fp, b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy(), masks, radius):
             yield pd.DataFrame({"u": u, "v": v})
 
-    for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
-        n += len(b)
-        if n >= 1 << 15:
-            b = pd.concat(held, ignore_index=True)
-            same = (b[["t", "m", "i", "j"]] == b[["t", "m", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
-            if cut:
-                yield from flush(b.iloc[:cut])
-                b = b.iloc[cut:].reset_index(drop=True)
-            held, n = [b], len(b)
-    if n:
-        yield from flush(pd.concat(held, ignore_index=True))
-
-
-def links(reps: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by group, groups have 2 * CHUNK rows or so; a group is never cut."""
+        held: list[pd.DataFrame] = []
+        n = 0
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            n += len(b)
+            if n >= 1 << 15:
+                b = pd.concat(held, ignore_index=True)
+                other = (b[["t", "m", "i", "j"]] != b[["t", "m", "i", "j"]].iloc[-1]).any(axis=1).to_numpy()
+                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+                if cut:
+                    yield from flush(b.iloc[:cut])
+                    b = b.iloc[cut:].reset_index(drop=True)
+                held, n = [b], len(b)
+        if n:
+            yield from flush(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS) -> DataFrame:
     """reps(fp, rep), distinct fp -> links (u, v) between reps that keep every component whole."""
-    keys = reps.select("fp", "rep", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")).alias("m")) for t, m in enumerate(MASKS)))).alias("k")).select("fp", "rep", "k.t", "k.m")
+
+    def long(m: int):
+        return F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")
+
+    def key(ms: list[int]):
+        parts = [F.col("fp")[k].bitwiseAND(long(m)) for k, m in enumerate(ms)]
+        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+    tables = F.array(*(F.struct(F.lit(t).alias("t"), key(ms).alias("m")) for t, ms in enumerate(masks)))
+    keys = reps.select("fp", "rep", F.explode(tables).alias("k")).select("fp", "rep", "k.t", "k.m")
     counts = saved(keys.groupBy("t", "m").count().where("count > 1"), "simhash")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = keys.join(counts, ["t", "m"]).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("long")).withColumn("a", chunk)
     dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
     dealt = dealt.select("t", "m", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), (F.col("a") > F.col("b")).alias("second"), "fp", "rep")
-    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links, "u long, v long").distinct()
+    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links_of(masks, radius), "u long, v long").distinct()
 
 
-def _components(docs: DataFrame) -> DataFrame:
-    fps = saved(fingerprints(docs), "simhash")
+def _reps(fps: DataFrame) -> DataFrame:
     # a fingerprint that only rows without doc_id have is a component of its own, without an id
-    reps = saved(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash")
-    roots = connected_components(links(reps))
-    of = saved(reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash")
-    return fps.join(of, "fp", "left")
+    return saved(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    return _components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = saved(fingerprints(docs).select("doc_id", F.col("fp")[0].alias("bits")), "simhash")
+    reps = _reps(fps.select("doc_id", F.array("bits").alias("fp")))
+    roots = connected_components(links(reps))
+    of = reps.join(roots, reps.rep == roots.node, "left").select(F.col("fp")[0].alias("bits"), F.coalesce("root", "rep").alias("component_id"))
+    return fps.join(saved(of, "simhash"), "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays. All columns return; rows
-    without doc_id stay."""
-    drop = _components(docs.where("doc_id is not null")).where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    """docs without near-duplicates: rows are linked within RADIUS or, on wide fingerprints, within WIDE_RADIUS, and of
+    each component the row with the smallest doc_id stays. All columns return; rows without doc_id stay."""
+    edges, rows = None, docs.where("doc_id is not null")
+    ids = None
+    for words, masks, radius in ((1, MASKS, RADIUS), (WIDE, WIDE_MASKS, WIDE_RADIUS)):
+        fps = saved(fingerprints(rows, words), "simhash")
+        reps = _reps(fps)
+        of = fps.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        found = of.union(links(reps, masks, radius))
+        edges, ids = found if edges is None else edges.union(found), fps.select("doc_id", "text_key")
+    roots = connected_components(edges)
+    drop = ids.join(roots.where("node <> root"), ids.doc_id == roots.node).select("doc_id", "text_key").distinct()
     return without(docs, saved(drop, "simhash"))
