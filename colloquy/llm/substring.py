@@ -13,7 +13,7 @@ what they cover, taken together, are the maximal repeats. Three passes:
    share reaches its subtree once per task.
 3. Covered windows are gathered per document and the words they cover leave.
 
-Paths are two independent 64-bit hashes of the words (prefix and whole window).
+A leaf is known by its subtree's key and a 64-bit hash of its whole window.
 
 Defined results: null texts have no words; a row without doc_id counts as smaller than any; rows that repeat a doc_id
 don't cover each other; an empty table gives an empty result; other columns are ignored.
@@ -65,7 +65,7 @@ class Grams:
         for step in (1, 2, 4):
             low = np.minimum(low[:-step], low[step:])
         low = np.minimum(low[:-1], mix64(self.prefix + np.uint64(17))[8 : 8 + len(low) - 1])  # of WINDOW - SEED + 1 grams
-        self.seed = low[:n]
+        self.seed = mix64(low[:n])  # least hashes crowd at the low end; spread again
         eight = _join(four[:-4], four[4:])
         twelve = _join(eight[: len(four) - 8], four[8:])
         self.path = _join(twelve[:n], w[12 : 12 + n])
@@ -131,7 +131,7 @@ class SeedSet:
         return member[back], hot[back]
 
 
-_ROW = "key long, path long, prefix long, doc_id long, text_key long, pos int, run int"
+_ROW = "key long, path long, doc_id long, text_key int, pos int, run int"
 
 
 def _suffixes_of(folder: str, bits: int, there: frozenset):
@@ -139,7 +139,7 @@ def _suffixes_of(folder: str, bits: int, there: frozenset):
         seeds = SeedSet(folder, bits, there)
         for b in chunks(batches):
             g = Grams(b.doc_id.to_numpy(np.int64), b.text)
-            text_key = b.text_key.to_numpy(np.int64)
+            text_key = b.text_key.to_numpy(np.int32)
             at = np.flatnonzero(g.ok)
             if not len(at):
                 continue
@@ -158,30 +158,30 @@ def _suffixes_of(folder: str, bits: int, there: frozenset):
             if len(c):
                 start = np.flatnonzero(np.r_[True, (c[1:] != c[:-1] + 1) | (g.doc[c[1:]] != g.doc[c[:-1]])])
                 k, d = c[start], g.doc[c[start]]
-                yield pd.DataFrame({"key": _signed(mix64(g.ids[d].view(np.uint64) ^ k.astype(np.uint64))), "path": 0, "prefix": 0, "doc_id": g.ids[d], "text_key": text_key[d], "pos": g.pos[k], "run": np.diff(np.r_[start, len(c)])})
+                yield pd.DataFrame({"key": _signed(mix64(g.ids[d].view(np.uint64) ^ k.astype(np.uint64))), "path": 0, "doc_id": g.ids[d], "text_key": text_key[d], "pos": g.pos[k], "run": np.diff(np.r_[start, len(c)])})
             # one leaf per node for each text of its smallest document goes on
             left = ~done
             at, hot, path, prefix, d = at[left], hot[left], path[left], prefix[left], g.doc[at[left]]
             key = np.where(hot, mix64(path + np.uint64(1)), prefix)
-            yield pd.DataFrame({"key": _signed(key), "path": _signed(path), "prefix": _signed(prefix), "doc_id": g.ids[d], "text_key": text_key[d], "pos": g.pos[at], "run": 0})
+            yield pd.DataFrame({"key": _signed(key), "path": _signed(path), "doc_id": g.ids[d], "text_key": text_key[d], "pos": g.pos[at], "run": 0})
 
     return run
 
 
 def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (key, path, prefix, doc_id): leaves in the order of the tree."""
+    """Rows come sorted by (key, path, doc_id): leaves in the order of the tree."""
     last: tuple | None = None
     low = 0
     for b in batches:
         if not len(b):
             continue
-        key, path, prefix, ids = (b[c].to_numpy(np.int64) for c in ("key", "path", "prefix", "doc_id"))
-        new = np.r_[True, (key[1:] != key[:-1]) | (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])]
+        key, path, ids = (b[c].to_numpy(np.int64) for c in ("key", "path", "doc_id"))
+        new = np.r_[True, (key[1:] != key[:-1]) | (path[1:] != path[:-1])]
         firsts = ids[np.flatnonzero(new)]
-        if last == (key[0], path[0], prefix[0]):
+        if last == (key[0], path[0]):
             firsts = np.r_[low, firsts[1:]]
         lows = firsts[np.cumsum(new) - 1]
-        last, low = (key[-1], path[-1], prefix[-1]), int(lows[-1])
+        last, low = (key[-1], path[-1]), int(lows[-1])
         run = b.run.to_numpy()
         take = (run > 0) | (ids > lows)
         yield pd.DataFrame({"doc_id": ids[take], "text_key": b.text_key.to_numpy()[take], "pos": b.pos.to_numpy()[take], "run": np.maximum(run[take], 1)})
@@ -216,7 +216,7 @@ def _texts_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _with_covered(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.hash("text").alias("text_key"))
     seeds = rows.mapInPandas(_seeds, "seed long, low long, high long, n long").groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     seeds = saved(seeds.where("low < high").select("seed", "n"), "substring")
     bits = max(0, int(seeds.count() // FILE).bit_length())
@@ -225,7 +225,7 @@ def _with_covered(docs: DataFrame) -> DataFrame:
     files = seeds.withColumn("part", part).groupBy("part").applyInPandas(_file_writer(folder), "part int, n long").collect()  # one row per file
     there = frozenset(r.part for r in files)
     leaves = rows.mapInPandas(_suffixes_of(folder, bits, there), _ROW)
-    covered = leaves.repartition("key").sortWithinPartitions("key", "path", "prefix", "doc_id").mapInPandas(_subtrees, "doc_id long, text_key long, pos int, run int")
+    covered = leaves.repartition("key").sortWithinPartitions("key", "path", "doc_id").mapInPandas(_subtrees, "doc_id long, text_key int, pos int, run int")
     by_doc = covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "run")).alias("c"))  # at most a document's own windows
     return rows.join(by_doc, ["doc_id", "text_key"], "left").select("doc_id", "text", F.col("c.pos").alias("at"), F.col("c.run").alias("runs"))
 
