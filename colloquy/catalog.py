@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, joins, sequences, texts
+from .plans import aggregates, joins, rows, sequences, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (joins, sequences, aggregates, texts):
+for _part in (joins, sequences, aggregates, texts, rows):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
 FLAGSHIP = "jn1_map_speakers"
