@@ -3,8 +3,8 @@
 A classifier fitted on a labelled table predicts, for every document, the posterior of each domain. Rates r >= 0 are then
 sought for which the expected token totals of the domains, sum over documents of tokens * r * posterior, match the
 targets in least squares. The descent is projected: from the same start rate for all, r <- project(r - p . y), where y
-is the residual of the totals, scaled by the inverse of the k x k matrix of second moments (a Newton metric). Each
-step is one pass over a narrow table that returns k numbers; a document's rate is recomputed from its posterior and the
+is the residual of the totals, scaled by the inverse of the k x k second moments of the documents whose rates are not at a
+bound. Each step is one pass over a narrow table that returns k + k * k numbers; a document's rate is recomputed from its posterior and the
 few vectors y of the steps before, so nothing is stored per document. A document gets floor(r + u) copies, u
 being a hash of it in [0, 1).
 
@@ -21,6 +21,7 @@ equal decisions; an empty table gives an empty result; other columns are kept by
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,9 @@ from .common import chunks, saved, texts, without
 MAX_TRAIN = 20_000
 TARGETS = {"quality0": 0.08, "quality1": 0.92}
 STEPS = 40
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 BUCKETS = 64  # hashed word-ending shares besides the shape features
-SHAPE = 24
+SHAPE = 23
 
 
 def features(text: str) -> np.ndarray:
@@ -50,24 +51,19 @@ def features(text: str) -> np.ndarray:
     sizes = np.fromiter(map(len, ws), np.int64, m)
     kinds = len(set(ws))
     pairs = len(set(zip(ws, ws[1:])))
-    triples = len(set(zip(ws, ws[1:], ws[2:])))
     upper = sum(map(str.isupper, ws))
-    title = sum(w[0].isupper() for w in ws)
+    title = sum(map(str.isupper, [w[0] for w in ws]))
     alpha = sum(map(str.isalpha, ws))
     marks = {c: text.count(c) for c in ",.!?*#%&$|:;\"()@/"}
     digits = sum(map(text.count, "0123456789"))
     longest = max(map(len, lines))
     out[1:SHAPE] = [
-        np.log1p(m), kinds / m, pairs / max(1, m - 1), triples / max(1, m - 2), sizes.mean(), sizes.std(), upper / m, title / m, alpha / m,
+        np.log1p(m), kinds / m, pairs / max(1, m - 1), sizes.mean(), sizes.std(), upper / m, title / m, alpha / m,
         marks[","] / m, marks["."] / m, (marks["!"] + marks["?"]) / m, (marks["*"] + marks["#"] + marks["%"] + marks["&"] + marks["$"]) / m, marks["|"] / m,
         (marks[":"] + marks["/"] + marks["@"]) / m, digits / n, np.log1p(len(lines)), len(set(lines)) / len(lines), np.log1p(longest),
         sum(x[-1:] in ".!?" for x in lines) / len(lines), (ws[0] == ws[-1]), float(sizes.max() > 40), np.log1p(n / len(lines)),
     ]
-    ends: dict[str, int] = {}
-    for w in ws:
-        e = w[-2:]
-        ends[e] = ends.get(e, 0) + 1
-    for e, c in ends.items():
+    for e, c in Counter([w[-2:] for w in ws]).items():
         out[SHAPE + zlib.crc32(e.encode("utf-8", "surrogatepass")) % BUCKETS] += c / m
     return out
 
@@ -136,14 +132,19 @@ def rate_of(p: np.ndarray, start: float, moves: list[np.ndarray], max_rate: floa
 
 
 def _totals_of(start: float, moves: list[np.ndarray], max_rate: float):
+    """Cells 0 .. k-1: expected tokens of each domain; the k * k after them: second moments of the documents whose rates are
+    not at a bound."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0.0
         for b in batches:
             if len(b):
                 p, n = np.stack(b.posterior.to_list()), b.n_tokens.to_numpy(float)
-                total = total + (n * rate_of(p, start, moves, max_rate)) @ p
+                r = rate_of(p, start, moves, max_rate)
+                free = n * ((r > 0) & (r < max_rate))
+                total = total + np.r_[(n * r) @ p, ((p * free[:, None]).T @ p).reshape(-1)]
         if not isinstance(total, float):
-            yield pd.DataFrame({"domain": np.arange(len(total)), "tokens": total})
+            yield pd.DataFrame({"cell": np.arange(len(total)), "tokens": total})
 
     return run
 
@@ -170,19 +171,26 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], max
         return 1.0, [], {"totals": there, "wanted": there}
     wanted = weight * np.min((there * min(max_rate, 1e9) / np.maximum(weight, 1e-12))[weight > 0]) if max_rate < 1e9 else weight * there.sum()
     start = float(min(max_rate, wanted.sum() / there.sum()))
-    metric = np.linalg.pinv(moment + 1e-9 * np.trace(moment) * np.eye(k))
+    whole = metric = np.linalg.pinv(moment + 1e-9 * np.trace(moment) * np.eye(k))
     moves: list[np.ndarray] = []
     totals, before = start * there, np.inf
     for _ in range(STEPS):
         gap = totals - wanted
         worst = np.abs(gap).max() / wanted.sum()
-        if worst < TOLERANCE or before - worst < 1e-3 * worst:
+        if worst < TOLERANCE:
             break
+        if worst > 0.9 * before:  # the documents left free don't suffice: all of them set the next step's length
+            if metric is whole and worst > 0.999 * before:
+                break
+            metric = whole
         before = worst
         moves.append(metric @ gap)
-        sums = {r.domain: r.tokens for r in members.mapInPandas(_totals_of(start, moves, max_rate), "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()}  # k rows
+        passed = members.mapInPandas(_totals_of(start, moves, max_rate), "cell int, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens"))
+        sums = {r.cell: r.tokens for r in passed.collect()}  # k + k * k rows
         totals = np.array([sums.get(c, 0.0) for c in range(k)])
-    return start, moves, {"totals": totals, "wanted": wanted}
+        free = np.array([sums.get(k + c, 0.0) for c in range(k * k)]).reshape(k, k)
+        metric = np.linalg.pinv(free + 1e-9 * np.trace(free) * np.eye(k)) if np.trace(free) > 0 else whole
+    return start, moves, {"totals": totals, "wanted": wanted, "steps": len(moves)}
 
 
 def _rates_of(start: float, moves: list[np.ndarray], max_rate: float):
