@@ -136,6 +136,7 @@ def _writer_of(folder: str, path: str, end: int):
                 out = out or Writer(f"{folder}/{uuid.uuid4().hex}.ids", bits)
                 first = (0 if pd.isna(doc_id) else 1, 0 if pd.isna(doc_id) else int(doc_id)) if first is None else first
                 out.add(-(2**63) if pd.isna(doc_id) else int(doc_id), encoder.ids(text) + tail)
+        encoder.forget()
         if out:
             out.close()
             yield pd.DataFrame({"file": [out.uri], "null_last": [first[0]], "first_id": [first[1]], "ids": [out.n], "docs": [len(out.doc_ids)]})

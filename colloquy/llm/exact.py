@@ -12,6 +12,7 @@ their doc_id were smaller than any; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import hashlib
 import io
 
 import numpy as np
@@ -19,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, texts
+from .common import KeySet, mix64, rows_by_key, saved, texts
 
-SHARD = 8192  # distinct digests in a shard of the index
-DEALT = 8192  # rows that look up a shard in one task
+SHARD = 2048  # distinct digests in a shard of the index
+DEALT = 4096  # rows that look up a shard in one task
 LEVELS = 48
 
 
@@ -153,12 +154,17 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataF
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _digest_key(raw: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big")
+
+
 def keep_one(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """docs without exact duplicates, all columns. Rows without doc_id stay; of rows that repeat a winner's doc_id and
     text one stays."""
-    found = saved(exact_duplicates(docs.where("doc_id is not null"), history), "exact")
-    drop = found.where("not kept").select("doc_id", "text_sha256").distinct()
-    twice = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
-    gone = saved(drop.withColumn("again", F.lit(False)).union(twice.withColumn("again", F.lit(True))), "exact").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("again").alias("__again"))
-    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == F.col("__sha"))
-    return docs.join(gone, same, "left_anti").union(docs.join(gone.where("__again"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = saved(exact_duplicates(docs.where("doc_id is not null"), history).select("doc_id", F.conv(F.substring("text_sha256", 1, 16), 16, -10).cast("long").alias("key"), "kept"), "exact")
+    drop = found.where("not kept").select("doc_id", "key")
+    twice = saved(found.where("kept").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "exact")
+    out = rows_by_key(docs, KeySet(drop.union(twice), "exact"), _digest_key, False)
+    if twice.isEmpty():
+        return out
+    return out.union(rows_by_key(docs, KeySet(twice, "exact"), _digest_key, True).dropDuplicates(["doc_id", "text"]))

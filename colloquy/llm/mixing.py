@@ -20,6 +20,7 @@ equal decisions; an empty table gives an empty result; other columns are kept by
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, texts, without
+from .common import chunks, mix64, saved, text_key_of, texts
 
 MAX_TRAIN = 20_000
 TARGETS = {"quality0": 0.08, "quality1": 0.92}
@@ -118,7 +119,8 @@ def _posteriors_of(model: Softmax):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in chunks(batches):
             p = model.posteriors(np.stack([features(t) for t in b.text]))
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "n_tokens": [len(t.split()) for t in b.text], "posterior": list(p)})
+            keys = np.array([text_key_of(t.encode("utf-8", "surrogatepass")) for t in b.text], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": keys, "n_tokens": [len(t.split()) for t in b.text], "posterior": list(p)})
 
     return run
 
@@ -193,44 +195,65 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], max
     return start, moves, {"totals": totals, "wanted": wanted, "steps": len(moves)}
 
 
-def _rates_of(start: float, moves: list[np.ndarray], max_rate: float):
+def _uniform(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each row from its doc_id and text."""
+    return (mix64(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys) >> np.uint64(11)) / float(1 << 53)
+
+
+def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column | None, max_rate: float):
+    """(members, model, start, moves): what rates follow from; model is None without labelled rows."""
+    domain = F.concat(F.lit("quality"), F.col("quality")) if domain is None else domain
+    model = train(docs, labels, domain)
+    if model is None:
+        return None, None, 1.0, []
+    members = saved(texts(docs).mapInPandas(_posteriors_of(model), "doc_id long, text_key long, n_tokens long, posterior array<double>"), "mixing")
+    start, moves, _ = solve(members, model.domains, targets, max_rate)
+    return members, model, start, moves
+
+
+def _copies(rate: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return np.floor(rate + _uniform(ids, keys)).astype(np.int64)
+
+
+def _rates_of(model: Softmax, start: float, moves: list[np.ndarray], max_rate: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(doc_id=b.doc_id.astype("Int64"), rate=rate_of(np.stack(b.posterior.to_list()), start, moves, max_rate))
+                p = np.stack(b.posterior.to_list())
+                rate = rate_of(p, start, moves, max_rate)
+                copies = _copies(rate, b.doc_id.fillna(0).to_numpy(np.int64), b.text_key.to_numpy(np.int64).view(np.uint64))
+                yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_tokens": b.n_tokens, "posterior": [json.dumps(dict(zip(model.domains, map(float, x)))) for x in p], "rate": rate, "copies": copies})
 
     return run
 
 
-def _decided(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column | None, max_rate: float) -> tuple[DataFrame, list[str]]:
-    domain = F.concat(F.lit("quality"), F.col("quality")) if domain is None else domain
-    rows = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    model = train(docs, labels, domain)
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, posterior (JSON of domain to probability), rate, copies."""
+    members, model, start, moves = _plan(docs, labels, targets, domain, max_rate)
     if model is None:
-        empty = F.array().cast("array<double>")
         n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long")
-        return rows.select("doc_id", "text_key", n.alias("n_tokens"), empty.alias("posterior"), F.lit(1.0).alias("rate")).withColumn("copies", F.lit(1)), []
-    members = saved(rows.mapInPandas(_posteriors_of(model), "doc_id long, text_key long, n_tokens long, posterior array<double>"), "mixing")
-    start, moves, _ = solve(members, model.domains, targets, max_rate)
-    rated = members.mapInPandas(_rates_of(start, moves, max_rate), "doc_id long, text_key long, n_tokens long, posterior array<double>, rate double")
-    u = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", F.floor(F.col("rate") + u).cast("int")), model.domains
+        return texts(docs).select("doc_id", n.alias("n_tokens"), F.lit("{}").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+    return members.mapInPandas(_rates_of(model, start, moves, max_rate), "doc_id long, n_tokens long, posterior string, rate double, copies long")
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, posterior (map of domain to probability), rate, copies."""
-    decided, domains = _decided(docs, labels, targets, domain, max_rate)
-    named = F.map_from_arrays(F.array(*map(F.lit, domains)) if domains else F.array().cast("array<string>"), F.col("posterior"))
-    return decided.select("doc_id", "n_tokens", F.to_json(named).alias("posterior"), "rate", "copies")
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
+    """docs as often as their copies say, all columns. The last pass reads the texts once more to find their rates, so no
+    row is moved."""
+    _, model, start, moves = _plan(docs, labels, targets, domain, max_rate)
+    if model is None:
+        return docs
 
+    def run(batches):
+        import pyarrow as pa
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
-    """docs as often as their copies say, all columns. Up to a max_rate of 1 rows without doc_id stay."""
-    decided, _ = _decided(docs, labels, targets, domain, max_rate)
-    copies = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("copies").alias("__copies"))
-    if max_rate <= 1:  # only rows without a copy go
-        return without(docs, saved(copies.where("__copies = 0").select(F.col("__id").alias("doc_id"), F.col("__key").alias("text_key")), "mixing"))
-    copies = saved(copies, "mixing")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__key"))
-    joined = docs.join(copies, same).where("__copies > 0")
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select([docs[c] for c in docs.columns])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            found = [t or "" for t in b.column(b.schema.get_field_index("text")).cast(pa.large_string()).to_pylist()]
+            ids = np.asarray(b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0)).astype(np.int64)
+            keys = np.array([text_key_of(t.encode("utf-8", "surrogatepass")) for t in found], np.uint64)
+            p = np.concatenate([model.posteriors(np.stack([features(t) for t in found[i : i + 2000]])) for i in range(0, len(found), 2000)])
+            copies = _copies(rate_of(p, start, moves, max_rate), ids, keys)
+            yield b.take(pa.array(np.repeat(np.arange(b.num_rows), copies)))
+
+    return docs.mapInArrow(run, docs.schema)

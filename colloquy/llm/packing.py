@@ -47,6 +47,7 @@ def _pieces_of(path: str, length: int, separator: int):
                     rows.append((doc_id, row, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             out = pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+        encoder.forget()
 
     return run
 

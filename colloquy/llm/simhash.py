@@ -8,10 +8,11 @@ one column of vertical planes, differences go into carry-save counters, and a co
 its lanes are over the radius. Large buckets are dealt as pairs of chunks, each of a bounded size, so none is ever
 gathered in a task; every chunk pair returns a spanning star of its links, not its pairs.
 
-Radius 3 finds copies that are very close. keep_one() also links texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more, as estimated from wide fingerprints of 256 bits: at 0.8 the vectors' angle is
-27 degrees and 39 bits differ on average (standard deviation 6), at 0.7 it is 49. Wide fingerprints meet in tables
-of sampled bits and are compared in the same bit-sliced way.
+Radius 3 finds copies that are very close. keep_one() also links texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Wide fingerprints of 256 bits meet in tables of sampled bits and are compared in the same
+bit-sliced way. Few differing bits (SURE) are a link; from there to WIDE_RADIUS the nearest texts of other components are candidates, and
+their shingle sets decide. At a similarity of 0.8 the vectors' angle is 27 degrees: 39 bits differ on average
+(standard deviation 6), and all tables miss such a pair once or twice in a hundred.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows with one doc_id share
 its component; rows without doc_id have their component's id, or null where all of it lacks one; an empty table
@@ -35,10 +36,12 @@ from .graph import connected_components
 
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-WIDE, WIDE_RADIUS = 4, 44  # 64-bit words of a wide fingerprint; its radius
-TABLES, SAMPLED = 40, 16  # tables of wide fingerprints, bits in a key: a pair at 39 differing bits is missed 5 times in 100
+SIMILARITY = 0.8
+WIDE, WIDE_RADIUS, SURE = 4, 56, 26  # 64-bit words of a wide fingerprint; bits within which pairs are looked at, or linked
+TABLES, SAMPLED = 40, 14  # tables of wide fingerprints, bits in a key
+NEAREST = 3  # candidates of a text in a bucket
 CHUNK = 1024  # fingerprints in a chunk of a large bucket
-PAIRS = 1 << 16  # fingerprint-column pairs that are compared at once
+PAIRS = 1 << 14  # fingerprint-column pairs that are compared at once
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,21 +118,21 @@ def planes(fps: np.ndarray) -> np.ndarray:
     """(columns, 64 lanes, words) fingerprints -> (bits, columns) vertical bit planes."""
     n, _, words = fps.shape
     bits = np.unpackbits(np.ascontiguousarray(fps).astype("<u8").view(np.uint8).reshape(n, 64, 8 * words), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8").reshape(64 * words, n).astype(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(64 * words, n).astype(np.uint64)
 
 
-def within_radius(queries: np.ndarray, q: np.ndarray, plane: np.ndarray, c: np.ndarray, radius: int, known: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def within_radius(queries: np.ndarray, q: np.ndarray, plane: np.ndarray, c: np.ndarray, radius: int, known: list[int], outside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of queries[q] and columns c: (numbers of the pairs left, lanes at radius or fewer differing bits).
 
     Counters stand so that they run over at radius + 1. Four planes at a time go through full adders into the
     two lowest counters, one carry into the others; pairs whose lanes have all run over are abandoned.
-    known: masks of the bits that agree.
+    known: masks of the bits that agree. outside: lanes of each pair that don't count.
     """
     size = radius.bit_length()
     start = (1 << size) - 1 - radius
     left = np.arange(len(q))
     counter = [np.full(len(q), ALL if start >> k & 1 else 0, np.uint64) for k in range(size)]
-    over = np.zeros(len(q), np.uint64)
+    over = np.zeros(len(q), np.uint64) if outside is None else outside.copy()
     todo = [b for b in range(64 * queries.shape[1]) if not known[b // 64] >> b % 64 & 1]
     todo += [-1] * (-len(todo) % 4)
     nothing = None
@@ -186,24 +189,23 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside groups of rows (sorted by group). second: the row belongs to the pair's second chunk; in a
+def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Links inside groups of rows (sorted by group), and candidates between sure and radius bits. second: the row belongs to the pair's second chunk; in a
     group with second rows, first rows are compared to second rows only."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     n_second = np.add.reduceat(second.astype(np.int64), starts)
     crossed = n_second > 0
-    t_from, t_size = np.where(crossed, starts + sizes - n_second, starts), np.where(crossed, n_second, sizes)  # targets
+    t_from = np.where(crossed, starts + sizes - n_second, starts)  # targets; queries are the rows before them, or all
+    t_end = starts + sizes
     q_size = np.where(crossed, sizes - n_second, sizes)
-    cols = -(-t_size // 64)
-    col_from = np.r_[0, np.cumsum(cols)]
-    owner = np.repeat(np.arange(len(starts)), cols)
-    rows = (t_from[owner] + 64 * (np.arange(len(owner)) - col_from[owner]))[:, None] + np.arange(64)
-    valid = rows < (t_from + t_size)[owner][:, None]
-    rows = np.where(valid, rows, 0)
-    plane = planes(np.where(valid[:, :, None], fp[rows], np.uint64(0)))
-    lanes = np.packbits(valid, axis=1, bitorder="little").view("<u8").reshape(-1)
-    work = q_size * cols
+    # Rows fill the lanes of columns in their order, small groups side by side; a query meets the columns of its group.
+    padded = np.zeros((-(-len(fp) // 64) * 64, fp.shape[1]), np.uint64)
+    padded[: len(fp)] = fp
+    plane = planes(padded.reshape(-1, 64, fp.shape[1]))
+    col_from = t_from // 64
+    cols = (t_end - 1) // 64 - col_from + 1
+    work = np.where(q_size * (t_end - t_from) > 1, q_size * cols, 0)
     for table in np.unique(table_of[starts]):
         of = np.flatnonzero((table_of[starts] == table) & (work > 0))
         ends = np.cumsum(work[of])
@@ -213,25 +215,49 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
             g = of[np.searchsorted(ends, k, side="right")]
             inner = k - (ends - work[of])[np.searchsorted(of, g)]
             q, c = starts[g] + inner // cols[g], col_from[g] + inner % cols[g]
-            left, near = within_radius(fp, q, plane, c, radius, masks[table])
-            near &= lanes[c[left]]
+            first = np.maximum(t_from[g] - 64 * c, 0).astype(np.uint64)
+            last = np.minimum(t_end[g] - 64 * c, 64).astype(np.uint64)
+            outside = ~((ALL << first) & (ALL >> (np.uint64(64) - last)))
+            left, near = within_radius(fp, q, plane, c, radius, masks[table], outside)
             hit = np.flatnonzero(near)
             if not len(hit):
                 continue
             i, lane = np.nonzero(np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            a, b = q[left[hit[i]]], rows[c[left[hit[i]]], lane]
+            a, b = q[left[hit[i]]], 64 * c[left[hit[i]]] + lane
             apart = a != b
-            if apart.any():
-                yield stars(rep[a[apart]], rep[b[apart]])
-
-
-def _links_of(masks: list[list[int]], radius: int):
+            a, b = a[apart], b[apart]
+            if sure >= radius:
+                if len(a):
+                    yield *stars(rep[a], rep[b]), True
+                continue
+            bits = np.bitwise_count(fp[a] ^ fp[b]).sum(1)
+            near = bits <= sure
+            if near.any():
+                u, v = stars(rep[a[near]], rep[b[near]])
+                yield u, v, True
+                # what the links have joined needs no candidate
+                order = np.argsort(u)
+                u, v = u[order], v[order]
+                roots = []
+                for x in (rep[a], rep[b]):
+                    k = np.minimum(np.searchsorted(u, x), len(u) - 1)
+                    roots.append(np.where(u[k] == x, v[k], x))
+                near |= roots[0] == roots[1]
+            a, b, bits = a[~near], b[~near], bits[~near]
+            order = np.lexsort((b, bits, a))
+            a, b = a[order], b[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            if len(a):
+                yield rep[a[place < NEAREST]], rep[b[place < NEAREST]], False
+
+
+def _links_of(masks: list[list[int]], radius: int, sure: int):
     def flush(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key = b[["t", "m", "i", "j"]].to_numpy()
         group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(1)])
         fp = np.stack(b.fp.to_list()).astype(np.int64).view(np.uint64)
-        for u, v in _compare(fp, b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy(), masks, radius):
-            yield pd.DataFrame({"u": u, "v": v})
+        for u, v, linked in _compare(fp, b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy(), masks, radius, sure):
+            yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "sure": linked})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group, groups have 2 * CHUNK rows or so; a group is never cut."""
@@ -256,8 +282,10 @@ def _links_of(masks: list[list[int]], radius: int):
     return run
 
 
-def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS) -> DataFrame:
-    """reps(fp, rep), distinct fp -> links (u, v) between reps that keep every component whole."""
+def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS, sure: int | None = None, crowded: bool = False) -> DataFrame:
+    """reps(fp, rep), distinct fp -> links (u, v, sure) between reps that keep every component whole. With sure below
+    radius, pairs in between come as candidates. crowded: most buckets hold several fingerprints, so only large ones
+    are looked up in the table of counts."""
 
     def long(m: int):
         return F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")
@@ -268,12 +296,13 @@ def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS)
 
     tables = F.array(*(F.struct(F.lit(t).alias("t"), key(ms).alias("m")) for t, ms in enumerate(masks)))
     keys = reps.select("fp", "rep", F.explode(tables).alias("k")).select("fp", "rep", "k.t", "k.m")
-    counts = saved(keys.groupBy("t", "m").count().where("count > 1"), "simhash")
+    counts = saved(keys.groupBy("t", "m").count().where(F.col("count") > (CHUNK if crowded else 1)), "simhash")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = keys.join(counts, ["t", "m"]).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("long")).withColumn("a", chunk)
+    met = keys.join(counts, ["t", "m"], "left" if crowded else "inner")
+    dealt = met.withColumn("chunks", F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("long")).withColumn("a", chunk)
     dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
     dealt = dealt.select("t", "m", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), (F.col("a") > F.col("b")).alias("second"), "fp", "rep")
-    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links_of(masks, radius), "u long, v long").distinct()
+    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links_of(masks, radius, radius if sure is None else sure), "u long, v long, sure boolean").distinct()
 
 
 def _reps(fps: DataFrame) -> DataFrame:
@@ -285,22 +314,65 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = saved(fingerprints(docs).select("doc_id", F.col("fp")[0].alias("bits")), "simhash")
     reps = _reps(fps.select("doc_id", F.array("bits").alias("fp")))
-    roots = connected_components(links(reps))
+    roots = connected_components(links(reps).select("u", "v"))
     of = reps.join(roots, reps.rep == roots.node, "left").select(F.col("fp")[0].alias("bits"), F.coalesce("root", "rep").alias("component_id"))
     return fps.join(saved(of, "simhash"), "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for text in b["text"]:
+            ws = text.encode("utf-8", "surrogatepass").lower().split()
+            grams = set(map(b" ".join, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))) if len(ws) > 4 else {b" ".join(ws)}
+            out.append(np.sort(np.array([xxhash.xxh32_intdigest(g) for g in grams], np.uint32)).astype("<u4").tobytes())
+        yield pd.DataFrame({"node": b["node"], "grams": out})
+
+
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b["gu"], b["gv"]):
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            same = len(np.intersect1d(x, y, assume_unique=False))
+            keep.append(same >= SIMILARITY * (len(x) + len(y) - same))
+        yield b.loc[keep, ["u", "v"]]
+
+
+def verified(candidates: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates (u, v) whose texts' sets of five-word shingles are similar enough. keyed(node, key): which text is a
+    node's; rows(node, key, text)."""
+    pairs = saved(candidates.select("u", "v").distinct(), "simhash")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = saved(asked.join(keyed, "node"), "simhash")
+    grams = saved(rows.join(asked, ["node", "key"]).select("node", "text").dropDuplicates(["node"]).mapInPandas(_shingles, "node long, grams binary"), "simhash")
+    one = grams.select(F.col("node").alias("u"), F.col("grams").alias("gu"))
+    other = grams.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "gu", "gv").mapInPandas(_similar, "u long, v long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: rows are linked within RADIUS or, on wide fingerprints, within WIDE_RADIUS, and of
+    """docs without near-duplicates: rows are linked within RADIUS bits or by a similarity of SIMILARITY, and of
     each component the row with the smallest doc_id stays. All columns return; rows without doc_id stay."""
-    edges, rows = None, docs.where("doc_id is not null")
-    ids = None
-    for words, masks, radius in ((1, MASKS, RADIUS), (WIDE, WIDE_MASKS, WIDE_RADIUS)):
+    rows = docs.where("doc_id is not null")
+    edges, fps, wide = None, None, None
+    for words, masks, radius, sure in ((1, MASKS, RADIUS, RADIUS), (WIDE, WIDE_MASKS, WIDE_RADIUS, SURE)):
         fps = saved(fingerprints(rows, words), "simhash")
         reps = _reps(fps)
-        of = fps.join(reps, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        found = of.union(links(reps, masks, radius))
-        edges, ids = found if edges is None else edges.union(found), fps.select("doc_id", "text_key")
-    roots = connected_components(edges)
-    drop = ids.join(roots.where("node <> root"), ids.doc_id == roots.node).select("doc_id", "text_key").distinct()
-    return without(docs, saved(drop, "simhash"))
+        of = saved(fps.join(reps, "fp").select("doc_id", "text_key", "rep"), "simhash")
+        found = saved(links(reps, masks, radius, sure, words > 1), "simhash")
+        own = of.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        own = own.union(found.where("sure").select("u", "v"))
+        edges = own if edges is None else edges.union(own)
+        wide = found.where("not sure").select("u", "v")
+    edges = saved(edges.distinct(), "simhash")
+    roots = saved(connected_components(edges), "simhash")
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    open_ = wide.join(named("u"), "u", "left").join(named("v"), "v", "left").where(~F.coalesce("u_root", "u").eqNullSafe(F.coalesce("v_root", "v"))).select("u", "v")
+    # the text of a node: that of the row whose fingerprint it stands for
+    keyed = of.where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.min("text_key").alias("key"))
+    source = texts(rows).select(F.col("doc_id").alias("node"), text_key().alias("key"), "text")
+    more = saved(verified(open_, keyed, source), "simhash")
+    roots = connected_components(edges.union(more))
+    drop = of.join(roots.where("node <> root"), of.doc_id == roots.node).select("doc_id", "text_key").distinct()
+    return without(docs, drop, "simhash")

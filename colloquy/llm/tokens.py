@@ -83,13 +83,21 @@ class Encoder:
             self.cache[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Ends a task: the worker lives on, its pieces needn't."""
+        self.cache, self.older = {}, {}
+
     def ids(self, text: str) -> bytes:
         if self.added and self.added.search(text):
             return self._encode(text)
-        piece, out = self._piece, []
-        for p in PIECE.findall(text):
-            out.append(self.cache.get(p) or piece(p))
-        return b"".join(out)
+        pieces = PIECE.findall(text)
+        found = list(map(self.cache.get, pieces))
+        if None in found:
+            piece = self._piece
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self.cache.get(pieces[i]) or piece(pieces[i])
+        return b"".join(found)
 
 
 def default_path() -> str:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_key, texts, without
+from .common import saved, texts
 
 MAX_TRAIN = 20_000  # labelled rows that the model is fitted on
 FOLDS, HELD_OUT = 3, 1
@@ -276,7 +276,7 @@ def _both_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ws |= {w[:k] + "*" for w in ws if len(w) <= LONGEST for k in range(4, min(len(w), 10))}
             folds[2 * (xxhash.xxh64_intdigest(str(doc_id), 9) & 1) + (1 if toxic else 0)].update(ws)
             total.update(ws)
-            if len(total) > 500_000:
+            if len(total) > 150_000:
                 yield _counted(total, folds)
                 total.clear()
                 for f in folds:
@@ -300,28 +300,28 @@ def _hits_of(entries: list):
     return run
 
 
+def scores(batch_texts, lexicon: Lexicon, model: dict) -> np.ndarray:
+    if model["w"] is None:
+        return np.full(len(batch_texts), model["share"])
+    if not len(batch_texts):
+        return np.zeros(0)
+    x = np.array([features(*lexicon.hits(t), model["weights"]) for t in batch_texts])
+    return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ np.array(model["w"]), -30, 30)))
+
+
 def _scores_of(model: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, w = Lexicon(model["entries"]), model["w"]
+        lexicon = Lexicon(model["entries"])
         for b in batches:
-            if w is None:
-                score = np.full(len(b), model["share"])
-            else:
-                x = np.array([features(*lexicon.hits(t), model["weights"]) for t in b.text]).reshape(len(b), -1)
-                score = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(b))] @ np.array(w), -30, 30))) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "score": score})
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "score": scores(list(b.text), lexicon, model)})
 
     return run
 
 
-def _scored(docs: DataFrame, model: dict) -> DataFrame:
-    rows = texts(docs).withColumn("text_key", text_key())
-    return rows.mapInPandas(_scores_of(model), "doc_id long, text_key long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-
-
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    return _scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = texts(docs).mapInPandas(_scores_of(model), "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -329,6 +329,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic, all columns. Rows without doc_id stay."""
-    drop = _scored(docs.where("doc_id is not null"), train(docs, labels)).where("predicted = 1").select("doc_id", "text_key").distinct()
-    return without(docs, saved(drop, "toxicity"))
+    """docs without those predicted toxic, all columns, in one pass that moves no row."""
+    model = train(docs, labels)
+
+    def run(batches):
+        import pyarrow as pa
+
+        lexicon = Lexicon(model["entries"])
+        for b in batches:
+            found = [t or "" for t in b.column(b.schema.get_field_index("text")).cast(pa.large_string()).to_pylist()]
+            yield b.filter(pa.array(scores(found, lexicon, model) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
