@@ -66,4 +66,14 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op9_substring": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(ws) - 11)) AS t(i)),
+        firsts AS (SELECT g, min(doc_id) AS low FROM windows GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, p FROM (SELECT w.doc_id, unnest(range(i, i + 13)) AS p FROM windows w JOIN firsts USING (g) WHERE low < w.doc_id)),
+        words AS (SELECT doc_id, p, ws[p] AS word FROM d, unnest(range(1, len(ws) + 1)) AS t(p)),
+        marked AS (SELECT w.doc_id, w.p, w.word, g.p IS NOT NULL AS out FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p),
+        sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT out), '') AS kept FROM marked GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents LEFT JOIN sums USING (doc_id)""",
 }
