@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_shared, saved, texts, work_dir, write_shared
+from .common import chunks, hashes, map_shared, saved, texts, work_dir, write_shared
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -38,9 +38,11 @@ MIN_COUNT = 2
 DISCOUNT = 0.75  # D
 MASS = 4.0  # M
 FILE = 1 << 18
+CHARS = 3 << 20  # characters that a task looks at together
+HELD = 3_000_000  # distinct pairs that a task holds before it sends them on
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line feed
 PROB, BACK = 4096.0, 16384.0  # steps per power of ten
-_POP = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+_ALL, _L8, _H8 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 _SELECT = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
@@ -56,7 +58,8 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.l, self.low, self.high = n, low_bits, low, high
-        ones = _POP[high].reshape(-1, 8).sum(1, dtype=np.int64)
+        self.words = np.ascontiguousarray(high).view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int64)
         self.ones = np.r_[0, np.cumsum(ones)]  # before each 64-bit word
         self.zeros = 64 * np.arange(len(self.ones)) - self.ones
 
@@ -79,20 +82,20 @@ class EliasFano:
         high = np.packbits(high, bitorder="little").tobytes()
         return {"n": n, "l": low_bits, "low": len(low), "high": len(high)}, [low, high]
 
-    def _select(self, before: np.ndarray, i: np.ndarray, flip: int) -> np.ndarray:
-        """Position of the i-th (from 0) set bit, of clear ones with flip=255."""
+    def _select(self, before: np.ndarray, i: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Position of the i-th (from 0) set bit; with flip all ones, of the i-th clear one. Within a 64-bit word the
+        eight bytes' running counts are compared at once."""
         word = np.searchsorted(before, i, side="right") - 1
-        left = i - before[word]
-        at = np.full(len(i), -1, np.int64)
-        open_ = np.ones(len(i), bool)
-        for b in range(8):
-            byte = self.high[8 * np.minimum(word, len(before) - 2) + b] ^ np.uint8(flip)
-            count = _POP[byte]
-            here = open_ & (left < count)
-            at[here] = 64 * word[here] + 8 * b + _SELECT[byte[here], left[here]]
-            open_ &= ~here
-            left = left - count
-        return at
+        left = (i - before[word]).astype(np.uint64)
+        x = self.words[np.minimum(word, len(before) - 2)] ^ flip
+        s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _L8
+        place = (((((left * _L8) | _H8) - s) & _H8) >> np.uint64(7)) * _L8 >> np.uint64(56) << np.uint64(3)
+        place = np.minimum(place, np.uint64(56))
+        left = left - (((s << np.uint64(8)) >> place) & np.uint64(255))
+        byte = (x >> place) & np.uint64(255)
+        return 64 * word + place.astype(np.int64) + _SELECT[byte.astype(np.int64), np.minimum(left, np.uint64(7)).astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -105,7 +108,7 @@ class EliasFano:
         return (x >> shift) & np.uint64((1 << self.l) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        high = (self._select(self.ones, i, 0) - i).astype(np.uint64)
+        high = (self._select(self.ones, i, np.uint64(0)) - i).astype(np.uint64)
         return (high << np.uint64(self.l)) | self._low(i)
 
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -114,19 +117,25 @@ class EliasFano:
         h = (value >> np.uint64(self.l)).astype(np.int64)
         known = h < int(self.zeros[-1])
         h = np.where(known, h, 0)
-        first = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), 255) - h + 1, 0)
-        last = self._select(self.zeros, h, 255) - h
+        first = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), _ALL) - h + 1, 0)
+        last = self._select(self.zeros, h, _ALL) - h
         at = np.maximum(first, begin)
         stop = np.minimum(last, end)
         want = value & np.uint64((1 << self.l) - 1)
+        # Parents with very many children crowd their successors: those that share a high part are halved, not scanned.
         out = np.full(len(value), -1, np.int64)
-        alive = np.flatnonzero(known & (at < stop))
-        while len(alive):
-            hit = self._low(at[alive]) == want[alive]
-            out[alive[hit]] = at[alive[hit]]
-            alive = alive[~hit]
-            at[alive] += 1
-            alive = alive[at[alive] < stop[alive]]
+        k = np.flatnonzero(known & (at < stop))
+        low, high, want = at[k], stop[k], want[k]
+        open_ = np.arange(len(k))
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            x = self._low(middle)
+            below = x < want[open_]
+            same = x == want[open_]
+            out[k[open_[same]]] = middle[same]
+            low[open_[below]] = middle[below] + 1
+            high[open_[~below]] = middle[~below]
+            open_ = open_[~same & (low[open_] < high[open_])]
         return out
 
 
@@ -260,15 +269,22 @@ class _LevelFile:
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place or -1, whether the parent has children here)."""
-        inside = (parent >= self.pa) & (parent <= self.pb)
-        q = np.where(inside, parent - self.pa, 0)
+        # Pairs come sorted, so each parent's range and base are looked up once.
+        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(parent)]))
+        one = parent[first]
+        inside = (one >= self.pa) & (one <= self.pb)
+        q = np.where(inside, one - self.pa, 0)
         begin, end = self.pointers.access(q).astype(np.int64), self.pointers.access(q + 1).astype(np.int64)
         there = inside & (end > begin)
-        base = np.where(begin > 0, self.children.access(np.maximum(begin - 1, 0)), 0).astype(np.uint64)
+        base = np.zeros(len(one), np.uint64)
+        later = np.flatnonzero(there & (begin > 0))
+        base[later] = self.children.access(begin[later] - 1)
         at = np.full(len(parent), -1, np.int64)
-        k = np.flatnonzero(there)
-        at[k] = self.children.find(base[k] + child[k].astype(np.uint64), begin[k], end[k])
-        return at, there
+        k = np.flatnonzero(there[of])
+        g = of[k]
+        at[k] = self.children.find(base[g] + child[k].astype(np.uint64), begin[g], end[g])
+        return at, there[of]
 
 
 class Level:
@@ -351,16 +367,21 @@ class Trie:
         return self._levels[k]
 
 
+def pair_order(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Order by (parent, child), children from -1."""
+    width = int(child.max()) + 2 if len(child) else 1
+    if len(child) and (int(parent.max()) + 1) * width < 1 << 63:
+        return np.argsort(parent * width + child + 1)
+    return np.lexsort((child, parent))
+
+
 class Tokens:
     """The joined tokens of a batch: hashes, document numbers and, with a trie, ids and counts."""
 
     def __init__(self, batch_texts, trie: Trie | None = None):
-        h = xxhash.xxh64_intdigest
         parts = []
         for t in batch_texts:
-            ws = t.encode("utf-8", "surrogatepass").lower().split()
-            parts.append(np.fromiter((h(w) for w in ws), np.uint64, len(ws)))
-            parts.append(END.reshape(1))
+            parts += [hashes(t.encode("utf-8", "surrogatepass").lower().split()), END.reshape(1)]
         self.sizes = np.array([len(p) + 1 for p in parts[::2]], np.int64)
         self.hash = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -377,7 +398,7 @@ class Tokens:
         ask = np.flatnonzero(parents >= 0)
         if len(ask):
             child = self.ids[ask]
-            order = np.lexsort((child, parents[ask]))
+            order = pair_order(parents[ask], child)
             ask, child = ask[order], child[order]
             parent = parents[ask]
             new = np.r_[True, (parent[1:] != parent[:-1]) | (child[1:] != child[:-1])]
@@ -393,33 +414,51 @@ class Tokens:
 
 
 def _unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in chunks(batches, 8 << 20):
+    for b in chunks(batches, CHARS):
         h, c = np.unique(Tokens(b.text).hash, return_counts=True)
         yield pd.DataFrame({"h": h.view(np.int64), "c": c})
 
 
-def _candidates_of(trie: Trie, level: int):
-    """(parent, child) pairs of the next level: both n-1 word parts are nodes."""
+def _candidates_of(trie: Trie, level: int, least: int):
+    """Pairs parent * words + child of the next level, both of whose n-1 word parts are nodes; a task counts its own
+    pairs before it sends them on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in chunks(batches, 8 << 20):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for b in chunks(batches, CHARS):
             t = Tokens(b.text, trie)
             nodes = t.ids
             for k in range(2, level):
                 nodes = t.look_up(trie.level(k), t.parents(nodes))[0]
             parents = t.parents(nodes)
             take = (parents >= 0) & (nodes >= 0)
-            parent, child = parents[take], t.ids[take]
-            if not len(parent):
-                continue
-            order = np.lexsort((child, parent))
-            parent, child = parent[order], child[order]
-            first = np.flatnonzero(np.r_[True, (parent[1:] != parent[:-1]) | (child[1:] != child[:-1])])
-            yield pd.DataFrame({"parent": parent[first], "child": child[first], "c": np.diff(np.r_[first, len(parent)])})
+            if level == 2:  # words that are too rare are in no n-gram that is frequent enough
+                take &= (t.counts >= least) & np.r_[False, t.counts[:-1] >= least]
+            key, c = np.unique(parents[take] * np.int64(trie.kinds) + t.ids[take], return_counts=True)
+            held.append((key, c))
+            n += len(key)
+            if n >= HELD:
+                key, c = _summed(held)
+                held, n = [(key, c)], len(key)
+                if n > HELD // 2:
+                    yield pd.DataFrame({"pair": key, "c": c})
+                    held, n = [], 0
+        if n:
+            key, c = _summed(held)
+            yield pd.DataFrame({"pair": key, "c": c})
 
     return run
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(c[order], first)
+
+
 def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Trie:
     """Counts all rows of training(doc_id, text) and writes the trie to the shared folder."""
     folder = work_dir(training.sparkSession, "ngrams")
@@ -429,8 +468,12 @@ def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -
     about = words.withColumn("part", part).groupBy("part").applyInPandas(_vocabulary_writer(folder, bits), "part int, n long, tokens long").toPandas()  # one row per file
     trie = Trie(folder, bits, dict(zip(about.part.tolist(), about.n.tolist())), int(about.tokens.sum()))
     for level in range(2, order + 1):
-        grams = training.mapInPandas(_candidates_of(trie, level), "parent long, child long, c long").groupBy("parent", "child").agg(F.sum("c").alias("c"))
-        grams = saved(grams.where(F.col("c") >= min_count), "ngrams")
+        nodes = trie.kinds if level == 2 else int(trie.level(level - 1).starts[-1])
+        if nodes * trie.kinds >= 1 << 63:
+            raise ValueError("the pairs of this level do not fit into 64 bits")
+        pairs = training.mapInPandas(_candidates_of(trie, level, min_count), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
+        words_ = F.lit(max(1, trie.kinds)).cast("long")
+        grams = saved(pairs.select(F.expr(f"pair div {max(1, trie.kinds)}L").alias("parent"), F.pmod("pair", words_).alias("child"), "c"), "ngrams")
         sums = saved(grams.groupBy("parent").agg(F.sum("c").alias("kept"), F.count("*").alias("kinds")), "ngrams")
         rows = saved(grams.join(sums, "parent").select("parent", "child", "c", "kept", "kinds"), "ngrams")
         files = max(1, -(-rows.count() // FILE))
@@ -445,7 +488,7 @@ def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -
 def _scores_of(trie: Trie):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = trie.tokens + 0.5 * (trie.kinds + 1)
-        for b in chunks(batches, 8 << 20):
+        for b in chunks(batches, CHARS):
             t = Tokens(b.text, trie)
             p = (t.counts + 0.5) / whole
             n = len(b)

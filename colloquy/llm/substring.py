@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_shared, mix64, saved, texts, words, work_dir, write_shared
+from .common import chunks, hashes, map_shared, mix64, saved, texts, words, work_dir, write_shared
 
 WINDOW = 13
 SEED = 5
@@ -48,8 +47,7 @@ class Grams:
     """Hashes over the joined words of a batch's documents; ok marks positions where a window starts."""
 
     def __init__(self, ids: np.ndarray, batch_texts):
-        h = xxhash.xxh64_intdigest
-        parts = [np.fromiter((h(w) for w in ws), np.uint64, len(ws)) for ws in map(words, batch_texts)]
+        parts = [hashes(ws) for ws in map(words, batch_texts)]
         sizes = np.array([len(p) for p in parts], np.int64)
         self.first = np.cumsum(sizes) - sizes
         w = np.concatenate([*parts, np.zeros(WINDOW + 8, np.uint64)])  # padding keeps the slices below in range
