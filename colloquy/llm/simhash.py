@@ -10,8 +10,8 @@ gathered in a task; every chunk pair returns a spanning star of its links, not i
 
 Radius 3 finds copies that are very close. keep_one() also links texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. Wide fingerprints of 256 bits meet in tables of sampled bits and are compared in the same
-bit-sliced way. Few differing bits (SURE) are a link; from there to WIDE_RADIUS the nearest texts of other components are candidates, and
-their shingle sets decide. At a similarity of 0.8 the vectors' angle is 27 degrees: 39 bits differ on average
+bit-sliced way. Few differing bits (SURE) are a link; from there to WIDE_RADIUS all texts of other components are candidates, and
+their shingle sets decide: first those of the NEAREST of a text in a bucket, then all pairs that are still in different components. At a similarity of 0.8 the vectors' angle is 27 degrees: 39 bits differ on average
 (standard deviation 6), and all tables miss such a pair once or twice in a hundred.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows with one doc_id share
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, text_key, texts, without
+from .common import map_shared, mix64, saved, spark_hash, text_key, texts, without, work_dir, write_shared
 from .graph import connected_components
 
 RADIUS = 3
@@ -39,7 +39,9 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SIMILARITY = 0.8
 WIDE, WIDE_RADIUS, SURE = 4, 56, 26  # 64-bit words of a wide fingerprint; bits within which pairs are looked at, or linked
 TABLES, SAMPLED = 40, 14  # tables of wide fingerprints, bits in a key
-NEAREST = 3  # candidates of a text in a bucket
+NEAREST = 3  # candidates of a text in a bucket that are looked at before the others
+SETS_IN_FILE = 1 << 11  # shingle sets in a file
+SETS_AT_ONCE = 1 << 20  # shingles that are compared at once
 CHUNK = 1024  # fingerprints in a chunk of a large bucket
 PAIRS = 1 << 14  # fingerprint-column pairs that are compared at once
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -189,8 +191,9 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links inside groups of rows (sorted by group), and candidates between sure and radius bits. second: the row belongs to the pair's second chunk; in a
+def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | int]]:
+    """Links inside groups of rows (sorted by group; step 0), and all candidates between sure and radius bits that they don't
+    join (step 1: of the NEAREST of a row, 2: others). second: the row belongs to the pair's second chunk; in a
     group with second rows, first rows are compared to second rows only."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -228,13 +231,13 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
             a, b = a[apart], b[apart]
             if sure >= radius:
                 if len(a):
-                    yield *stars(rep[a], rep[b]), True
+                    yield *stars(rep[a], rep[b]), 0
                 continue
             bits = np.bitwise_count(fp[a] ^ fp[b]).sum(1)
             near = bits <= sure
             if near.any():
                 u, v = stars(rep[a[near]], rep[b[near]])
-                yield u, v, True
+                yield u, v, 0
                 # what the links have joined needs no candidate
                 order = np.argsort(u)
                 u, v = u[order], v[order]
@@ -247,8 +250,12 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
             order = np.lexsort((b, bits, a))
             a, b = a[order], b[order]
             place = np.arange(len(a)) - np.searchsorted(a, a)
+            # a pair that both of its rows find comes out once
+            first = np.flatnonzero(place < NEAREST)
+            rest = np.flatnonzero((place >= NEAREST) & (a < b))
             if len(a):
-                yield rep[a[place < NEAREST]], rep[b[place < NEAREST]], False
+                out = np.r_[first, rest]
+                yield rep[a[out]], rep[b[out]], np.repeat([1, 2], [len(first), len(rest)])
 
 
 def _links_of(masks: list[list[int]], radius: int, sure: int):
@@ -256,8 +263,8 @@ def _links_of(masks: list[list[int]], radius: int, sure: int):
         key = b[["t", "m", "i", "j"]].to_numpy()
         group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(1)])
         fp = np.stack(b.fp.to_list()).astype(np.int64).view(np.uint64)
-        for u, v, linked in _compare(fp, b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy(), masks, radius, sure):
-            yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "sure": linked})
+        for u, v, step in _compare(fp, b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy(), masks, radius, sure):
+            yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "step": step})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group, groups have 2 * CHUNK rows or so; a group is never cut."""
@@ -283,8 +290,8 @@ def _links_of(masks: list[list[int]], radius: int, sure: int):
 
 
 def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS, sure: int | None = None, crowded: bool = False) -> DataFrame:
-    """reps(fp, rep), distinct fp -> links (u, v, sure) between reps that keep every component whole. With sure below
-    radius, pairs in between come as candidates. crowded: most buckets hold several fingerprints, so only large ones
+    """reps(fp, rep), distinct fp -> links (u, v, step) between reps that keep every component whole: step 0. With sure below
+    radius, all pairs in between that meet in a table and that links don't join come as candidates: steps 1 and 2. crowded: most buckets hold several fingerprints, so only large ones
     are looked up in the table of counts."""
 
     def long(m: int):
@@ -302,7 +309,7 @@ def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS,
     dealt = met.withColumn("chunks", F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("long")).withColumn("a", chunk)
     dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
     dealt = dealt.select("t", "m", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), (F.col("a") > F.col("b")).alias("second"), "fp", "rep")
-    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links_of(masks, radius, radius if sure is None else sure), "u long, v long, sure boolean").distinct()
+    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links_of(masks, radius, radius if sure is None else sure), "u long, v long, step int").groupBy("u", "v").agg(F.min("step").alias("step"))
 
 
 def _reps(fps: DataFrame) -> DataFrame:
@@ -329,26 +336,97 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": b["node"], "grams": out})
 
 
-def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b["gu"], b["gv"]):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            same = len(np.intersect1d(x, y, assume_unique=False))
-            keep.append(same >= SIMILARITY * (len(x) + len(y) - same))
-        yield b.loc[keep, ["u", "v"]]
-
-
-def verified(candidates: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidates (u, v) whose texts' sets of five-word shingles are similar enough. keyed(node, key): which text is a
-    node's; rows(node, key, text)."""
-    pairs = saved(candidates.select("u", "v").distinct(), "simhash")
+def _sets_writer(folder: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        ends = np.cumsum(pdf.grams.str.len().to_numpy(np.int64) // 4)
+        part = int(pdf.part.iloc[0])
+        head = np.r_[len(pdf), pdf.node.to_numpy(np.int64), ends].astype("<i8")
+        write_shared(f"{folder}/{part}", [head.tobytes(), *pdf.grams])
+        return pd.DataFrame({"part": [part]})
+
+    return run
+
+
+class ShingleSets:
+    """Sorted shingle sets of nodes in files of the shared folder, mapped into memory by whoever asks: a set is not
+    shuffled to each of its node's candidates."""
+
+    def __init__(self, grams: DataFrame):
+        """grams(node, grams): one row per node, saved."""
+        self.parts = max(1, -(-grams.count() // SETS_IN_FILE))
+        self.folder = work_dir(grams.sparkSession, "simhash-sets")
+        dealt = grams.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(self.parts)).cast("int"))
+        dealt.groupBy("part").applyInPandas(_sets_writer(self.folder), "part int").count()
+        self.files: dict = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "files": {}}
+
+    def find(self, nodes: np.ndarray) -> list[np.ndarray]:
+        """The sets of nodes, all of which have to be there."""
+        out: list = []
+        for node, part in zip(nodes.tolist(), np.mod(spark_hash(nodes), self.parts).tolist() if len(nodes) else []):
+            if part not in self.files:
+                raw = map_shared(f"{self.folder}/{part}")
+                n = int(raw[:8].view("<i8")[0])
+                head = raw[8 : 8 + 16 * n].view("<i8")
+                self.files[part] = head[:n], np.r_[0, head[n:]], raw[8 + 16 * n :].view("<u4")
+            known, edges, sets = self.files[part]
+            at = int(np.searchsorted(known, node))
+            if at == len(known) or known[at] != node:
+                raise KeyError(f"no shingle set of node {node}")
+            out.append(sets[edges[at] : edges[at + 1]])
+        return out
+
+
+def _similar(sets: ShingleSets):
+    def similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(y) for y in others])
+        all_ = np.concatenate(others)
+        hit = x[np.minimum(np.searchsorted(x, all_), len(x) - 1)] == all_
+        same = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+        return same >= SIMILARITY * (len(x) + sizes - same)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs sorted by u: a set is compared to those of its candidates in one go."""
+        for b in batches:
+            if not len(b):
+                continue
+            u, v = b["u"].to_numpy(np.int64), b["v"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            keep = np.zeros(len(b), bool)
+            for at, end in zip(starts, [*starts[1:], len(b)]):
+                x = sets.find(u[at : at + 1])[0]
+                others = sets.find(v[at:end])
+                # sets of too different sizes can't be similar enough
+                fits = [k for k, y in enumerate(others) if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y))]
+                step = max(1, SETS_AT_ONCE // len(x))
+                for n in range(0, len(fits), step):
+                    some = fits[n : n + step]
+                    keep[at + np.array(some)] = similar(x, [others[k] for k in some])
+            yield b.loc[keep, ["u", "v"]]
+
+    return run
+
+
+def shingle_sets(pairs: DataFrame, keyed: DataFrame, rows: DataFrame) -> ShingleSets:
+    """The sets of five-word shingles of the texts of pairs (u, v). keyed(node, key): which text is a node's;
+    rows(node, key, text)."""
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     asked = saved(asked.join(keyed, "node"), "simhash")
-    grams = saved(rows.join(asked, ["node", "key"]).select("node", "text").dropDuplicates(["node"]).mapInPandas(_shingles, "node long, grams binary"), "simhash")
-    one = grams.select(F.col("node").alias("u"), F.col("grams").alias("gu"))
-    other = grams.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
-    return pairs.join(one, "u").join(other, "v").select("u", "v", "gu", "gv").mapInPandas(_similar, "u long, v long")
+    return ShingleSets(saved(rows.join(asked, ["node", "key"]).select("node", "text").dropDuplicates(["node"]).mapInPandas(_shingles, "node long, grams binary"), "simhash"))
+
+
+def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough."""
+    return pairs.select("u", "v").repartition("u").sortWithinPartitions("u", "v").mapInPandas(_similar(sets), "u long, v long")
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v, step) whose nodes are in different components of roots(node, root)."""
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    return pairs.join(named("u"), "u", "left").join(named("v"), "v", "left").where(~F.coalesce("u_root", "u").eqNullSafe(F.coalesce("v_root", "v"))).select("u", "v", "step")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -362,17 +440,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
         of = saved(fps.join(reps, "fp").select("doc_id", "text_key", "rep"), "simhash")
         found = saved(links(reps, masks, radius, sure, words > 1), "simhash")
         own = of.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        own = own.union(found.where("sure").select("u", "v"))
+        own = own.union(found.where("step = 0").select("u", "v"))
         edges = own if edges is None else edges.union(own)
-        wide = found.where("not sure").select("u", "v")
+        wide = found.where("step > 0")
     edges = saved(edges.distinct(), "simhash")
     roots = saved(connected_components(edges), "simhash")
-    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    open_ = wide.join(named("u"), "u", "left").join(named("v"), "v", "left").where(~F.coalesce("u_root", "u").eqNullSafe(F.coalesce("v_root", "v"))).select("u", "v")
+    open_ = saved(between(wide, roots), "simhash")
     # the text of a node: that of the row whose fingerprint it stands for
     keyed = of.where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.min("text_key").alias("key"))
     source = texts(rows).select(F.col("doc_id").alias("node"), text_key().alias("key"), "text")
-    more = saved(verified(open_, keyed, source), "simhash")
-    roots = connected_components(edges.union(more))
+    sets = shingle_sets(open_, keyed, source)
+    # pairs that the nearest ones join need no check; all others get it
+    for step in (1, 2):
+        edges = saved(edges.union(verified(saved(between(open_.where(F.col("step") == step), roots), "simhash"), sets)), "simhash")
+        roots = saved(connected_components(edges), "simhash")
     drop = of.join(roots.where("node <> root"), of.doc_id == roots.node).select("doc_id", "text_key").distinct()
     return without(docs, drop, "simhash")

@@ -111,6 +111,69 @@ def test_keep_one_near(spark, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def family(siblings, copies, seed):
+    """Independent edits of one template (J = 0.74) and, of some of them, near copies (J = 0.82)."""
+    r = random.Random(seed)
+    template = [f"word{i}" for i in range(600)]
+
+    def edited(ws, n):
+        ws = list(ws)
+        for k in r.sample(range(len(ws)), n):
+            ws[k] = f"own{r.getrandbits(40)}"
+        return ws
+
+    texts = [edited(template, 9) for _ in range(siblings)]
+    texts += [edited(t, 12) for t in texts[:copies]]
+    r.shuffle(texts)
+    return [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+
+
+def shingle_set(text):
+    ws = text.split()
+    return {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+
+
+def test_wide_candidates(spark):
+    """Every pair within the wide radius that meets in a table is linked, joined by links, or a candidate."""
+    rows = family(400, 0, 3)
+    fps = [simhash.wide_fingerprint(t) for _, t in rows]
+    reps = spark.createDataFrame([(fp.view(np.int64).tolist(), i) for (i, _), fp in zip(rows, fps)], "fp array<long>, rep long")
+    found = simhash.links(reps, simhash.WIDE_MASKS, simhash.WIDE_RADIUS, simhash.SURE, True).collect()
+    root = brute_components([(x.u, x.v) for x in found if not x[2]], range(len(rows)))
+    known = {(x.u, x.v) for x in found}
+    masks = np.array(simhash.WIDE_MASKS, np.uint64)
+    for a in range(len(rows)):
+        for b in range(a):
+            d = fps[a] ^ fps[b]
+            if np.bitwise_count(d).sum() <= simhash.WIDE_RADIUS and not (d & masks).any(1).all():
+                assert (a, b) in known or root[a] == root[b]
+
+
+def test_keep_one_family(spark, monkeypatch):
+    """Near copies in a family of related texts: siblings that are closer by fingerprint take no one's place."""
+    monkeypatch.setattr(simhash, "SURE", 0)
+    monkeypatch.setattr(simhash, "SETS_IN_FILE", 64)
+    rows = family(500, 40, 6)
+    sets, fps = [shingle_set(t) for _, t in rows], [simhash.wide_fingerprint(t) for _, t in rows]
+    short = [simhash.fingerprint(t) for _, t in rows]
+    masks, pairs, missed = np.array(simhash.WIDE_MASKS, np.uint64), [], 0
+    for a in range(len(rows)):
+        for b in range(a):
+            same = len(sets[a] & sets[b])
+            d = fps[a] ^ fps[b]
+            if same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                met = np.bitwise_count(d).sum() <= simhash.WIDE_RADIUS and not (d & masks).any(1).all()
+                missed += not met
+                if met:
+                    pairs.append((a, b))
+            elif bin(short[a] ^ short[b]).count("1") <= 3:
+                pairs.append((a, b))
+    assert len(pairs) >= 38 and missed <= 2
+    root = brute_components(pairs, range(len(rows)))
+    kept = {x.doc_id for x in simhash.keep_one(table(spark, rows)).collect()}
+    assert kept == set(root.values())
+
+
 def test_key_set(spark, monkeypatch):
     from colloquy.llm import common
 
