@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,15 +61,44 @@ def reclustered(windows: DataFrame, least: float = 0.30) -> DataFrame:
     return windows.select("session_id", "window_idx", "embedding").groupBy("session_id").applyInPandas(one, "session_id long, window_idx long, speaker string, confidence double")
 
 
+def best_assignment(gain: np.ndarray) -> int:
+    """Largest sum of an integer (n, m) matrix, n <= m, with one cell in each row and no two in a column: shortest
+    augmenting paths, n * n * m steps."""
+    n, m = gain.shape
+    cost = -gain.astype(np.int64)
+    u, v = np.zeros(n + 1, np.int64), np.zeros(m + 1, np.int64)
+    row_of = np.zeros(m + 1, int)  # rows and columns count from 1; column 0 holds the row that is being placed
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        low, before, done = np.full(m + 1, np.iinfo(np.int64).max), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while row_of[at]:
+            done[at] = True
+            free = np.flatnonzero(~done)
+            new = cost[row_of[at] - 1, free - 1] - u[row_of[at]] - v[free]
+            better = new < low[free]
+            low[free[better]], before[free[better]] = new[better], at
+            nearest = int(free[low[free].argmin()])
+            step = low[nearest]
+            u[row_of[done]] += step
+            v[done] -= step
+            low[free] -= step
+            at = nearest
+        while at:
+            row_of[at] = row_of[before[at]]
+            at = before[at]
+    return int(sum(gain[row_of[j] - 1, j - 1] for j in range(1, m + 1) if row_of[j]))
+
+
 def permutation_accuracy(pairs: DataFrame, a: str, b: str) -> float:
     """Share of rows whose labels agree under the best one-to-one mapping. The confusion matrix is aggregated natively;
-    the search runs over its few labels."""
+    the assignment is solved on the whole of it."""
     cells = {(r[a], r[b]): r["n"] for r in pairs.groupBy(a, b).agg(F.count("*").alias("n")).collect()}  # labels squared
     left, right = sorted({x for x, _ in cells}, key=str), sorted({y for _, y in cells}, key=str)
     if len(left) > len(right):
         cells, left, right = {(y, x): n for (x, y), n in cells.items()}, right, left
     total = sum(cells.values())
-    return max((sum(cells.get(xy, 0) for xy in zip(left, p)) for p in permutations(right, len(left))), default=0) / total if total else 0.0
+    gain = np.array([[cells.get((x, y), 0) for y in right] for x in left], np.int64)
+    return best_assignment(gain) / total if total else 0.0
 
 
 def greedy_mapping(areas: list[tuple[str, str, float]]) -> dict[str, str]:

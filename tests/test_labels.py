@@ -1,12 +1,16 @@
 import json
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from colloquy import catalog
 from colloquy.functions import audio, labels, names
 from colloquy.operators import clustering
 from colloquy.plans import models
 
+from .conftest import DATA
+
 
 def one(spark, expr, **values):
     row = spark.createDataFrame([tuple(values.values()) or ("x",)], list(values) or ["x"])
@@ -95,3 +99,34 @@ def test_model_boundary(spark):
     assert [r.label for r in models.predicted(df, None).collect()] == [None, None]
     ok = lambda j: one(spark, models.validated(F.col("j"), ["a"]), j=j)
     assert ok('{"label": "a", "confidence": 0.9}').label == "a" and ok('{"label": "b", "confidence": 0.9}') is None and ok("no json") is None
+
+
+def test_best_assignment():
+    r = np.random.default_rng(3)
+    for n, m in [(1, 1), (1, 4), (3, 3), (4, 6), (6, 6)] * 8:
+        gain = r.integers(0, 9, (n, m)) * r.integers(0, 2, (n, m))
+        assert clustering.best_assignment(gain) == max(sum(gain[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+
+
+def test_whole_embeddings(spark):
+    """Accuracy and clusters take in every label and row."""
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
+    labels = e.label.to_numpy()
+    shifted = np.where(e.vec_id % 7 == 0, (labels + 1) % 10, labels)
+    gain = np.zeros((10, 10), int)
+    np.add.at(gain, (labels, shifted), 1)
+    # best sums over sets of columns, row by row
+    best = {0: 0}
+    for row in gain:
+        best = {s: max(best[s ^ 1 << j] + int(row[j]) for j in range(10) if s >> j & 1) for s in range(1 << 10) if s.bit_count() == next(iter(best)).bit_count() + 1}
+    got = catalog.QUERIES["agg20_permutation_accuracy"](spark, DATA).first().accuracy
+    assert got == round(best[(1 << 10) - 1] / len(e), 6)
+    windows = catalog.QUERIES["vec7_recluster"](spark, DATA).toPandas()
+    assert sorted(windows.window_idx) == sorted(e.vec_id)
+    for session, part in e.sort_values("vec_id").groupby(e.vec_id // 100):
+        x = np.stack(part.embedding.to_list()).astype(float)
+        found = clustering.two_clusters(x)
+        sure = clustering.confidence(x, found)
+        want = [f"SPEAKER_{k:02d}" for k in (found if sure >= 0.30 else found * 0)]
+        mine = windows[windows.session_id == session].sort_values("window_idx")
+        assert list(mine.speaker) == want and set(mine.confidence) == {round(sure, 6)}
