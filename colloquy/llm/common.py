@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (local tests) is a folder of this machine used.
+    Only where the session names none and runs on this machine alone (tests) is a folder of this machine used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "colloquy-work")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -51,6 +53,7 @@ def _pair_hash(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 KEYS_IN_FILE = 1 << 18
+OPEN = 16  # files that a task holds open
 
 
 def spark_hash(x: np.ndarray) -> np.ndarray:
@@ -107,6 +110,8 @@ class KeySet:
             if p not in self.there:
                 continue
             if p not in self.files:
+                if len(self.files) >= OPEN:
+                    self.files.pop(next(iter(self.files)))
                 self.files[p] = map_shared(f"{self.folder}/{p}").view("<u8").reshape(3, -1)
             known, known_ids, known_keys = self.files[p]
             i, k = ids[rows], keys[rows]
@@ -171,6 +176,18 @@ def map_shared(uri: str):
         return np.frombuffer(f.read(), np.uint8)
 
 
+class SharedFile:
+    """Ranges of a file of the shared store: of a memory map where it is a file system, else read one by one."""
+
+    def __init__(self, uri: str):
+        store, path = shared_fs(uri)
+        self.raw = map_shared(uri) if store.type_name == "local" else None
+        self.file = None if store.type_name == "local" else store.open_input_file(path)
+
+    def read(self, at: int, n: int) -> np.ndarray:
+        return self.raw[at : at + n] if self.file is None else np.frombuffer(self.file.read_at(n, at), np.uint8)
+
+
 def words(text: str) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ in UTF-8: bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split()

@@ -5,23 +5,33 @@ over half of the shingles' XXH64 (seed 42). Equal fingerprints collapse first. T
 3 differing bits touch three blocks at most, so each linked pair agrees on two whole blocks and meets in one of ten
 tables (keys of 24 to 26 bits). Inside a bucket fingerprints are compared in bit-sliced form: 64 of them are
 one column of vertical planes, differences go into carry-save counters, and a column is abandoned as soon as all of
-its lanes are over the radius. Large buckets are dealt as pairs of chunks, each of a bounded size, so none is ever
-gathered in a task; every chunk pair returns a spanning star of its links, not its pairs.
+its lanes are over the radius.
+
+Large buckets are dealt in two steps, so that a group of M near copies costs work in proportion to M. First each is dealt
+into chunks of a bounded size by a hash that differs from table to table, and only rows of one chunk meet; chunks of
+different tables overlap, so this joins a group of near copies nearly always. Then the components so far are known,
+and pairs of chunks meet except those whose rows all belong to one component. Nothing is left out: after
+both steps every two rows of a bucket have met or are in one component. A task sends on one spanning forest of all the links
+it has found, not its pairs.
 
 Radius 3 finds copies that are very close. keep_one() also links texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. Wide fingerprints of 256 bits meet in tables of sampled bits and are compared in the same
-bit-sliced way. Few differing bits (SURE) are a link; from there to WIDE_RADIUS all texts of other components are candidates, and
-their shingle sets decide: first those of the NEAREST of a text in a bucket, then all pairs that are still in different components. At a similarity of 0.8 the vectors' angle is 27 degrees: 39 bits differ on average
-(standard deviation 6), and all tables miss such a pair once or twice in a hundred.
+bit-sliced way; every pair within WIDE_RADIUS bits that isn't in one component yet is held against its shingle sets, which lie
+in files of the shared folder, where the pair is found. At a similarity of 0.8 the vectors' angle is 27 degrees: 39 bits differ on average
+(standard deviation 6), and all tables miss such a pair once or twice in a hundred. Fingerprints of few shingles spread more; texts
+of SHORT shingles or fewer meet in one table more, by the rarest of their shingles: two such sets of similarity 0.8 share one
+of these, so no pair among them is missed.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows with one doc_id share
-its component; rows without doc_id have their component's id, or null where all of it lacks one; an empty table
-gives an empty result; other columns are ignored.
+its component in near_duplicates(); rows without doc_id have their component's id, or null where all of it lacks one; an empty table
+gives an empty result; other columns are ignored. keep_one() takes rows that share a doc_id for different
+documents if their texts differ, and for one document (they stay or go together) if not; rows without doc_id stay.
 """
 
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,19 +41,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_shared, mix64, saved, spark_hash, text_key, texts, without, work_dir, write_shared
+from .common import SharedFile, chunks, mix64, saved, shared_fs, text_key, texts, without, work_dir
 from .graph import connected_components
 
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SIMILARITY = 0.8
-WIDE, WIDE_RADIUS, SURE = 4, 56, 26  # 64-bit words of a wide fingerprint; bits within which pairs are looked at, or linked
+WIDE, WIDE_RADIUS = 4, 56  # 64-bit words of a wide fingerprint; bits within which pairs are looked at
 TABLES, SAMPLED = 40, 14  # tables of wide fingerprints, bits in a key
-NEAREST = 3  # candidates of a text in a bucket that are looked at before the others
-SETS_IN_FILE = 1 << 11  # shingle sets in a file
+SHORT = 40  # shingles of a text up to which its rarest ones are keys
 SETS_AT_ONCE = 1 << 20  # shingles that are compared at once
 CHUNK = 1024  # fingerprints in a chunk of a large bucket
 PAIRS = 1 << 14  # fingerprint-column pairs that are compared at once
+HELD = 1 << 20  # links that a task holds before it reduces them to a forest
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -89,31 +99,62 @@ def fingerprint(text: str) -> int:
 
 def wide_fingerprint(text: str) -> np.ndarray:
     """256 bits over the set of five-word shingles; without words all clear."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split()
+    return _wide(_shingles(text.encode("utf-8", "surrogatepass").lower().split()))
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    return _majority(np.stack([mix64(x + np.uint64(k + 1)) for k in range(WIDE)], 1)) if len(x) else np.zeros(WIDE, np.uint64)
+
+
+def _shingles(ws: list[bytes]) -> np.ndarray:
+    """Sorted distinct XXH64 of the five-word shingles; without words none."""
     if not ws:
-        return np.zeros(WIDE, np.uint64)
-    h = xxhash.xxh64_intdigest
-    grams = set(map(b" ".join, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))) if len(ws) > 4 else {b" ".join(ws)}
-    x = np.array([h(g) for g in grams], np.uint64)
-    return _majority(np.stack([mix64(x + np.uint64(k + 1)) for k in range(WIDE)], 1))
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:])) if len(ws) > 4 else [b" ".join(ws)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64))
 
 
-def _fingerprints_of(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if words == 1:
-                fp = np.fromiter(map(fingerprint, b.text), np.uint64, len(b))[:, None]
-            else:
-                fp = np.array([wide_fingerprint(t) for t in b.text], np.uint64).reshape(len(b), words)
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "fp": list(fp.view(np.int64))})
+def _fingerprints_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        fp = np.fromiter(map(fingerprint, b.text), np.uint64, len(b))
+        yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "f0": fp.view(np.int64)})
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0): the 64 bits as a signed long."""
+    return texts(docs).mapInPandas(_fingerprints_of, "doc_id long, f0 long")
 
-    return run
 
+_SKETCH = "doc_id long, text_key long, s0 long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", file long, at long, size long, short array<long>"
 
-def fingerprints(docs: DataFrame, words: int = 1) -> DataFrame:
-    """(doc_id, text_key, fp): the bits as signed longs."""
-    rows = texts(docs).withColumn("text_key", text_key())
-    return rows.mapInPandas(_fingerprints_of(words), "doc_id long, text_key long, fp array<long>")
+
+def _sketches_of(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The sets of a task's texts go into one file; its name is the attempt's own, and only rows of finished attempts name it."""
+        name, at, out = uuid.uuid4().int >> 65, 0, None
+        for b in chunks(batches):
+            small, wide, where, sizes, short = [], [], [], [], []
+            for text in b.text:
+                x = _shingles(text.encode("utf-8", "surrogatepass").lower().split())
+                small.append(fingerprint(text))
+                wide.append(_wide(x))
+                grams = np.unique((x >> np.uint64(32)).astype("<u4"))
+                short.append(grams.astype(np.int64).tolist() if len(grams) <= SHORT else None)
+                if out is None:
+                    store, path = shared_fs(f"{folder}/{name}")
+                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(path)
+                where.append(at)
+                sizes.append(len(grams))
+                out.write(grams.tobytes())
+                at += 4 * len(grams)
+            fp = np.array(wide, np.uint64).reshape(len(b), WIDE).view(np.int64)
+            rows = {"doc_id": b.doc_id.astype("Int64"), "text_key": b.text_key, "s0": np.array(small, np.uint64).view(np.int64)}
+            yield pd.DataFrame(rows | {f"f{k}": fp[:, k] for k in range(WIDE)} | {"file": name, "at": where, "size": sizes, "short": short})
+        if out is not None:
+            out.close()
+
+    return run
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -191,10 +232,67 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int, sure: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | int]]:
-    """Links inside groups of rows (sorted by group; step 0), and all candidates between sure and radius bits that they don't
-    join (step 1: of the NEAREST of a row, 2: others). second: the row belongs to the pair's second chunk; in a
-    group with second rows, first rows are compared to second rows only."""
+class Similar:
+    """Whether pairs of rows are similar enough, by their shingle sets in files of the shared folder."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "files": {}}
+
+    def _set(self, file: int, at: int, size: int) -> np.ndarray:
+        if file not in self.files:
+            if len(self.files) >= 256:
+                self.files.clear()
+            self.files[file] = SharedFile(f"{self.folder}/{file}")
+        return self.files[file].read(at, 4 * size).view("<u4")
+
+    def __call__(self, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """at: (rows, 3) file, place and size of each row's set; a, b: numbers of the pairs' rows."""
+        n, m = at[a, 2], at[b, 2]
+        out = n == m
+        # sets of too different sizes can't be similar enough; two empty ones are equal
+        todo = np.flatnonzero((np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)) & (n > 0))
+        out &= n == 0
+        todo = todo[np.argsort(a[todo], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, a[todo][1:] != a[todo][:-1]]) if len(todo) else []
+        for s, e in zip(starts, [*starts[1:], len(todo)]):
+            x = self._set(*at[a[todo[s]]].tolist())
+            step = max(1, SETS_AT_ONCE // len(x))
+            for p in range(s, e, step):
+                k = todo[p : min(e, p + step)]
+                others = [self._set(*r) for r in at[b[k]].tolist()]
+                all_ = np.concatenate(others)
+                hit = x[np.minimum(np.searchsorted(x, all_), len(x) - 1)] == all_
+                same = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(m[k])[:-1]])
+                out[k] = same >= SIMILARITY * (n[k] + m[k] - same) - 1e-9
+        return out
+
+
+class Forest:
+    """Labels of components that links join."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.label = np.arange(len(names))
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """a, b: current labels."""
+        if len(a):
+            u, v = stars(a, b)
+            to = np.arange(len(self.names))
+            to[u] = v
+            self.label = to[self.label]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        k = np.flatnonzero(self.label != np.arange(len(self.names)))
+        return self.names[k], self.names[self.label[k]]
+
+
+def _pairs(fp: np.ndarray, group: np.ndarray, second: np.ndarray, table_of: np.ndarray, masks: list[list[int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (rows come sorted by it) within radius bits, each pair at least once, as a < b. second: the row
+    belongs to the pair's second chunk; in a group with second rows, first rows meet second rows only."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     n_second = np.add.reduceat(second.astype(np.int64), starts)
@@ -218,241 +316,208 @@ def _compare(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, second: np.ndar
             g = of[np.searchsorted(ends, k, side="right")]
             inner = k - (ends - work[of])[np.searchsorted(of, g)]
             q, c = starts[g] + inner // cols[g], col_from[g] + inner % cols[g]
-            first = np.maximum(t_from[g] - 64 * c, 0).astype(np.uint64)
-            last = np.minimum(t_end[g] - 64 * c, 64).astype(np.uint64)
+            first = np.maximum(np.maximum(t_from[g], q + 1) - 64 * c, 0)  # a pair is met from its first row
+            last = np.minimum(t_end[g] - 64 * c, 64)
+            some = first < last
+            q, c, first, last = q[some], c[some], first[some].astype(np.uint64), last[some].astype(np.uint64)
+            if not len(q):
+                continue
             outside = ~((ALL << first) & (ALL >> (np.uint64(64) - last)))
-            left, near = within_radius(fp, q, plane, c, radius, masks[table], outside)
+            # a table beyond the masks has keys that say more than the bits do
+            left, near = within_radius(fp, q, plane, c, radius, masks[table], outside) if table < len(masks) else (np.arange(len(q)), ~outside)
             hit = np.flatnonzero(near)
-            if not len(hit):
-                continue
-            i, lane = np.nonzero(np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            a, b = q[left[hit[i]]], 64 * c[left[hit[i]]] + lane
-            apart = a != b
-            a, b = a[apart], b[apart]
-            if sure >= radius:
-                if len(a):
-                    yield *stars(rep[a], rep[b]), 0
-                continue
-            bits = np.bitwise_count(fp[a] ^ fp[b]).sum(1)
-            near = bits <= sure
-            if near.any():
-                u, v = stars(rep[a[near]], rep[b[near]])
-                yield u, v, 0
-                # what the links have joined needs no candidate
-                order = np.argsort(u)
-                u, v = u[order], v[order]
-                roots = []
-                for x in (rep[a], rep[b]):
-                    k = np.minimum(np.searchsorted(u, x), len(u) - 1)
-                    roots.append(np.where(u[k] == x, v[k], x))
-                near |= roots[0] == roots[1]
-            a, b, bits = a[~near], b[~near], bits[~near]
-            order = np.lexsort((b, bits, a))
-            a, b = a[order], b[order]
-            place = np.arange(len(a)) - np.searchsorted(a, a)
-            # a pair that both of its rows find comes out once
-            first = np.flatnonzero(place < NEAREST)
-            rest = np.flatnonzero((place >= NEAREST) & (a < b))
-            if len(a):
-                out = np.r_[first, rest]
-                yield rep[a[out]], rep[b[out]], np.repeat([1, 2], [len(first), len(rest)])
-
-
-def _links_of(masks: list[list[int]], radius: int, sure: int):
-    def flush(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key = b[["t", "m", "i", "j"]].to_numpy()
-        group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).any(1)])
-        fp = np.stack(b.fp.to_list()).astype(np.int64).view(np.uint64)
-        for u, v, step in _compare(fp, b.rep.to_numpy(), group, b.second.to_numpy(), b.t.to_numpy(), masks, radius, sure):
-            yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "step": step})
+            if len(hit):
+                i, lane = np.nonzero(np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                yield q[left[hit[i]]], 64 * c[left[hit[i]]] + lane
+
+
+def _settle(forest: Forest, comp: np.ndarray, fp: np.ndarray, at: np.ndarray, similar: Similar, a: np.ndarray, b: np.ndarray) -> None:
+    """Holds all pairs a-b that the forest doesn't join against their sets: of each component the nearest first, then more and
+    more, as most pairs of a group are joined by a few of them."""
+    k = 1
+    bits = None
+    while True:
+        ca, cb = forest.label[comp[a]], forest.label[comp[b]]
+        open_ = ca != cb
+        a, b, ca, cb, bits = a[open_], b[open_], ca[open_], cb[open_], None if bits is None else bits[open_]
+        if not len(a):
+            return
+        if bits is None:
+            bits = np.concatenate([np.bitwise_count(fp[a[i : i + PAIRS]] ^ fp[b[i : i + PAIRS]]).sum(1, dtype=np.int64) for i in range(0, len(a), PAIRS)])
+        order = np.argsort(ca * 512 + bits, kind="stable")
+        a, b, ca, cb, bits = a[order], b[order], ca[order], cb[order], bits[order]
+        take = np.arange(len(a)) - np.searchsorted(ca, ca) < k
+        good = similar(at, a[take], b[take])
+        forest.join(ca[take][good], cb[take][good])
+        a, b, bits = a[~take], b[~take], bits[~take]
+        k *= 4
+
+
+def _links_of(masks: list[list[int]], radius: int, words: int, similar: Similar | None):
+    key = ["t", "m", "i"]
+
+    def flush(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys = b[key].to_numpy()
+        group = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(1)])
+        fp = b[[f"f{k}" for k in range(words)]].to_numpy(np.int64).view(np.uint64)
+        names, comp = np.unique(b.root.to_numpy(np.int64), return_inverse=True)
+        forest = Forest(names)
+        at = b[["file", "at", "size"]].to_numpy(np.int64) if similar else None
+        for x, y in _pairs(fp, group, b.second.to_numpy(bool), b.t.to_numpy(), masks, radius):
+            if similar:
+                _settle(forest, comp, fp, at, similar, x, y)
+            else:
+                forest.join(forest.label[comp[x]], forest.label[comp[y]])
+        return forest.links()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by group, groups have 2 * CHUNK rows or so; a group is never cut."""
-        held: list[pd.DataFrame] = []
-        n = 0
+        rows: list[pd.DataFrame] = []
+        n, links, found = 0, [], 0
         for b in batches:
             if not len(b):
                 continue
-            held.append(b)
+            rows.append(b)
             n += len(b)
             if n >= 1 << 15:
-                b = pd.concat(held, ignore_index=True)
-                other = (b[["t", "m", "i", "j"]] != b[["t", "m", "i", "j"]].iloc[-1]).any(axis=1).to_numpy()
+                b = pd.concat(rows, ignore_index=True)
+                other = (b[key] != b[key].iloc[-1]).any(axis=1).to_numpy()
                 cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
                 if cut:
-                    yield from flush(b.iloc[:cut])
+                    links.append(flush(b.iloc[:cut]))
+                    found += len(links[-1][0])
                     b = b.iloc[cut:].reset_index(drop=True)
-                held, n = [b], len(b)
+                rows, n = [b], len(b)
+            if found > HELD:
+                links = [stars(*map(np.concatenate, zip(*links)))]
+                found = 0
         if n:
-            yield from flush(pd.concat(held, ignore_index=True))
+            links.append(flush(pd.concat(rows, ignore_index=True)))
+        if links:
+            u, v = stars(*map(np.concatenate, zip(*links)))
+            yield pd.DataFrame({"u": u, "v": v})
 
     return run
 
 
-def links(reps: DataFrame, masks: list[list[int]] = MASKS, radius: int = RADIUS, sure: int | None = None, crowded: bool = False) -> DataFrame:
-    """reps(fp, rep), distinct fp -> links (u, v, step) between reps that keep every component whole: step 0. With sure below
-    radius, all pairs in between that meet in a table and that links don't join come as candidates: steps 1 and 2. crowded: most buckets hold several fingerprints, so only large ones
-    are looked up in the table of counts."""
-
-    def long(m: int):
-        return F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")
-
-    def key(ms: list[int]):
-        parts = [F.col("fp")[k].bitwiseAND(long(m)) for k, m in enumerate(ms)]
-        return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
-
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), key(ms).alias("m")) for t, ms in enumerate(masks)))
-    keys = reps.select("fp", "rep", F.explode(tables).alias("k")).select("fp", "rep", "k.t", "k.m")
-    counts = saved(keys.groupBy("t", "m").count().where(F.col("count") > (CHUNK if crowded else 1)), "simhash")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    met = keys.join(counts, ["t", "m"], "left" if crowded else "inner")
-    dealt = met.withColumn("chunks", F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("long")).withColumn("a", chunk)
-    dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
-    dealt = dealt.select("t", "m", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), (F.col("a") > F.col("b")).alias("second"), "fp", "rep")
-    return dealt.repartition("t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j", "second").mapInPandas(_links_of(masks, radius, radius if sure is None else sure), "u long, v long, step int").groupBy("u", "v").agg(F.min("step").alias("step"))
-
-
-def _reps(fps: DataFrame) -> DataFrame:
-    # a fingerprint that only rows without doc_id have is a component of its own, without an id
-    return saved(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash")
+class Tables:
+    """reps: one row per distinct fingerprint, with node, root (node at first), f0 .. of the fingerprint and, with similar,
+    file, at, size and short of its shingle set."""
+
+    def __init__(self, reps: DataFrame, masks: list[list[int]], radius: int, similar: Similar | None = None):
+        self.reps, self.masks, self.radius, self.similar = reps, masks, radius, similar
+        self.words = len(masks[0])
+        self.columns = ["node", *(f"f{k}" for k in range(self.words)), *(["file", "at", "size"] if similar else [])]
+        if similar:  # by how many short texts hold a shingle, the rarest first
+            held = reps.where("short is not null and size > 0").select("node", "size", F.explode("short").alias("m"))
+            rare = held.groupBy("m").agg(F.count("*").alias("n"))
+            ranked = held.join(rare, "m").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "m"))).alias("s"))  # SHORT items at most
+            # of two sets with similarity s, the larger of size n, one of the n - ceil(s n) + 1 rarest of each is shared
+            first = (F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1).cast("int")
+            self.rarest = saved(ranked.select("node", F.explode(F.slice("s", F.lit(1), first)).alias("s")).select("node", F.col("s.m").alias("m")), "simhash")
+
+    def keys(self, reps: DataFrame) -> DataFrame:
+        """(t, m, root, columns) of each row in each table."""
+
+        def long(m: int):
+            return F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")
+
+        def key(ms: list[int]):
+            parts = [F.col(f"f{k}").bitwiseAND(long(m)) for k, m in enumerate(ms)]
+            return parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+
+        tables = F.array(*(F.struct(F.lit(t).alias("t"), key(ms).alias("m")) for t, ms in enumerate(self.masks)))
+        keyed = reps.select("root", *self.columns, F.explode(tables).alias("k")).select("k.t", "k.m", "root", *self.columns)
+        if self.similar:
+            more = reps.select("root", *self.columns).join(self.rarest, "node").select(F.lit(len(self.masks)).alias("t"), "m", "root", *self.columns)
+            keyed = keyed.unionByName(more)
+        return keyed
+
+    def _run(self, dealt: DataFrame) -> DataFrame:
+        ordered = dealt.repartition("t", "m", "i").sortWithinPartitions("t", "m", "i", "second")
+        return saved(ordered.mapInPandas(_links_of(self.masks, self.radius, self.words, self.similar), "u long, v long"), "simhash")
+
+    def first_links(self) -> DataFrame:
+        """Links between rows of one chunk, and the list of large buckets."""
+        keyed = self.keys(self.reps)
+        counts = keyed.groupBy("t", "m").count()
+        # wide tables have few empty buckets: only large ones are looked up
+        counts = saved(counts.where(F.col("count") > (CHUNK if self.similar else 1)), "simhash")
+        self.large = saved(counts.where(F.col("count") > CHUNK), "simhash")
+        met = keyed.join(counts, ["t", "m"], "left" if self.similar else "inner")
+        chunk = F.pmod(F.xxhash64("node", "t"), F.ceil(F.coalesce("count", F.lit(1)) / CHUNK))
+        return self._run(met.withColumn("i", chunk).withColumn("second", F.lit(False)).drop("count"))
+
+    def other_links(self, roots: DataFrame) -> DataFrame | None:
+        """Links between rows of different chunks of large buckets, apart from those that roots(node, root) joins already."""
+        if self.large.isEmpty():
+            return None
+        known = self.reps.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = self.keys(known).join(self.large.select("t", "m"), ["t", "m"])
+        sizes = saved(rows.groupBy("t", "m", "root").count(), "simhash")
+        apart = sizes.groupBy("t", "m").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("count") < CHUNK // 2, F.col("count"))).alias("small")).where("roots > 1")
+        # a component with many rows has chunks of its own, which don't meet each other; the rest share chunks
+        big = F.col("count") >= CHUNK // 2
+        sizes = saved(sizes.join(apart, ["t", "m"]).select("t", "m", "root", F.when(big, F.col("root")).alias("own"), F.ceil(F.when(big, F.col("count")).otherwise(F.col("small")) / CHUNK).alias("chunks")), "simhash")
+        spread = sizes.select("t", "m", "own", "chunks").distinct().select("t", "m", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("no")).select("t", "m", F.struct("own", "no").alias("c"))
+        spread = saved(spread, "simhash")
+        a, b = spread.select("t", "m", F.col("c").alias("a")), spread.select("t", "m", F.col("c").alias("b"))
+        apart = F.coalesce(F.col("a.own") != F.col("b.own"), F.lit(True))
+        met = saved(a.join(b, ["t", "m"]).where((F.col("a") <= F.col("b")) & apart).withColumn("pair", F.monotonically_increasing_id()), "simhash")
+        own = rows.join(sizes, ["t", "m", "root"])
+        own = own.withColumn("c", F.struct("own", F.pmod(F.when(F.col("own").isNull(), F.xxhash64("root")).otherwise(F.xxhash64("node")), F.col("chunks")).alias("no")))
+        sides = met.select("t", "m", "pair", F.inline(F.array(F.struct(F.col("a").alias("c"), F.lit(False).alias("second")), F.struct(F.col("b").alias("c"), F.lit(True).alias("second")))).alias("c", "second"), (F.col("a") == F.col("b")).alias("same"))
+        sides = sides.where("not (same and second)").select("t", "m", "pair", "second", F.col("c.own").alias("own"), F.col("c.no").alias("no"))
+        dealt = own.select("t", "m", "root", F.col("c.own").alias("own"), F.col("c.no").alias("no"), *self.columns).alias("r").join(sides.alias("s"), F.expr("r.t = s.t and r.m = s.m and r.own <=> s.own and r.no = s.no"))
+        return self._run(dealt.select("r.t", F.col("s.pair").alias("m"), F.lit(0).cast("long").alias("i"), "s.second", "r.root", *(f"r.{c}" for c in self.columns)))
+
+
+def _components(tables: list[Tables], edges: DataFrame) -> DataFrame:
+    """(node, root) over edges(u, v) and all links of tables."""
+    for t in tables:
+        edges = edges.union(t.first_links())
+    roots = saved(connected_components(edges), "simhash")
+    more = [x for x in (t.other_links(roots) for t in tables) if x is not None]
+    if not more:
+        return roots
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    for x in more:
+        edges = edges.union(x)
+    return saved(connected_components(edges), "simhash")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = saved(fingerprints(docs).select("doc_id", F.col("fp")[0].alias("bits")), "simhash")
-    reps = _reps(fps.select("doc_id", F.array("bits").alias("fp")))
-    roots = connected_components(links(reps).select("u", "v"))
-    of = reps.join(roots, reps.rep == roots.node, "left").select(F.col("fp")[0].alias("bits"), F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(saved(of, "simhash"), "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for text in b["text"]:
-            ws = text.encode("utf-8", "surrogatepass").lower().split()
-            grams = set(map(b" ".join, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))) if len(ws) > 4 else {b" ".join(ws)}
-            out.append(np.sort(np.array([xxhash.xxh32_intdigest(g) for g in grams], np.uint32)).astype("<u4").tobytes())
-        yield pd.DataFrame({"node": b["node"], "grams": out})
-
-
-def _sets_writer(folder: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        ends = np.cumsum(pdf.grams.str.len().to_numpy(np.int64) // 4)
-        part = int(pdf.part.iloc[0])
-        head = np.r_[len(pdf), pdf.node.to_numpy(np.int64), ends].astype("<i8")
-        write_shared(f"{folder}/{part}", [head.tobytes(), *pdf.grams])
-        return pd.DataFrame({"part": [part]})
-
-    return run
-
-
-class ShingleSets:
-    """Sorted shingle sets of nodes in files of the shared folder, mapped into memory by whoever asks: a set is not
-    shuffled to each of its node's candidates."""
-
-    def __init__(self, grams: DataFrame):
-        """grams(node, grams): one row per node, saved."""
-        self.parts = max(1, -(-grams.count() // SETS_IN_FILE))
-        self.folder = work_dir(grams.sparkSession, "simhash-sets")
-        dealt = grams.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(self.parts)).cast("int"))
-        dealt.groupBy("part").applyInPandas(_sets_writer(self.folder), "part int").count()
-        self.files: dict = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "files": {}}
-
-    def find(self, nodes: np.ndarray) -> list[np.ndarray]:
-        """The sets of nodes, all of which have to be there."""
-        out: list = []
-        for node, part in zip(nodes.tolist(), np.mod(spark_hash(nodes), self.parts).tolist() if len(nodes) else []):
-            if part not in self.files:
-                raw = map_shared(f"{self.folder}/{part}")
-                n = int(raw[:8].view("<i8")[0])
-                head = raw[8 : 8 + 16 * n].view("<i8")
-                self.files[part] = head[:n], np.r_[0, head[n:]], raw[8 + 16 * n :].view("<u4")
-            known, edges, sets = self.files[part]
-            at = int(np.searchsorted(known, node))
-            if at == len(known) or known[at] != node:
-                raise KeyError(f"no shingle set of node {node}")
-            out.append(sets[edges[at] : edges[at + 1]])
-        return out
-
-
-def _similar(sets: ShingleSets):
-    def similar(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(y) for y in others])
-        all_ = np.concatenate(others)
-        hit = x[np.minimum(np.searchsorted(x, all_), len(x) - 1)] == all_
-        same = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-        return same >= SIMILARITY * (len(x) + sizes - same)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs sorted by u: a set is compared to those of its candidates in one go."""
-        for b in batches:
-            if not len(b):
-                continue
-            u, v = b["u"].to_numpy(np.int64), b["v"].to_numpy(np.int64)
-            starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-            keep = np.zeros(len(b), bool)
-            for at, end in zip(starts, [*starts[1:], len(b)]):
-                x = sets.find(u[at : at + 1])[0]
-                others = sets.find(v[at:end])
-                # sets of too different sizes can't be similar enough
-                fits = [k for k, y in enumerate(others) if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y))]
-                step = max(1, SETS_AT_ONCE // len(x))
-                for n in range(0, len(fits), step):
-                    some = fits[n : n + step]
-                    keep[at + np.array(some)] = similar(x, [others[k] for k in some])
-            yield b.loc[keep, ["u", "v"]]
-
-    return run
-
-
-def shingle_sets(pairs: DataFrame, keyed: DataFrame, rows: DataFrame) -> ShingleSets:
-    """The sets of five-word shingles of the texts of pairs (u, v). keyed(node, key): which text is a node's;
-    rows(node, key, text)."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = saved(asked.join(keyed, "node"), "simhash")
-    return ShingleSets(saved(rows.join(asked, ["node", "key"]).select("node", "text").dropDuplicates(["node"]).mapInPandas(_shingles, "node long, grams binary"), "simhash"))
-
-
-def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
-    return pairs.select("u", "v").repartition("u").sortWithinPartitions("u", "v").mapInPandas(_similar(sets), "u long, v long")
-
-
-def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (u, v, step) whose nodes are in different components of roots(node, root)."""
-    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    return pairs.join(named("u"), "u", "left").join(named("v"), "v", "left").where(~F.coalesce("u_root", "u").eqNullSafe(F.coalesce("v_root", "v"))).select("u", "v", "step")
+    fps = saved(fingerprints(docs), "simhash")
+    # a fingerprint that only rows without doc_id have is a component of its own, without an id
+    reps = saved(fps.where("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("node")).withColumn("root", F.col("node")), "simhash")
+    roots = _components([Tables(reps, MASKS, RADIUS)], docs.sparkSession.createDataFrame([], "u long, v long"))
+    of = reps.drop("root").join(roots, "node", "left").select("f0", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(saved(of, "simhash"), "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with doc_id: (node, doc_id, text_key), one node per document, and the (node, root) of those that are linked within
+    RADIUS bits or by a similarity of SIMILARITY."""
+    folder = work_dir(docs.sparkSession, "simhash-sets")
+    rows = texts(docs.where("doc_id is not null")).withColumn("text_key", text_key())
+    sketch = saved(rows.mapInPandas(_sketches_of(folder), _SKETCH).withColumn("node", F.monotonically_increasing_id()), "simhash")
+    wide = [f"f{k}" for k in range(WIDE)]
+    narrow = saved(sketch.groupBy("s0").agg(F.min("node").alias("node"), F.count("*").alias("n")).withColumn("root", F.col("node")), "simhash")
+    first = F.min(F.struct("node", "file", "at", "size", "short"))
+    sets = saved(sketch.groupBy(*wide).agg(first.alias("r"), F.count("*").alias("n")).select(*wide, "r.*", "n").withColumn("root", F.col("node")), "simhash")
+    own = [sketch.select(F.col("node").alias("u"), *k).join(r.where("n > 1").select(F.col("node").alias("v"), *k), k).where("u <> v").select("u", "v") for k, r in ((["s0"], narrow), (wide, sets))]
+    same = sketch.groupBy("doc_id", "text_key").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u <> v").select("u", "v")
+    tables = [Tables(narrow.withColumnRenamed("s0", "f0"), MASKS, RADIUS), Tables(sets, WIDE_MASKS, WIDE_RADIUS, Similar(folder))]
+    roots = _components(tables, saved(own[0].union(own[1]).union(same), "simhash"))
+    return sketch.select("node", "doc_id", "text_key"), roots
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: rows are linked within RADIUS bits or by a similarity of SIMILARITY, and of
-    each component the row with the smallest doc_id stays. All columns return; rows without doc_id stay."""
-    rows = docs.where("doc_id is not null")
-    edges, fps, wide = None, None, None
-    for words, masks, radius, sure in ((1, MASKS, RADIUS, RADIUS), (WIDE, WIDE_MASKS, WIDE_RADIUS, SURE)):
-        fps = saved(fingerprints(rows, words), "simhash")
-        reps = _reps(fps)
-        of = saved(fps.join(reps, "fp").select("doc_id", "text_key", "rep"), "simhash")
-        found = saved(links(reps, masks, radius, sure, words > 1), "simhash")
-        own = of.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        own = own.union(found.where("step = 0").select("u", "v"))
-        edges = own if edges is None else edges.union(own)
-        wide = found.where("step > 0")
-    edges = saved(edges.distinct(), "simhash")
-    roots = saved(connected_components(edges), "simhash")
-    open_ = saved(between(wide, roots), "simhash")
-    # the text of a node: that of the row whose fingerprint it stands for
-    keyed = of.where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.min("text_key").alias("key"))
-    source = texts(rows).select(F.col("doc_id").alias("node"), text_key().alias("key"), "text")
-    sets = shingle_sets(open_, keyed, source)
-    # pairs that the nearest ones join need no check; all others get it
-    for step in (1, 2):
-        edges = saved(edges.union(verified(saved(between(open_.where(F.col("step") == step), roots), "simhash"), sets)), "simhash")
-        roots = saved(connected_components(edges), "simhash")
-    drop = of.join(roots.where("node <> root"), of.doc_id == roots.node).select("doc_id", "text_key").distinct()
+    """docs without near-duplicates: of each group of linked documents the one with the smallest doc_id (then
+    the smallest hash of its text) stays. All columns return; rows without doc_id stay."""
+    nodes, roots = near_groups(docs)
+    linked = saved(nodes.join(roots, "node"), "simhash")
+    best = linked.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    drop = linked.join(best, "root").where(F.struct("doc_id", "text_key") != F.col("best")).select("doc_id", "text_key").distinct()
     return without(docs, drop, "simhash")

@@ -73,15 +73,18 @@ def test_simhash_query(spark):
     assert {tuple(r) for r in queries.op1_simhash(spark, DATA).collect()} == brute_near(rows)
 
 
-def test_simhash_large_bucket(spark, monkeypatch):
-    """Chunks of large buckets lose no link."""
+@pytest.mark.parametrize("spread,size", [(7, 400), (2, 900)])
+def test_simhash_large_bucket(spark, monkeypatch, spread, size):
+    """Both steps over large buckets together lose no link."""
     r = random.Random(4)
     base = r.getrandbits(64)
-    fps = {base ^ sum(1 << b for b in r.sample(range(40, 58), r.randint(0, 7))) for _ in range(400)}
+    fps = {base ^ sum(1 << b for b in r.sample(range(40, 58), r.randint(0, spread))) for _ in range(size)}
     signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
     monkeypatch.setattr(simhash, "CHUNK", 32)
-    links = simhash.links(spark.createDataFrame([([f], i) for i, f in enumerate(signed)], "fp array<long>, rep long")).select("u", "v")
-    got = {x.node: x.root for x in graph.connected_components(links).collect()}
+    reps = spark.createDataFrame([(f, i, i) for i, f in enumerate(signed)], "f0 long, node long, root long")
+    tables = simhash.Tables(simhash.saved(reps, "test"), simhash.MASKS, simhash.RADIUS)
+    got = {x.node: x.root for x in simhash._components([tables], spark.createDataFrame([], "u long, v long")).collect()}
+    assert tables.large.count() > 0
     flat = sorted(fps)
     pairs = [(a, b) for a in range(len(flat)) for b in range(a) if bin(flat[a] ^ flat[b]).count("1") <= 3]
     assert got == brute_components(pairs, {n for p in pairs for n in p})
@@ -133,47 +136,79 @@ def shingle_set(text):
     return {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
 
 
-def test_wide_candidates(spark):
-    """Every pair within the wide radius that meets in a table is linked, joined by links, or a candidate."""
-    rows = family(400, 0, 3)
-    fps = [simhash.wide_fingerprint(t) for _, t in rows]
-    reps = spark.createDataFrame([(fp.view(np.int64).tolist(), i) for (i, _), fp in zip(rows, fps)], "fp array<long>, rep long")
-    found = simhash.links(reps, simhash.WIDE_MASKS, simhash.WIDE_RADIUS, simhash.SURE, True).collect()
-    root = brute_components([(x.u, x.v) for x in found if not x[2]], range(len(rows)))
-    known = {(x.u, x.v) for x in found}
-    masks = np.array(simhash.WIDE_MASKS, np.uint64)
-    for a in range(len(rows)):
-        for b in range(a):
-            d = fps[a] ^ fps[b]
-            if np.bitwise_count(d).sum() <= simhash.WIDE_RADIUS and not (d & masks).any(1).all():
-                assert (a, b) in known or root[a] == root[b]
-
-
-def test_keep_one_family(spark, monkeypatch):
-    """Near copies in a family of related texts: siblings that are closer by fingerprint take no one's place."""
-    monkeypatch.setattr(simhash, "SURE", 0)
-    monkeypatch.setattr(simhash, "SETS_IN_FILE", 64)
-    rows = family(500, 40, 6)
-    sets, fps = [shingle_set(t) for _, t in rows], [simhash.wide_fingerprint(t) for _, t in rows]
+def linked_by_similarity(rows):
+    """(pairs that have to be linked, pairs of similarity 0.8 or more that no table brings together)."""
+    sets, fps = [shingle_set(t) for _, t in rows], np.array([simhash.wide_fingerprint(t) for _, t in rows])
     short = [simhash.fingerprint(t) for _, t in rows]
     masks, pairs, missed = np.array(simhash.WIDE_MASKS, np.uint64), [], 0
     for a in range(len(rows)):
+        apart = fps[a] ^ fps[:a]
+        met = (np.bitwise_count(apart).sum(1) <= simhash.WIDE_RADIUS) & ~(apart[:, None] & masks).any(2).all(1)
         for b in range(a):
             same = len(sets[a] & sets[b])
-            d = fps[a] ^ fps[b]
-            if same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
-                met = np.bitwise_count(d).sum() <= simhash.WIDE_RADIUS and not (d & masks).any(1).all()
-                missed += not met
-                if met:
+            if sets[a] and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                ok = met[b] or max(len(sets[a]), len(sets[b])) <= simhash.SHORT
+                missed += not ok
+                if ok:
                     pairs.append((a, b))
             elif bin(short[a] ^ short[b]).count("1") <= 3:
                 pairs.append((a, b))
-    assert len(pairs) >= 38 and missed <= 2
+    return pairs, missed
+
+
+@pytest.mark.parametrize("chunk", [1024, 64])
+def test_keep_one_family(spark, monkeypatch, chunk):
+    """Near copies in a family of related texts: siblings that are closer by fingerprint take no one's place, nor do chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = family(300, 30, 6)
+    pairs, missed = linked_by_similarity(rows)
+    assert len(pairs) >= 28 and missed <= 2
     root = brute_components(pairs, range(len(rows)))
     kept = {x.doc_id for x in simhash.keep_one(table(spark, rows)).collect()}
     assert kept == set(root.values())
 
 
+def test_keep_one_large_group(spark, monkeypatch):
+    """One group of near copies with a third of all rows, dealt into many chunks, beside others in the same buckets."""
+    monkeypatch.setattr(simhash, "CHUNK", 24)
+    r = random.Random(5)
+    base = [f"word{i}" for i in range(150)]
+    rows = [" ".join(f"own{r.getrandbits(40)}" if r.random() < 0.01 else w for w in base) for _ in range(200)] + [t for _, t in family(180, 20, 9)]
+    rows += [" ".join(r.choice("abcdefg") * 3 for _ in range(60)) for _ in range(200)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    pairs, missed = linked_by_similarity(rows)
+    assert missed <= 0.02 * len(pairs)
+    kept = {x.doc_id for x in simhash.keep_one(table(spark, rows)).collect()}
+    assert kept == set(brute_components(pairs, range(len(rows))).values())
+
+
+def test_keep_one_short_texts(spark):
+    r = random.Random(12)
+    rows = []
+    for _ in range(60):
+        ws = [r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(4, 40))]
+        for _ in range(3):
+            ws = list(ws)
+            ws[-1 if r.random() < 0.7 else r.randrange(len(ws))] += "x"
+            rows.append(" ".join(ws))
+    rows = list(enumerate(rows))
+    pairs, missed = linked_by_similarity(rows)
+    assert missed == 0 and len(pairs) > 40
+    kept = {x.doc_id for x in simhash.keep_one(table(spark, rows)).collect()}
+    assert kept == set(brute_components(pairs, range(len(rows))).values())
+
+
+def test_keep_one_awkward(spark, awkward):
+    """Rows that share a doc_id are apart if their texts are; of linked ones the smallest doc_id stays."""
+    a = " ".join(f"alpha{i}" for i in range(60))
+    got = {(x.doc_id, x.text) for x in simhash.keep_one(table(spark, [(5, a + " end"), (11, a), (11, "something else altogether, of its own")])).collect()}
+    assert got == {(5, a + " end"), (11, "something else altogether, of its own")}
+    kept = sorted(((x.doc_id or 0), x.text or "") for x in simhash.keep_one(awkward).collect())
+    want = [(i or 0, t or "") for i, t in AWKWARD if i not in (2, 4, 5, 9)]
+    assert kept == sorted(want) and simhash.keep_one(awkward).columns == awkward.columns
+
+
 def test_key_set(spark, monkeypatch):
     from colloquy.llm import common
 
