@@ -7,11 +7,11 @@ are dropped first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "\ue000", "\ue001"
-# The rules in their order, and the tiers' bounds.
+# The rules in their order, patterns that may become rules, any run with digits, and the tiers' bounds.
 RULES = (
     ("주민등록번호", r"\d{6}\s*[-]\s*[1-4]\d{6}"),
     ("운전면허번호", r"\d{2}-\d{2}-\d{6}-\d{2}"),
@@ -23,6 +23,24 @@ RULES = (
     ("계좌번호", r"\b\d{3}\d{8,11}\b"),
     ("IP주소", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
 )
+CANDIDATES = (
+    ("사업자등록번호", r"\b\d{3}-\d{2}-\d{5}\b"),
+    ("법인번호", r"\b\d{6}-\d{7}\b"),
+    ("우편번호", r"\b\d{5}\b"),
+    ("날짜_슬래시", r"\b\d{2,4}/\d{1,2}/\d{1,2}\b"),
+    ("날짜_점", r"\b\d{2,4}\.\d{1,2}\.\d{1,2}\b"),
+    ("날짜_한국어", r"\d{4}년\s*\d{1,2}월\s*\d{1,2}일"),
+    ("시각_한국어", r"\d{1,2}시\s*\d{2}분"),
+    ("은행코드_포함", r"\b\d{3}-\d{6,}-\d{2,}\b"),
+    ("부동산_면적", r"\d+\.?\d*\s*(?:평|㎡|m²)"),
+    ("금액_만원", r"\d[\d,]*\s*만\s*원"),
+    ("금액_억원", r"\d[\d,]*\s*억\s*원?"),
+    ("외국번호", r"\+\d{1,3}[\s-]\d{2,4}[\s-]\d{3,4}[\s-]\d{4}"),
+    ("차량번호_신형", r"\b\d{2,3}[가-힣]\d{4}\b"),
+    ("차량번호_구형", r"\b[가-힣]{2}\d{2}[가-힣]\d{4}\b"),
+    ("건물동호수", r"\d+\s*동\s*\d+\s*호"),
+)
+NUMBER = r"[\d][\d\s가-힣A-Za-z.,/-]{1,30}[\d]"
 HIGH_PRECISION = tuple(dict.fromkeys(label for label, _ in RULES))
 AMBIGUOUS = ("이름",)
 HIGH, MIDDLE, WEAK = 0.95, 0.70, 0.40
@@ -111,3 +129,30 @@ def masked(text: Column, spans: Column | None = None) -> Column:
         return F.struct(s["char_end"].alias("at"), F.concat(acc["out"], gap, F.lit("[PII_"), s["type"], F.lit("]")).alias("out"))
 
     return F.aggregate(taken, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+
+
+def uncovered_numbers(text: Column) -> Column:
+    """Runs with digits that touch no match of a rule or candidate, as matches()."""
+    t = plain(text)
+    known = F.concat(*(matches(t, p, label, i) for i, (label, p) in enumerate((*RULES, *CANDIDATES))))
+    bounds = F.transform(known, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b")))
+    return F.filter(matches(t, NUMBER, "숫자", -1), lambda n: ~F.exists(bounds, lambda s: (s["a"] < n["char_end"]) & (s["b"] > n["char_start"])))
+
+
+def number_shapes(rows: DataFrame, top: int = 20, examples: int = 3) -> DataFrame:
+    """rows(id, text) -> the most frequent shapes of uncovered runs (letters L, digits N, Hangul H, white space _), how often each
+    occurs, and its first examples by id and place. Ties go to the shape that occurs first."""
+    has_digit = F.coalesce(F.col("text"), F.lit("")).rlike("(?U)" + NUMBER)
+    spans = rows.where(has_digit).select("id", F.explode(uncovered_numbers(F.col("text"))).alias("s")).select("id", F.col("s.char_start").alias("at"), F.col("s.matched_text").alias("raw"))
+    shape = F.col("raw")
+    for pattern, letter in (("[A-Za-z]", "L"), ("[0-9]", "N"), ("[가-힣]", "H"), (r"(?U)\s+", "_")):
+        shape = F.regexp_replace(shape, pattern, letter)
+    spans = spans.withColumn("shape", shape)
+    best = spans.groupBy("shape").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).orderBy(F.desc("n"), "first").limit(top)
+    met = spans.join(F.broadcast(best.select("shape")), "shape")  # top rows
+    # first within slices of a shape, then among those: no task gets all rows of a shape
+    for slices in (64, 1):
+        part = Window.partitionBy("shape", F.pmod(F.xxhash64("id"), F.lit(slices))).orderBy("id", "at")
+        met = met.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= examples).drop("_k")
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "at", "raw"))), lambda x: x["raw"]), "|")
+    return best.join(met.groupBy("shape").agg(told.alias("examples")), "shape").select("shape", "n", "examples")

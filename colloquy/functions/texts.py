@@ -90,13 +90,15 @@ def char_accuracy(reference: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, F.when(F.length(hypothesis) == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(reference, hypothesis) / F.when(n > 0, n)))
 
 
-def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of token arrays: each distinct token becomes one private-use character."""
-    kinds = F.array_distinct(F.concat(reference, hypothesis))
+def character(k: Column) -> Column:
+    """A code point of its own for each number from 1 on: k itself, or past the surrogates."""
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(k < 0xD800, k).otherwise(k + 0x2800)), 8, "0")), "UTF-32")
 
-    def coded(ts: Column) -> Column:
-        return F.array_join(F.transform(ts, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(kinds, t) + F.lit(0x4E00)), 4, "0")), "UTF-16BE")), "")
 
+def word_distance(reference: Column, hypothesis: Column) -> Column:
+    """Edit distance of token arrays: each distinct token becomes one code point."""
+    kinds = F.array_distinct(F.concat(reference, hypothesis))
+    coded = lambda ts: F.array_join(F.transform(ts, lambda t: character(F.array_position(kinds, t))), "")
     return F.levenshtein(coded(reference), coded(hypothesis))
 
 

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _with_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the session says. Only on this machine alone (tests) is a folder of its own set where it says nothing."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(base or os.path.join(tempfile.gettempdir(), "colloquy-checkpoints"))
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """edges(u, v) of longs, loops allowed -> (node, root), root the smallest node reachable.
 
     Labels pass along edges and then to the label's own label (pointer jumping), so the number of rounds grows
     with the logarithm of a component's width. Each round's labels are checkpointed.
     """
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/colloquy-checkpoints"
-    spark.sparkContext.setCheckpointDir(base)
+    _with_checkpoints(edges.sparkSession)
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")).checkpoint()
     for _ in range(max_rounds):

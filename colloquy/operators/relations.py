@@ -46,20 +46,34 @@ def crossvalidated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("validated", F.when(F.col("reason") != "topic_unsupported", r))
 
 
+BUCKETS = 1 << 16  # of a seeded hash; a rank is the rows in earlier buckets and the place in its own
+
+
+def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """rows with _rank, from 1, in the seeded order of their label. No task gets all rows of a label."""
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    marked = rows.withColumn("_b", F.pmod(h, F.lit(BUCKETS)))
+    counts = marked.groupBy(F.col(label).alias("_label"), F.col("_b").alias("_bucket")).agg(F.count("*").alias("_n"))  # BUCKETS rows of a label at most
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("_label", "_bucket", before.alias("_before"))
+    met = marked.join(base, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_bucket")))
+    place = F.row_number().over(Window.partitionBy("_label", "_b").orderBy(h, key))
+    return met.withColumn("_rank", F.col("_before") + place).select(*rows.columns, "_rank")
+
+
 def balanced(rows: DataFrame, label: str, key: str, cap: int | None = None, seed: int = 42) -> DataFrame:
-    """As many rows of each label as the rarest has (at most cap), picked by a seeded hash."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    least = counts.agg(F.min("_n").alias("_least")).withColumn("_least", F.least("_least", F.lit(cap)) if cap else F.col("_least"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.withColumn("_r", rank).crossJoin(F.broadcast(least)).where("_r <= _least").drop("_r", "_least")  # one row
+    """As many rows of each label as the rarest has (at most cap), picked by a seeded hash. No label counts as one of its own."""
+    least = rows.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
+    least = least.withColumn("_least", F.least("_least", F.lit(cap)) if cap else F.col("_least"))
+    return _ranked(rows, label, key, seed).crossJoin(F.broadcast(least)).where("_rank <= _least").select(rows.columns)  # one row
 
 
 def majority_capped(rows: DataFrame, label: str, major: str, ratio: float, key: str, seed: int = 42) -> DataFrame:
-    """At most ratio of the result has the major label."""
-    others = rows.where(F.col(label) != major)
+    """At most ratio of the result has the major label; rows without a label are no majority and stay."""
+    is_major = F.col(label).eqNullSafe(F.lit(major))
+    others = rows.where(~is_major)
     most = others.agg(F.floor(F.count("*") * ratio / (1 - ratio)).alias("_most"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.where(F.col(label) == major).withColumn("_r", rank).crossJoin(F.broadcast(most)).where("_r <= _most").select(rows.columns).unionByName(others)
+    return _ranked(rows.where(is_major), label, key, seed).crossJoin(F.broadcast(most)).where("_rank <= _most").select(rows.columns).unionByName(others)  # one row
 
 
 def split(rows: DataFrame, key: str, val: float, seed: int = 42) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import pii
 from ..operators import graph, relations
 from ..operators import sequences as S
 from ..sources import tables as T
@@ -125,11 +126,9 @@ def agg22_candidate_hits(spark, d):
     return totals.join(first, "source", "left").select("source", "hits", F.round(F.col("hits") * 100.0 / F.col("total"), 4).alias("rate_pct"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
-@query("""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9.\\-]*[0-9]')) AS span FROM documents), s AS (SELECT doc_id, regexp_replace(span, '[0-9]', '9', 'g') AS shape FROM n)
- SELECT shape, n FROM (SELECT shape, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, shape) AS rn FROM s GROUP BY shape) WHERE rn <= 20""")
+@query()
 def agg23_number_shapes(spark, d):
-    spans = T.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([0-9][0-9.\-]*[0-9])"))).alias("span"))
-    return spans.groupBy(F.regexp_replace("span", "[0-9]", "9").alias("shape")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shape").limit(20)
+    return pii.number_shapes(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("""WITH t AS (SELECT lang AS topic, doc_id, unnest(list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda x: length(x) >= 2)) AS tok FROM documents),
@@ -279,10 +278,10 @@ def set9_group_split(spark, d):
     return parts.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("p") > 1).cast("int").alias("leaked"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_custkey AS u, 'n' || (c_custkey % 40) AS v FROM customer WHERE c_custkey % 7 <> 0 UNION SELECT DISTINCT 'n' || (c_custkey % 40), 'c' || c_custkey FROM customer WHERE c_custkey % 7 <> 0),
- l AS (SELECT DISTINCT 'n' || (c_custkey % 40) AS hub, c_custkey FROM customer WHERE c_custkey % 7 <> 0) SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY hub) AS root FROM l""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_custkey AS u, 'n' || (c_custkey % 40) AS v FROM customer UNION SELECT DISTINCT 'n' || (c_custkey % 40), 'c' || c_custkey FROM customer),
+ l AS (SELECT DISTINCT 'n' || (c_custkey % 40) AS hub, c_custkey FROM customer) SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY hub) AS root FROM l""")
 def set10_components(spark, d):
-    c = T.table(spark, d, "customer").where("c_custkey % 7 <> 0").select("c_custkey")
+    c = T.table(spark, d, "customer").select("c_custkey")
     w = Window.partitionBy(F.col("c_custkey") % 40).orderBy("c_custkey")
     edges = c.withColumn("v", F.lag("c_custkey").over(w)).select(F.col("c_custkey").alias("u"), F.coalesce("v", "c_custkey").alias("v"))
     return graph.components(edges)

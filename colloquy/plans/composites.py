@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pii as P
@@ -42,57 +39,67 @@ def assigned(words: DataFrame, turns: DataFrame) -> DataFrame:
     return runs.withColumn("kind", kind).groupBy("session_id", "segment_idx", "mapped_speaker").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("n_words"), *map(of, ("exact", "overlap", "tolerance", "backchannel", "ambiguous")))
 
 
-def word_offsets(text: str, words: list[str]) -> list[tuple[int, int] | None]:
-    """Where each word stands in the text, searched on from the word before, in any case; None where it isn't found."""
-    low, at, out = text.lower(), 0, []
-    for w in words:
-        found = low.find(w.lower(), at) if w else -1
-        out.append((found, found + len(w)) if found >= 0 else None)
-        at = found + len(w) if found >= 0 else at
-    return out
+PLACES = "array<struct<a:int,b:int>>"
+RANGES = "array<struct<start_sec:double,end_sec:double,type:string>>"
+
+
+def word_offsets(text: Column, words: Column) -> Column:
+    """Where each word stands in the text, searched on from the word before, in any case; null where it isn't found."""
+    low = F.lower(text)
+
+    def step(acc: Column, word: Column) -> Column:
+        found = F.when(F.length(word) > 0, F.call_function("locate", F.lower(word), low, acc["at"] + 1) - 1).otherwise(-1)
+        place = F.when(found >= 0, F.struct(found.alias("a"), (found + F.length(word)).alias("b")))
+        return F.struct(F.when(found >= 0, found + F.length(word)).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(place)).cast(PLACES).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+    return F.aggregate(words, start, step, lambda acc: acc["out"])
+
 
+def touched(places: Column, spans: Column) -> Column:
+    """Per span(a, b, k) the numbers of the words it touches; spans that touch none are left out."""
+    numbers = F.sequence(F.lit(0), F.size(places) - 1)
+    touches = lambda s: F.filter(numbers, lambda i: F.coalesce((F.get(places, i)["a"] < s["b"]) & (F.get(places, i)["b"] > s["a"]), F.lit(False)))
+    return F.filter(F.transform(spans, lambda s: F.struct(s["k"].alias("k"), touches(s).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
 
-def pii_time_ranges(text: str, words: list[tuple[str, float, float]], spans: list[tuple[int, int, str]], pad: float = 0.15) -> list[tuple[float, float, str]]:
-    """Spans (start, end, type) of a segment's text in seconds: from the first to the last word they touch, padded;
-    equal ranges of one type once."""
-    places, out = word_offsets(text, [w[0] for w in words]), {}
-    for a, b, kind in spans:
-        hit = [w for w, p in zip(words, places) if p and p[0] < b and p[1] > a]
-        if hit:
-            r = (max(0.0, min(w[1] for w in hit) - pad), max(w[2] for w in hit) + pad, kind)
-            out.setdefault((round(r[0], 4), round(r[1], 4), kind), r)
-    return list(out.values())
 
+def time_ranges(words: Column, hits: Column, pad: float = 0.15) -> Column:
+    """Spans in seconds: from the first to the last word they touch, padded; equal ranges of one type once."""
 
-def masked_words(text: str, words: list[tuple[str, float, float]], spans: list[tuple[int, int, str]]) -> list[tuple[str, float, float]]:
+    def seconds(h: Column) -> Column:
+        own = F.transform(h["hit"], lambda i: F.get(words, i))
+        return F.struct(F.greatest(F.lit(0.0), F.array_min(F.transform(own, lambda w: w["start_sec"])) - pad).alias("start_sec"), (F.array_max(F.transform(own, lambda w: w["end_sec"])) + pad).alias("end_sec"), h["k"].alias("type"))
+
+    all_ = F.transform(hits, seconds)
+    near = lambda x, y: (x["type"] == y["type"]) & (F.round(x["start_sec"], 4) == F.round(y["start_sec"], 4)) & (F.round(x["end_sec"], 4) == F.round(y["end_sec"], 4))
+    return F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: near(x, y)))
+
+
+def masked_words(words: Column, hits: Column) -> Column:
     """Words in step with the masked text: the first word of a span becomes its token and lasts to the span's last word,
-    the others go. spans must not overlap."""
-    places = word_offsets(text, [w[0] for w in words])
-    token, gone = {}, set()
-    for a, b, kind in spans:
-        hit = [i for i, p in enumerate(places) if p and p[0] < b and p[1] > a]
-        if hit:
-            token[hit[0]] = (f"[PII_{kind}]", words[hit[0]][1], words[hit[-1]][2])
-            gone.update(hit[1:])
-    return [token.get(i, w) for i, w in enumerate(words) if i not in gone]
+    the others go. Spans must not overlap."""
 
+    def one(w: Column, i: Column) -> Column:
+        gone = F.exists(hits, lambda h: (h["hit"][0] != i) & F.array_contains(h["hit"], i))
+        h = F.element_at(F.filter(hits, lambda h: h["hit"][0] == i), -1)
+        token = F.struct(F.concat(F.lit("[PII_"), h["k"], F.lit("]")).alias("word"), w["start_sec"].alias("start_sec"), F.get(words, F.element_at(h["hit"], -1))["end_sec"].alias("end_sec"))
+        return F.when(~gone, F.when(F.exists(hits, lambda h: h["hit"][0] == i), token).otherwise(w))
 
-def masked_utterances(rows: DataFrame) -> DataFrame:
-    """rows(id, text, words array<struct<word, start_sec, end_sec>>) -> id, masked text, masked words, time ranges."""
-    spans = P.without_overlaps(P.pii_spans(F.col("text")))
-    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "words", P.masked(F.col("text")).alias("masked"), F.transform(spans, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["type"].alias("k"))).alias("spans"))
+    return F.array_compact(F.transform(words, one))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words, ranges = [], []
-            for text, ws, ss in zip(b["text"], b["words"], b["spans"]):
-                ws = [(w["word"] or "", w["start_sec"], w["end_sec"]) for w in (ws if ws is not None else [])]
-                ss = [(s["a"], s["b"], s["k"]) for s in ss]
-                words.append([dict(zip(("word", "start_sec", "end_sec"), w)) for w in masked_words(text, ws, ss)])
-                ranges.append([dict(zip(("start_sec", "end_sec", "type"), r)) for r in pii_time_ranges(text, ws, ss)])
-            yield pd.DataFrame({"id": b["id"], "masked": b["masked"], "words": words, "ranges": ranges})
 
-    return found.mapInPandas(run, "id long, masked string, words array<struct<word:string,start_sec:double,end_sec:double>>, ranges array<struct<start_sec:double,end_sec:double,type:string>>")
+def masked_utterances(rows: DataFrame) -> DataFrame:
+    """rows(id, text, words array<struct<word, start_sec, end_sec>>) -> id, masked text, masked words, time ranges. Words are only
+    looked for in texts with a span."""
+    spans = F.transform(P.without_overlaps(P.pii_spans(F.col("text"))), lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["type"].alias("k")))
+    kind = "array<struct<word:string,start_sec:double,end_sec:double>>"
+    given = F.transform(F.coalesce(F.col("words"), F.array().cast(kind)), lambda w: F.struct(F.coalesce(w["word"], F.lit("")).alias("word"), w["start_sec"].cast("double").alias("start_sec"), w["end_sec"].cast("double").alias("end_sec")))
+    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), given.alias("words"), P.masked(F.col("text")).alias("masked"), spans.alias("spans"))
+    some = (F.size("spans") > 0) & (F.size("words") > 0)
+    found = found.withColumn("hits", F.when(some, touched(word_offsets(F.col("text"), F.transform("words", lambda w: w["word"])), F.col("spans"))))
+    words, hits = F.col("words"), F.col("hits")
+    ranges = F.when(hits.isNotNull(), time_ranges(words, hits)).otherwise(F.array().cast(RANGES))
+    return found.select("id", "masked", F.when(hits.isNotNull(), masked_words(words, hits)).otherwise(words).alias("words"), ranges.alias("ranges"))
 
 
 def topic_segments(utterances: DataFrame, window: int = 5, least: float = 0.06, apart: int = 3, topics=(("기타", []),), default: str = "기타") -> DataFrame:
@@ -155,7 +162,7 @@ def seq17_topic_segments(spark, d):
 
 @query()
 def fn6_masked_utterances(spark, d):
-    docs = T.table(spark, d, "documents").where(P.has_pii(F.col("text")))
+    docs = T.table(spark, d, "documents")
     tokens = X.all_tokens(F.col("text"))
     words = F.transform(tokens, lambda t, i: F.struct(t.alias("word"), i.cast("double").alias("start_sec"), (i + 0.5).cast("double").alias("end_sec")))
     out = masked_utterances(docs.select(F.col("doc_id").alias("id"), "text", words.alias("words")))

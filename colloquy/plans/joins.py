@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
+from ..operators import clustering
 from ..operators import intervals as I
 from ..operators import sequences as S
 from ..sources import tables as T
@@ -150,10 +151,10 @@ def jn19_nearest_with_collar(spark, d):
     return met.groupBy("session_id", "word_idx").agg(F.min(F.struct(dist.alias("d"), "r_turn_idx", "r_speaker")).alias("b")).select("session_id", "word_idx", F.col("b.r_speaker").alias("ref_speaker"))
 
 
-@query(f"""WITH {T.SQL_SPOKEN}, {T.SQL_TURNS}, big AS (SELECT * FROM turns WHERE turn_idx % 2 = 0), small AS (SELECT * FROM spoken WHERE end_sec - start_sec >= 0.12)
- SELECT b.session_id, b.turn_idx, min(s.word_idx) AS word_idx FROM big b JOIN small s ON b.session_id = s.session_id AND s.start_sec >= b.start_sec AND s.end_sec <= b.end_sec GROUP BY ALL""")
+@query(f"""WITH {T.SQL_SPOKEN}, {T.SQL_TURNS}, small AS (SELECT * FROM spoken WHERE end_sec - start_sec >= 0.12)
+ SELECT b.session_id, b.turn_idx, min(s.word_idx) AS word_idx FROM turns b JOIN small s ON b.session_id = s.session_id AND s.start_sec >= b.start_sec AND s.end_sec <= b.end_sec GROUP BY ALL""")
 def jn22_enclosed(spark, d):
-    big = T.turns(spark, d).where("turn_idx % 2 = 0")
+    big = T.turns(spark, d)
     small = I.as_right(T.spoken(spark, d).where("end_sec - start_sec >= 0.12"), ["session_id"])
     met = I.overlap_join(big, small, ["session_id"], (F.col("r_start") >= F.col("start_sec")) & (F.col("r_end") <= F.col("end_sec")))
     return met.groupBy("session_id", "turn_idx").agg(F.min("r_word_idx").alias("word_idx"))
@@ -182,13 +183,13 @@ def _centre_pairs(spark, d):
     return a.join(b, "one").select("la", "lb", cosine(F.col("va"), F.col("vb")).alias("c"))
 
 
-@query(f"""WITH {_CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY la ORDER BY c DESC, lb) AS ra, row_number() OVER (PARTITION BY lb ORDER BY c DESC, la) AS rb FROM p)
- SELECT la, lb, round(c, 6) AS cosine FROM r WHERE ra = 1 AND rb = 1""")
+@query(f"""WITH {_CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY la ORDER BY c DESC, lb) AS ra, row_number() OVER (PARTITION BY lb ORDER BY c DESC, la) AS rb FROM p),
+ f AS (SELECT la, max(CASE WHEN ra = 1 THEN lb END) AS lb, max(c) AS c, max(c) - coalesce(max(CASE WHEN ra = 2 THEN c END), -1) AS m FROM r GROUP BY la),
+ b AS (SELECT lb, max(CASE WHEN rb = 1 THEN la END) AS la, max(c) - coalesce(max(CASE WHEN rb = 2 THEN c END), -1) AS m FROM r GROUP BY lb),
+ j AS (SELECT f.la, f.lb, f.c, f.m >= 0.05 AND b.m >= 0.05 AND b.la = f.la AS ok FROM f JOIN b ON f.lb = b.lb)
+ SELECT la, lb, round(c, 6) AS cosine FROM j WHERE (SELECT bool_and(ok) FROM j)""")
 def jn24_mutual_best(spark, d):
-    p = _centre_pairs(spark, d)
-    ra = F.row_number().over(Window.partitionBy("la").orderBy(F.desc("c"), "lb"))
-    rb = F.row_number().over(Window.partitionBy("lb").orderBy(F.desc("c"), "la"))
-    return p.withColumn("ra", ra).withColumn("rb", rb).where("ra = 1 and rb = 1").select("la", "lb", F.round("c", 6).alias("cosine"))
+    return clustering.mutual_map(_centre_pairs(spark, d)).select("la", "lb", F.round("c", 6).alias("cosine"))
 
 
 @query(f"""WITH {_CENTRES}, r AS (SELECT la, c, row_number() OVER (PARTITION BY la ORDER BY c DESC, lb) AS ra FROM p)

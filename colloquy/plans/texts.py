@@ -50,7 +50,7 @@ def fn5_mask_emails(spark, d):
 @query()
 def fn5_mask(spark, d):
     text = F.col("text")
-    return T.table(spark, d, "documents").where(P.has_pii(text)).select("doc_id", P.masked(text).alias("masked"))
+    return T.table(spark, d, "documents").select("doc_id", P.masked(text).alias("masked"))
 
 
 @query("""WITH c AS (SELECT event_id, round(value / 400, 2) AS confidence, event_type IN ('view', 'click') AS precise, event_type = 'error' AS ambiguous FROM events)
@@ -84,9 +84,9 @@ def fn29_quality_class(spark, d):
     return both.select("event_id", X.quality_class(F.col("g")).alias("quality"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(left(text, 200), '[0-9A-Za-z]')) AS content FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z가-힣]')) AS content FROM documents")
 def fn30_content_length(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", X.content_length(F.left("text", F.lit(200))).alias("content"))
+    return T.table(spark, d, "documents").select("doc_id", X.content_length(F.col("text")).alias("content"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
@@ -114,9 +114,9 @@ def fn51_duration_bucket(spark, d):
     return T.table(spark, d, "events").select("event_id", F.when(v < 30, "short").when(v < 120, "mid").otherwise("long").alias("bucket"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 40), ' / ' ORDER BY role, turn) AS dialogue FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || text, ' / ' ORDER BY role, turn) AS dialogue FROM conversations GROUP BY conv_id")
 def fn52_dialogue(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("role", "turn", F.concat("role", F.lit(": "), F.left("text", F.lit(40))).alias("line"))))
+    lines = F.array_sort(F.collect_list(F.struct("role", "turn", F.concat("role", F.lit(": "), "text").alias("line"))))
     return T.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s["line"]), " / ").alias("dialogue"))
 
 

@@ -1,17 +1,30 @@
+from pyspark.sql import functions as F
+
 from colloquy.plans import composites as C
 
 
-def test_word_offsets():
-    assert C.word_offsets("Call me, call ME", ["call", "me", "Call", "x", "me"]) == [(0, 4), (5, 7), (9, 13), None, (14, 16)]
+WORDS = "array<struct<word:string,start_sec:double,end_sec:double>>"
+
+
+def test_word_offsets(spark):
+    rows = spark.createDataFrame([("Call me, call ME", ["call", "me", "Call", "x", "me", ""])], "t string, w array<string>")
+    got = rows.select(C.word_offsets(F.col("t"), F.col("w")).alias("p")).first().p
+    assert [tuple(x) if x else None for x in got] == [(0, 4), (5, 7), (9, 13), None, (14, 16), None]
 
 
-def test_time_ranges_and_words():
+def test_time_ranges_and_words(spark):
     text, words = "전화 010 1234 5678 입니다", [("전화", 0.0, 1.0), ("010", 1.0, 2.0), ("1234", 2.0, 3.0), ("5678", 3.0, 4.0), ("입니다", 4.0, 5.0)]
+
+    def run(spans):
+        df = spark.createDataFrame([(text, words, spans)], f"t string, w {WORDS}, s array<struct<a:int,b:int,k:string>>")
+        hits = C.touched(C.word_offsets(F.col("t"), F.transform("w", lambda x: x["word"])), F.col("s"))
+        r = df.withColumn("h", hits).select(C.time_ranges(F.col("w"), F.col("h")).alias("r"), C.masked_words(F.col("w"), F.col("h")).alias("m")).first()
+        return [tuple(x) for x in r.r], [tuple(x) for x in r.m]
+
     span = [(3, 16, "전화번호")]
-    assert C.pii_time_ranges(text, words, span) == [(0.85, 4.15, "전화번호")]
-    assert C.pii_time_ranges(text, words, span * 2) == [(0.85, 4.15, "전화번호")]
-    assert C.masked_words(text, words, span) == [words[0], ("[PII_전화번호]", 1.0, 4.0), words[4]]
-    assert C.masked_words(text, words, []) == words and C.pii_time_ranges("", [], span) == []
+    assert run(span) == ([(0.85, 4.15, "전화번호")], [words[0], ("[PII_전화번호]", 1.0, 4.0), words[4]])
+    assert run(span * 2)[0] == [(0.85, 4.15, "전화번호")]
+    assert run([]) == ([], words) and run([(0, 0, "x")]) == ([], words)
 
 
 def test_masked_utterances(spark):

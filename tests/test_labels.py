@@ -55,9 +55,14 @@ def test_corrections(spark):
 
 
 def test_names(spark):
-    assert names.hits("김현정이 왔다, 현정아!") == [("김현정", 0, 4, "full"), ("현정아", 9, 13, "vocative")]
-    assert names.masked("김현정이 왔다") == "[PII_이름]이 왔다" and names.masked("") == ""
-    assert names.is_likely_name("김", "철", "", " 씨") and not names.is_likely_name("김", "철", "", " 가다") and not names.is_likely_name("정", "말로", "", "", frozenset({"정말"}))
+    t = F.col("t")
+    hits = lambda text: [tuple(h) for h in one(spark, names.name_hits(t), t=text)]
+    assert hits("김현정이 왔다, 현정아!") == [("김현정", 0, 4, "full"), ("현정아", 9, 13, "vocative")]
+    assert hits("준호야 현정야 준호아") == [("준호야", 0, 3, "vocative")] and hits("김현정들이 x") == [] and hits("") == []
+    assert one(spark, names.masked(t), t="김현정이  왔다, (박성민)") == "[PII_이름]이  왔다, ([PII_이름])"
+    spans = lambda text, *out: [s.matched_text for s in one(spark, names.surname_spans(t, out), t=text)]
+    assert spans("김철 씨") == ["김철"] and spans("김철 가다") == [] and spans("정말로 박수현", "정말") == ["박수현"] and spans("정말로") == ["정말로"]
+    assert spans("내김철수") == [] and spans("(류하)과장 오 구하나씨") == ["구하나"]
     got = names.masked_rows(spark.createDataFrame([(1, "김현정이 현정아"), (2, None)], "k long, text string"), "k").orderBy("k").collect()
     assert [(r.masked, r.n_full, r.priority) for r in got] == [("[PII_이름]이 현정아", 1, 1), ("", 0, 0)]
 
@@ -130,3 +135,14 @@ def test_whole_embeddings(spark):
         want = [f"SPEAKER_{k:02d}" for k in (found if sure >= 0.30 else found * 0)]
         mine = windows[windows.session_id == session].sort_values("window_idx")
         assert list(mine.speaker) == want and set(mine.confidence) == {round(sure, 6)}
+
+
+def test_mutual_map(spark):
+    def run(cells):
+        return sorted((r.la, r.lb) for r in clustering.mutual_map(spark.createDataFrame(cells, "la string, lb string, c double")).collect())
+
+    clear = [("a", "x", 0.9), ("a", "y", 0.2), ("b", "x", 0.1), ("b", "y", 0.8)]
+    assert run(clear) == [("a", "x"), ("b", "y")]
+    assert run([*clear[:3], ("b", "y", 0.12)]) == []  # a label that leads by too little
+    assert run([("a", "x", 0.9), ("a", "y", 0.2), ("b", "x", 0.8), ("b", "y", 0.3)]) == []  # two labels with one best
+    assert run([("a", "x", 0.9)]) == [("a", "x")] and run([("a", "x", -0.97)]) == []

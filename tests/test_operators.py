@@ -58,10 +58,48 @@ def test_overlap_join_meets_each_pair_once(spark):
 
 
 def test_repetition(spark):
-    assert repetition.collapse("하는지 하는지 하는지 하는지") == ("하는지", 3)
-    assert repetition.collapse("네 네 네 네") == ("네 네 네 네", 0) or repetition.collapse("네 네 네 네")[1] == 0
-    assert repetition.collapse("그 다음 그 다음 그 다음 끝") == ("그 다음 끝", 2)
-    assert repetition.collapse("") == ("", 0)
+    c = repetition.collapse
+    assert c("하는지 하는지 하는지 하는지") == ("하는지", 3) and c("맞아 맞아 맞아 그래") == ("맞아 그래", 2)
+    assert c("네 네 네 네") == ("네 네 네 네", 0) and c("아 아 아 아 아") == ("아 아 아 아 아", 0) and c("진짜 진짜") == ("진짜 진짜", 0)
+    assert c("그 다음 그 다음 그 다음 끝") == ("그 다음 끝", 2) and c("") == ("", 0)
+    assert c("가나 " * 6) == ("가나 가나", 2)  # as a pair, three times
+    assert c("x 그 다음 그 다음 그 다음 다음 다음 다음") == ("x 그 다음 다음", 4)  # what follows a pair counts from its end
+
+
+def test_repetition_in_step(spark):
+    rows = [(1, "하는지 하는지 하는지 맞아요", ["하는지", " 하는지", "하는지 ", "맞아요"]), (2, "그 다음 그 다음 그 다음", ["그", "다음"] * 3), (3, "하는지  하는지 하는지", None), (4, "a  b", []), (5, None, None)]
+    df = spark.createDataFrame([(i, t, None if w is None else [(x, float(k), k + 1.0) for k, x in enumerate(w)]) for i, t, w in rows], "i long, text string, words array<struct<word:string,start_sec:double,end_sec:double>>")
+    got = {r.i: (r.text, [w.word.strip() for w in r.words], r.collapsed) for r in repetition.collapsed_segments(df, "i").collect()}
+    assert got == {1: ("하는지 맞아요", ["하는지", "맞아요"], 2), 2: ("그 다음", ["그", "다음"] * 3, 0), 3: ("하는지", [], 2), 4: ("a  b", [], 0), 5: ("", [], 0)}
+
+
+def test_number_shapes(spark):
+    r = random.Random(11)
+    parts = ["010-1234-5678", "12 34", "1a2b", "12가34", "2024/01/15", "3,000", "90.5평", "7", "12-3", "x", " ", "가", "1234567890123", "12/3"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 7))) for _ in range(300)]
+    known = [p for _, p in (*P.RULES, *P.CANDIDATES)]
+    count, first, shown = {}, {}, {}
+    for i, t in enumerate(texts):
+        taken = {k for p in known for m in re.finditer(p, t) for k in range(*m.span())}
+        for m in re.finditer(P.NUMBER, t):
+            if not taken & set(range(*m.span())):
+                shape = re.sub(r"\s+", "_", re.sub("[가-힣]", "H", re.sub("[0-9]", "N", re.sub("[A-Za-z]", "L", m[0]))))
+                count[shape] = count.get(shape, 0) + 1
+                first.setdefault(shape, (i, m.start()))
+                shown.setdefault(shape, []).append(m[0])
+    best = sorted(count, key=lambda s: (-count[s], first[s]))[:5]
+    got = P.number_shapes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 5).collect()
+    assert {(x.shape, x.n, x.examples) for x in got} == {(s, count[s], "|".join(shown[s][:3])) for s in best}
+
+
+def test_balanced_and_capped(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "ab"[i % 3 > 0]) for i in range(90)], "k long, label string")
+    n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    kept = {r.label: r["count"] for r in relations.balanced(rows, "label", "k").groupBy("label").count().collect()}
+    assert kept == dict.fromkeys(n, min(n.values()))
+    capped = relations.majority_capped(rows, "label", "b", 0.25, "k")
+    assert capped.distinct().count() == capped.count() and capped.columns == rows.columns
+    assert {r.label: r["count"] for r in capped.groupBy("label").count().collect()} == n | {"b": (n["a"] + n[None]) // 3}
 
 
 @pytest.mark.parametrize("rule", range(len(P.RULES)))
@@ -100,37 +138,70 @@ def test_word_accuracy(spark):
     assert got == [0.5, 1.0, 0.0]
 
 
+def test_characters_of_many_kinds(spark):
+    ks = [1, 2, 0xD7FE, 0xD7FF, 0xD800, 0xD801, 0xFFFF, 60_000, 500_000]
+    line = F.array_join(F.transform(F.array(*map(F.lit, ks)), X.character), "")
+    r = spark.range(1).select(line.alias("a"), F.levenshtein(line, F.concat(X.character(F.lit(0xD800)), line)).alias("d")).first()
+    assert len(r.a) == len(set(r.a)) == len(ks) and r.d == 1
+
+
 def test_cosine_policies(spark):
     zero, unit = F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0))
     assert [one(spark, N.cosine(zero, unit, z)) for z in (1.0, 0.0, None)] == [1.0, 0.0, None]
     assert one(spark, N.cosine(unit, unit)) == 1.0
 
 
-def test_segmentation_keeps_all_words():
-    r = random.Random(5)
-    for _ in range(50):
+def utterances(spark, sessions, dynamic=False):
+    """sessions: lists of (start, end, word, speaker) -> lists of (speaker, words, seconds)."""
+    rows = [(n, i, float(a), float(b), s, w) for n, ws in enumerate(sessions) for i, (a, b, w, s) in enumerate(ws)]
+    df = spark.createDataFrame(rows, "session_id long, word_idx int, start_sec double, end_sec double, speaker string, w string")
+    got = segmentation.utterances(df, dynamic=dynamic, text="w").orderBy("session_id", "utt_idx").collect()
+    return [[x for x in got if x.session_id == n] for n in range(len(sessions))]
+
+
+@pytest.mark.parametrize("dynamic", [False, True])
+def test_segmentation_keeps_all_words(spark, dynamic):
+    r, sessions = random.Random(5), []
+    for _ in range(40):
         at, words = 0.0, []
         for _ in range(r.randint(1, 120)):
             at += r.choice([0, 0.1, 0.2, 0.6, 1.5])
             end = at + r.uniform(0.05, 0.9)
             words.append((at, end, r.choice(["네", "응", "말을", "합니다.", "정말?"]), r.choice(["A", "B"]) if r.random() < 0.2 else "A"))
             at = end
-        for dynamic in (False, True):
-            out = segmentation.segment(words, at, dynamic=dynamic)
-            assert sum(u["n_words"] for u in out) == len(words)
-            if not dynamic:
-                assert all(u["end_sec"] - u["start_sec"] <= 30.01 or u["n_words"] == 1 for u in out)
-    assert segmentation.segment([], 0.0) == []
-    assert segmentation.segment([(0, 1, "x", "None")], 1.0) == []
-
-
-def test_segmentation_rules():
-    o = segmentation.Options()
-    words = [(0, 1, "a", "A"), (1.4, 2, "b", "A"), (2.6, 3, "c", "A")]  # b hangs behind a pause and opens the next run
-    moved = segmentation.move_hanging(segmentation.by_boundaries(words, o.silence_gap), o)
-    assert [[w[2] for w in r.words] for r in moved] == [["a"], ["b", "c"]]
-    short = segmentation.merge_short([segmentation.Run("A", [(0, 6, "x", "A")]), segmentation.Run("B", [(6, 6.2, "네", "B")])], o)
-    assert len(short) == 1 and short[0].speaker == "A"
+        sessions.append(words)
+    for words, found in zip(sessions, utterances(spark, [*sessions, [(0, 1, "x", "None")]], dynamic)):
+        assert [u.utt_idx for u in found] == list(range(len(found)))
+        assert " ".join(u.transcript for u in found) == " ".join(w[2] for w in words)
+        assert sum(u.n_words for u in found) == len(words)
+        assert all(u.end_sec - u.start_sec <= 30.01 or u.n_words == 1 for u in found)
+    assert utterances(spark, [[(0, 1, "x", "None")]], dynamic) == [[]]
+
+
+def test_segmentation_rules(spark):
+    said = lambda sessions, **k: [[(u.speaker, u.transcript) for u in found] for found in utterances(spark, sessions, **k)]
+    long = (0, 6, "x", "A")
+    cases = [
+        [(0, 5, "a", "A"), (5.4, 6, "b", "A"), (6.6, 12, "c", "A")],  # b hangs behind a pause and opens the next run
+        [(0, 5, "a", "A"), (5.4, 6, "b", "A"), (6.6, 7, "c", "A"), (8, 14, "d", "A")],  # c is given b and moves on itself; b stays alone, short
+        [long, (6, 6.2, "네", "B")],  # nods
+        [long, (6, 6.2, "말", "B")],  # short, but says something
+        [long, (6, 6.5, "네", "B")],  # an answer of its own
+        [long, (6, 7, "y", "B"), (8, 15, "z", "B")],  # a short start goes on into the next run
+        [(0, 1, "a", "A"), (2, 3, "b", "A")],  # short ones join
+        [long, (7, 8, "b", "A")],  # but not one that is long enough
+        [(0, 10, "a", "A"), (10, 21, "b", "A"), (21.4, 40, "c", "A")],  # halved at the pause
+    ]
+    want = [[("A", "a"), ("A", "b c")], [("A", "a"), ("A", "b"), ("A", "c d")], [("A", "x 네")], [("A", "x"), ("B", "말")], [("A", "x"), ("B", "네")], [("A", "x"), ("B", "y z")], [("A", "a b")], [("A", "x"), ("A", "b")], [("A", "a b"), ("A", "c")]]
+    assert said(cases) == want
+    word = lambda k, w="w", gap=0.0: (k + gap, k + 1, w, "A")
+    dynamic = [
+        [word(k, "끝." if k == 16 else "w") for k in range(20)],  # a sentence ends behind 15 seconds
+        [word(k) for k in range(40)],  # nothing ends: the last word before 30 seconds
+        [word(k, gap=0.5 if k == 18 else 0.0) for k in range(22)],  # a pause
+        [word(k, "끝." if k == 3 else "w") for k in range(10)],  # too early to cut
+    ]
+    assert [[u.n_words for u in found] for found in utterances(spark, dynamic, True)] == [[17, 3], [29, 11], [18, 4], [10]]
 
 
 def test_components(spark):
