@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_shared, saved, shared_fs, texts, work_dir
+from .common import map_shared, saved, shared_fs, texts, tidy, work_dir
 from .tokens import Encoder, default_path
 
 MAGIC = b"FWBITS01"
@@ -147,7 +147,7 @@ def _writer_of(folder: str, path: str, end: int):
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """Writes the files; returns file, start (ids of all files before it), ids and docs, one row per file."""
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = saved(ordered.mapInPandas(_writer_of(folder, tokenizer or default_path(), end), "file string, null_last int, first_id long, ids long, docs long"), "bitpack")
+    files = saved(ordered.mapInPandas(tidy(_writer_of(folder, tokenizer or default_path(), end)), "file string, null_last int, first_id long, ids long, docs long"), "bitpack")
     rows = files.orderBy("null_last", "first_id").toPandas()  # one row per file
     rows["start"] = rows.ids.cumsum() - rows.ids
     schema = "file string, start long, ids long, docs long"
@@ -174,7 +174,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read(files: DataFrame) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
     n = max(1, files.count())
-    return files.repartition(min(n, 100_000), "file").mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(min(n, 100_000), "file").mapInPandas(tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import xxhash
@@ -129,7 +132,7 @@ def rows_by_key(docs: DataFrame, keys: KeySet, key_of, member: bool) -> DataFram
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(b.schema.get_field_index("doc_id"))
             known = np.asarray(ids.is_valid())
             numbers = np.asarray(ids.cast(pa.int64()).fill_null(0)).astype(np.int64)
@@ -137,7 +140,7 @@ def rows_by_key(docs: DataFrame, keys: KeySet, key_of, member: bool) -> DataFram
             found = np.array([key_of((t or "").encode("utf-8", "surrogatepass")) for t in text.to_pylist()], np.uint64).view(np.int64)
             yield b.filter(pa.array((known & keys.find(numbers, found)) == member))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def without(docs: DataFrame, drop: DataFrame, tag: str = "drop") -> DataFrame:
@@ -203,6 +206,34 @@ def chunks(batches, chars: int = 4 << 20, column: str = "text"):
                 yield b.iloc[a:z]
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in slices of so many rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def tidy(run):
+    """run, a function over a task's batches, that gives freed memory back to the system at its end: workers live on and are shared by all
+    stages of a session."""
+
+    @wraps(run)
+    def tidied(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word."""
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)

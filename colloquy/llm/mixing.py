@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, saved, text_key_of, texts
+from .common import chunks, mix64, saved, slices, text_key_of, texts, tidy
 
 MAX_TRAIN = 20_000
 TARGETS = {"quality0": 0.08, "quality1": 0.92}
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column) -> Softmax | None:
     """The classifier, of bounded size; None without labelled rows."""
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.cast("string").alias("domain")).where("doc_id is not null and domain is not null")
     sample = sample.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").mapInPandas(_features, "domain string, x binary").toPandas()
+    rows = texts(docs).join(F.broadcast(sample), "doc_id").mapInPandas(tidy(_features), "domain string, x binary").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values(["domain", "x"])
@@ -164,7 +164,7 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def solve(members: DataFrame, domains: list[str], targets: dict[str, float], max_rate: float) -> tuple[float, list[np.ndarray], dict]:
     """members(n_tokens, posterior) -> start rate, the steps' vectors, and what they reach."""
     k = len(domains)
-    cells = {r.cell: r.tokens for r in members.mapInPandas(_moments, "cell int, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()}  # k * k rows
+    cells = {r.cell: r.tokens for r in members.mapInPandas(tidy(_moments), "cell int, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()}  # k * k rows
     moment = np.array([cells.get(c, 0.0) for c in range(k * k)]).reshape(k, k)
     there = moment.sum(1)  # expected tokens per domain at rate 1
     weight = np.array([targets.get(d, 0.0) for d in domains])
@@ -187,7 +187,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], max
             metric = whole
         before = worst
         moves.append(metric @ gap)
-        passed = members.mapInPandas(_totals_of(start, moves, max_rate), "cell int, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens"))
+        passed = members.mapInPandas(tidy(_totals_of(start, moves, max_rate)), "cell int, tokens double").groupBy("cell").agg(F.sum("tokens").alias("tokens"))
         sums = {r.cell: r.tokens for r in passed.collect()}  # k + k * k rows
         totals = np.array([sums.get(c, 0.0) for c in range(k)])
         free = np.array([sums.get(k + c, 0.0) for c in range(k * k)]).reshape(k, k)
@@ -206,7 +206,7 @@ def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain:
     model = train(docs, labels, domain)
     if model is None:
         return None, None, 1.0, []
-    members = saved(texts(docs).mapInPandas(_posteriors_of(model), "doc_id long, text_key long, n_tokens long, posterior array<double>"), "mixing")
+    members = saved(texts(docs).mapInPandas(tidy(_posteriors_of(model)), "doc_id long, text_key long, n_tokens long, posterior array<double>"), "mixing")
     start, moves, _ = solve(members, model.domains, targets, max_rate)
     return members, model, start, moves
 
@@ -233,7 +233,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     if model is None:
         n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long")
         return texts(docs).select("doc_id", n.alias("n_tokens"), F.lit("{}").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-    return members.mapInPandas(_rates_of(model, start, moves, max_rate), "doc_id long, n_tokens long, posterior string, rate double, copies long")
+    return members.mapInPandas(tidy(_rates_of(model, start, moves, max_rate)), "doc_id long, n_tokens long, posterior string, rate double, copies long")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
@@ -246,14 +246,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             found = [t or "" for t in b.column(b.schema.get_field_index("text")).cast(pa.large_string()).to_pylist()]
             ids = np.asarray(b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0)).astype(np.int64)
             keys = np.array([text_key_of(t.encode("utf-8", "surrogatepass")) for t in found], np.uint64)
-            p = np.concatenate([model.posteriors(np.stack([features(t) for t in found[i : i + 2000]])) for i in range(0, len(found), 2000)])
+            p = model.posteriors(np.stack([features(t) for t in found]))
             copies = _copies(rate_of(p, start, moves, max_rate), ids, keys)
             yield b.take(pa.array(np.repeat(np.arange(b.num_rows), copies)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tidy
 
 DIGEST, SKETCH = 16, 128
 PART = 2000  # documents in a stretch of ascending doc_ids, about
@@ -146,6 +146,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = max(1, min(MAX_PARTS, ids.count() // PART))
     cuts = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     bounds = np.unique(np.array(cuts, np.float64).astype(np.int64))
-    heads = {r.part: r.doc_id for r in ids.mapInPandas(_parts_of(bounds), "part int, doc_id long").groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect()}  # one row per stretch
-    dealt = rows.mapInPandas(_stretches_of(bounds, heads), "part int, tail boolean, doc_id long, text_key long, text string")
-    return dealt.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text_key").mapInPandas(_in_order, _OUT)
+    heads = {r.part: r.doc_id for r in ids.mapInPandas(tidy(_parts_of(bounds)), "part int, doc_id long").groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect()}  # one row per stretch
+    dealt = rows.mapInPandas(tidy(_stretches_of(bounds, heads)), "part int, tail boolean, doc_id long, text_key long, text string")
+    return dealt.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text_key").mapInPandas(tidy(_in_order), _OUT)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hashes, map_shared, saved, texts, work_dir, write_shared
+from .common import chunks, hashes, map_shared, saved, texts, tidy, work_dir, write_shared
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -462,7 +462,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Trie:
     """Counts all rows of training(doc_id, text) and writes the trie to the shared folder."""
     folder = work_dir(training.sparkSession, "ngrams")
-    words = saved(training.mapInPandas(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "ngrams")
+    words = saved(training.mapInPandas(tidy(_unigrams), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "ngrams")
     bits = max(0, int(words.count() // FILE).bit_length())
     part = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     about = words.withColumn("part", part).groupBy("part").applyInPandas(_vocabulary_writer(folder, bits), "part int, n long, tokens long").toPandas()  # one row per file
@@ -471,7 +471,7 @@ def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -
         nodes = trie.kinds if level == 2 else int(trie.level(level - 1).starts[-1])
         if nodes * trie.kinds >= 1 << 63:
             raise ValueError("the pairs of this level do not fit into 64 bits")
-        pairs = training.mapInPandas(_candidates_of(trie, level, min_count), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
+        pairs = training.mapInPandas(tidy(_candidates_of(trie, level, min_count)), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
         words_ = F.lit(max(1, trie.kinds)).cast("long")
         grams = saved(pairs.select(F.expr(f"pair div {max(1, trie.kinds)}L").alias("parent"), F.pmod("pair", words_).alias("child"), "c"), "ngrams")
         sums = saved(grams.groupBy("parent").agg(F.sum("c").alias("kept"), F.count("*").alias("kinds")), "ngrams")
@@ -479,7 +479,7 @@ def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -
         files = max(1, -(-rows.count() // FILE))
         below = (lambda t=trie: t.vocabulary) if level == 2 else (lambda t=trie, k=level - 1: t.level(k))
         ranged = rows.repartitionByRange(files, "parent", "child").sortWithinPartitions("parent", "child")
-        written = ranged.mapInPandas(_level_writer(folder, level, below), "name string, parent long, child long, n long").toPandas()
+        written = ranged.mapInPandas(tidy(_level_writer(folder, level, below)), "name string, parent long, child long, n long").toPandas()
         written = written.sort_values(["parent", "child"])
         trie.levels.append(list(written.itertuples(index=False, name=None)))
     return trie
@@ -504,7 +504,7 @@ def _scores_of(trie: Trie):
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    return texts(docs).mapInPandas(_scores_of(trie), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return texts(docs).mapInPandas(tidy(_scores_of(trie)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:

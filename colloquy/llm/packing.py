@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import saved, texts, tidy
 from .tokens import Encoder, default_path
 
 LENGTH = 2048
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, se
     """
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
     schema = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-    pieces = saved(rows.mapInPandas(_pieces_of(tokenizer or default_path(), length, separator), schema), "packing")
+    pieces = saved(rows.mapInPandas(tidy(_pieces_of(tokenizer or default_path(), length, separator)), schema), "packing")
     part = F.shiftright("row", 33)  # the task that cut the piece
     counted = saved(pieces.groupBy(part.alias("part"), "length").count(), "packing")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,4 +134,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, se
     order = Window.partitionBy("part", "length").orderBy("row", "piece")
     ranked = pieces.withColumn("part", part).join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.row_number().over(order) - 1)
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(_places_of(runs), out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(tidy(_places_of(runs)), out)

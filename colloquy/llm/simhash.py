@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedFile, chunks, mix64, saved, shared_fs, text_key, texts, without, work_dir
+from .common import SharedFile, chunks, mix64, saved, shared_fs, text_key, texts, tidy, without, work_dir
 from .graph import connected_components
 
 RADIUS = 3
@@ -122,7 +122,7 @@ def _fingerprints_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, f0): the 64 bits as a signed long."""
-    return texts(docs).mapInPandas(_fingerprints_of, "doc_id long, f0 long")
+    return texts(docs).mapInPandas(tidy(_fingerprints_of), "doc_id long, f0 long")
 
 
 _SKETCH = "doc_id long, text_key long, s0 long, " + ", ".join(f"f{k} long" for k in range(WIDE)) + ", file long, at long, size long, short array<long>"
@@ -435,7 +435,7 @@ class Tables:
 
     def _run(self, dealt: DataFrame) -> DataFrame:
         ordered = dealt.repartition("t", "m", "i").sortWithinPartitions("t", "m", "i", "second")
-        return saved(ordered.mapInPandas(_links_of(self.masks, self.radius, self.words, self.similar), "u long, v long"), "simhash")
+        return saved(ordered.mapInPandas(tidy(_links_of(self.masks, self.radius, self.words, self.similar)), "u long, v long"), "simhash")
 
     def first_links(self) -> DataFrame:
         """Links between rows of one chunk, and the list of large buckets."""
@@ -501,7 +501,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     RADIUS bits or by a similarity of SIMILARITY."""
     folder = work_dir(docs.sparkSession, "simhash-sets")
     rows = texts(docs.where("doc_id is not null")).withColumn("text_key", text_key())
-    sketch = saved(rows.mapInPandas(_sketches_of(folder), _SKETCH).withColumn("node", F.monotonically_increasing_id()), "simhash")
+    sketch = saved(rows.mapInPandas(tidy(_sketches_of(folder)), _SKETCH).withColumn("node", F.monotonically_increasing_id()), "simhash")
     wide = [f"f{k}" for k in range(WIDE)]
     narrow = saved(sketch.groupBy("s0").agg(F.min("node").alias("node"), F.count("*").alias("n")).withColumn("root", F.col("node")), "simhash")
     first = F.min(F.struct("node", "file", "at", "size", "short"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hashes, map_shared, mix64, saved, texts, words, work_dir, write_shared
+from .common import chunks, hashes, map_shared, mix64, saved, texts, tidy, words, work_dir, write_shared
 
 WINDOW = 13
 SEED = 5
@@ -215,15 +215,15 @@ def _texts_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _with_covered(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.hash("text").alias("text_key"))
-    seeds = rows.mapInPandas(_seeds, "seed long, low long, high long, n long").groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    seeds = rows.mapInPandas(tidy(_seeds), "seed long, low long, high long, n long").groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     seeds = saved(seeds.where("low < high").select("seed", "n"), "substring")
     bits = max(0, int(seeds.count() // FILE).bit_length())
     folder = work_dir(spark, "substring-seeds")
     part = F.shiftrightunsigned("seed", 64 - bits).cast("int") if bits else F.lit(0)
     files = seeds.withColumn("part", part).groupBy("part").applyInPandas(_file_writer(folder), "part int, n long").collect()  # one row per file
     there = frozenset(r.part for r in files)
-    leaves = rows.mapInPandas(_suffixes_of(folder, bits, there), _ROW)
-    covered = leaves.repartition("key").sortWithinPartitions("key", "path", "doc_id").mapInPandas(_subtrees, "doc_id long, text_key int, pos int, run int")
+    leaves = rows.mapInPandas(tidy(_suffixes_of(folder, bits, there)), _ROW)
+    covered = leaves.repartition("key").sortWithinPartitions("key", "path", "doc_id").mapInPandas(tidy(_subtrees), "doc_id long, text_key int, pos int, run int")
     by_doc = covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "run")).alias("c"))  # at most a document's own windows
     return rows.join(by_doc, ["doc_id", "text_key"], "left").select("doc_id", "text", F.col("c.pos").alias("at"), F.col("c.run").alias("runs"))
 
@@ -234,9 +234,9 @@ def _named(df: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed and text, the kept words joined by one space."""
-    return _named(_with_covered(docs).mapInPandas(_texts_kept, "doc_id long, n_words long, n_removed long, text string"))
+    return _named(_with_covered(docs).mapInPandas(tidy(_texts_kept), "doc_id long, n_words long, n_removed long, text string"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """As without_repeats, with kept_sha256 instead of the text."""
-    return _named(_with_covered(docs).mapInPandas(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    return _named(_with_covered(docs).mapInPandas(tidy(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string"))
