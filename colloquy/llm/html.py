@@ -12,7 +12,8 @@ Text: character references are decoded, white space inside a block becomes one s
 one space in page order. Nothing else is dropped or capped.
 
 Defined results: null or empty html, or a page without text, gives the empty text; text outside any element
-counts as a block of the body; unclosed elements end where HTML says; repeated rows are done one by one; an empty table gives an
+counts as a block of the body; unclosed elements end where HTML says; form controls (button, select, textarea) go with the forms,
+mathematics, drawings' texts and fallback texts of objects stay; malformed markup costs no more time than other text; repeated rows are done one by one; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript head title svg math iframe object select textarea button option canvas".split())
+RAW = frozenset("script style template noscript iframe textarea title".split())  # no markup inside
+SILENT = RAW | frozenset("head select button option".split())
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul summary".split())
 ENDS = {  # an opening tag ends these open ones, up to the named containers
     "li": (("li",), ("ul", "ol", "menu")),
@@ -60,12 +65,9 @@ HINTS = {
 }
 HINT_OF = {t: k for k, ts in HINTS.items() for t in ts.split()}
 KINDS = tuple(HINTS)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(script|style|template|noscript|svg|iframe|textarea|title)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:.*?</\1\s*>|.*$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+TAG_HINT = {"nav": "menu", "aside": "side", "footer": "footer", "header": "header", "form": "form", "dialog": "notice", "article": "content", "main": "content"}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")  # of a tag; quoted values may hold the bracket
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 
@@ -76,7 +78,7 @@ class Node:
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children, self.items = tag, parent, [], []
         self.own = 0
-        hints: set[str] = set()
+        hints: set[str] = {TAG_HINT[tag]} if tag in TAG_HINT else set()
         self.hidden = False
         if attributes and not attributes.isspace():
             for m in ATTRIBUTE.finditer(attributes):
@@ -95,72 +97,129 @@ class Node:
         self.hints = frozenset(hints)
 
 
+class _Open:
+    """The open elements, and at which depths those of each tag are, so that no end or beginning of an element walks up the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCK:
+            self.blocks.append(depth)
+
+    def close(self, depth: int) -> None:
+        """Ends the elements from this depth on."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first_below(self, depth: int, *tags: str) -> int:
+        """The outermost of these tags deeper than depth, 0 if there is none."""
+        found = [x[k] for x in (self.at.get(t, ()) for t in tags) if (k := bisect_right(x, depth)) < len(x)]
+        return min(found, default=0)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(begin, end, name, attributes, is an end tag) of each tag or other markup (without a name), each character looked at once or
+    so. If a tag's quotes never close, tags end at the first bracket from there on; a last tag without one is text."""
+    at, quotes = page.find("<"), True
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", False
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", False
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            yield at, end, "", "", False
+        else:
+            closing = page.startswith("/", at + 1)
+            name = NAME.match(page, at + 1 + closing)
+            end = at + 1
+            if name:
+                rest = REST.match(page, name.end()) if quotes else None
+                if rest is None:
+                    quotes = False
+                    bracket = page.find(">", name.end())
+                    if bracket < 0:
+                        return
+                    end = bracket + 1
+                else:
+                    end = rest.end()
+                yield at, end, name[0].lower(), page[name.end() : end - 1], closing
+        at = page.find("<", end)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Texts are items of their elements, in order with the children."""
+    """The tree of a page, in time proportional to its length. Texts are items of their elements, in order with the children."""
     root = Node("body", None)
-    node, at = root, 0
+    tree, at = _Open(root), 0
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            node.items.append(entities.unescape(raw) if "&" in raw else raw)
+            tree.nodes[-1].items.append(entities.unescape(raw) if "&" in raw else raw)
         elif raw:
-            node.items.append(" ")
+            tree.nodes[-1].items.append(" ")
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = m[4]
+    def begin(name: str, attributes: str) -> Node:
+        node = Node(name, tree.nodes[-1], attributes)
+        node.parent.children.append(node)
+        node.parent.items.append(node)
+        tree.push(node)
+        return node
+
+    for start, end, name, attributes, closing in _tags(page):
+        if start < at:  # inside an element without markup
+            continue
+        text(page[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if m[3]:
-            up = node
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up.tag == name and up is not root:
-                node = up.parent
+        if closing:
+            depth = tree.last(name)
+            if depth:
+                tree.close(depth)
             elif name == "p":
-                node.items.append(" ")
+                tree.nodes[-1].items.append(" ")
+            continue
+        bare = attributes.rstrip().endswith("/")
+        if name in RAW and not (bare and tree.last("svg", "math")):
+            over = re.compile(rf"</{name}\s*+>", re.I).search(page, end)
+            at = over.end() if over else len(page)
             continue
         if name in ("html", "body", "head"):
-            if name == "body" and node is not root and node.tag == "head":
-                node = node.parent
+            if tree.nodes[-1].tag == "head":
+                tree.close(len(tree.nodes) - 1)
             if name == "head":
-                child = Node("head", node)
-                node.children.append(child)
-                node.items.append(child)
-                node = child
+                begin("head", "")
             continue
-        if node.tag == "head" and name not in ("meta", "link", "base", "title"):
-            node = node.parent
-        if name in BLOCK:
-            up = node  # an open p ends before a block
-            while up is not root and up.tag != "p" and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if tree.nodes[-1].tag == "head" and name not in ("meta", "link", "base"):
+            tree.close(len(tree.nodes) - 1)
+        if name in BLOCK and (depth := tree.last("p")) and tree.blocks[-1] == depth:  # an open p ends before a block
+            tree.close(depth)
         if name in ENDS:
             over, within = ENDS[name]
-            up, last = node, None
-            while up is not root and up.tag not in within:
-                if up.tag in over:
-                    last = up
-                up = up.parent
-            if last is not None:
-                node = last.parent
-        child = Node(name, node, m[5] or "")
-        if name == "br" or name == "hr":
-            node.items.append(" ")
-            continue
-        if name in VOID:
-            continue
-        node.children.append(child)
-        node.items.append(child)
-        if not (m[5] or "").rstrip().endswith("/") or name in BLOCK:
-            node = child
-    if at < len(page):
-        text(page[at:])
+            if depth := tree.first_below(tree.last(*within), *over):
+                tree.close(depth)
+        if name in ("br", "hr"):
+            tree.nodes[-1].items.append(" ")
+        elif name not in VOID:
+            begin(name, attributes)
+            if bare and name not in BLOCK:
+                tree.close(len(tree.nodes) - 1)
+    text(page[at:])
     return root
 
 
@@ -202,7 +261,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray
                 total += m
                 commas[k] += t.count(",") + t.count(".") + t.count("、") + t.count("。")
                 marks[k] += t.count("©") + t.count("|") + t.count("»") + t.count("·")
-                digits[k] += sum(map(t.count, "0123456789")) if m < 400 else 0
+                digits[k] += sum(map(t.count, "0123456789"))
         if x.tag in BLOCK:
             blocks[k] = 1
         if x.tag == "p":
@@ -544,4 +603,4 @@ def _extract_of(model: Boosted):
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInPandas(_extract_of(trained()), "page_id long, url string, text string, n_chars long")
+    return rows.mapInPandas(tidy(_extract_of(trained())), "page_id long, url string, text string, n_chars long")
