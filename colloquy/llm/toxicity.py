@@ -1,22 +1,24 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
 The lexicon is learned from labelled rows: whole words and word stems that occur almost only in rows labelled 1. It is
-kept as a trie. A token that is no entry itself is matched by running its Levenshtein automaton down the trie (one edit
-for entries of 5 to 9 letters, two from 10), after a pigeonhole test on pieces of the entries. Each hit is weighed
-by its entry's log-odds and by a window of words around it: quotation marks and verbs of report lower it (someone
-speaks of the word), the second person raises it. A logistic model on sums of these gives the score.
+kept as a trie, and every hit comes from running a token's Levenshtein automaton down that trie: a word is reached when the
+token ends near it, a stem when any beginning of the token does. One edit is allowed for words of 5 to 9 letters and stems from 7, two for
+words from 10. A pigeonhole test on pieces of the entries spares most tokens the walk. Each hit is weighed
+by its entry's log-odds, and a window of words around it tells whether it is quoted (quotation marks, verbs of
+report) or addresses someone (second person). A logistic model, fitted on the same rows, weighs the hits that nobody quotes, all
+hits, and the shares that are quoted and that address, so where labels tell quotation from abuse the window decides.
 
 Learning takes labelled rows outside the held-out fold only, at most MAX_TRAIN of them (those with the smallest
 hash of doc_id), whole texts; near-copies among them count once, so that a much copied text lends no weight to its words.
 Everything else covers all rows.
 
 Defined results: null and empty texts get the score of a text without hits; without labelled rows of both kinds
-every score is the share of rows labelled 1 (0 if none); repeated rows are scored one by one; other columns are ignored.
+every score is the share of rows labelled 1 (0 if none); repeated rows are scored one by one; very long tokens are matched like
+others; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
@@ -28,17 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import saved, slices, texts, tidy
 
 MAX_TRAIN = 20_000  # labelled rows that the model is fitted on
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 WINDOW = 6  # words on each side of a hit
 MIN_WORD, MIN_STEM = 5, 8  # rows labelled 1 that support an entry
-ENTRIES = 4000
-CACHE = 400_000
+STEMS = range(4, 10)  # lengths of stems
+CACHE = 100_000  # tokens whose match is remembered
 TOKEN = re.compile(r"[^\W_]+")
-LONGEST = 40  # longer tokens are only looked up as they are
 # Marks and verbs of quotation, words of address.
 MARKS = "\"“”„«»‹›"
 REPORT = frozenset("said says wrote writes quote quoted quotes called calls term word dit disait écrit mot terme sagte sagt schrieb wort begriff dijo dice escribió palabra término".split())
@@ -49,7 +50,9 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def edits_allowed(entry: str) -> int:
+def edits_allowed(entry: str, stem: bool = False) -> int:
+    if stem:
+        return 1 if len(entry) > 6 else 0
     return 0 if len(entry) < 5 else 1 if len(entry) < 10 else 2
 
 
@@ -76,36 +79,42 @@ class Automaton:
     def distance(self, state: tuple) -> int:
         return min((e + len(self.token) - i for i, e in state), default=9)
 
+    def prefix_distance(self, state: tuple) -> int:
+        """Of the nearest beginning of the token."""
+        return min((e for _, e in state), default=9)
+
 
 class Lexicon:
     """Entries (text, is_stem) in a trie."""
 
     def __init__(self, entries: list[tuple[str, bool]]):
         self.entries = entries
-        self.words = {w: n for n, (w, stem) in enumerate(entries) if not stem}
-        self.stems = {w: n for n, (w, stem) in enumerate(entries) if stem}
-        self.stem_sizes = sorted({len(w) for w in self.stems})
+        self.plain = {kind: {w for w, stem in entries if stem is kind} for kind in (False, True)}
+        self.sizes = sorted({len(w) for w in self.plain[True]})
         self.root: dict = {}
-        self.pieces: dict[int, dict[tuple[int, int], set[str]]] = {}
-        for w, n in self.words.items():
-            if not (k := edits_allowed(w)):
-                continue
+        # pieces of words by their length, and of stems
+        self.pieces: dict[tuple[bool, int], dict[tuple[int, int], set[str]]] = {}
+        for n, (w, stem) in enumerate(entries):
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = n
-            cuts = [len(w) * p // (k + 1) for p in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:]):
-                self.pieces.setdefault(len(w), {}).setdefault((a, b), set()).add(w[a:b])
+            node.setdefault("", []).append(n)
+            if k := edits_allowed(w, stem):
+                cuts = [len(w) * p // (k + 1) for p in range(k + 2)]
+                for a, b in zip(cuts, cuts[1:]):
+                    self.pieces.setdefault((stem, len(w)), {}).setdefault((a, b), set()).add(w[a:b])
         self.seen: dict[str, tuple[int, int] | None] = {}
 
-    def _near(self, token: str) -> bool:
-        """Two strings within k edits share one of k+1 pieces, moved by k places at most."""
+    def _possible(self, token: str) -> bool:
+        """Whether an entry can be near: it is there as it is, or it shares one of its k+1 pieces with the token, moved by k places at most."""
+        if token in self.plain[False] or any(token[:size] in self.plain[True] for size in self.sizes):
+            return True
         n = len(token)
-        for size in range(max(5, n - 2), n + 3):
-            if size not in self.pieces or abs(size - n) > (k := 1 if size < 10 else 2):
+        for (stem, size), cuts in self.pieces.items():
+            k = 1 if stem or size < 10 else 2
+            if n < size - k or n > size + k and not stem:
                 continue
-            for (a, b), found in self.pieces[size].items():
+            for (a, b), found in cuts.items():
                 for move in range(-k, k + 1):
                     if a + move >= 0 and token[a + move : b + move] in found:
                         return True
@@ -119,9 +128,11 @@ class Lexicon:
             node, state = stack.pop()
             for c, below in node.items():
                 if c == "":
-                    d = automaton.distance(state)
-                    if d <= edits_allowed(self.entries[below][0]) and (best is None or (d, below) < (best[1], best[0])):
-                        best = (below, d)
+                    for n in below:
+                        w, stem = self.entries[n]
+                        d = automaton.prefix_distance(state) if stem else automaton.distance(state)
+                        if d <= edits_allowed(w, stem) and (best is None or (d, n) < (best[1], best[0])):
+                            best = (n, d)
                 elif reached := automaton.step(state, c):
                     stack.append((below, reached))
         return best
@@ -130,16 +141,7 @@ class Lexicon:
         """(entry, edits) of a lower-case token, or None."""
         if token in self.seen:
             return self.seen[token]
-        found = None
-        for size in self.stem_sizes:
-            if token[:size] in self.stems:
-                found = (self.stems[token[:size]], 0)
-                break
-        if not found:
-            if token in self.words:
-                found = (self.words[token], 0)
-            elif 4 <= len(token) <= LONGEST and self._near(token):
-                found = self.search(token)
+        found = self.search(token) if self._possible(token) else None
         if len(self.seen) >= CACHE:
             self.seen.clear()
         self.seen[token] = found
@@ -147,34 +149,45 @@ class Lexicon:
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, bool, bool]], int]:
         """((entry, edits, quoted, addressed) of each hit; number of tokens)."""
-        tokens = TOKEN.findall(text.lower())
-        match, out = self.match, []
-        bad = {t for t in set(tokens) if match(t)}
-        if not bad:
-            return out, len(tokens)
-        at = [(m.start(), m.end()) for m in TOKEN.finditer(text.lower())]
-        low = text.lower()
-        for i, t in enumerate(tokens):
-            if t in bad:
-                near = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
-                before = low[at[max(0, i - WINDOW)][0] : at[i][0]]
-                after = low[at[i][1] : at[min(len(at) - 1, i + WINDOW)][1] + 1]
-                marked = any(c in MARKS for c in before) and any(c in MARKS for c in after)
-                entry, edits = match(t)
-                out.append((entry, edits, marked or any(w in REPORT for w in near), any(w in ADDRESS for w in near)))
-        return out, len(tokens)
+        c = Context(text)
+        bad = {t for t in set(c.tokens) if self.match(t)}
+        return [(*self.match(t), c.quoted(i), bool(ADDRESS & set(c.around(i)))) for i, t in enumerate(c.tokens) if t in bad] if bad else [], len(c.tokens)
+
+
+class Context:
+    """The tokens of a text and what stands within WINDOW words of each."""
+
+    def __init__(self, text: str):
+        self.low = text.lower()
+        self.tokens = TOKEN.findall(self.low)
+        self._at: list[tuple[int, int]] | None = None
+
+    def around(self, i: int) -> list[str]:
+        return self.tokens[max(0, i - WINDOW) : i] + self.tokens[i + 1 : i + 1 + WINDOW]
+
+    def quoted(self, i: int) -> bool:
+        """Between quotation marks, or near a verb of report."""
+        if REPORT & set(self.around(i)):
+            return True
+        self._at = self._at or [m.span() for m in TOKEN.finditer(self.low)]
+        before = self.low[self._at[max(0, i - WINDOW)][0] : self._at[i][0]]
+        after = self.low[self._at[i][1] : self._at[min(len(self._at) - 1, i + WINDOW)][1] + 1]
+        return any(m in before for m in MARKS) and any(m in after for m in MARKS)
+
+    def meant(self) -> set[str]:
+        """Tokens that occur outside quotation."""
+        if not REPORT.intersection(self.tokens) and not any(m in self.low for m in MARKS):
+            return set(self.tokens)
+        return {t for i, t in enumerate(self.tokens) if not self.quoted(i)}
 
 
 def features(found: list, n: int, weights: dict[tuple[int, int], float]) -> list[float]:
-    ws = []
-    exact = quoted = 0
-    for entry, edits, quote, address in found:
-        w = weights.get((entry, min(edits, 1)), 0.0)
-        if w > 0:
-            ws.append(w * (0.4 if quote else 1.0) * (1.2 if address else 1.0))
-            exact += edits == 0
-            quoted += quote
-    return [max(ws, default=0.0), min(sum(ws), 30.0), math.log1p(len(ws)), 100 * len(ws) / (n + 20), float(exact > 0), float(bool(ws)), quoted / max(1, len(ws))]
+    """found: (entry, edits, quoted, addressed) of each hit of a text with n tokens."""
+    hits = [(w, *h[1:]) for h in found if (w := weights.get((h[0], min(h[1], 1)), 0.0)) > 0]
+    total = sum(h[0] for h in hits)
+    share = lambda k: sum(h[0] for h in hits if h[k]) / total if total else 0.0
+    meant = max((w for w, _, quoted, _ in hits if not quoted), default=0.0)
+    return [meant, min(total, 30.0), math.log1p(len(hits)), 100 * len(hits) / (n + 20), float(any(h[1] == 0 for h in hits)), float(bool(hits)), share(2), share(3)]
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +222,7 @@ def pick_entries(rows: pd.DataFrame, negatives: int, positives: int) -> list[tup
             entries.append((stem, True))
     for r in pure[~pure.term.str.endswith("*") & (pure.p >= MIN_WORD)].sort_values(["p", "term"], ascending=[False, True]).itertuples():
         entries.append((r.term, False))
-    return entries[:ENTRIES]
+    return entries
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -233,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     sample = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     rows = saved(texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]), "toxicity")
-    sig = rows.mapInPandas(_signatures, "a long, b long, c long, doc_id long, toxic int").toPandas().sort_values("doc_id")
+    sig = rows.mapInPandas(tidy(_signatures), "a long, b long, c long, doc_id long, toxic int").toPandas().sort_values("doc_id")
     seen, keep = set(), []
     for r in sig.itertuples():
         own = {("a", r.a), ("b", r.b), ("c", r.c)}
@@ -247,23 +260,23 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     kept = spark.createDataFrame(pd.DataFrame({"doc_id": keep}), "doc_id long")
     rows = rows.join(F.broadcast(kept), "doc_id")
     # Partial counts of each partition meet in one sum; only terms that rows labelled 1 support reach the driver.
-    counts = rows.mapInPandas(_both_terms, "term string, n0 long, p0 long, n1 long, p1 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")))
+    counts = rows.mapInPandas(tidy(_both_terms), "term string, n0 long, p0 long, n1 long, p1 long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")))
     strong = counts.where((F.col("p0") > 0) & (F.col("p1") > 0) & (F.col("p0") + F.col("p1") >= MIN_WORD) & ((F.col("p0") + F.col("p1")) * (float(len(y) - y.sum()) / float(y.sum())) > 12 * (F.col("n0") + F.col("n1"))))
-    picked = strong.orderBy(F.desc(F.col("p0") + F.col("p1")), "term").limit(20 * ENTRIES).toPandas()
+    picked = strong.toPandas()  # terms of the bounded sample
     lexicon = Lexicon(pick_entries(picked, int(len(y) - y.sum()), int(y.sum())))
-    found = rows.mapInPandas(_hits_of(lexicon.entries), "toxic int, n int, hits string").toPandas()
-    hits = [json.loads(h) for h in found.hits]
-    pos, neg = Counter(), Counter()
-    for h, t in zip(hits, found.toxic):
-        (pos if t else neg).update({(e, min(d, 1)) for e, d, _, _ in h})
-    n_pos, n_neg = max(1, int(found.toxic.sum())), max(1, int(len(found) - found.toxic.sum()))
+    found = saved(rows.mapInPandas(tidy(_hits_of(lexicon.entries)), f"toxic int, n int, hits {_HITS}"), "toxicity")
+    kinds = F.array_distinct(F.transform("hits", lambda h: F.struct(h["entry"].alias("entry"), F.least(h["edits"], F.lit(1)).alias("kind"))))
+    sides = found.select("toxic", F.inline(kinds)).groupBy("entry", "kind").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).collect()  # two rows an entry
+    pos, neg = ({(r.entry, r.kind): r[c] for r in sides} for c in ("pos", "neg"))
+    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     weights = {}
     for n, _ in enumerate(lexicon.entries):
         for kind, (a, b) in enumerate(((0.5, 0.5), (1.0, 0.5 * n_neg / n_pos))):
-            p, q = (pos[n, kind] + a) / (n_pos + 1), (neg[n, kind] + b) / (n_neg + 1)
-            weights[n, kind] = math.log(p / q) if kind == 0 or neg[n, 1] else math.log((pos[n, 1] + 2.0) / n_pos * n_neg / (neg[n, 1] + 1.0))
-    x = np.array([features(h, n, weights) for h, n in zip(hits, found.n)])
-    return {"entries": lexicon.entries, "weights": weights, "w": _logistic(x, found.toxic.to_numpy(float)).tolist(), "share": share}
+            p, q = (pos.get((n, kind), 0) + a) / (n_pos + 1), (neg.get((n, kind), 0) + b) / (n_neg + 1)
+            weights[n, kind] = math.log(p / q) if kind == 0 or neg.get((n, 1)) else math.log((pos.get((n, 1), 0) + 2.0) / n_pos * n_neg)
+    fitted = found.mapInPandas(tidy(_features_of(weights)), "toxic int, x array<double>").toPandas()  # at most MAX_TRAIN rows
+    w = _logistic(np.stack(fitted.x.to_list()), fitted.toxic.to_numpy(float))
+    return {"entries": lexicon.entries, "weights": weights, "w": w.tolist(), "share": share}
 
 
 def _both_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,8 +285,8 @@ def _both_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     folds: list[Counter] = [Counter() for _ in range(4)]
     for b in batches:
         for doc_id, text, toxic in zip(b.doc_id, b.text, b.toxic):
-            ws = set(TOKEN.findall(text.lower()))
-            ws |= {w[:k] + "*" for w in ws if len(w) <= LONGEST for k in range(4, min(len(w), 10))}
+            ws = Context(text).meant()  # what a text only quotes says nothing about it
+            ws |= {w[:k] + "*" for w in ws for k in STEMS if k < len(w)}
             folds[2 * (xxhash.xxh64_intdigest(str(doc_id), 9) & 1) + (1 if toxic else 0)].update(ws)
             total.update(ws)
             if len(total) > 150_000:
@@ -290,12 +303,25 @@ def _counted(total: Counter, folds: list[Counter]) -> pd.DataFrame:
     return pd.DataFrame({"term": terms, **{c: np.fromiter((f[t] for t in terms), np.int64, len(terms)) for f, c in zip(folds, ("n0", "p0", "n1", "p1"))}})
 
 
+_HITS = "array<struct<entry:int,edits:int,quoted:boolean,addressed:boolean>>"
+
+
 def _hits_of(entries: list):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(entries)
         for b in batches:
             found = [lexicon.hits(t) for t in b.text]
-            yield pd.DataFrame({"toxic": b.toxic, "n": [n for _, n in found], "hits": [json.dumps(h) for h, _ in found]})
+            named = [[dict(zip(("entry", "edits", "quoted", "addressed"), h)) for h in hits] for hits, _ in found]
+            yield pd.DataFrame({"toxic": b.toxic, "n": [n for _, n in found], "hits": named})
+
+    return run
+
+
+def _features_of(weights: dict):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [[(h["entry"], h["edits"], h["quoted"], h["addressed"]) for h in hits] for hits in b.hits]
+            yield pd.DataFrame({"toxic": b.toxic, "x": [features(h, n, weights) for h, n in zip(rows, b.n)]})
 
     return run
 
@@ -320,7 +346,7 @@ def _scores_of(model: dict):
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
-    scored = texts(docs).mapInPandas(_scores_of(model), "doc_id long, score double")
+    scored = texts(docs).mapInPandas(tidy(_scores_of(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -336,8 +362,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         lexicon = Lexicon(model["entries"])
-        for b in batches:
+        for b in slices(batches):
             found = [t or "" for t in b.column(b.schema.get_field_index("text")).cast(pa.large_string()).to_pylist()]
             yield b.filter(pa.array(scores(found, lexicon, model) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

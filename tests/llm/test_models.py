@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -25,18 +26,23 @@ def plain_distance(a, b):
 def test_automaton_finds_what_distance_says():
     r = random.Random(6)
     entries = ["".join(r.choice("abcde") for _ in range(n)) for n in (4, 5, 6, 7, 8, 9, 10, 11, 12) for _ in range(6)]
-    lexicon = toxicity.Lexicon([(e, False) for e in dict.fromkeys(entries)])
-    words = [e for e, _ in lexicon.entries]
-    for _ in range(3000):
-        t = list(r.choice(words))
+    stems = ["".join(r.choice("abcde") for _ in range(n)) for n in (5, 6, 7, 8) for _ in range(3)]
+    lexicon = toxicity.Lexicon([(e, True) for e in stems] + [(e, False) for e in dict.fromkeys(entries)])
+
+    def near(t):
+        for n, (w, stem) in enumerate(lexicon.entries):
+            d = min(plain_distance(t[:k], w) for k in range(max(0, len(w) - 2), len(w) + 3)) if stem else plain_distance(t, w)
+            if d <= toxicity.edits_allowed(w, stem):
+                yield d, n
+
+    for _ in range(2000):
+        t = list(r.choice(entries + stems)) + [r.choice("abcdefg") for _ in range(r.choice([0, 0, 0, 3, 60]))]
         for _ in range(r.randint(0, 3)):
             k = r.randrange(len(t) + 1)
             t[k : k + r.randint(0, 1)] = [r.choice("abcde")] * r.randint(0, 1)
         t = "".join(t)
-        want = min((plain_distance(t, w) for w in words if plain_distance(t, w) <= toxicity.edits_allowed(w)), default=None)
-        got = lexicon.match(t) if len(t) >= 4 else None
-        if len(t) >= 4:
-            assert (got[1] if got else None) == want, t
+        want = min(near(t), default=None)
+        assert lexicon.match(t) == (want and (want[1], want[0])), t
 
 
 def test_context_window():
@@ -76,6 +82,48 @@ def test_toxicity_held_out(spark):
     assert kept == {r.doc_id for r in got if not r.predicted}
 
 
+def test_context_separates_quotation(spark):
+    """Where labels tell quotation from abuse, the window decides, for rows that were not learned from too."""
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioubcdlmnprst") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        ws, kind = [r.choice(words) for _ in range(30)], r.choice(["plain", "abuse", "abuse", "quote"])
+        bad = r.choice(["dreckweg", "blodkopf", "gruselig"])
+        if kind == "abuse":
+            ws[15] = bad
+        if kind == "quote":
+            ws[14:15] = ["wrote", f'"{bad}"']
+        rows.append((i, " ".join(ws)))
+        labels.append((i, 1, int(kind == "abuse")))
+    got = {x.doc_id: x for x in toxicity.toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [(got[i].predicted, t) for i, _, t in labels if got[i].held_out]
+    assert np.mean([p == t for p, t in held]) > 0.97 and sum(t for _, t in held) > 100
+
+
+def brute_scores(texts, model):
+    """The same score from plain edit distances to all entries."""
+    out = []
+    for text in texts:
+        found, tokens = [], toxicity.TOKEN.findall(text.lower())
+        for i, t in enumerate(tokens):
+            best = min(((d, n) for n, (w, stem) in enumerate(model["entries"]) if (d := min((plain_distance(t[:k], w) for k in range(max(0, len(w) - 2), len(w) + 3)), default=9) if stem else plain_distance(t, w)) <= toxicity.edits_allowed(w, stem)), default=None)
+            if best:
+                around = tokens[max(0, i - 6) : i] + tokens[i + 1 : i + 7]
+                found.append((best[1], best[0], bool(set(around) & toxicity.REPORT), bool(set(around) & toxicity.ADDRESS)))
+        z = np.dot([*toxicity.features(found, len(tokens), model["weights"]), 1.0], model["w"])
+        out.append(1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    docs, labels, _ = labelled(spark)
+    model = toxicity.train(docs, labels)
+    rows = docs.orderBy("doc_id").limit(60).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert [got[r.doc_id] for r in rows] == pytest.approx(brute_scores([r.text for r in rows], model))
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     docs, labels, _ = labelled(spark)
     model = toxicity.train(docs, labels)
@@ -171,6 +219,28 @@ def test_pages_awkward(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a title="x ' * 90_000, '<a title="x ' * 90_000 + ">", "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 60_000 + "<hr>" * 60_000, "<ul>" + "<b>" * 50_000 + "<li>" * 50_000, "<p>" + "<i>" * 60_000 + "</p>" * 60_000, "<!-- " * 200_000, "<script>" * 120_000, "&amp" * 250_000, "<x " + "a= " * 300_000 + ">", "<" * 1_000_000])
+def test_malformed_pages_take_linear_time(page):
+    """A megabyte of malformed markup; quadratic work would take minutes."""
+    began = time.process_time()
+    html.extract([page], html.trained())
+    assert time.process_time() - began < 40
+
+
+def test_kept_and_dropped_elements():
+    m = html.trained()
+    page = lambda body: f"<html><body><nav><a href=/>Home</a></nav><article><h1>A title of words</h1>{body}<p>Another paragraph, with more words in it than the first.</p></article></body></html>"
+    rest = "Another paragraph, with more words in it than the first."
+    for body, want in (
+        ("<p>Formula <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> follows, as every reader of this page will see.</p>", "Formula x = 1 follows, as every reader of this page will see."),
+        ("<p>A drawing <svg><title>t</title><style/><text>label</text></svg> and <object>a fallback</object> stand in this long paragraph.</p>", "A drawing label and a fallback stand in this long paragraph."),
+        ("<script>var a = '<p>';</script><style>p{}</style><p>Only this sentence, of some length, is text.</p><!-- no > -->", "Only this sentence, of some length, is text."),
+        ("<p title='a > b'>Brackets, in quotes, end no tag at all.</p><ul><li>one thing, <b>bold<li>another thing</ul>", "Brackets, in quotes, end no tag at all. one thing, bold another thing"),
+        ("<p>1 < 2 and 3 > 2, as all of us know well.</p>", "1 < 2 and 3 > 2, as all of us know well."),
+    ):
+        assert html.extract([page(body)], m) == [f"A title of words {want} {rest}"]
+
+
 def test_pages_query(spark):
     assert queries.op6_html(spark, DATA).where(F.length("text") > 0).count() == 50
 
