@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from ..conftest import DATA
 from pyspark.sql import functions as F
@@ -279,6 +280,24 @@ def brute_substring(rows):
     return sorted(out)
 
 
+def test_ranks_by_doubling():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 13, 16):
+        ids = r.integers(0, 3, 400)
+        rank = substring.ranked(ids, n)
+        seen = {}
+        for k in range(len(ids) - n + 1):
+            assert seen.setdefault(tuple(ids[k : k + n]), rank[k]) == rank[k]
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_equal_keys_do_not_cover():
+    """Pieces that share a key by chance are told apart by their words."""
+    a, b = (" ".join(f"{x}{i}" for i in range(14)).encode() for x in "ab")
+    rows = pd.DataFrame({"key": [5, 5, 5, 9], "doc_id": [1, 2, 3, 4], "text_key": [0, 0, 0, 0], "pos": [0, 7, 3, 0], "run": 0, "line": [a, b, b"x " + a, a]})
+    assert substring._subtree(rows).values.tolist() == [[3, 0, 4, 2]]
+
+
 def test_substring_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in queries.op9_substring(spark, DATA).collect()) == brute_substring(rows)
@@ -287,6 +306,7 @@ def test_substring_query(spark):
 @pytest.mark.parametrize("hot", [10_000, 1])
 def test_substring_awkward(spark, awkward, nothing, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "PIECES", 50)
     assert sorted((r[0] or 0, *r[1:]) for r in substring.repeats(awkward).collect()) == brute_substring(AWKWARD)
     r = random.Random(2)
     passage = [r.choice("abcd") for _ in range(40)]
