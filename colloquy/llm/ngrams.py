@@ -41,7 +41,7 @@ FILE = 1 << 18
 CHARS = 3 << 20  # characters that a task looks at together
 HELD = 3_000_000  # distinct pairs that a task holds before it sends them on
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line feed
-PROB, BACK = 4096.0, 16384.0  # steps per power of ten
+PROB, BACK = 4096.0, 4096.0  # steps per power of ten; 16 powers fit
 _ALL, _L8, _H8 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 _SELECT = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -56,12 +56,11 @@ def held_out(column: str = "doc_id"):
 class EliasFano:
     """A monotone sequence of unsigned numbers: low bits packed side by side, high parts in a unary bit vector."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
+        """ranks: set bits, then clear bits before each 64-bit word of high and in all, stored beside it."""
         self.n, self.l, self.low, self.high = n, low_bits, low, high
-        self.words = np.ascontiguousarray(high).view("<u8")
-        ones = np.bitwise_count(self.words).astype(np.int64)
-        self.ones = np.r_[0, np.cumsum(ones)]  # before each 64-bit word
-        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+        self.words = high.view("<u8")
+        self.ones, self.zeros = np.split(ranks.view("<u4"), [len(self.words) + 1])
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> tuple[dict, list[bytes]]:
@@ -75,16 +74,22 @@ class EliasFano:
             low = np.packbits(bits.reshape(-1), bitorder="little").tobytes() + b"\0" * 8
         else:
             low = b"\0" * 8
+        low += b"\0" * (-len(low) % 8)
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         size = int(universe >> low_bits) + n + 2
         high = np.zeros(-(-size // 64) * 64, np.uint8)
         high[at] = 1
-        high = np.packbits(high, bitorder="little").tobytes()
-        return {"n": n, "l": low_bits, "low": len(low), "high": len(high)}, [low, high]
+        high = np.packbits(high, bitorder="little")
+        ones = np.r_[0, np.cumsum(np.bitwise_count(high.view("<u8")), dtype=np.int64)]
+        if ones[-1] + 64 * len(ones) >= 1 << 32:
+            raise ValueError("a sequence is too long for 32-bit ranks")
+        ranks = np.r_[ones, 64 * np.arange(len(ones)) - ones].astype("<u4").tobytes()
+        return {"n": n, "l": low_bits, "low": len(low), "high": len(high), "ranks": len(ranks)}, [low, high.tobytes(), ranks]
 
     def _select(self, before: np.ndarray, i: np.ndarray, flip: np.uint64) -> np.ndarray:
         """Position of the i-th (from 0) set bit; with flip all ones, of the i-th clear one. Within a 64-bit word the
         eight bytes' running counts are compared at once."""
+        i = np.asarray(i).astype("<u4")  # the ranks' own type, so that they are searched where they lie
         word = np.searchsorted(before, i, side="right") - 1
         left = (i - before[word]).astype(np.uint64)
         x = self.words[np.minimum(word, len(before) - 2)] ^ flip
@@ -143,7 +148,7 @@ def _pack_file(parts: list[tuple[dict | int, list[bytes]]]) -> list[bytes]:
     """Header of 32 numbers, then the parts."""
     head, body = [], []
     for about, data in parts:
-        head += [about[k] for k in ("n", "l", "low", "high")] if isinstance(about, dict) else [about]
+        head += [about[k] for k in ("n", "l", "low", "high", "ranks")] if isinstance(about, dict) else [about]
         body += data
     return [np.array(head + [0] * (32 - len(head)), "<u8").tobytes(), *body]
 
@@ -163,8 +168,8 @@ class _File:
         return self.raw[self.at - size : self.at]
 
     def sequence(self) -> EliasFano:
-        n, low_bits, low, high = self.numbers(4)
-        return EliasFano(n, low_bits, self.take(low), self.take(high))
+        n, low_bits, low, high, ranks = self.numbers(5)
+        return EliasFano(n, low_bits, self.take(low), self.take(high), self.take(ranks))
 
 
 # ---- level 1
@@ -250,9 +255,9 @@ def _level_writer(folder: str, level: int, below):
         back = 1 - (b.kept.to_numpy(float) - DISCOUNT * b.kinds.to_numpy(float))[first] / (context[first] + MASS)
         code = np.clip(np.rint(-np.log10(p) * PROB), 0, 65535).astype("<u2")
         weight = np.zeros(pb - pa + 1, "<u2")
-        weight[parent[first] - pa] = np.clip(np.rint(-np.log10(np.clip(back, 1e-3, 1)) * BACK), 0, 65535)
+        weight[parent[first] - pa] = np.clip(np.rint(-np.log10(np.maximum(back, 1e-15)) * BACK), 0, 65535)
         name = f"{level}-{pa}-{int(child[0])}"
-        write_shared(f"{folder}/{name}", _pack_file([(pa, []), (pb, []), EliasFano.encode(pointers, len(parent)), EliasFano.encode(values, int(values[-1])), (len(c), [code.tobytes(), c.astype("<u4").tobytes()]), (len(weight), [weight.tobytes()])]))
+        write_shared(f"{folder}/{name}", _pack_file([(pa, []), (pb, []), EliasFano.encode(pointers, len(parent)), EliasFano.encode(values, int(values[-1])), (len(c), [c.astype("<u8").tobytes(), code.tobytes(), b"\0" * (-2 * len(c) % 8)]), (len(weight), [weight.tobytes()])]))
         yield pd.DataFrame({"name": [name], "parent": [pa], "child": [int(child[0])], "n": [len(c)]})
 
     return run
@@ -264,7 +269,7 @@ class _LevelFile:
         self.pa, self.pb = f.numbers(2)
         self.pointers, self.children = f.sequence(), f.sequence()
         n = f.numbers(1)[0]
-        self.code, self.count = f.take(2 * n).view("<u2"), f.take(4 * n).view("<u4")
+        self.count, self.code = f.take(8 * n).view("<u8"), f.take(2 * n + -2 * n % 8)[: 2 * n].view("<u2")
         self.weight = f.take(2 * f.numbers(1)[0]).view("<u2")
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -507,8 +512,9 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return texts(docs).mapInPandas(tidy(_scores_of(trie)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Learns from the training fold of docs and scores all rows."""
-    trie = build(texts(docs).where(~held_out()), order)
+def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    """Learns from the training fold of docs and scores all rows. min_count: how often an n-gram of two words or more has to
+    occur to be a node; what rarer ones would say comes from the words' own level."""
+    trie = build(texts(docs).where(~held_out()), order, min_count)
     out = score(docs, trie)
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
