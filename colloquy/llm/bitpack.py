@@ -9,7 +9,7 @@ are a few numpy operations on whole columns and any id is found from its number
 Documents are dealt to files by ascending doc_id; a task streams its rows through one block at a time. The file's name
 is the attempt's own, and only names that a finished task reported are read.
 
-Defined results: null and empty texts hold the end id alone; rows that repeat a doc_id follow each other; rows without
+Defined results: null and empty texts hold the end id alone; rows that repeat a doc_id follow each other in the order of their texts' hashes; rows without
 doc_id come first; an empty table gives no file and an empty result; other columns are ignored.
 """
 
@@ -132,23 +132,23 @@ def _writer_of(folder: str, path: str, end: int):
         encoder, tail, out, first = Encoder.of(path), np.array([end], "<u4").tobytes(), None, None
         bits = bits_for(max(encoder.vocabulary, end + 1))
         for b in batches:
-            for doc_id, text in zip(b.doc_id, b.text):
+            for doc_id, text, h in zip(b.doc_id, b.text, b.h):
                 out = out or Writer(f"{folder}/{uuid.uuid4().hex}.ids", bits)
-                first = (0 if pd.isna(doc_id) else 1, 0 if pd.isna(doc_id) else int(doc_id)) if first is None else first
+                first = (0 if pd.isna(doc_id) else 1, 0 if pd.isna(doc_id) else int(doc_id), int(h)) if first is None else first
                 out.add(-(2**63) if pd.isna(doc_id) else int(doc_id), encoder.ids(text) + tail)
         encoder.forget()
         if out:
             out.close()
-            yield pd.DataFrame({"file": [out.uri], "null_last": [first[0]], "first_id": [first[1]], "ids": [out.n], "docs": [len(out.doc_ids)]})
+            yield pd.DataFrame({"file": [out.uri], "null_last": [first[0]], "first_id": [first[1]], "first_h": [first[2]], "ids": [out.n], "docs": [len(out.doc_ids)]})
 
     return run
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """Writes the files; returns file, start (ids of all files before it), ids and docs, one row per file."""
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = saved(ordered.mapInPandas(tidy(_writer_of(folder, tokenizer or default_path(), end)), "file string, null_last int, first_id long, ids long, docs long"), "bitpack")
-    rows = files.orderBy("null_last", "first_id").toPandas()  # one row per file
+    ordered = texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    files = saved(ordered.mapInPandas(tidy(_writer_of(folder, tokenizer or default_path(), end)), "file string, null_last int, first_id long, first_h long, ids long, docs long"), "bitpack")
+    rows = files.orderBy("null_last", "first_id", "first_h").toPandas()  # one row per file
     rows["start"] = rows.ids.cumsum() - rows.ids
     schema = "file string, start long, ids long, docs long"
     return docs.sparkSession.createDataFrame(rows[["file", "start", "ids", "docs"]], schema)
