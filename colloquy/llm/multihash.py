@@ -1,11 +1,12 @@
 """Homomorphic multiset fingerprints of documents.
 
 A paragraph (line) hashes to a wide vector: DIGEST lanes modulo 2^64 from an extendable hash of the whole paragraph, and
-SKETCH lanes modulo 2^16, into which each 3-word shingle of the paragraph adds or subtracts one at a hashed lane. A
+SKETCH lanes modulo 2^32, into which each 3-word shingle of the paragraph adds or subtracts one at a hashed lane. A
 document's fingerprint is the lane-wise sum over its paragraphs, so the order of paragraphs does not matter, and
 paragraphs are inserted or deleted by adding or subtracting their vectors. Equal fingerprints mean equal multisets
 of paragraphs (up to collisions of the wide sum); the sketch lanes, read as signed numbers, give by their
-cosine the share of shingles that two documents have in common.
+cosine the share of shingles that two documents have in common; a lane would wrap beyond 2^31 equal
+shingles of one document.
 
 Defined results: null and empty texts are one empty paragraph; two texts without words are alike (1) if their
 fingerprints are equal, else 0; a single document is its own next one; rows that repeat a doc_id follow in the
@@ -38,7 +39,7 @@ class Multihash:
 
     def __init__(self, digest: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.digest = np.zeros(DIGEST, np.uint64) if digest is None else digest
-        self.sketch = np.zeros(SKETCH, np.uint16) if sketch is None else sketch
+        self.sketch = np.zeros(SKETCH, np.uint32) if sketch is None else sketch
 
     @classmethod
     def of(cls, text: str) -> Multihash:
@@ -62,16 +63,16 @@ class Multihash:
         up = ((x >> np.uint64(32)) & np.uint64(1)).astype(np.int64)
         sketch = 2 * np.bincount(lane, up, SKETCH).astype(np.int64) - np.bincount(lane, minlength=SKETCH)
         if sign < 0:
-            return Multihash(self.digest - digest, self.sketch - sketch.astype(np.uint16))
-        return Multihash(self.digest + digest, self.sketch + sketch.astype(np.uint16))
+            return Multihash(self.digest - digest, self.sketch - sketch.astype(np.uint32))
+        return Multihash(self.digest + digest, self.sketch + sketch.astype(np.uint32))
 
     def hex(self) -> str:
-        return (self.digest.astype("<u8").tobytes() + self.sketch.astype("<u2").tobytes()).hex()
+        return (self.digest.astype("<u8").tobytes() + self.sketch.astype("<u4").tobytes()).hex()
 
     def likeness(self, other: Multihash) -> float:
         if (self.digest == other.digest).all() and (self.sketch == other.sketch).all():
             return 1.0
-        a, b = self.sketch.view(np.int16).astype(np.float64), other.sketch.view(np.int16).astype(np.float64)
+        a, b = self.sketch.view(np.int32).astype(np.float64), other.sketch.view(np.int32).astype(np.float64)
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return min(1.0, max(0.0, float(a @ b) / norm)) if norm else 0.0
 
