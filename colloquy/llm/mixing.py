@@ -21,6 +21,7 @@ equal decisions; an empty table gives an empty result; other columns are kept by
 from __future__ import annotations
 
 import json
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ MAX_TRAIN = 20_000
 TARGETS = {"quality0": 0.08, "quality1": 0.92}
 STEPS = 40
 TOLERANCE = 1e-5
+MISSED = 1e-3  # share of all tokens by which a domain may miss its target without a warning
 BUCKETS = 64  # hashed word-ending shares besides the shape features
 SHAPE = 23
 
@@ -170,7 +172,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], max
     weight = np.array([targets.get(d, 0.0) for d in domains])
     weight = weight / weight.sum() if weight.sum() else there / max(there.sum(), 1e-9)
     if not there.sum():
-        return 1.0, [], {"totals": there, "wanted": there}
+        return 1.0, [], {"totals": there, "wanted": there, "steps": 0, "gap": 0.0}
     wanted = weight * np.min((there * min(max_rate, 1e9) / np.maximum(weight, 1e-12))[weight > 0]) if max_rate < 1e9 else weight * there.sum()
     start = float(min(max_rate, wanted.sum() / there.sum()))
     whole = metric = np.linalg.pinv(moment + 1e-9 * np.trace(moment) * np.eye(k))
@@ -192,7 +194,8 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], max
         totals = np.array([sums.get(c, 0.0) for c in range(k)])
         free = np.array([sums.get(k + c, 0.0) for c in range(k * k)]).reshape(k, k)
         metric = np.linalg.pinv(free + 1e-9 * np.trace(free) * np.eye(k)) if np.trace(free) > 0 else whole
-    return start, moves, {"totals": totals, "wanted": wanted, "steps": len(moves)}
+    gap = float(np.abs(totals - wanted).max() / max(wanted.sum(), 1e-9))
+    return start, moves, {"totals": totals, "wanted": wanted, "steps": len(moves), "gap": gap}
 
 
 def _uniform(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -201,14 +204,17 @@ def _uniform(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column | None, max_rate: float):
-    """(members, model, start, moves): what rates follow from; model is None without labelled rows."""
+    """(members, model, start, moves, report): what rates follow from; model is None without labelled rows. A warning says if the targets
+    are missed."""
     domain = F.concat(F.lit("quality"), F.col("quality")) if domain is None else domain
     model = train(docs, labels, domain)
     if model is None:
-        return None, None, 1.0, []
+        return None, None, 1.0, [], {}
     members = saved(texts(docs).mapInPandas(tidy(_posteriors_of(model)), "doc_id long, text_key long, n_tokens long, posterior array<double>"), "mixing")
-    start, moves, _ = solve(members, model.domains, targets, max_rate)
-    return members, model, start, moves
+    start, moves, report = solve(members, model.domains, targets, max_rate)
+    if report["gap"] > MISSED:
+        warnings.warn(f"mixing targets are missed by {report['gap']:.3g} of all tokens", stacklevel=3)
+    return members, model, start, moves, report
 
 
 def _copies(rate: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -228,18 +234,19 @@ def _rates_of(model: Softmax, start: float, moves: list[np.ndarray], max_rate: f
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, posterior (JSON of domain to probability), rate, copies."""
-    members, model, start, moves = _plan(docs, labels, targets, domain, max_rate)
+    """One row per row of docs: doc_id, n_tokens, posterior (JSON of domain to probability), rate, copies, and target_gap: by what
+    share of all tokens the expected totals miss the targets at most (null without labelled rows)."""
+    members, model, start, moves, report = _plan(docs, labels, targets, domain, max_rate)
     if model is None:
         n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long")
-        return texts(docs).select("doc_id", n.alias("n_tokens"), F.lit("{}").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-    return members.mapInPandas(tidy(_rates_of(model, start, moves, max_rate)), "doc_id long, n_tokens long, posterior string, rate double, copies long")
+        return texts(docs).select("doc_id", n.alias("n_tokens"), F.lit("{}").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("double").alias("target_gap"))
+    return members.mapInPandas(tidy(_rates_of(model, start, moves, max_rate)), "doc_id long, n_tokens long, posterior string, rate double, copies long").withColumn("target_gap", F.lit(report["gap"]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, max_rate: float = 1.0) -> DataFrame:
     """docs as often as their copies say, all columns. The last pass reads the texts once more to find their rates, so no
     row is moved."""
-    _, model, start, moves = _plan(docs, labels, targets, domain, max_rate)
+    _, model, start, moves, _ = _plan(docs, labels, targets, domain, max_rate)
     if model is None:
         return docs
 

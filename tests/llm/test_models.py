@@ -151,19 +151,43 @@ def test_rates_reach_targets(spark):
         assert (n * rate * p).sum() / (n * rate).sum() == pytest.approx(targets["quality0"], abs=2e-3)
 
 
-def test_projected_descent_equals_plain_least_squares():
-    """The steps' vectors alone give the rates that projected gradient descent on all rates gives."""
+def plain_least_squares(p, n, wanted, start, most, steps=4000):
+    """Projected gradient descent on all rates with a small fixed step; the same metric the operator starts from."""
+    r = np.full(len(n), start)
+    metric = np.linalg.pinv((p * n[:, None]).T @ p)
+    for _ in range(steps):
+        r = np.clip(r - 0.05 * p @ (metric @ ((n * r) @ p - wanted)), 0, most)
+    return r
+
+
+@pytest.mark.parametrize("targets,most", [({"a": 0.6, "b": 0.3, "c": 0.1}, 1.0), ({"a": 0.1, "b": 0.1, "c": 0.8}, 4.0), ({"a": 1.0}, 1e9)])
+def test_projected_descent_equals_plain_least_squares(spark, targets, most):
+    """What the passes over the table reach is what plain least squares over all rates reaches: exactly where the targets can be met,
+    within a hundredth of all tokens where the rates' bounds forbid it."""
     r = np.random.default_rng(2)
     p = r.dirichlet([0.3, 0.3, 0.3], 500)
-    n = r.integers(1, 400, 500).astype(float)
-    there = n @ p
-    wanted = np.array([0.6, 0.3, 0.1]) * there.sum() * 0.9
-    moves, totals = [], there.copy()
-    metric = np.linalg.pinv((p * n[:, None]).T @ p)
-    for _ in range(60):
-        moves.append(metric @ (totals - wanted))
-        totals = (n * mixing.rate_of(p, 1.0, moves, 1e9)) @ p
-    assert np.abs(totals - wanted).max() < 1e-6 * wanted.sum()
+    n = r.integers(1, 400, 500)
+    members = spark.createDataFrame([(int(x), y.tolist()) for x, y in zip(n, p)], "n_tokens long, posterior array<double>")
+    start, moves, report = mixing.solve(members, ["a", "b", "c"], targets, most)
+    rate = mixing.rate_of(p, start, moves, most)
+    assert (rate >= 0).all() and (rate <= most).all() and report["totals"] == pytest.approx((n * rate) @ p, rel=1e-9)
+    plain = (n * plain_least_squares(p, n, report["wanted"], start, most)) @ p
+    miss = lambda t: ((t - report["wanted"]) ** 2).sum() ** 0.5 / report["wanted"].sum()
+    assert miss(report["totals"]) <= miss(plain) + (1e-3 if miss(plain) < 1e-3 else 1e-2)
+    assert report["gap"] == pytest.approx(np.abs(report["totals"] - report["wanted"]).max() / report["wanted"].sum())
+
+
+def test_mixing_query(spark):
+    """Rates, copies and the gap of the query follow from its posteriors."""
+    got = queries.op2_mixing(spark, DATA).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs) and all(r.n_tokens == len((docs[r.doc_id] or "").split()) for r in got)
+    p = [json.loads(r.posterior) for r in got]
+    assert all(sum(x.values()) == pytest.approx(1) for x in p) and all(0 <= r.rate <= 1 and int(r.rate) <= r.copies <= int(r.rate) + 1 for r in got)
+    totals = {d: sum(r.n_tokens * r.rate * x[d] for r, x in zip(got, p)) for d in mixing.TARGETS}
+    whole = sum(totals.values())
+    gap = {r.target_gap for r in got}
+    assert len(gap) == 1 and all(abs(totals[d] / whole - t) < 1e-3 + 2 * max(gap) for d, t in mixing.TARGETS.items())
 
 
 def test_mixing_awkward(spark, awkward, nothing):
@@ -258,3 +282,45 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
     assert packed.columns == corpus_pipeline.run(spark, DATA).columns
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_pipeline_awkward(spark, rows):
+    """Nulls, empty and very long texts, repeated ids, names that clash, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    docs = table(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.saved(stage(spark, docs, DATA), "test")
+        assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    kept = [r.doc_id for r in docs.collect()]
+    assert sorted({r.doc_id or 0 for r in packed}) == sorted({i or 0 for i in kept}) and sum(r.piece == 0 for r in packed) == len(kept)
+    if rows:
+        assert {1, 8, 10, 11, None} - set(kept) <= {1, 8, 10, 11, None}
+
+
+def brute_pipeline_copies(rows):
+    """doc_ids that exact and near dedup leave: largest of equal texts, then the smallest of what is linked."""
+    from . import test_dedup as D
+
+    best = {}
+    for i, t in rows:
+        best[t] = max(best.get(t, i), i)
+    left = sorted((i, t) for t, i in best.items())
+    pairs, missed = D.linked_by_similarity(left)
+    root = D.brute_components(pairs, range(len(left)))
+    return {left[k][0] for k in set(root.values())}, missed
+
+
+def test_pipeline_dedup_by_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    out = corpus_pipeline.saved(stages["exact dedup"](spark, docs, DATA), "test")
+    kept = {r.doc_id for r in stages["near dedup"](spark, out, DATA).collect()}
+    want, missed = brute_pipeline_copies(rows)
+    assert kept == want or missed
