@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, composites, joins, rows, sequences, texts
+from .plans import aggregates, composites, corpora, joins, rows, sequences, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (joins, sequences, aggregates, texts, rows, composites):
+for _part in (joins, sequences, aggregates, texts, rows, composites, corpora):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
 FLAGSHIP = "jn1_map_speakers"

@@ -156,3 +156,19 @@ def number_shapes(rows: DataFrame, top: int = 20, examples: int = 3) -> DataFram
         met = met.withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= examples).drop("_k")
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "at", "raw"))), lambda x: x["raw"]), "|")
     return best.join(met.groupBy("shape").agg(told.alias("examples")), "shape").select("shape", "n", "examples")
+
+
+def masks_names(wanted: Column, grade: Column) -> Column:
+    """Whether names are masked: always in calls of grade standard or excluded, else as wanted."""
+    return F.when(grade.isin("standard", "excluded"), True).otherwise(F.coalesce(wanted, F.lit(False)))
+
+
+def detected(text: Column, names: Column, grade: Column, name_spans: Column) -> Column:
+    """Spans of all rules and, where the call's grade or `names` asks for it, name_spans of the same text."""
+    asked = masks_names(names, grade)
+    return F.concat(pii_spans(text), F.when(asked, name_spans).otherwise(F.array().cast(SPAN)))
+
+
+def detected_batch(rows: DataFrame, name_spans: Column, names: bool = True) -> DataFrame:
+    """rows(id, text, grade) -> id and the scored candidates of each text; names are looked for unless the caller says otherwise."""
+    return rows.select("id", scored(detected(F.col("text"), F.lit(names), F.col("grade"), name_spans)).alias("spans"))

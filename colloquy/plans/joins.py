@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cosine
 from ..operators import clustering
 from ..operators import intervals as I
-from ..operators import sequences as S
 from ..sources import tables as T
 
 QUERIES: dict = {}

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import numbers as N
 from ..functions import pii as P
-from ..functions import texts as X
 from ..operators import clustering
 from ..operators import intervals as I
 from ..operators import sequences as S
