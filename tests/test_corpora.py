@@ -103,7 +103,7 @@ def test_small_rules(spark):
 def test_detection_by_grade(spark):
     text = "김철수 고객님 010-1234-5678"
     df = spark.createDataFrame([(1, text, "premium"), (2, text, "standard"), (3, text, None), (4, text, "excluded"), (5, None, "standard")], "id long, text string, grade string")
-    spans = names.surname_spans(F.col("text"))
+    spans = names.surname_spans(F.col("text"), ("고객",))
     for asked, ids in ((False, {2, 4}), (True, {1, 2, 3, 4})):
         got = {r.id: [s.type for s in r.spans] for r in P.detected_batch(df, spans, asked).collect()}
         assert got == {i: ["전화번호", *(["이름"] if i in ids else [])] if i < 5 else [] for i in range(1, 6)}
