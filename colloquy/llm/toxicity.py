@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 WINDOW = 6  # words on each side of a hit
 MIN_WORD, MIN_STEM = 5, 8  # rows labelled 1 that support an entry
 STEMS = range(4, 10)  # lengths of stems
-CACHE = 100_000  # tokens whose match is remembered
+CACHE = 250_000  # tokens whose match is remembered
 TOKEN = re.compile(r"[^\W_]+")
 # Marks and verbs of quotation, words of address.
 MARKS = "\"“”„«»‹›"
@@ -115,7 +115,8 @@ class Lexicon:
             if n < size - k or n > size + k and not stem:
                 continue
             for (a, b), found in cuts.items():
-                for move in range(-k, k + 1):
+                # if only the first piece is left whole, nothing stands before it
+                for move in range(-k, k + 1) if a else (0,):
                     if a + move >= 0 and token[a + move : b + move] in found:
                         return True
         return False
