@@ -6,6 +6,10 @@ set cells before its own, so n digests fill exactly n slots. A slot holds the wh
 doc_id, number of copies); a lookup counts only if all 32 bytes agree. Rows that aren't in the index are
 grouped by digest apart.
 
+Without a history of its own a table is split: half of its doc_ids, by hash, count as seen before. The index holds the distinct digests of
+that half; lookups of the other half move the winners and counts of the slots they hit, then all rows look up theirs, and
+nonmembers, texts that the first half lacks, group among themselves. The result does not depend on the split.
+
 Defined results: null text is the empty text; repeated rows count as copies; rows without doc_id are compared as if
 their doc_id were smaller than any; an empty table gives an empty result; other columns are ignored.
 """
@@ -49,19 +53,23 @@ def build_hash(digests: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return levels, slot
 
 
+def _packed(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
 def pack_shard(digests: np.ndarray, winners: np.ndarray, copies: np.ndarray) -> bytes:
     levels, slot = build_hash(digests)
     order = np.argsort(slot)
-    out = io.BytesIO()
-    np.savez(out, sizes=np.array([len(x) for x in levels]), cells=np.packbits(np.concatenate([*levels, np.zeros(0, bool)])), digests=digests[order], winners=winners[order], copies=copies[order])
-    return out.getvalue()
+    return _packed(sizes=np.array([len(x) for x in levels], np.int64), cells=np.packbits(np.concatenate([*levels, np.zeros(0, bool)])), digests=digests[order], winners=winners[order], copies=copies[order])
 
 
 class Shard:
     def __init__(self, blob: bytes):
         z = np.load(io.BytesIO(blob))
-        self.sizes, self.digests, self.winners, self.copies = z["sizes"], z["digests"], z["winners"], z["copies"]
-        cells = np.unpackbits(z["cells"])[: self.sizes.sum()].astype(bool)
+        self.sizes, self.packed, self.digests, self.winners, self.copies = z["sizes"], z["cells"], z["digests"], z["winners"], z["copies"]
+        cells = np.unpackbits(self.packed)[: self.sizes.sum()].astype(bool)
         self.levels, at, base = [], 0, 0
         for m in self.sizes:
             level = cells[at : at + m]
@@ -86,6 +94,14 @@ class Shard:
         return found
 
 
+    def merge(self, digests: np.ndarray, winners: np.ndarray, copies: np.ndarray) -> bytes:
+        """The shard with further copies of members counted in; digests are distinct and all members."""
+        at = self.find(digests)
+        self.winners[at] = np.maximum(self.winners[at], winners)
+        self.copies[at] += copies
+        return _packed(sizes=self.sizes, cells=self.packed, digests=self.digests, winners=self.winners, copies=self.copies)
+
+
 def _bytes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 32)
 
@@ -136,21 +152,41 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "deal").cogroup(copies.groupBy("shard", "deal")).applyInPandas(_lookup, _FOUND)
 
 
+def _moved(index: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    blobs = list(index.blob)
+    if len(index) and len(more):
+        blobs = [Shard(blobs[0]).merge(_bytes(more.digest), more.winner.to_numpy(np.int64), more.copies.to_numpy(np.int64))]
+    return pd.DataFrame({"shard": index.shard, "blob": blobs})
+
+
+def with_copies(index: DataFrame, shards: int, rows: DataFrame) -> DataFrame:
+    """The index with rows(doc_id, digest) counted in where their digests are members."""
+    hit = look_up(rows, index, shards).where("member")
+    more = hit.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("winner"), F.count("*").alias("copies"))
+    more = saved(more.withColumn("shard", _shard_of("digest", shards)), "exact")
+    return saved(index.groupBy("shard").cogroup(more.groupBy("shard")).applyInPandas(_moved, "shard int, blob binary"), "exact")
+
+
+def historic():
+    """Which rows count as seen before where no history is given."""
+    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(2)) == 0
+
+
 def exact_duplicates(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    history: documents seen before (default: docs themselves). A row whose text is in the history
+    history: documents seen before (default: half of docs themselves, see above). A row whose text is in a history of its own
     belongs to the group of its winner there; the others are grouped among themselves. Of equal texts the row with the
     largest doc_id stays.
     """
     rows = saved(digests(docs), "exact")
-    index, shards = build_index(rows if history is None else digests(history))
-    found = look_up(rows, index, shards)
-    if history is not None:
-        found = saved(found, "exact")
-        fresh = found.where("not member")
-        groups = saved(fresh.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact")
-        found = found.where("member").select("doc_id", "digest", "keep_id", "group_size").union(fresh.select("doc_id", "digest").join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size"))
+    index, shards = build_index(rows.where(historic()) if history is None else digests(history))
+    if history is None:
+        index = with_copies(index, shards, rows.where(~historic()))
+    found = saved(look_up(rows, index, shards), "exact")
+    fresh = found.where("not member")
+    groups = saved(fresh.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("keep_id"), F.count("*").alias("group_size")), "exact")
+    found = found.where("member").select("doc_id", "digest", "keep_id", "group_size").union(fresh.select("doc_id", "digest").join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size"))
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

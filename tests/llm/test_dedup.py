@@ -256,6 +256,23 @@ def test_exact_awkward(spark, awkward, nothing, monkeypatch):
     assert exact.keep_one(awkward).columns == awkward.columns
 
 
+def test_exact_both_branches(spark, monkeypatch):
+    """Members and nonmembers of the table's own first half, with hot groups in either."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact, "DEALT", 50)
+    r = random.Random(3)
+    texts = [r.choice(["hot one", "hot two", *(f"text {k}" for k in range(200))]) if r.random() < 0.7 else "hot one" for _ in range(900)]
+    docs = table(spark, list(enumerate(texts)))
+    keep, size = {t: i for i, t in enumerate(texts)}, defaultdict(int)
+    for t in texts:
+        size[t] += 1
+    want = {(i, keep[t], size[t], keep[t] == i) for i, t in enumerate(texts)}
+    for old in (exact.historic, lambda: F.col("doc_id") < 40, lambda: F.lit(False), lambda: F.lit(True)):
+        monkeypatch.setattr(exact, "historic", old)
+        assert {tuple(x)[:4] for x in exact.exact_duplicates(docs).collect()} == want
+
+
 def test_exact_with_history(spark):
     history, new = table(spark, [(1, "a"), (2, "a"), (3, "b")]), table(spark, [(10, "a"), (11, "c"), (12, "c"), (13, "d")])
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(new, history).collect()}
