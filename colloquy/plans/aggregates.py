@@ -139,9 +139,11 @@ def agg24_topic_keywords(spark, d):
     docs = T.table(spark, d, "documents")
     toks = docs.select(F.col("lang").alias("topic"), "doc_id", F.explode(F.filter(F.split("text", "[ \n\t\r]+"), lambda t: F.length(t) >= 2)).alias("tok"))
     c = toks.groupBy("topic", "tok").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    g, s = c.groupBy("tok").agg(F.sum("n").alias("gf")), c.groupBy("topic").agg(F.sum("n").alias("total"))
+    s = c.groupBy("topic").agg(F.sum("n").alias("total"))
     rows = docs.agg(F.count("*").alias("rows"))
-    r = c.join(g, "tok").join(s, "topic").crossJoin(F.broadcast(rows))  # one row: the number of documents
+    # a token's topics are few: its counts stay together instead of being joined to their sum
+    by = c.groupBy("tok").agg(F.sum("n").alias("gf"), F.collect_list(F.struct("topic", "n", "first")).alias("by"))
+    r = by.select("tok", "gf", F.inline("by")).join(s, "topic").crossJoin(F.broadcast(rows))  # one row: the number of documents
     r = r.withColumn("score", F.round((F.col("n") / F.col("total")) * (F.col("rows") / F.col("gf")), 9))
     return S.top_per(r, ["topic"], [F.desc("score"), F.col("first"), F.col("tok")], 20).select("topic", "tok", "score")
 
