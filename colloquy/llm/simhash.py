@@ -88,8 +88,15 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
 def fingerprint(text: str) -> int:
-    ws = text.encode("utf-8", "surrogatepass").lower().split()
+    return _narrow(_words(text))
+
+
+def _narrow(ws: list[bytes]) -> int:
     if not ws:
         return 0
     h = xxhash.xxh64_intdigest
@@ -99,7 +106,7 @@ def fingerprint(text: str) -> int:
 
 def wide_fingerprint(text: str) -> np.ndarray:
     """256 bits over the set of five-word shingles; without words all clear."""
-    return _wide(_shingles(text.encode("utf-8", "surrogatepass").lower().split()))
+    return _wide(_shingles(_words(text)))
 
 
 def _wide(x: np.ndarray) -> np.ndarray:
@@ -135,8 +142,9 @@ def _sketches_of(folder: str):
         for b in chunks(batches):
             small, wide, where, sizes, short = [], [], [], [], []
             for text in b.text:
-                x = _shingles(text.encode("utf-8", "surrogatepass").lower().split())
-                small.append(fingerprint(text))
+                ws = _words(text)
+                x = _shingles(ws)
+                small.append(_narrow(ws))
                 wide.append(_wide(x))
                 grams = np.unique((x >> np.uint64(32)).astype("<u4"))
                 short.append(grams.astype(np.int64).tolist() if len(grams) <= SHORT else None)
