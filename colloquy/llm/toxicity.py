@@ -103,22 +103,38 @@ class Lexicon:
                 cuts = [len(w) * p // (k + 1) for p in range(k + 2)]
                 for a, b in zip(cuts, cuts[1:]):
                     self.pieces.setdefault((stem, len(w)), {}).setdefault((a, b), set()).add(w[a:b])
+        self.slices: dict[int, list[tuple[int, int, set[str]]]] = {}
+        self.longest = max((len(w) for w, _ in entries), default=0) + 3
         self.seen: dict[str, tuple[int, int] | None] = {}
-
-    def _possible(self, token: str) -> bool:
-        """Whether an entry can be near: it is there as it is, or it shares one of its k+1 pieces with the token, moved by k places at most."""
-        if token in self.plain[False] or any(token[:size] in self.plain[True] for size in self.sizes):
-            return True
-        n = len(token)
+        self.bad: set[str] = set()  # tokens seen that match
+
+    def _slices(self, n: int) -> list[tuple[int, int, set[str]]]:
+        """Where in a token of n letters which pieces would stand, moved by k places at most; if only the first piece is left whole,
+        nothing stands before it. Stems themselves stand at the beginning."""
+        out: dict[tuple[int, int], set[str]] = {}
+        for size in self.sizes:
+            out.setdefault((0, size), set()).update(w for w in self.plain[True] if len(w) == size)
         for (stem, size), cuts in self.pieces.items():
             k = 1 if stem or size < 10 else 2
             if n < size - k or n > size + k and not stem:
                 continue
             for (a, b), found in cuts.items():
-                # if only the first piece is left whole, nothing stands before it
                 for move in range(-k, k + 1) if a else (0,):
-                    if a + move >= 0 and token[a + move : b + move] in found:
-                        return True
+                    if a + move >= 0:
+                        out.setdefault((a + move, b + move), set()).update(found)
+        return [(a, b, found) for (a, b), found in out.items()]
+
+    def _possible(self, token: str) -> bool:
+        """Whether an entry can be near: it is there as it is, or it shares one of its k+1 pieces with the token."""
+        if token in self.plain[False]:
+            return True
+        n = min(len(token), self.longest)
+        slices = self.slices.get(n)
+        if slices is None:
+            slices = self.slices[n] = self._slices(n)
+        for a, b, found in slices:
+            if token[a:b] in found:
+                return True
         return False
 
     def search(self, token: str) -> tuple[int, int] | None:
@@ -140,19 +156,22 @@ class Lexicon:
 
     def match(self, token: str) -> tuple[int, int] | None:
         """(entry, edits) of a lower-case token, or None."""
-        if token in self.seen:
-            return self.seen[token]
-        found = self.search(token) if self._possible(token) else None
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        self.seen[token] = found
-        return found
+        if token not in self.seen:
+            if len(self.seen) >= CACHE:
+                self.seen.clear()
+            found = self.seen[token] = self.search(token) if self._possible(token) else None
+            if found:
+                self.bad.add(token)
+        return self.seen[token]
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, bool, bool]], int]:
         """((entry, edits, quoted, addressed) of each hit; number of tokens)."""
         c = Context(text)
-        bad = {t for t in set(c.tokens) if self.match(t)}
-        return [(*self.match(t), c.quoted(i), bool(ADDRESS & set(c.around(i)))) for i, t in enumerate(c.tokens) if t in bad] if bad else [], len(c.tokens)
+        for t in set(c.tokens).difference(self.seen):
+            self.match(t)
+        if self.bad.isdisjoint(c.tokens):
+            return [], len(c.tokens)
+        return [(*self.match(t), c.quoted(i), not ADDRESS.isdisjoint(c.around(i))) for i, t in enumerate(c.tokens) if t in self.bad], len(c.tokens)
 
 
 class Context:
@@ -162,14 +181,19 @@ class Context:
         self.low = text.lower()
         self.tokens = TOKEN.findall(self.low)
         self._at: list[tuple[int, int]] | None = None
+        self._marked: bool | None = None
 
     def around(self, i: int) -> list[str]:
         return self.tokens[max(0, i - WINDOW) : i] + self.tokens[i + 1 : i + 1 + WINDOW]
 
     def quoted(self, i: int) -> bool:
         """Between quotation marks, or near a verb of report."""
-        if REPORT & set(self.around(i)):
+        if not REPORT.isdisjoint(self.around(i)):
             return True
+        if self._marked is None:
+            self._marked = any(m in self.low for m in MARKS)
+        if not self._marked:
+            return False
         self._at = self._at or [m.span() for m in TOKEN.finditer(self.low)]
         before = self.low[self._at[max(0, i - WINDOW)][0] : self._at[i][0]]
         after = self.low[self._at[i][1] : self._at[min(len(self._at) - 1, i + WINDOW)][1] + 1]
