@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import aggregates, composites, corpora, joins, labels, rows, sequences, texts
+from .plans import aggregates, composites, corpora, joins, labels, reports, rows, sequences, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (joins, sequences, aggregates, texts, rows, composites, corpora, labels):
+for _part in (joins, sequences, aggregates, texts, rows, composites, corpora, labels, reports):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
 FLAGSHIP = "jn1_map_speakers"

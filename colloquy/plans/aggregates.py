@@ -178,10 +178,14 @@ def agg28_at_least_three(spark, d):
     return T.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@query("""SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS active, count(*) FILTER (WHERE o_orderstatus = 'O') AS queued, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS latest FROM orders""")
+@query("""WITH o AS (SELECT *, o_orderstatus = 'P' AND o_orderkey % 2 = 0 AS held FROM orders WHERE o_orderstatus IN ('P', 'O'))
+ SELECT count(*) FILTER (WHERE held) > 0 AS gpu_busy, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) FILTER (WHERE held) AS current_task, count(*) FILTER (WHERE NOT held) AS queue_depth,
+ round(count(*) FILTER (WHERE held) / count(*), 6) AS utilisation, arg_min(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) FILTER (WHERE NOT held) AS next_task FROM o""")
 def agg29_queue_snapshot(spark, d):
-    latest = F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"]
-    return T.table(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "P").alias("active"), F.count_if(F.col("o_orderstatus") == "O").alias("queued"), latest.alias("latest"))
+    held = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)
+    at = F.struct("o_orderdate", "o_orderkey")
+    o = T.table(spark, d, "orders").where("o_orderstatus in ('P', 'O')").withColumn("held", held)
+    return o.agg((F.count_if("held") > 0).alias("gpu_busy"), F.max(F.when(F.col("held"), at))["o_orderkey"].alias("current_task"), F.count_if(~F.col("held")).alias("queue_depth"), F.round(F.count_if("held") / F.count("*"), 6).alias("utilisation"), F.min(F.when(~F.col("held"), at))["o_orderkey"].alias("next_task"))
 
 
 @query(f"""WITH {T.SQL_UTTERANCES}, s AS (SELECT session_id, count(DISTINCT speaker) AS speakers, count(*) AS n FROM utterances GROUP BY ALL)
@@ -197,11 +201,11 @@ def agg31_session_rollup(spark, d):
 
 
 @query(f"""WITH {T.SQL_WORDS}, s AS (SELECT session_id, min(start_sec) AS a, max(end_sec) AS b FROM words GROUP BY ALL), e AS (SELECT session_id, speaker, max(end_sec) AS last FROM words GROUP BY ALL)
- SELECT session_id, speaker FROM e JOIN s USING (session_id) WHERE last - a < 0.9 * (b - a)""")
+ SELECT session_id, speaker FROM e JOIN s USING (session_id) WHERE last - a < 0.5 * (b - a)""")
 def agg32_early_speakers(spark, d):
     e = T.words(spark, d).groupBy("session_id", "speaker").agg(F.max("end_sec").alias("last"), F.min("start_sec").alias("first"))
     w = Window.partitionBy("session_id")
-    return e.withColumn("a", F.min("first").over(w)).withColumn("b", F.max("last").over(w)).where("last - a < 0.9 * (b - a)").select("session_id", "speaker")
+    return e.withColumn("a", F.min("first").over(w)).withColumn("b", F.max("last").over(w)).where("last - a < 0.5 * (b - a)").select("session_id", "speaker")
 
 
 @query("""SELECT o_custkey, o_orderkey, rn FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate DESC NULLS LAST, o_orderkey) AS rn FROM orders) WHERE rn <= 3""")
