@@ -92,3 +92,49 @@ def normalize_gain(samples: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def snr(samples: pd.Series) -> pd.Series:
     return samples.map(lambda a: segmental_snr(np.asarray(a, np.float32)))
+
+
+def spans_of(a: np.ndarray, spans: list[tuple[float, float]], rate: int) -> np.ndarray:
+    """The samples of spans in seconds, merged where they touch, in order; cut to the audio."""
+    at = sorted((max(0, min(int(b * rate), len(a))), max(0, min(int(e * rate), len(a)))) for b, e in spans)
+    keep = np.zeros(len(a) + 1, np.int64)
+    for b, e in at:
+        if e > b:
+            keep[b] += 1
+            keep[e] -= 1
+    return a[np.cumsum(keep)[:-1] > 0]
+
+
+def speaker_audio(a: np.ndarray, spans: list[tuple[float, float]], rate: int, least: float = 0.5) -> np.ndarray | None:
+    """A speaker's audio, None under `least` seconds."""
+    out = spans_of(a, spans, rate)
+    return out if len(out) >= int(least * rate) else None
+
+
+def without_duplicates(a: np.ndarray, rate: int, seconds: float = 2.5, ahead: int = 3, alike: float = 0.95, quiet: float = 0.005) -> np.ndarray:
+    """Windows that repeat one of the few before them are cut out: their cross-correlation at the best shift, over both norms, is above `alike`.
+    Quiet windows neither repeat nor are repeated, nor does one that is cut out itself."""
+    n = int(seconds * rate)
+    if len(a) < 2 * n:
+        return a
+    w = a[: len(a) // n * n].reshape(-1, n).astype(np.float64)
+    norm = np.linalg.norm(w, axis=1)
+    loud = (norm / np.sqrt(n) >= quiet) & (norm >= 1e-10)
+    size = 1 << (2 * n - 1).bit_length()
+    waves = np.fft.rfft(w, size, axis=1)
+    gone = np.zeros(len(w), bool)
+    for i in np.flatnonzero(loud):
+        for j in range(i + 1, min(i + ahead + 1, len(w))) if not gone[i] else ():
+            if loud[j] and not gone[j]:
+                best = np.fft.irfft(waves[i] * np.conj(waves[j]), size).max() / (norm[i] * norm[j])
+                gone[j] = best > alike
+    return np.concatenate([w_ for w_, g in zip(a[: len(gone) * n].reshape(-1, n), gone) if not g] + [a[len(gone) * n :]])
+
+
+def reassembled(pieces: list[tuple[float, np.ndarray]], seconds: float, rate: int) -> np.ndarray:
+    """Pieces on a silent timeline at their starts in seconds; later ones lie over earlier ones, what reaches beyond the end is cut."""
+    out = np.zeros(int(seconds * rate), np.float32)
+    for start, p in pieces:
+        b = max(0, int(start * rate))
+        out[b : b + len(p)] = p[: max(0, len(out) - b)]
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pii as P
+from ..operators import anchors as A
 from ..operators import cleaning as C
 from ..sources import corpora
 from ..sources import tables as T
@@ -176,3 +177,50 @@ def seq20_split_openings(spark, d):
     k = F.col("event_id")
     words = T.words(spark, d).select("session_id", "word_idx", (F.col("word_idx") / 2.0).alias("start_sec"), F.when(k % 6 == 0, "여보세요?").when(k % 6 == 1, "네").otherwise("말").alias("word"), F.when(F.col("word_idx") < 4, "A").when(k % 4 > 0, "B").alias("role"))
     return C.split_openings(words).select("session_id", "word_idx", "split_role")
+
+
+@query("""WITH a AS (SELECT vec_id // 100 AS session_id, arg_min(embedding, vec_id) AS low, arg_max(embedding, vec_id) AS high FROM embeddings GROUP BY 1),
+ c AS (SELECT vec_id // 100 AS session_id, vec_id AS word_idx, list_inner_product(CAST(embedding AS DOUBLE[]), CAST(low AS DOUBLE[])) AS l, list_inner_product(CAST(embedding AS DOUBLE[]), CAST(high AS DOUBLE[])) AS h, vec_id % 6 = 0 AS none FROM embeddings JOIN a ON vec_id // 100 = a.session_id)
+ SELECT session_id, word_idx, CASE WHEN NOT none THEN CASE WHEN l >= h THEN 'SPEAKER_01' ELSE 'SPEAKER_00' END END AS label, round(CASE WHEN none THEN 0 ELSE abs(l - h) END, 5) AS margin FROM c""")
+def vec10_nearest_anchor(spark, d):
+    e = T.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("session_id"), F.col("vec_id").alias("word_idx"), "embedding")
+    anchors = e.groupBy("session_id").agg(F.min_by("embedding", "word_idx").alias("low"), F.max_by("embedding", "word_idx").alias("high"))
+    words = e.withColumn("embedding", F.when(F.col("word_idx") % 6 > 0, F.col("embedding")))
+    return A.nearest_anchor(words, anchors).withColumn("margin", F.round("margin", 5))
+
+
+@query(f"""WITH {T.SQL_SPOKEN}, {T.SQL_TURNS}, w AS (SELECT *, CASE WHEN word_idx % 7 > 0 THEN 'S' || (word_idx % 3) END AS role FROM spoken),
+ m AS (SELECT w.session_id, w.word_idx, arg_min(t.speaker, t.turn_idx) AS n FROM w JOIN turns t ON w.session_id = t.session_id AND w.start_sec < 86150 AND t.start_sec >= w.start_sec AND t.end_sec <= w.end_sec AND t.end_sec - t.start_sec >= 0.12 AND t.speaker <> w.role GROUP BY ALL)
+ SELECT w.session_id, w.word_idx, coalesce(n, role) AS new_role FROM w LEFT JOIN m ON w.session_id = m.session_id AND w.word_idx = m.word_idx""")
+def seq21_corrected_opening(spark, d):
+    words = T.spoken(spark, d).withColumn("role", F.when(F.col("word_idx") % 7 > 0, F.concat(F.lit("S"), F.col("word_idx") % 3)))
+    return A.corrected_opening(words, T.turns(spark, d).withColumnRenamed("speaker", "label"), 86150.0).select("session_id", "word_idx", "new_role")
+
+
+@query(f"""WITH {T.SQL_WORDS}, w AS (SELECT session_id, word_idx, word_idx >= 6 AS body, CASE WHEN event_id % 5 > 0 THEN 'SPEAKER_0' || (event_id % 2) END AS role, end_sec - start_sec AS f0 FROM words),
+ s AS (SELECT session_id, median(f0) FILTER (WHERE role = 'SPEAKER_01') AS lo, median(f0) FILTER (WHERE role = 'SPEAKER_00') AS hi FROM w WHERE body AND role IS NOT NULL GROUP BY session_id)
+ SELECT session_id, word_idx, CASE WHEN body AND lo > hi THEN CASE role WHEN 'SPEAKER_01' THEN 'SPEAKER_00' WHEN 'SPEAKER_00' THEN 'SPEAKER_01' END ELSE role END AS pinned_role FROM w LEFT JOIN s USING (session_id)""")
+def seq22_pinned_body(spark, d):
+    k = F.col("event_id")
+    words = T.words(spark, d).select("session_id", "word_idx", F.col("word_idx").cast("double").alias("start_sec"), F.when(k % 5 > 0, F.concat(F.lit("SPEAKER_0"), k % 2)).alias("role"), (F.col("end_sec") - F.col("start_sec")).alias("f0"))
+    return A.pinned_body(words, 6.0).select("session_id", "word_idx", "pinned_role")
+
+
+@query(f"""WITH {T.SQL_WORDS}, p AS (SELECT session_id, speaker AS a, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE 'n' || speaker END AS b, count(*) AS n FROM words GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id, a ORDER BY n DESC, b) AS k FROM p)
+ SELECT session_id, sum(n) AS words, sum(CASE WHEN a IS DISTINCT FROM b THEN n ELSE 0 END) AS raw_changed, sum(CASE WHEN k > 1 THEN n ELSE 0 END) AS semantic_changed FROM r GROUP BY session_id""")
+def mx24_changed_words(spark, d):
+    before = T.words(spark, d)
+    after = before.withColumn("speaker", F.when(F.col("event_id") % 4 == 0, "x").otherwise(F.concat(F.lit("n"), "speaker")))
+    return A.changed_words(before, after)
+
+
+@query("""WITH w AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 > 0 THEN 'L' || (turn % 4) ELSE role END AS s, conv_id * 100 + turn // 4 AS seg FROM conversations),
+ v AS (SELECT conv_id, turn // 4 AS seg, s, count(*) AS n, min(turn) AS first FROM w GROUP BY ALL)
+ SELECT conv_id AS session_id, seg AS segment_idx, arg_max(s, struct_pack(a := n, b := -first)) AS speaker FROM v GROUP BY ALL""")
+def mx7_written_back(spark, d):
+    c = T.table(spark, d, "conversations").withColumn("segment_idx", F.floor(F.col("turn") / 4))
+    word = F.struct("turn", F.lit("w").alias("word"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.col("role").alias("speaker"))
+    g = c.groupBy(F.col("conv_id").alias("session_id"), "segment_idx").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x.dropFields("turn")).alias("words"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "segment_idx").orderBy("turn")) - 1
+    labels = c.withColumn("word_idx", place).where("turn % 3 > 0").select(F.col("conv_id").alias("session_id"), "segment_idx", "word_idx", F.concat(F.lit("L"), F.col("turn") % 4).alias("speaker"))
+    return A.written_back(g.withColumn("speaker", F.lit("?")), labels).select("session_id", "segment_idx", "speaker")

@@ -93,6 +93,22 @@ def test_audio(spark):
     assert abs(got[0] - 0.1) < 1e-6
 
 
+def test_audio_windows():
+    r = np.random.default_rng(2)
+    rate, n = 400, 1000
+    w = [r.normal(0, 0.2, n).astype(np.float32) for _ in range(4)]
+    quiet, tail = np.zeros(n, np.float32), np.ones(7, np.float32)
+    shifted = np.r_[w[0][20:], w[0][:20] * 0]
+    got = audio.without_duplicates(np.r_[w[0], w[1], shifted, quiet, quiet, w[2], w[3], w[1], tail], rate)
+    assert (got == np.r_[w[0], w[1], quiet, quiet, w[2], w[3], w[1], tail]).all()  # the last copy lies too far behind
+    assert (audio.without_duplicates(np.r_[w[0], w[0], w[0]], rate) == w[0]).all() and len(audio.without_duplicates(w[0], rate)) == n
+    a = np.arange(1000, dtype=np.float32)
+    assert (audio.spans_of(a, [(0.5, 0.75), (0.7, 0.8), (2.4, 9.0), (-1, 0.01)], rate) == np.r_[a[:4], a[200:320], a[960:]]).all()
+    assert audio.speaker_audio(a, [(0, 0.4)], rate) is None and len(audio.speaker_audio(a, [(0, 0.5)], rate)) == 200
+    out = audio.reassembled([(0.0, a[:4]), (0.005, a[10:14]), (2.495, a[:50])], 2.5, rate)
+    assert len(out) == 1000 and list(out[:7]) == [0, 1, 10, 11, 12, 13, 0] and list(out[-3:]) == [0, 0, 1]
+
+
 class Upper:
     def load(self):
         return lambda texts: [(t.upper(), len(t) / 3) for t in texts]
