@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, exact, html, mixing, multihash, ngrams, packing, simhash, substring, toxicity
+from . import bitpack, crf, exact, html, mixing, multihash, ngrams, packing, periodic, simhash, substring, toxicity, turns
 from .common import read_table
 
 
@@ -48,6 +48,18 @@ def op10_multihash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multihash.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op11_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.personal_data_digests(read_table(spark, sf_dir, "documents"), crf.labelled_table(spark))
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_report(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.looped_runs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -59,9 +71,13 @@ QUERIES = {
     "op8_bitpack": op8_bitpack,
     "op9_substring": op9_substring,
     "op10_multihash": op10_multihash,
+    "op11_crf": op11_crf,
+    "op12_turns": op12_turns,
+    "op13_runs": op13_runs,
 }
 
 SQL = {
+    "op12_turns": turns.SQL,
     "op5_exact": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256

@@ -36,3 +36,8 @@ def awkward(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return table(spark, [])
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
