@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed
+from .texts import once
+
 OPEN, CLOSE = "\ue000", "\ue001"
 # The rules in their order, patterns that may become rules, any run with digits, and the tiers' bounds.
 RULES = (
@@ -139,19 +142,20 @@ def uncovered_numbers(text: Column) -> Column:
     """Runs with digits that touch no match of a rule or candidate, as matches()."""
     t = plain(text)
     known = F.concat(*(matches(t, p, label, i) for i, (label, p) in enumerate((*RULES, *CANDIDATES))))
-    bounds = F.transform(known, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b")))
-    return F.filter(matches(t, NUMBER, "숫자", -1), lambda n: ~F.exists(bounds, lambda s: (s["a"] < n["char_end"]) & (s["b"] > n["char_start"])))
+    touched = lambda n, bounds: F.exists(bounds, lambda s: (s["char_start"] < n["char_end"]) & (s["char_end"] > n["char_start"]))
+    return once(lambda s: F.filter(s["numbers"], lambda n: ~touched(n, s["known"])), numbers=matches(t, NUMBER, "숫자", -1), known=known)
 
 
 def number_shapes(rows: DataFrame, top: int = 20, examples: int = 3) -> DataFrame:
     """rows(id, text) -> the most frequent shapes of uncovered runs (letters L, digits N, Hangul H, white space _), how often each
-    occurs, and its first examples by id and place. Ties go to the shape that occurs first."""
+    occurs, and its first examples by id and place. Ties go to the shape that occurs first. The runs are checkpointed: texts are
+    searched once."""
     has_digit = F.coalesce(F.col("text"), F.lit("")).rlike("(?U)" + NUMBER)
     spans = rows.where(has_digit).select("id", F.explode(uncovered_numbers(F.col("text"))).alias("s")).select("id", F.col("s.char_start").alias("at"), F.col("s.matched_text").alias("raw"))
     shape = F.col("raw")
     for pattern, letter in (("[A-Za-z]", "L"), ("[0-9]", "N"), ("[가-힣]", "H"), (r"(?U)\s+", "_")):
         shape = F.regexp_replace(shape, pattern, letter)
-    spans = spans.withColumn("shape", shape)
+    spans = checkpointed(spans.withColumn("shape", shape))
     best = spans.groupBy("shape").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).orderBy(F.desc("n"), "first").limit(top)
     met = spans.join(F.broadcast(best.select("shape")), "shape")  # top rows
     # first within slices of a shape, then among those: no task gets all rows of a shape

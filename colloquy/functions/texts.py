@@ -18,6 +18,12 @@ QUALITY = {"A": "excellent", "B": "good", "C": "fair"}
 SPACES = r"(?U)\s+"
 
 
+def once(f, **inputs: Column) -> Column:
+    """f of a struct of the inputs, each of them evaluated once a row: lambdas inside f evaluate anew what they capture, except
+    fields of this struct."""
+    return F.transform(F.array(F.struct(*(c.alias(name) for name, c in inputs.items()))), f)[0]
+
+
 def squeezed(text: Column) -> Column:
     """White space runs as one blank, trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
@@ -97,9 +103,12 @@ def character(k: Column) -> Column:
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of token arrays: each distinct token becomes one code point."""
-    kinds = F.array_distinct(F.concat(reference, hypothesis))
-    coded = lambda ts: F.array_join(F.transform(ts, lambda t: character(F.array_position(kinds, t))), "")
-    return F.levenshtein(coded(reference), coded(hypothesis))
+
+    def distance(s: Column) -> Column:
+        coded = lambda ts: F.array_join(F.transform(ts, lambda t: character(F.array_position(s["kinds"], t))), "")
+        return F.levenshtein(coded(s["r"]), coded(s["h"]))
+
+    return once(distance, kinds=F.array_distinct(F.concat(reference, hypothesis)), r=reference, h=hypothesis)
 
 
 def word_accuracy(reference: Column, hypothesis: Column) -> Column:

@@ -20,6 +20,12 @@ def _with_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(base or os.path.join(tempfile.gettempdir(), "colloquy-checkpoints"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: what follows neither recomputes it nor sees another run of it."""
+    _with_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """edges(u, v) of longs, loops allowed -> (node, root), root the smallest node reachable.
 

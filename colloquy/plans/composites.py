@@ -10,6 +10,7 @@ from ..functions import texts as X
 from ..functions.numbers import cosine
 from ..operators import intervals as I
 from ..operators import sequences as S
+from ..operators.graph import checkpointed
 from ..sources import tables as T
 from . import segmentation
 
@@ -39,67 +40,106 @@ def assigned(words: DataFrame, turns: DataFrame) -> DataFrame:
     return runs.withColumn("kind", kind).groupBy("session_id", "segment_idx", "mapped_speaker").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("n_words"), *map(of, ("exact", "overlap", "tolerance", "backchannel", "ambiguous")))
 
 
-PLACES = "array<struct<a:int,b:int>>"
+PLACE = "struct<a:int,b:int>"
+PLACES = f"array<{PLACE}>"
+WORDS = "array<struct<word:string,start_sec:double,end_sec:double>>"
 RANGES = "array<struct<start_sec:double,end_sec:double,type:string>>"
 
 
 def word_offsets(text: Column, words: Column) -> Column:
-    """Where each word stands in the text, searched on from the word before, in any case; null where it isn't found."""
-    low = F.lower(text)
+    """Where each word stands in the text, searched on from the word before, in any case; null where it isn't found.
 
-    def step(acc: Column, word: Column) -> Column:
-        found = F.when(F.length(word) > 0, F.call_function("locate", F.lower(word), low, acc["at"] + 1) - 1).otherwise(-1)
-        place = F.when(found >= 0, F.struct(found.alias("a"), (found + F.length(word)).alias("b")))
-        return F.struct(F.when(found >= 0, found + F.length(word)).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(place)).cast(PLACES).alias("out"))
+    Folds copy the array they grow, so words are folded in parts of about the square root of their number, and each part looks on in
+    what is left of the text.
+    """
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
-    return F.aggregate(words, start, step, lambda acc: acc["out"])
+    def step(rest: Column):
+        def one(acc: Column, word: Column) -> Column:
+            found = F.when(F.length(word) > 0, F.call_function("locate", F.lower(word), rest, acc["at"] + 1) - 1).otherwise(-1)
+            place = F.when(found >= 0, F.struct(found.alias("a"), (found + F.length(word)).alias("b")))
+            return F.struct(F.when(found >= 0, found + F.length(word)).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(place)).cast(PLACES).alias("out"))
 
+        return one
 
-def touched(places: Column, spans: Column) -> Column:
-    """Per span(a, b, k) the numbers of the words it touches; spans that touch none are left out."""
-    numbers = F.sequence(F.lit(0), F.size(places) - 1)
-    touches = lambda s: F.filter(numbers, lambda i: F.coalesce((F.get(places, i)["a"] < s["b"]) & (F.get(places, i)["b"] > s["a"]), F.lit(False)))
-    return F.filter(F.transform(spans, lambda s: F.struct(s["k"].alias("k"), touches(s).alias("hit"))), lambda s: F.size(s["hit"]) > 0)
+    def part(acc: Column, some: Column) -> Column:
+        def joined(inner: Column) -> Column:
+            moved = F.transform(inner["out"], lambda p: F.when(p.isNotNull(), F.struct((p["a"] + acc["at"]).alias("a"), (p["b"] + acc["at"]).alias("b"))).cast(PLACE))
+            rest = F.substring(acc["rest"], inner["at"] + 1, F.length(acc["rest"]))
+            return F.struct((acc["at"] + inner["at"]).cast("int").alias("at"), rest.alias("rest"), F.concat(acc["out"], moved).cast(PLACES).alias("out"))
 
+        return F.aggregate(some, F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")), step(acc["rest"]), joined)
 
-def time_ranges(words: Column, hits: Column, pad: float = 0.15) -> Column:
-    """Spans in seconds: from the first to the last word they touch, padded; equal ranges of one type once."""
+    def all_(s: Column) -> Column:
+        n, size = F.size(s["words"]), s["size"]
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / size) - 1, F.lit(0)).cast("int")), lambda k: F.slice(s["words"], k * size + 1, size))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), s["low"].alias("rest"), F.array().cast(PLACES).alias("out")), part, lambda acc: acc["out"])
 
-    def seconds(h: Column) -> Column:
-        own = F.transform(h["hit"], lambda i: F.get(words, i))
-        return F.struct(F.greatest(F.lit(0.0), F.array_min(F.transform(own, lambda w: w["start_sec"])) - pad).alias("start_sec"), (F.array_max(F.transform(own, lambda w: w["end_sec"])) + pad).alias("end_sec"), h["k"].alias("type"))
+    return X.once(all_, low=F.coalesce(F.lower(text), F.lit("")), words=words, size=F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(words)))).cast("int"))
 
-    all_ = F.transform(hits, seconds)
-    near = lambda x, y: (x["type"] == y["type"]) & (F.round(x["start_sec"], 4) == F.round(y["start_sec"], 4)) & (F.round(x["end_sec"], 4) == F.round(y["end_sec"], 4))
-    return F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: near(x, y)))
 
+def touched_words(rows: DataFrame) -> DataFrame:
+    """rows(id, words, places, spans array<struct<a, b, k>>) -> one row per pair of a span and a word that it touches: id, j (number of
+    the span), k (its type), i (number of the word), start_sec, end_sec. Both sides meet in stretches of 64 characters."""
+    w = rows.select("id", F.posexplode(F.arrays_zip("places", "words")).alias("i", "w")).where("w.places is not null")
+    w = w.select("id", "i", F.col("w.places.a").alias("a"), F.col("w.places.b").alias("b"), F.col("w.words.start_sec").alias("start_sec"), F.col("w.words.end_sec").alias("end_sec"))
+    s = rows.select("id", F.posexplode("spans").alias("j", "s")).select("id", "j", F.col("s.a").alias("r_start"), F.col("s.b").alias("r_end"), F.col("s.k").alias("k"))
+    return I.overlap_join(w, s, ["id"], (F.col("a") < F.col("r_end")) & (F.col("b") > F.col("r_start")), ("a", "b"), width=64.0).select("id", "j", "k", "i", "start_sec", "end_sec")
 
-def masked_words(words: Column, hits: Column) -> Column:
-    """Words in step with the masked text: the first word of a span becomes its token and lasts to the span's last word,
-    the others go. Spans must not overlap."""
-
-    def one(w: Column, i: Column) -> Column:
-        gone = F.exists(hits, lambda h: (h["hit"][0] != i) & F.array_contains(h["hit"], i))
-        h = F.element_at(F.filter(hits, lambda h: h["hit"][0] == i), -1)
-        token = F.struct(F.concat(F.lit("[PII_"), h["k"], F.lit("]")).alias("word"), w["start_sec"].alias("start_sec"), F.get(words, F.element_at(h["hit"], -1))["end_sec"].alias("end_sec"))
-        return F.when(~gone, F.when(F.exists(hits, lambda h: h["hit"][0] == i), token).otherwise(w))
 
-    return F.array_compact(F.transform(words, one))
+def time_ranges(touched: DataFrame, pad: float = 0.15) -> DataFrame:
+    """Spans in seconds: from the first to the last word they touch, padded; equal ranges of one type once. (id, j, start_sec, end_sec, type)"""
+    spans = touched.groupBy("id", "j", F.col("k").alias("type")).agg(F.greatest(F.lit(0.0), F.min("start_sec") - pad).alias("start_sec"), (F.max("end_sec") + pad).alias("end_sec"))
+    first = F.min(F.struct("j", "start_sec", "end_sec")).alias("f")
+    return spans.groupBy("id", "type", F.round("start_sec", 4).alias("s"), F.round("end_sec", 4).alias("e")).agg(first).select("id", "f.*", "type")
 
 
-def masked_utterances(rows: DataFrame) -> DataFrame:
-    """rows(id, text, words array<struct<word, start_sec, end_sec>>) -> id, masked text, masked words, time ranges. Words are only
-    looked for in texts with a span."""
-    spans = F.transform(P.without_overlaps(P.pii_spans(F.col("text"))), lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["type"].alias("k")))
-    kind = "array<struct<word:string,start_sec:double,end_sec:double>>"
-    given = F.transform(F.coalesce(F.col("words"), F.array().cast(kind)), lambda w: F.struct(F.coalesce(w["word"], F.lit("")).alias("word"), w["start_sec"].cast("double").alias("start_sec"), w["end_sec"].cast("double").alias("end_sec")))
-    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), given.alias("words"), P.masked(F.col("text")).alias("masked"), spans.alias("spans"))
-    some = (F.size("spans") > 0) & (F.size("words") > 0)
-    found = found.withColumn("hits", F.when(some, touched(word_offsets(F.col("text"), F.transform("words", lambda w: w["word"])), F.col("spans"))))
-    words, hits = F.col("words"), F.col("hits")
-    ranges = F.when(hits.isNotNull(), time_ranges(words, hits)).otherwise(F.array().cast(RANGES))
-    return found.select("id", "masked", F.when(hits.isNotNull(), masked_words(words, hits)).otherwise(words).alias("words"), ranges.alias("ranges"))
+def masked_words(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """Words in step with the masked text: the first word of a span becomes its token and lasts to the span's last word,
+    the others go. (id, words)"""
+    spans = touched.groupBy("id", "j", "k").agg(F.min("i").alias("first"), F.max(F.struct("i", "end_sec"))["end_sec"].alias("till"))
+    token = F.struct(F.concat(F.lit("[PII_"), F.col("k"), F.lit("]")).alias("word"), F.col("till").alias("end_sec"))
+    begins = F.col("i") == F.col("first")
+    marks = touched.select("id", "j", "i").join(spans, ["id", "j"]).groupBy("id", "i").agg(F.bool_or(~begins).alias("gone"), F.max_by(token, F.when(begins, F.col("j"))).alias("token"))
+    words = rows.select("id", F.posexplode("words").alias("i", "w")).join(marks, ["id", "i"], "left").where(~F.coalesce("gone", F.lit(False)))
+    new = F.struct(F.coalesce("token.word", "w.word").alias("word"), F.col("w.start_sec").alias("start_sec"), F.when(F.col("token").isNotNull(), F.col("token.end_sec")).otherwise(F.col("w.end_sec")).alias("end_sec"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", new.alias("w")))), lambda x: x["w"])
+    return words.groupBy("id").agg(listed.cast(WORDS).alias("words"))
+
+
+def _located(rows: DataFrame, rules) -> DataFrame:
+    """rows(id, text, words) with text, masked text, words, spans without overlaps."""
+    given = F.transform(F.coalesce(F.col("words"), F.array().cast(WORDS)), lambda w: F.struct(F.coalesce(w["word"], F.lit("")).alias("word"), w["start_sec"].cast("double").alias("start_sec"), w["end_sec"].cast("double").alias("end_sec")))
+    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), given.cast(WORDS).alias("words"), P.pii_spans(F.col("text"), rules).alias("raw"))
+    taken = F.transform(P.without_overlaps(F.col("raw")), lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["type"].alias("k")))
+    return found.select("id", "text", "words", P.masked(F.col("text"), F.col("raw")).alias("masked"), taken.alias("spans"))
+
+
+def _with_places(found: DataFrame) -> DataFrame:
+    some = found.where((F.size("spans") > 0) & (F.size("words") > 0))
+    return some.withColumn("places", word_offsets(F.col("text"), F.transform("words", lambda w: w["word"])))
+
+
+def masked_utterances(rows: DataFrame, rules=P.RULES) -> DataFrame:
+    """rows(id, text, words array<struct<word, start_sec, end_sec>>), id unique -> id, masked text, masked words, time ranges. Words are only
+    looked for in texts with a span; these texts, and which words their spans touch, are checkpointed, so nothing is searched twice."""
+    found = _located(rows, rules)
+    some = checkpointed(_with_places(found))
+    touched = checkpointed(touched_words(some))
+    ranges = time_ranges(touched).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "start_sec", "end_sec", "type"))), lambda r: F.struct(r["start_sec"].alias("start_sec"), r["end_sec"].alias("end_sec"), r["type"].alias("type"))).alias("ranges"))
+    none = F.array().cast(RANGES)
+    done = some.select("id", "masked").join(masked_words(some, touched), "id", "left").join(ranges, "id", "left")
+    done = done.select("id", "masked", F.coalesce("words", F.array().cast(WORDS)).alias("words"), F.coalesce(F.col("ranges").cast(RANGES), none).alias("ranges"))
+    return found.where((F.size("spans") == 0) | (F.size("words") == 0)).select("id", "masked", "words", none.alias("ranges")).union(done)
+
+
+def pii_summary(rows: DataFrame, rules=P.RULES) -> DataFrame:
+    """rows(id, text, words) -> per id and type how many spans were masked and how many time ranges there are; a type that is only
+    among the ranges counts as often as it has ranges."""
+    found = _located(rows, rules)
+    spans = found.select("id", F.explode("spans").alias("s")).groupBy("id", F.col("s.k").alias("type")).agg(F.count("*").alias("n_spans"))
+    ranges = time_ranges(touched_words(_with_places(found))).groupBy("id", "type").agg(F.count("*").alias("n_ranges"))
+    both = spans.join(ranges, ["id", "type"], "full")
+    return both.select("id", "type", F.coalesce("n_spans", "n_ranges").alias("n"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"))
 
 
 def topic_segments(utterances: DataFrame, window: int = 5, least: float = 0.06, apart: int = 3, topics=(("기타", []),), default: str = "기타") -> DataFrame:
@@ -160,10 +200,33 @@ def seq17_topic_segments(spark, d):
     return topic_segments(u).withColumn("utterance_indices", F.array_join(F.transform("utterance_indices", lambda x: x.cast("string")), ","))
 
 
-@query()
+def _timed(spark, d):
+    """Documents as utterances: their tokens as words of half a second each."""
+    words = F.transform(X.all_tokens(F.col("text")), lambda t, i: F.struct(t.alias("word"), i.cast("double").alias("start_sec"), (i + 0.5).cast("double").alias("end_sec")))
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", words.alias("words"))
+
+
+_EMAIL = next(r for r in P.RULES if r[0] == "이메일")
+_MAIL = f"'{_EMAIL[1]}'"
+_TIMED_SQL = f"""WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '') AS ws FROM documents),
+ w AS (SELECT id, text, ws, list_filter(range(len(ws)), lambda i: regexp_matches(ws[i + 1], {_MAIL})) AS hit FROM t)"""
+
+
+@query(_TIMED_SQL + f""" SELECT id, regexp_replace(text, {_MAIL}, '[PII_이메일]', 'g') AS masked, array_to_string(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, {_MAIL}) THEN '[PII_이메일]' ELSE w END), ' ') AS words,
+ array_to_string(list_transform(hit, lambda i: printf('%.2f-%.2f', greatest(0, i - 0.15), i + 0.65)), ',') AS ranges FROM w""")
 def fn6_masked_utterances(spark, d):
-    docs = T.table(spark, d, "documents")
-    tokens = X.all_tokens(F.col("text"))
-    words = F.transform(tokens, lambda t, i: F.struct(t.alias("word"), i.cast("double").alias("start_sec"), (i + 0.5).cast("double").alias("end_sec")))
-    out = masked_utterances(docs.select(F.col("doc_id").alias("id"), "text", words.alias("words")))
+    """Mail addresses only, so that SQL can say it; the other rules are tested on fixtures."""
+    out = masked_utterances(_timed(spark, d), [_EMAIL])
+    told = F.transform("ranges", lambda r: F.format_string("%.2f-%.2f", r["start_sec"], r["end_sec"]))
+    return out.select("id", "masked", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("words"), F.array_join(told, ",").alias("ranges"))
+
+
+@query(_TIMED_SQL + f" SELECT id, '이메일' AS type, len(regexp_extract_all(text, {_MAIL})) AS n, len(hit) AS n_ranges FROM w WHERE len(hit) > 0")
+def agg2_pii_summary(spark, d):
+    return pii_summary(_timed(spark, d), [_EMAIL])
+
+
+@query()
+def fn6_all_rules(spark, d):
+    out = masked_utterances(_timed(spark, d))
     return out.select("id", "masked", F.size("words").alias("n_words"), F.size("ranges").alias("n_ranges"))

@@ -16,15 +16,17 @@ def test_time_ranges_and_words(spark):
     text, words = "전화 010 1234 5678 입니다", [("전화", 0.0, 1.0), ("010", 1.0, 2.0), ("1234", 2.0, 3.0), ("5678", 3.0, 4.0), ("입니다", 4.0, 5.0)]
 
     def run(spans):
-        df = spark.createDataFrame([(text, words, spans)], f"t string, w {WORDS}, s array<struct<a:int,b:int,k:string>>")
-        hits = C.touched(C.word_offsets(F.col("t"), F.transform("w", lambda x: x["word"])), F.col("s"))
-        r = df.withColumn("h", hits).select(C.time_ranges(F.col("w"), F.col("h")).alias("r"), C.masked_words(F.col("w"), F.col("h")).alias("m")).first()
-        return [tuple(x) for x in r.r], [tuple(x) for x in r.m]
+        df = spark.createDataFrame([(1, text, words, spans)], f"id long, t string, words {WORDS}, spans array<struct<a:int,b:int,k:string>>")
+        df = df.withColumn("places", C.word_offsets(F.col("t"), F.transform("words", lambda x: x["word"])))
+        touched = C.touched_words(df)
+        ranges = [(r.start_sec, r.end_sec, r.type) for r in C.time_ranges(touched).orderBy("j").collect()]
+        return ranges, [tuple(x) for x in C.masked_words(df, touched).first().words]
 
     span = [(3, 16, "전화번호")]
     assert run(span) == ([(0.85, 4.15, "전화번호")], [words[0], ("[PII_전화번호]", 1.0, 4.0), words[4]])
     assert run(span * 2)[0] == [(0.85, 4.15, "전화번호")]
     assert run([]) == ([], words) and run([(0, 0, "x")]) == ([], words)
+    assert run([(0, 4, "a"), (5, 12, "b")])[1] == [("[PII_a]", 0.0, 2.0), words[3], words[4]]  # 010 goes with the first span, so the second has no token
 
 
 def test_masked_utterances(spark):
@@ -35,6 +37,39 @@ def test_masked_utterances(spark):
     assert b.masked == "" and b.words == [] and b.ranges == []
 
 
+def test_long_text(spark):
+    """Words, cursor and spans of 20,000 words, against a plain version; the time must not grow with the square."""
+    import random
+    import re
+    import time
+
+    rng = random.Random(1)
+    ws = [f"m{k}@x.org" if k % 50 == 7 else "010-1234-5678" if k % 90 == 3 else "missing" if k % 41 == 5 else rng.choice(["Yes", "no", "word", "Wörter", "가나"]) for k in range(20_000)]
+    text = " ".join(w for w in ws if w != "missing")
+    timed = [(w, float(k), k + 0.5) for k, w in enumerate(ws)]
+    df = spark.createDataFrame([(1, text, timed)], f"id long, text string, words {WORDS}")
+    start = time.time()
+    [r] = C.masked_utterances(df).collect()
+    took = time.time() - start
+    at, want, ranges = 0, [], []
+    for w, s, e in timed:
+        k = text.lower().find(w.lower(), at)
+        at = k + len(w) if k >= 0 else at
+        kind = "이메일" if "@" in w else "전화번호" if w.startswith("010") else None
+        want.append((f"[PII_{kind}]" if kind else w, s, e))
+        if kind:
+            ranges.append((max(0.0, s - 0.15), e + 0.15, kind))
+    assert [tuple(w) for w in r.words] == want and [tuple(x) for x in r.ranges] == ranges
+    assert r.masked == re.sub(r"010-1234-5678", "[PII_전화번호]", re.sub(r"m[0-9]+@x[.]org", "[PII_이메일]", text))
+    assert took < 30
+
+
+def test_summary(spark):
+    w = [{"word": "a@b.org", "start_sec": 0.0, "end_sec": 1.0}]
+    rows = spark.createDataFrame([(1, "a@b.org and c@d.org", w), (2, "c@d.org", None), (3, "nothing", w)], f"id long, text string, words {WORDS}")
+    assert sorted(tuple(r) for r in C.pii_summary(rows).collect()) == [(1, "이메일", 2, 1), (2, "이메일", 1, 0)]
+
+
 def test_topic_segments(spark):
     e = [[1.0, 0.0]] * 5 + [[0.0, 1.0]] * 5
     rows = [(1, i, float(i), i + 0.5, "A" if i < 5 else "B", "축구 경기" if i < 5 else "병원 예약", v) for i, v in enumerate(e)] + [(2, 0, 0.0, 1.0, "A", "x", None), (2, 1, 1.0, 2.0, "A", "y", None)]
