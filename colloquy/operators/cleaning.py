@@ -63,8 +63,7 @@ def split_openings(words: DataFrame, intro: float = INTRO, call_is_other: bool =
     last of these, one that answers, was two people: up to the answer one side, from there on the other. Adds split_role."""
     opening = (F.col("start_sec") < intro) & F.col("role").isNotNull()
     w = words.withColumn("_open", F.coalesce(opening, F.lit(False)))
-    before = Window.partitionBy("session_id").orderBy("word_idx")
-    new = (F.lag("_open").over(before) != F.col("_open")) | ~F.lag("role").over(before).eqNullSafe(F.col("role"))
+    new = lambda before: (before("_open") != F.col("_open")) | ~before("role").eqNullSafe(F.col("role"))
     w = S.islands(w, ["session_id"], ["word_idx"], new, "_run")
     says = lambda these: F.col("word").rlike("|".join(these))
     run = Window.partitionBy("session_id", "_run")

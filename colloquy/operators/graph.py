@@ -20,6 +20,12 @@ def _with_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(base or os.path.join(tempfile.gettempdir(), "colloquy-checkpoints"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that checkpoints go to."""
+    _with_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read from there: what follows neither recomputes it nor sees another run of it."""
     _with_checkpoints(df.sparkSession)

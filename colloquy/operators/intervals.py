@@ -7,9 +7,11 @@ a session that holds a third of all rows is spread over its bins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
+
 BIN = 4.0
 
 
@@ -80,10 +82,10 @@ def overlapping_pairs(turns: DataFrame, least: float, other_speaker: bool) -> Da
 
 def merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Touching or overlapping ranges as one: a new one starts where start lies beyond all ends before."""
-    w = Window.partitionBy(*keys).orderBy("start_sec", "end_sec")
-    before = F.max("end_sec").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = ranges.withColumn("_new", F.when(F.col("start_sec") > before, 1).otherwise(0))
-    return flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_island").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec")).drop("_island")
+    cut = scans.Sliced(ranges.select(*keys, "start_sec", "end_sec"), keys, ["start_sec", "end_sec"]).add("_before", scans.highest_before(F.col("end_sec")))
+    cut.with_column("_new", F.when(F.col("start_sec") > F.col("_before"), 1).otherwise(0))
+    islands = cut.add("_island", scans.running_sum(F.col("_new"))).result()
+    return islands.groupBy(*keys, "_island").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec")).drop("_island")
 
 
 def overlap_regions(turns: DataFrame, cutoff: float = 0.2) -> DataFrame:
@@ -119,10 +121,8 @@ def nearest_start(points: DataFrame, spans: DataFrame, key: str, idx: str) -> Da
     span = F.struct(F.col("r_start").alias("s"), F.col(idx).alias("k"))
     p = points.select("session_id", F.col("at").alias("t"), F.lit(1).alias("side"), F.col(key), none.cast("struct<s:double,k:int>").alias("x"))
     s = spans.select("session_id", F.col("r_start").alias("t"), F.lit(0).alias("side"), none.cast("long").alias(key), span.cast("struct<s:double,k:int>").alias("x"))
-    both = p.unionByName(s)
-    back = Window.partitionBy("session_id").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("session_id").orderBy(F.desc("t"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("b", F.last("x", True).over(back)).withColumn("a", F.last("x", True).over(ahead)).where("side = 1")
+    both = scans.Sliced(p.unionByName(s), ["session_id"], ["t", "side"]).add("b", scans.last_known(F.col("x"))).result()
+    both = scans.Sliced(both.withColumn("_back", -F.col("t")), ["session_id"], ["_back", "side"]).add("a", scans.last_known(F.col("x"))).result().where("side = 1")
 
     def far(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.s") - F.col("t")).alias("d"), F.col(f"{c}.k").alias("k")))

@@ -1,33 +1,47 @@
-"""Ordered-sequence operators as window functions: islands, padding, lag features, renumbering, depth scores."""
+"""Ordered-sequence operators as scans and window functions: islands, padding, lag features, renumbering, depth scores."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round2
+from . import scans
 
 GAP = 0.5
 PADDING = 0.15
 
 
-def islands(rows: DataFrame, keys: list[str], order: list[str], starts: Column, name: str) -> DataFrame:
-    """Numbers runs of rows from 0; `starts` is true where a run begins (the first row always begins one)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    flag = F.when(F.lag(F.lit(1)).over(w).isNull(), 0).when(starts, 1).otherwise(0)
-    return rows.withColumn("_s", flag).withColumn(name, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_s")
+def islands(rows: DataFrame, keys: list[str], order: list[str], starts: Callable[[Callable[[str], Column]], Column], name: str) -> DataFrame:
+    """Numbers runs of rows from 0; starts(before) is true where a run begins, before(column) being the value of the row before (the first
+    row always begins one)."""
+    asked: list[str] = []
+
+    def before(column: str) -> Column:
+        asked.append(column)
+        return F.col("_before")[column]
+
+    begins = starts(before)
+    cut = scans.Sliced(rows, keys, order).add("_before", scans.previous(F.struct(F.lit(1).alias("_"), *dict.fromkeys(asked))))
+    cut.with_column("_begins", F.when(F.col("_before").isNull(), 0).when(begins, 1).otherwise(0))
+    return cut.add(name, scans.running_sum(F.col("_begins"))).result().withColumn(name, F.col(name).cast("int")).drop("_before", "_begins")
 
 
-def previous(column: str, keys=("session_id",), order=("word_idx",)) -> Column:
-    return F.lag(column).over(Window.partitionBy(*keys).orderBy(*order))
+def differs(column: str) -> Callable[[Callable[[str], Column]], Column]:
+    """For islands(): the column differs from that of the row before, null being a value of its own."""
+    return lambda before: ~before(column).eqNullSafe(F.col(column))
 
 
 def utterance_islands(words: DataFrame, gap: float | None = GAP) -> DataFrame:
     """A new utterance on a change of speaker or, unless gap is None, after a silence of at least gap seconds."""
-    new = previous("speaker") != F.col("speaker")
-    if gap is not None:
-        new = new | (F.col("start_sec") - previous("end_sec") >= gap)
-    return islands(words, ["session_id"], ["word_idx"], new, "utt_idx")
+
+    def starts(before: Callable[[str], Column]) -> Column:
+        new = before("speaker") != F.col("speaker")
+        return new if gap is None else new | (F.col("start_sec") - before("end_sec") >= gap)
+
+    return islands(words, ["session_id"], ["word_idx"], starts, "utt_idx")
 
 
 def rolled_up(words: DataFrame, padding: float = PADDING, total: Column | None = None) -> DataFrame:
@@ -42,25 +56,26 @@ def rolled_up(words: DataFrame, padding: float = PADDING, total: Column | None =
 
 def silence_before(rows: DataFrame, order: str) -> DataFrame:
     """Seconds since the previous row's end, at least 0; null for the first row."""
-    gap = F.col("start_sec") - previous("end_sec", order=(order,))
-    return rows.withColumn("silence_before_sec", F.when(gap.isNotNull(), round2(F.greatest(F.lit(0.0), gap))))
+    cut = scans.Sliced(rows, ["session_id"], [order]).add("_end", scans.previous(F.col("end_sec")))
+    gap = F.col("start_sec") - F.col("_end")
+    return cut.result().withColumn("silence_before_sec", F.when(gap.isNotNull(), round2(F.greatest(F.lit(0.0), gap)))).drop("_end")
 
 
 def speaker_fallback(words: DataFrame, default: str = "SPEAKER_00") -> DataFrame:
     """Fills missing speakers: from the previous word; a single missing first word takes the next one's, a longer
     missing start the default."""
-    w = Window.partitionBy("session_id").orderBy("word_idx")
-    before = F.last("speaker", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    lone = (F.row_number().over(w) == 1) & F.lead("speaker").over(w).isNotNull()
-    return words.withColumn("filled", F.coalesce(before, F.when(lone, F.lead("speaker").over(w)), F.lit(default)))
+    cut = scans.Sliced(words, ["session_id"], ["word_idx"]).add("_known", scans.last_known(F.col("speaker")))
+    cut.add("_first", scans.previous(F.lit(1))).add("_next", scans.following(F.col("speaker")))
+    return cut.result().withColumn("filled", F.coalesce("_known", F.when(F.col("_first").isNull(), F.col("_next")), F.lit(default))).drop("_known", "_first", "_next")
 
 
 def smoothed(words: DataFrame, gap: float) -> DataFrame:
     """A label between two equal other labels becomes theirs if both gaps are small; reads the labels as they were."""
-    w = Window.partitionBy("session_id").orderBy("word_idx")
-    p, n = F.lag("speaker").over(w), F.lead("speaker").over(w)
-    near = (F.col("start_sec") - F.lag("end_sec").over(w) < gap) & (F.lead("start_sec").over(w) - F.col("end_sec") < gap)
-    return words.withColumn("smoothed", F.when((p == n) & (p != F.col("speaker")) & near, p).otherwise(F.col("speaker")))
+    cut = scans.Sliced(words, ["session_id"], ["word_idx"]).add("_p", scans.previous(F.struct("speaker", "end_sec"))).add("_f", scans.following(F.struct("speaker", "start_sec")))
+    p = F.col("_p.speaker")
+    near = (F.col("start_sec") - F.col("_p.end_sec") < gap) & (F.col("_f.start_sec") - F.col("end_sec") < gap)
+    between = (p == F.col("_f.speaker")) & (p != F.col("speaker")) & near
+    return cut.result().withColumn("smoothed", F.when(between, p).otherwise(F.col("speaker"))).drop("_p", "_f")
 
 
 def renumbered(words: DataFrame) -> DataFrame:
@@ -72,7 +87,7 @@ def renumbered(words: DataFrame) -> DataFrame:
 
 def previous_turn(rows: DataFrame, keep: int = 60) -> DataFrame:
     """The last row of the other speaker before each row's run, shortened; null for the first run."""
-    ran = islands(rows, ["session_id"], ["sequence_order"], ~previous("speaker", order=("sequence_order",)).eqNullSafe(F.col("speaker")), "run")
+    ran = islands(rows, ["session_id"], ["sequence_order"], differs("speaker"), "run")
     last = ran.groupBy("session_id", "run").agg(F.max(F.struct("sequence_order", "text")).alias("l")).select("session_id", (F.col("run") + 1).alias("run"), F.left(F.col("l.text"), F.lit(keep)).alias("gist"))
     return ran.join(last, ["session_id", "run"], "left").select("session_id", "sequence_order", "run", "gist")
 

@@ -33,8 +33,7 @@ def assigned(words: DataFrame, turns: DataFrame) -> DataFrame:
     bounds, number of words, and how many words each kind of source decided."""
     mapped = I.map_speakers(words, turns)
     spoken = words.drop("speaker").join(mapped, ["session_id", "word_idx"])
-    changed = ~S.previous("mapped_speaker").eqNullSafe(F.col("mapped_speaker"))
-    runs = S.islands(spoken, ["session_id"], ["word_idx"], changed, "segment_idx")
+    runs = S.islands(spoken, ["session_id"], ["word_idx"], S.differs("mapped_speaker"), "segment_idx")
     kind = F.regexp_replace("speaker_source", "^(overlap|tolerance|backchannel)_.*$", "$1")
     of = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
     return runs.withColumn("kind", kind).groupBy("session_id", "segment_idx", "mapped_speaker").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("n_words"), *map(of, ("exact", "overlap", "tolerance", "backchannel", "ambiguous")))

@@ -3,6 +3,8 @@ engines alike."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -13,7 +15,10 @@ from ..operators import intervals as I
 from ..operators import relations
 from ..operators import sequences as S
 from ..sources import corpora, sinks
+from ..operators.graph import checkpoint_dir
 from ..sources import tables as T
+from ..sources.published import Published
+from ..streaming import worker as W
 from ..streaming import jobs
 from . import rules
 
@@ -174,3 +179,63 @@ def seq23b_renumbered(spark, d):
 @query("SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS n FROM conversations GROUP BY conv_id")
 def agg7_label_count(spark, d):
     return T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n"))
+
+
+_PICKED = "o_orderstatus <> 'F' AND o_custkey % 3 <> 0 AND o_orderkey % 7 <> 0"
+_NOW = "TIMESTAMP '2024-01-01 12:00:00'"
+
+
+def _sessions(spark, d):
+    """Orders as sessions: who agreed, whether there is audio, how often they were tried."""
+    o = T.table(spark, d, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("long").alias("session_id"),
+        F.when(F.col("o_orderstatus") == "F", "done").otherwise("pending").alias("status"),
+        F.when(F.col("o_custkey") % 3 == 0, "one").otherwise("both_agreed").alias("consent"),
+        F.when(F.col("o_orderkey") % 7 != 0, "audio").alias("audio"),
+        (F.col("o_orderkey") % 3).cast("int").alias("retries"),
+        F.lit(None).cast("timestamp").alias("started_at"),
+        F.lit(None).cast("timestamp").alias("not_before"),
+        F.when(F.col("o_orderkey") % 5 == 0, "SPEAKER_REQUEUE: before").alias("error"),
+        F.lit(None).cast("int").alias("n_utterances"),
+        F.lit(None).cast("string").alias("quality"),
+        F.lit(None).cast("timestamp").alias("updated_at"),
+        "o_orderpriority",
+        "o_custkey",
+    )
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS session_id, o_orderkey % 3 AS tried, o_orderkey % 5 = 0 AS before, o_custkey % 11 AS n, 1 + o_custkey % 2 AS speakers,
+ CASE WHEN o_orderpriority LIKE '1%' THEN 'unavailable' WHEN o_orderpriority LIKE '2%' THEN 'error' ELSE 'done' END AS outcome FROM orders WHERE {_PICKED}),
+ t AS (SELECT *, outcome = 'done' AND n >= 6 AND speakers = 1 AND NOT before AS again FROM s)
+ SELECT session_id, CASE WHEN again THEN 'pending' WHEN outcome = 'done' THEN 'done' WHEN outcome = 'error' AND tried + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status,
+ CAST(CASE WHEN again THEN 0 WHEN outcome = 'error' THEN tried + 1 ELSE tried END AS INT) AS retries, outcome = 'unavailable' AS pauses,
+ CASE WHEN again THEN 'SPEAKER_REQUEUE: 1 speaker, ' || n || ' utterances' WHEN outcome = 'done' THEN NULL ELSE 'why' END AS error,
+ CASE WHEN outcome = 'done' AND NOT again THEN CASE WHEN n > 0 THEN 'done' ELSE 'skipped' END END AS quality FROM t""")
+def st2_after_processing(spark, d):
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    ready = W.due(_sessions(spark, d), now)
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "unavailable").when(F.col("o_orderpriority").startswith("2"), "error").otherwise("done")
+    outcomes = ready.select("session_id", kind.alias("outcome"), (F.col("o_custkey") % 11).cast("int").alias("n_utterances"), (1 + F.col("o_custkey") % 2).cast("int").alias("n_speakers"), F.lit("why").alias("message"))
+    return W.after(ready, outcomes, now).select("session_id", "status", "retries", F.col("not_before").isNotNull().alias("pauses"), "error", "quality")
+
+
+@query("SELECT count(*) AS n, count(*) > 5 AS alert FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 3 <> 0 AND o_orderkey % 7 = 0")
+def st3_missing_audio(spark, d):
+    return W.missing_audio(_sessions(spark, d))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k, event_type FROM events)
+ SELECT user_id, event_type, event_id, value FROM e WHERE k = 1""")
+def snk3_published(spark, d):
+    """Two runs into a published table: half of the events, then the others; the later event of each user and type stays."""
+    base = f"{checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    table = Published(spark, base, "user_id long, event_type string, event_id long, value double, ts timestamp", ["user_id", "event_type"], buckets=16)
+    events = T.table(spark, d, "events").select("user_id", "event_type", "event_id", F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    latest = F.max_by(F.struct("event_id", "value", "ts"), F.struct("ts", "event_id")).alias("e")
+    early, late = (events.where(F.col("event_id") % 2 == half).groupBy("user_id", "event_type").agg(latest).select("user_id", "event_type", "e.*") for half in (0, 1))
+    table.upsert(early, "ts", "snk3", 0)
+    before = table.read().withColumnRenamed("ts", "old_ts").withColumnRenamed("event_id", "old_id").drop("value")
+    newer = late.join(before, ["user_id", "event_type"], "left").where("old_ts is null or ts > old_ts or ts = old_ts and event_id > old_id").drop("old_ts", "old_id")
+    table.upsert(newer, "ts", "snk3", 1)
+    return table.read().select("user_id", "event_type", "event_id", "value")

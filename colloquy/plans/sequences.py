@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
+from ..operators import scans
 from ..operators import sequences as S
 from ..sources import tables as T
 from . import segmentation
@@ -56,8 +57,7 @@ def seq7_padding(spark, d):
  SELECT conv_id, turn, CAST(sum(CASE WHEN rn > 1 AND spk IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS INT) AS run FROM l""")
 def seq9_null_safe_islands(spark, d):
     c = T.table(spark, d, "conversations").withColumn("spk", F.when(F.col("turn") % 5 != 0, F.col("role")))
-    changed = ~S.previous("spk", ("conv_id",), ("turn",)).eqNullSafe(F.col("spk"))
-    return S.islands(c, ["conv_id"], ["turn"], changed, "run").select("conv_id", "turn", "run")
+    return S.islands(c, ["conv_id"], ["turn"], S.differs("spk"), "run").select("conv_id", "turn", "run")
 
 
 @query(f"WITH {T.SQL_WORDS} SELECT session_id, word_idx, CASE WHEN p IS NOT NULL THEN {_r2('greatest(0, start_sec - p)')} END AS silence_before_sec FROM (SELECT *, lag(end_sec) OVER (PARTITION BY session_id ORDER BY word_idx) AS p FROM words)")
@@ -113,7 +113,7 @@ def seq16_boundaries(spark, d):
  k AS (SELECT *, CAST(ceil((b - a) / 4.0) AS INT) AS n FROM r WHERE b - a >= 1.0)
  SELECT session_id, utt_idx, CAST(i AS INT) AS part, round(a + i * (b - a) / n, 6) AS win_start, round(a + (i + 1) * (b - a) / n, 6) AS win_end FROM k, unnest(range(n)) AS t(i)""")
 def seq18_embedding_windows(spark, d):
-    new = (S.previous("speaker") != F.col("speaker")) | (F.col("start_sec") - S.previous("end_sec") > 0.5)
+    new = lambda before: (before("speaker") != F.col("speaker")) | (F.col("start_sec") - before("end_sec") > 0.5)
     runs = S.islands(T.words(spark, d), ["session_id"], ["word_idx"], new, "utt_idx").groupBy("session_id", "utt_idx").agg(F.min("start_sec").alias("a"), F.max("end_sec").alias("b"))
     k = runs.where("b - a >= 1.0").withColumn("n", F.ceil((F.col("b") - F.col("a")) / 4.0).cast("int"))
     k = k.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -136,8 +136,8 @@ def seq23_renumber(spark, d):
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS queue_position FROM orders WHERE o_orderstatus = 'P'")
 def seq24_queue_position(spark, d):
-    pos = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey"))
-    return T.table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", pos.alias("queue_position"))
+    waiting = T.table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return scans.Sliced(waiting, ["o_orderpriority"], ["o_orderdate", "o_orderkey"]).add("queue_position", scans.row_number()).result().select("o_orderkey", F.col("queue_position").cast("int").alias("queue_position"))
 
 
 @query(f"""WITH {T.SQL_WORDS} SELECT session_id, word_idx, coalesce(p2 || ' ', '') || coalesce(p1, '') AS before, coalesce(n1, '') || coalesce(' ' || n2, '') AS after

@@ -7,9 +7,11 @@ utterances  conversation turns: session = conversation, sequence_order = turn, s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import scans
+
 AXIS = 2e10  # microseconds of an event's time in one second of the compressed axis
 
 
@@ -21,25 +23,20 @@ def _seconds():
     return F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(AXIS)
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a session numbered from 0 in the order of their times."""
+    return scans.Sliced(rows, ["session_id"], ["ts", "event_id"]).add(name, scans.row_number()).result().withColumn(name, (F.col(name) - 1).cast("int"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    return (
-        table(spark, sf_dir, "events")
-        .select(F.col("user_id").alias("session_id"), "event_id", "ts", F.col("event_type").alias("speaker"), _seconds().alias("start_sec"), (_seconds() + F.col("value") / 100).alias("end_sec"))
-        .withColumn("word_idx", F.row_number().over(order) - 1)
-        .select("session_id", "word_idx", "event_id", "speaker", "start_sec", "end_sec")
-    )
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "ts", F.col("event_type").alias("speaker"), _seconds().alias("start_sec"), (_seconds() + F.col("value") / 100).alias("end_sec"))
+    return _numbered(events, "word_idx").select("session_id", "word_idx", "event_id", "speaker", "start_sec", "end_sec")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type").isin("view", "click"))
-        .select(F.col("user_id").alias("session_id"), "event_id", "ts", F.concat(F.lit("S"), F.col("event_id") % 3).alias("speaker"), _seconds().alias("start_sec"), (_seconds() + F.col("value") / 20).alias("end_sec"))
-        .withColumn("turn_idx", F.row_number().over(order) - 1)
-        .select("session_id", "turn_idx", "speaker", "start_sec", "end_sec")
-    )
+    shown = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    shown = shown.select(F.col("user_id").alias("session_id"), "event_id", "ts", F.concat(F.lit("S"), F.col("event_id") % 3).alias("speaker"), _seconds().alias("start_sec"), (_seconds() + F.col("value") / 20).alias("end_sec"))
+    return _numbered(shown, "turn_idx").select("session_id", "turn_idx", "speaker", "start_sec", "end_sec")
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
