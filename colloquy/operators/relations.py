@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The relation that says nothing, the reciprocal pair and its representative.
@@ -49,10 +49,15 @@ def crossvalidated(rows: DataFrame) -> DataFrame:
 BUCKETS = 1 << 16  # of a seeded hash; a rank is the rows in earlier buckets and the place in its own
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A number below 2^60 from the digest of a key and a seed; other engines can say it too."""
+    return F.conv(F.left(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.lit(15)), 16, 10).cast("long")
+
+
 def _ranked(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """rows with _rank, from 1, in the seeded order of their label. No task gets all rows of a label."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    marked = rows.withColumn("_b", F.pmod(h, F.lit(BUCKETS)))
+    h = seeded(key, seed)
+    marked = rows.withColumn("_b", F.coalesce(F.pmod(h, F.lit(BUCKETS)), F.lit(-1)))  # no key: before all others
     counts = marked.groupBy(F.col(label).alias("_label"), F.col("_b").alias("_bucket")).agg(F.count("*").alias("_n"))  # BUCKETS rows of a label at most
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("_label", "_bucket", before.alias("_before"))
@@ -79,7 +84,7 @@ def majority_capped(rows: DataFrame, label: str, major: str, ratio: float, key:
 def split(rows: DataFrame, key: str, val: float, seed: int = 42) -> DataFrame:
     """Exactly floor(n * (1 - val)) rows are train. The cut is a quantile of a seeded hash, found from counts of hash
     buckets, so no single task sorts all rows."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 16))
+    h = F.coalesce(F.pmod(seeded(key, seed), F.lit(1 << 16)), F.lit(-1))
     marked = rows.withColumn("_b", h)
     counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))  # 65,536 rows at most
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
@@ -88,7 +93,15 @@ def split(rows: DataFrame, key: str, val: float, seed: int = 42) -> DataFrame:
     return joined.withColumn("part", F.when(F.col("_at") <= F.floor(F.col("_all") * (1 - val)), "train").otherwise("val")).select(*rows.columns, "part")
 
 
-def group_split(rows: DataFrame, group: str, shares: tuple[float, float, float], seed: int = 42) -> DataFrame:
-    """Train, val and test by a seeded hash of the group, so no group is in two parts."""
-    u = F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return rows.withColumn("part", F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "val").otherwise("test"))
+def group_split(rows: DataFrame, group: str, shares: tuple[float, float, float], seed: int = 42, stratum: str | None = None) -> DataFrame:
+    """Train, val and test by whole groups, so that no group is in two parts. Groups of one stratum (a group's smallest value of it) are ranked by a seeded hash, and
+    exactly floor(n * shares) of them end where the shares do, in each stratum."""
+    label = F.min(stratum) if stratum else F.lit(0)
+    groups = rows.groupBy(group).agg(label.alias("_stratum"))
+    ranked = _ranked(groups, "_stratum", group, seed)
+    total = groups.groupBy("_stratum").agg(F.count("*").alias("_n")).withColumnRenamed("_stratum", "_of")
+    met = ranked.join(total, F.col("_stratum").eqNullSafe(F.col("_of")))
+    upto = lambda share: F.floor(F.round(F.col("_n") * share, 9))
+    part = F.when(F.col("_rank") <= upto(shares[0]), "train").when(F.col("_rank") <= upto(shares[0] + shares[1]), "val").otherwise("test")
+    parts = met.select(F.col(group).alias("_group"), part.alias("part"))
+    return rows.join(parts, F.col(group).eqNullSafe(F.col("_group"))).select(*rows.columns, "part")

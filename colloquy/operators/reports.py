@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import names
-from . import relations
+from . import relations, scans
 
 # Fixed value: raw numbers that a masked text should not hold.
 RAW_NUMBER = r"01[016-9][-\s]?\d{3,4}[-\s]?\d{4}|\d{6}[-\s]?[1-4]\d{6}"
@@ -75,7 +75,8 @@ def result_segments(segments: DataFrame) -> DataFrame:
     return segments.select(*others, time("start"), time("end"), text.alias("text"), F.coalesce(F.when(F.col("speaker") != "", F.col("speaker")), F.lit("?")).alias("speaker")).where("text <> ''")
 
 
-def dummy_rows(spark: SparkSession, templates: list[tuple[str, str]], n: int, label: str) -> DataFrame:
-    """n rows of text and label from the templates in turn, numbered."""
-    pick = lambda k: F.element_at(F.array(*(F.lit(t[k]) for t in templates)), (F.col("id") % len(templates) + 1).cast("int"))
-    return spark.range(n).select(F.concat_ws(" ", pick(0), F.col("id").cast("string")).alias("text"), pick(1).alias(label), F.lit("dummy").alias("source"))
+def dummy_rows(rows: DataFrame, key: str, templates: list[tuple[str, str]], label: str) -> DataFrame:
+    """A row of text and label from the templates in turn for each of rows, in the order of a numeric key, which stands behind the text."""
+    pick = lambda k: F.element_at(F.array(*(F.lit(t[k]) for t in templates)), (F.col("_at") % len(templates) + 1).cast("int"))
+    numbered = scans.Sliced(rows.select(key).withColumn("_all", F.lit(0)), ["_all"], [key]).add("_at", scans.row_number()).result().withColumn("_at", F.col("_at") - 1)
+    return numbered.select(F.concat_ws(" ", pick(0), F.col(key).cast("string")).alias("text"), pick(1).alias(label), F.lit("dummy").alias("source"))

@@ -256,32 +256,37 @@ def _labelled(spark, d):
     return T.table(spark, d, "documents").select("doc_id", "lang").join(T.table(spark, d, "labels"), "doc_id")
 
 
-@query("""WITH r AS (SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, (SELECT min(n) FROM r) AS kept FROM r""")
+_HASHED = "('0x' || left(md5({k} || ':42'), 15))::BIGINT"
+_BY_LANG = f"""WITH d AS (SELECT doc_id, lang, {_HASHED.format(k="doc_id")} AS h FROM documents JOIN labels USING (doc_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h % 65536, h, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM d)"""
+
+
+@query(_BY_LANG + " SELECT doc_id, lang FROM r WHERE r <= (SELECT min(n) FROM r)")
 def set5_balanced(spark, d):
-    return relations.balanced(_labelled(spark, d), "lang", "doc_id").groupBy("lang").agg(F.count("*").alias("kept"))
+    return relations.balanced(_labelled(spark, d), "lang", "doc_id").select("doc_id", "lang")
 
 
-@query("""WITH r AS (SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, least((SELECT min(n) FROM r), 10) AS kept FROM r""")
+@query(_BY_LANG + " SELECT doc_id, lang FROM r WHERE r <= least((SELECT min(n) FROM r), 10)")
 def set6_balanced_cap(spark, d):
-    return relations.balanced(_labelled(spark, d), "lang", "doc_id", 10).groupBy("lang").agg(F.count("*").alias("kept"))
+    return relations.balanced(_labelled(spark, d), "lang", "doc_id", 10).select("doc_id", "lang")
 
 
-@query("""WITH r AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), o AS (SELECT sum(n) AS others FROM r WHERE lang <> 'en') SELECT lang, CAST(CASE WHEN lang = 'en' THEN least(n, others) ELSE n END AS BIGINT) AS kept FROM r, o""")
+@query(f"""WITH d AS (SELECT doc_id, lang, {_HASHED.format(k="doc_id")} AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h % 65536, h, doc_id) AS r FROM d)
+ SELECT doc_id, lang FROM r WHERE lang <> 'en' OR r <= (SELECT count(*) FROM documents WHERE lang <> 'en')""")
 def set7_majority_cap(spark, d):
-    return relations.majority_capped(T.table(spark, d, "documents").select("doc_id", "lang"), "lang", "en", 0.5, "doc_id").groupBy("lang").agg(F.count("*").alias("kept"))
+    return relations.majority_capped(T.table(spark, d, "documents").select("doc_id", "lang"), "lang", "en", 0.5, "doc_id").select("doc_id", "lang")
 
 
-@query("SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS train, count(*) - CAST(floor(count(*) * 0.8) AS BIGINT) AS val FROM documents")
+@query(f"""WITH d AS (SELECT doc_id, {_HASHED.format(k="doc_id")} % 65536 AS h FROM documents)
+ SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY h, doc_id) <= floor((SELECT count(*) FROM d) * 0.8) THEN 'train' ELSE 'val' END AS part FROM d""")
 def set8_split(spark, d):
-    s = relations.split(T.table(spark, d, "documents").select("doc_id"), "doc_id", 0.2)
-    return s.agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "val").alias("val"))
+    return relations.split(T.table(spark, d, "documents").select("doc_id"), "doc_id", 0.2)
 
 
-@query("""SELECT count(*) AS n_rows, 0 AS leaked FROM documents""")
+@query(f"""WITH g AS (SELECT source, {_HASHED.format(k="source")} AS h FROM documents GROUP BY source), r AS (SELECT source, row_number() OVER (ORDER BY h % 65536, h, source) AS r, count(*) OVER () AS n FROM g)
+ SELECT doc_id, CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.9) THEN 'val' ELSE 'test' END AS part FROM documents JOIN r USING (source)""")
 def set9_group_split(spark, d):
-    s = relations.group_split(T.table(spark, d, "documents").select("doc_id", "source"), "source", (0.8, 0.1, 0.1))
-    parts = s.groupBy("source").agg(F.count_distinct("part").alias("p"), F.count("*").alias("n"))
-    return parts.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("p") > 1).cast("int").alias("leaked"))
+    return relations.group_split(T.table(spark, d, "documents").select("doc_id", "source"), "source", (0.8, 0.1, 0.1)).select("doc_id", "part")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_custkey AS u, 'n' || (c_custkey % 40) AS v FROM customer UNION SELECT DISTINCT 'n' || (c_custkey % 40), 'c' || c_custkey FROM customer),

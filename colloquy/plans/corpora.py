@@ -79,7 +79,7 @@ def src10_age_speech(spark, d):
 
 
 _RAW = ("건강", "IT 기술", "가족", "모르는 말", "제주 여행", "집", "")
-_MAPPED = "CASE {k} WHEN 0 THEN '건강/의료' WHEN 1 THEN 'IT/기술' WHEN 2 THEN '가족' WHEN 3 THEN '기타' WHEN 4 THEN '여행/외출' WHEN 5 THEN '식사/음식' END"
+_MAPPED = "CASE {k} WHEN 0 THEN '건강/의료' WHEN 1 THEN 'IT/기술' WHEN 2 THEN '가족' WHEN 3 THEN '기타' WHEN 4 THEN '여행/외출' WHEN 5 THEN '식사/음식' WHEN 6 THEN '건강/의료' END"
 
 
 @query(f"""SELECT {_TRIM} AS text, {_MAPPED.format(k='conv_id % 7')} AS topic, 'aihub_topic_dialog' AS source FROM conversations WHERE conv_id % 7 < 6 AND {_TRIM} <> ''""")
@@ -106,9 +106,9 @@ def src12_speech_ages(spark, d):
     return corpora.speech_ages(flat.select("value").union(plain.select("value")).union(nested))
 
 
-@query(f"SELECT conv_id, turn, {_MAPPED.format(k='turn % 7')} AS topic FROM conversations WHERE turn % 7 < 6")
+@query(f"SELECT conv_id, turn, {_MAPPED.format(k='turn % 7')} AS topic FROM conversations")
 def fn43_topic_names(spark, d):
-    return T.table(spark, d, "conversations").where("turn % 7 < 6").select("conv_id", "turn", corpora.topic_of(_case(F.col("turn") % 7, _RAW)).alias("topic"))
+    return T.table(spark, d, "conversations").select("conv_id", "turn", corpora.topic_of(_case(F.col("turn") % 7, _RAW)).alias("topic"))
 
 
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '상거래 전반' WHEN 1 THEN '시사/뉴스' WHEN 2 THEN '교통' END AS subject FROM conversations")
@@ -116,10 +116,10 @@ def fn44_subjects(spark, d):
     return T.table(spark, d, "conversations").select("conv_id", "turn", corpora.subject_of(_case(F.col("turn") % 4, ("상거래전반", " 타 국가 이슈 ", "교통", "없음"))).alias("subject"))
 
 
-@query(f"SELECT conv_id, turn, {_TRIM.replace('coalesce(text, ' + chr(39) * 2 + ')', 'text')} AS text FROM conversations WHERE NOT regexp_matches(text, '^[^:：]{{1,12}}\\s*[:：]')")
+@query("""SELECT conv_id, turn, regexp_replace(regexp_replace(CASE WHEN turn % 2 = 0 THEN '화자1 : ' || text ELSE text END, '^[^:：]{1,12}\\s*[:：]\\s*', ''), '^\\s+|\\s+$', '', 'g') AS text FROM conversations""")
 def fn45_without_prefix(spark, d):
-    rows = T.table(spark, d, "conversations").where(~F.col("text").rlike(r"^[^:：]{1,12}\s*[:：]"))
-    return rows.select("conv_id", "turn", C.without_prefix(F.concat(F.lit("화자1 : "), "text")).alias("text"))
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("화자1 : "), "text")).otherwise(F.col("text"))
+    return T.table(spark, d, "conversations").select("conv_id", "turn", C.without_prefix(said).alias("text"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true ELSE o_orderkey % 2 = 0 END AS masks FROM orders")

@@ -49,21 +49,28 @@ def js2_run_records(spark, d):
     return r.select("session_id", "model_versions.auto_label", "model_versions.pii_mask", "model_versions.stt", F.try_element_at("audio_info", F.lit("duration_sec")).alias("duration"))
 
 
-@query("SELECT count(*) AS n_rows, CAST(greatest(1, floor(count(*) * 0.1)) AS BIGINT) AS val, count(DISTINCT c_custkey) AS kinds FROM customer")
+_HASHED = "('0x' || left(md5({k} || ':42'), 15))::BIGINT"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_HASHED.format(k="c_custkey")} AS h FROM customer)
+ SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY h % 65536, h, c_custkey) <= greatest(1, floor((SELECT count(*) FROM c) * 0.1)) THEN 'val' ELSE 'train' END AS part FROM c""")
 def set14_sampled_split(spark, d):
-    s = R.sampled_split(T.table(spark, d, "customer").select("c_custkey"), "c_custkey")
-    return s.agg(F.count("*").alias("n_rows"), F.count_if(F.col("part") == "val").alias("val"), F.count_distinct("c_custkey").alias("kinds"))
+    return R.sampled_split(T.table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("""WITH s AS (SELECT DISTINCT conv_id, conv_id % 3 AS label FROM conversations), n AS (SELECT label, count(*) AS n FROM s GROUP BY label) SELECT label, (SELECT min(n) FROM n) AS segments FROM n""")
+@query(f"""WITH s AS (SELECT DISTINCT conv_id, conv_id % 3 AS label, {_HASHED.format(k="conv_id")} AS h FROM conversations),
+ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h % 65536, h, conv_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM s) SELECT conv_id, label FROM r WHERE r <= (SELECT min(n) FROM r)""")
 def mx19_segment_holdout(spark, d):
     s = T.table(spark, d, "conversations").select("conv_id", (F.col("conv_id") % 3).alias("label")).distinct()
-    return relations.balanced(s, "label", "conv_id").groupBy("label").agg(F.count("*").alias("segments"))
+    return relations.balanced(s, "label", "conv_id")
 
 
-@query("""SELECT 'A' || CASE WHEN k % 3 = 0 THEN '가' WHEN k % 3 = 1 THEN '나' ELSE '다' END || ' ' || k AS text, CASE k % 3 WHEN 0 THEN '20대' WHEN 1 THEN '30대' ELSE '40대' END AS age_group, 'dummy' AS source FROM range(600) t(k)""")
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+ SELECT 'A' || CASE i % 3 WHEN 0 THEN '가' WHEN 1 THEN '나' ELSE '다' END || ' ' || o_orderkey AS text, CASE i % 3 WHEN 0 THEN '20대' WHEN 1 THEN '30대' ELSE '40대' END AS age_group, 'dummy' AS source FROM o""")
 def mx28_dummy_rows(spark, d):
-    return R.dummy_rows(spark, [("A가", "20대"), ("A나", "30대"), ("A다", "40대")], 600, "age_group")
+    """One row of the templates for each order, in turn."""
+    o = T.table(spark, d, "orders").select("o_orderkey")
+    return R.dummy_rows(o, "o_orderkey", [("A가", "20대"), ("A나", "30대"), ("A다", "40대")], "age_group")
 
 
 @query("""SELECT event_id AS id, event_id % 3 AS masked, CASE event_id % 4 WHEN 0 THEN '김현정' WHEN 1 THEN '010-1234-5678' WHEN 2 THEN '김현정|01012345678|900101-1234567' ELSE '' END AS suspects FROM events""")

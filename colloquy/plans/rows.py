@@ -151,13 +151,6 @@ def set4_prefixed_union(spark, d):
     return a.union(T.table(spark, d, "customer").select(F.concat(F.lit("src1_"), "c_custkey"), "c_acctbal"))
 
 
-@query()
-def set11_component_split(spark, d):
-    sizes = T.table(spark, d, "customer").groupBy("c_nationkey").count().collect()  # nations: a fixed number of components
-    out = clustering.greedy_split([(f"{r.c_nationkey:02d}", r["count"]) for r in sizes])
-    return spark.createDataFrame(sorted(out.items()), "component string, part string")
-
-
 @query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS latest_run_id, count(*) AS runs FROM orders GROUP BY o_custkey")
 def snk3_latest_run(spark, d):
     return T.table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("latest_run_id"), F.count("*").alias("runs"))

@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed
+
 
 def rttm_turns(spark: SparkSession, path: str) -> DataFrame:
     """SPEAKER lines as turns; end is start plus duration; turn_idx follows the start within a file."""
@@ -22,14 +24,59 @@ def rttm_turns(spark: SparkSession, path: str) -> DataFrame:
     return turns.withColumn("turn_idx", F.row_number().over(Window.partitionBy("session").orderBy("start_sec", "end_sec", "speaker")) - 1)
 
 
-def json_texts(spark: SparkSession, path: str, aliases=("text", "utterance", "transcript", "form", "content")) -> DataFrame:
-    """Texts under any of the alias keys of records, at the top or one list deep; a missing key gives no row."""
-    fields = ", ".join(f"{a} string" for a in aliases)
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    listed = F.from_json("value", f"array<struct<{fields}>>")
-    single = F.from_json("value", f"struct<{fields}, data: array<struct<{fields}>>, utterances: array<struct<{fields}>>>".replace(" string", ": string"))
-    rows = raw.select("file", listed.alias("l"), single.alias("s")).select("file", F.explode(F.array_compact(F.flatten(F.array(F.coalesce("l", F.array().cast(f"array<struct<{fields.replace(' string', ': string')}>>")), F.coalesce("s.data", F.array().cast(f"array<struct<{fields.replace(' string', ': string')}>>")), F.coalesce("s.utterances", F.array().cast(f"array<struct<{fields.replace(' string', ': string')}>>")), F.array(F.struct(*(F.col(f"s.{a}").alias(a) for a in aliases))))))).alias("r"))
-    return rows.select("file", F.coalesce(*(F.col(f"r.{a}") for a in aliases)).alias("text")).where("text is not null")
+ALIASES = ("text", "sentence", "script", "utterance", "content", "transcription", "발화", "원문")  # fixed values, in their order
+
+
+def found_texts(rows: DataFrame, aliases=ALIASES) -> DataFrame:
+    """rows(file, value), JSON of any shape -> (file, text): an object gives the first of its aliases that is a filled string, and nothing below it is looked at;
+    else all its values are looked through, as are lists; a bare string of more than one character is a text. What is no JSON gives no row.
+
+    One step down all documents is one pass; there are as many as the deepest document has levels. Each level is checkpointed.
+    """
+    kind = lambda v: F.schema_of_variant(v)
+
+    def alias(v: Column, name: str) -> Column:
+        inner = F.try_variant_get(v, f"$['{name}']", "variant")
+        text = F.trim(F.regexp_replace(F.try_variant_get(v, f"$['{name}']", "string"), r"(?U)^\s+|\s+$", ""))
+        return F.when((kind(inner) == "STRING") & (text != ""), text)
+
+    level = rows.select("file", F.try_parse_json("value").alias("v")).where("v is not null")
+    out = None
+    while True:
+        is_object = F.startswith(kind(F.col("v")), F.lit("OBJECT"))
+        bare = F.when(kind(F.col("v")) == "STRING", F.try_variant_get("v", "$", "string"))
+        named = F.when(is_object, F.coalesce(*(alias(F.col("v"), a) for a in aliases)))
+        level = checkpointed(level.select("file", "v", F.coalesce(F.when(F.length(bare) > 1, bare), named).alias("text"), (is_object | F.startswith(kind(F.col("v")), F.lit("ARRAY"))).alias("deeper")))
+        told = level.where("text is not null").select("file", "text")
+        out = told if out is None else out.unionByName(told)
+        down = level.where("text is null and deeper")
+        if down.isEmpty():
+            return out
+        level = down.lateralJoin(down.sparkSession.tvf.variant_explode(F.col("v").outer())).select("file", F.col("value").alias("v")).where("v is not null")
+
+
+def json_texts(spark: SparkSession, path: str, aliases=ALIASES) -> DataFrame:
+    """Texts in JSON files of any shape, as found_texts()."""
+    return found_texts(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), aliases)
+
+
+LABEL_FOLDERS = ("label", "labels", "txt", "json", "transcript")  # fixed values, in their order
+
+
+def transcripts_beside(audio: DataFrame, files: DataFrame) -> DataFrame:
+    """audio(path), files(path, value): each audio file's transcript: the first filled one of the JSON and the text file of its name in its folder, then
+    of those in the label folders beside it. JSON: the first text in it. (path, text), an empty text where there is none."""
+    folder, stem = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"([^/]*?)\.[^./]*$", 1)
+    top = F.regexp_replace(folder, r"/[^/]*$", "")
+    places = F.array(folder, *(F.concat(top, F.lit(f"/{name}")) for name in LABEL_FOLDERS))
+    wanted = audio.select("path", stem.alias("stem"), F.posexplode(places).alias("rank", "folder"))
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    given = files.select(folder.alias("folder"), stem.alias("stem"), F.col("path").alias("file"), kind.alias("kind"), "value").where(F.col("kind").isin("json", "txt"))
+    met = checkpointed(wanted.join(given, ["folder", "stem"]))
+    read = found_texts(met.where("kind = 'json'").select("file", "value").distinct()).groupBy("file").agg(F.min("text").alias("read"))
+    text = F.trim(F.regexp_replace(F.when(F.col("kind") == "json", F.col("read")).otherwise(F.col("value")), r"(?U)^\s+|\s+$", ""))
+    first = met.join(read, "file", "left").withColumn("text", text).where("text <> ''").groupBy("path").agg(F.min(F.struct("rank", "kind", "text")).alias("f"))
+    return audio.select("path").join(first, "path", "left").select("path", F.coalesce("f.text", F.lit("")).alias("text"))
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
