@@ -12,6 +12,7 @@ from . import intervals as I
 # The deeper and the higher voice.
 LOW, HIGH = "SPEAKER_01", "SPEAKER_00"
 ENCLOSED = 0.12
+IVR, ABSENT, APART = "SPEAKER_IVR", 0.5, 8.0  # announcements: the label, and by what share of a call they are over; Hz between two voices
 
 
 def nearest_anchor(words: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -44,6 +45,27 @@ def pinned_body(words: DataFrame, intro: float) -> DataFrame:
     return words.join(turned, "session_id", "left").withColumn("pinned_role", F.when(F.col("_turn") & body, swapped).otherwise(F.col("role"))).drop("_turn")
 
 
+def rediarized(words: DataFrame, turns: DataFrame, lengths: DataFrame) -> DataFrame:
+    """words(session_id, word_idx, start_sec, speaker), turns(session_id, turn_idx, speaker, start_sec, end_sec, f0) of a second diarization, lengths(session_id, duration): the
+    words' speakers anew. Of more than two speakers, those that are over by half of the call are announcements. If two speakers are left, whose pitches differ (or
+    announcements were found), they get the labels of the deeper and the higher voice; a word goes with the turn it begins in, or the nearest one, and
+    words of announcements or before their end are announcements. Other sessions stay as they are."""
+    voices = turns.groupBy("session_id", F.col("speaker").alias("voice")).agg(F.max("end_sec").alias("last"), F.percentile("f0", F.lit(0.5)).alias("f0"))
+    few = voices.groupBy("session_id").agg(F.count("*").alias("n"))  # a session has few voices, so counts and sides are aggregates
+    voices = voices.join(few, "session_id").join(lengths, "session_id").withColumn("ivr", (F.col("n") > 2) & (F.col("last") < ABSENT * F.col("duration")))
+    person = F.when(~F.col("ivr") & F.col("f0").isNotNull(), F.struct("f0", "voice"))
+    sides = voices.groupBy("session_id").agg(F.max(F.when(F.col("ivr"), F.col("last"))).alias("cut"), F.count_if(~F.col("ivr")).alias("people"), F.count(person).alias("known"), F.min(person).alias("low"), F.max(person).alias("high"))
+    sides = sides.where((F.col("people") == 2) & (F.col("known") == 2) & (F.col("cut").isNotNull() | (F.col("high.f0") - F.col("low.f0") >= APART)))
+    points = words.where("start_sec is not null").select("session_id", F.col("word_idx").cast("long").alias("word_idx"), F.col("start_sec").alias("at"))
+    near = I.nearest_edge(points, I.as_right(turns, ["session_id"]).withColumnRenamed("r_turn_idx", "turn_idx"), "word_idx", "turn_idx")
+    said = near.join(turns.select("session_id", "turn_idx", F.col("speaker").alias("voice")), ["session_id", "turn_idx"])
+    said = said.join(sides, "session_id").join(voices.select("session_id", "voice", "ivr"), ["session_id", "voice"]).select("session_id", "word_idx", "voice", "ivr", "cut", F.col("low.voice").alias("low"), F.col("high.voice").alias("high"))
+    met = words.join(said, ["session_id", "word_idx"], "left")
+    announced = F.col("ivr") | (F.col("start_sec") < F.col("cut"))
+    new = F.when(announced, IVR).when(F.col("voice") == F.col("low"), LOW).when(F.col("voice") == F.col("high"), HIGH).otherwise(F.col("speaker"))
+    return met.withColumn("speaker", new).drop("voice", "ivr", "cut", "low", "high")
+
+
 def written_back(segments: DataFrame, labels: DataFrame) -> DataFrame:
     """segments(session_id, segment_idx, speaker, words array<struct<word, start, end, speaker>>), labels(session_id, segment_idx, word_idx, speaker): words take
     the label at their place, a segment that of most of its words (the first of equals); places without a label stay as they are."""

@@ -107,7 +107,7 @@ def reclustered(windows: DataFrame, least: float = 0.30) -> DataFrame:
     return labels.join(sure, "session_id").select("session_id", "window_idx", speaker.alias("speaker"), F.round("confidence", 6).alias("confidence"))
 
 
-def anchors(turns: DataFrame, least: float = 0.6, apart: float = 30.0) -> DataFrame:
+def anchors(turns: DataFrame, least: float = 0.6, apart: float = 8.0) -> DataFrame:
     """turns(session_id, speaker, start_sec, end_sec, f0, embedding): the openings' turns of each speaker -> (session_id, low, high): the mean embedding of the deeper and
     of the higher voice, as unit vectors, from turns of at least `least` seconds. Only sessions of two speakers whose median pitches lie `apart` Hz or more
     from each other have anchors. Sums by position are partial aggregates."""

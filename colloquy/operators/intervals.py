@@ -129,3 +129,21 @@ def nearest_start(points: DataFrame, spans: DataFrame, key: str, idx: str) -> Da
 
     nearest = both.select("session_id", key, F.array_min(F.array_compact(F.array(far("b"), far("a"))))["k"].alias("n"))
     return nearest.join(held, ["session_id", key], "left").select("session_id", key, F.coalesce(F.col(f"i.{idx}"), F.col("n")).alias(idx), F.col("i").isNotNull().alias("inside"))
+
+
+def nearest_edge(points: DataFrame, spans: DataFrame, key: str, idx: str) -> DataFrame:
+    """Per point (session_id, key, at): the first span, by idx, that holds it, else the span whose start or end is nearest, the first of equals. Outside all
+    spans only the last end before and the first start behind a point matter: two scans over the union of both sides."""
+    inside = first_inside(points, spans.withColumn("_idx", F.col(idx)), key, idx, "_idx").withColumnRenamed("_idx", "_in")
+
+    def scan(bound: str, sign: int, name: str, rows: DataFrame) -> DataFrame:
+        empty = F.lit(None).cast("struct<t:double,k:long>")
+        p = rows.select("*", (sign * F.col("at")).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_o"), empty.alias("_x"))
+        s = spans.select("session_id", (sign * F.col(bound)).alias("_t"), F.lit(0).alias("_side"), (-F.col(idx)).cast("long").alias("_o"), F.struct(F.col(bound).cast("double").alias("t"), F.col(idx).cast("long").alias("k")).alias("_x"))
+        both = scans.Sliced(p.unionByName(s, allowMissingColumns=True), ["session_id"], ["_t", "_side", "_o"]).add(name, scans.last_known(F.col("_x"))).result()
+        return both.where("_side = 1").drop("_t", "_side", "_o", "_x")
+
+    found = scan("r_start", -1, "_ahead", scan("r_end", 1, "_behind", points.select("session_id", key, "at")))
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("at")).alias("d"), F.col(f"{c}.k").alias("k")))
+    best = F.array_min(F.array_compact(F.array(far("_behind"), far("_ahead"))))["k"]
+    return found.join(inside, ["session_id", key], "left").select("session_id", key, F.coalesce("_in", best).cast("int").alias(idx))

@@ -109,11 +109,15 @@ def agg19_label_histogram(spark, d):
     return T.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT lang, count(*) FILTER (WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS emails, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{6}')) AS long_numbers,
- count(*) FILTER (WHERE regexp_matches(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')) AS quads FROM documents GROUP BY lang""")
+@query("WITH r(rule_idx, type, pattern) AS (VALUES " + ", ".join(f"({i}, '{label}', '{pattern}')" for i, (label, pattern) in enumerate((*pii.RULES, *pii.CANDIDATES))) + """)
+ SELECT lang, rule_idx, type, count(*) FILTER (WHERE regexp_matches(text, pattern)) AS n FROM documents, r GROUP BY ALL""")
 def agg21_pattern_coverage(spark, d):
-    has = lambda p: F.count_if(F.col("text").rlike(p))
-    return T.table(spark, d, "documents").groupBy("lang").agg(has(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}").alias("emails"), has("[0-9]{6}").alias("long_numbers"), has(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}").alias("quads"))
+    """In how many texts of each language each rule and each candidate has a match."""
+    rules = (*pii.RULES, *pii.CANDIDATES)
+    hits = [F.count_if(F.coalesce(F.col("text"), F.lit("")).rlike("(?U)" + pattern)).alias(f"n{i}") for i, (_, pattern) in enumerate(rules)]
+    wide = T.table(spark, d, "documents").groupBy("lang").agg(*hits)
+    long = F.array(*(F.struct(F.lit(i).alias("rule_idx"), F.lit(label).alias("type"), F.col(f"n{i}").alias("n")) for i, (label, _) in enumerate(rules)))
+    return wide.select("lang", F.explode(long).alias("r")).select("lang", "r.*")
 
 
 @query("""WITH h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS hits FROM documents WHERE regexp_matches(text, '[0-9]{6}')),
@@ -200,10 +204,12 @@ def agg31_session_rollup(spark, d):
     return T.words(spark, d).groupBy("session_id").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {T.SQL_WORDS}, s AS (SELECT session_id, min(start_sec) AS a, max(end_sec) AS b FROM words GROUP BY ALL), e AS (SELECT session_id, speaker, max(end_sec) AS last FROM words GROUP BY ALL)
+@query(f"""WITH {T.SQL_WORDS}, s AS (SELECT session_id, min(start_sec) AS a, max(end_sec) AS b FROM words GROUP BY ALL), e AS (SELECT session_id, speaker || '-' || (word_idx // 10) AS speaker, max(end_sec) AS last FROM words GROUP BY ALL)
  SELECT session_id, speaker FROM e JOIN s USING (session_id) WHERE last - a < 0.5 * (b - a)""")
 def agg32_early_speakers(spark, d):
-    e = T.words(spark, d).groupBy("session_id", "speaker").agg(F.max("end_sec").alias("last"), F.min("start_sec").alias("first"))
+    """Voices that are over by half of the call: speakers with a new name after every ten words."""
+    voice = F.concat("speaker", F.lit("-"), F.floor(F.col("word_idx") / 10))
+    e = T.words(spark, d).withColumn("speaker", voice).groupBy("session_id", "speaker").agg(F.max("end_sec").alias("last"), F.min("start_sec").alias("first"))
     w = Window.partitionBy("session_id")
     return e.withColumn("a", F.min("first").over(w)).withColumn("b", F.max("last").over(w)).where("last - a < 0.5 * (b - a)").select("session_id", "speaker")
 

@@ -1,10 +1,10 @@
-"""Queries over nested values, JSON of any shape, clusters, anchors, and splits by groups and components."""
+"""Queries over nested values, JSON of any shape, clusters, anchors, names in words, and splits by groups and components."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import nested
+from ..functions import names, nested
 from ..operators import anchors as A
 from ..operators import clustering, relations
 from ..sources import files
@@ -69,13 +69,13 @@ def vec5_confidence(spark, d):
 def _openings(spark, d):
     """Vectors as turns of two speakers with pitches; in every third session the pitches are too near."""
     k, s = F.col("vec_id") % 2, F.floor(F.col("vec_id") / 50)
-    f0 = 120.0 + F.when(s % 3 == 0, 5).otherwise(60) * k + F.col("vec_id") % 7
+    f0 = 120.0 + F.when(s % 3 == 0, 3).otherwise(60) * k + F.col("vec_id") % 7
     start = (F.col("vec_id") % 50).cast("double")
     return T.table(spark, d, "embeddings").select(s.alias("session_id"), F.concat(F.lit("spk"), k).alias("speaker"), start.alias("start_sec"), (start + 0.25 * (F.col("vec_id") % 5)).alias("end_sec"), f0.alias("f0"), "embedding", "vec_id")
 
 
-_ANCHORS = """WITH t AS (SELECT vec_id // 50 AS s, vec_id % 2 AS k, 0.25 * (vec_id % 5) AS n, 120.0 + CASE WHEN vec_id // 50 % 3 = 0 THEN 5 ELSE 60 END * (vec_id % 2) + vec_id % 7 AS f0, vec_id, embedding FROM embeddings),
- f AS (SELECT s, k, quantile_cont(f0, 0.5) AS f0 FROM t GROUP BY ALL), p AS (SELECT s FROM f GROUP BY s HAVING count(*) = 2 AND max(f0) - min(f0) >= 30),
+_ANCHORS = """WITH t AS (SELECT vec_id // 50 AS s, vec_id % 2 AS k, 0.25 * (vec_id % 5) AS n, 120.0 + CASE WHEN vec_id // 50 % 3 = 0 THEN 3 ELSE 60 END * (vec_id % 2) + vec_id % 7 AS f0, vec_id, embedding FROM embeddings),
+ f AS (SELECT s, k, quantile_cont(f0, 0.5) AS f0 FROM t GROUP BY ALL), p AS (SELECT s FROM f GROUP BY s HAVING count(*) = 2 AND max(f0) - min(f0) >= 8),
  u AS (SELECT s, k, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM t WHERE n >= 0.6), m AS (SELECT s, k, i, avg(CAST(x AS DOUBLE)) AS x FROM u GROUP BY ALL),
  a AS (SELECT s, k, list(x ORDER BY i) AS v FROM m GROUP BY ALL), l AS (SELECT * FROM a JOIN p USING (s))"""
 
@@ -121,3 +121,47 @@ def set11_component_split(spark, d):
     """Customers as components of their orders; which component of a size goes where is a matter of its rank, so counts by size and part are compared."""
     parts = clustering.component_split(T.table(spark, d, "orders").select("o_custkey"), "o_custkey")
     return parts.groupBy("size", "part").agg(F.count("*").alias("components"))
+
+
+_CALLED = """WITH t AS (SELECT conv_id, turn, text, string_split_regex(text, '\\s+') AS ws, turn % 3 AS k FROM conversations)"""
+
+
+def _called(spark, d):
+    """Turns with a name in front, a name that is called behind, or neither."""
+    k, t = F.col("turn") % 3, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit("김현정이 왔다 "), t)).when(k == 1, F.concat(t, F.lit(" 소리야"))).otherwise(t)
+    return T.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), said.alias("text"), F.transform(F.split(said, r"\s+"), lambda w: F.struct(w.alias("word"))).alias("words"))
+
+
+@query(_CALLED + """ SELECT conv_id, turn, CASE k WHEN 0 THEN '[PII_이름]이 왔다 ' || text WHEN 1 THEN text || ' 소리야' ELSE text END AS masked,
+ CASE k WHEN 0 THEN '[PII_이름]이 왔다 ' ELSE '' END || array_to_string(ws, ' ') || CASE k WHEN 1 THEN ' 소리야' ELSE '' END AS words, CASE k WHEN 0 THEN 1 ELSE 0 END AS n_masked FROM t""")
+def fn18_names_in_words(spark, d):
+    out = names.masked_in_step(_called(spark, d))
+    return out.select("id.*", "masked", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("words"), "n_masked")
+
+
+@query(_CALLED + """ SELECT conv_id, turn, CASE k WHEN 0 THEN 'object_nim:사물+님 확신형환각 추정: 인증서님' WHEN 1 THEN 'vocative:호격 추정: 소리야' ELSE '' END AS flags, CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS priority FROM t""")
+def fn22_review_flags(spark, d):
+    """Every third turn comes with a noun and its honorific as morphemes, another third with a title or a name and theirs."""
+    k = F.col("id.turn") % 3
+    of = lambda *pairs: F.array(*(F.struct(F.lit(a).alias("form"), F.lit(b).alias("tag")) for a, b in pairs))
+    morphemes = F.when(k == 0, of(("인증서", "NNG"), ("님", "XSN"))).when(k == 1, of(("선생", "NNG"), ("님", "XSN"), ("김현정", "NNP"), ("님", "XSN"))).otherwise(of(("님", "XSN"), ("가", "VV"), ("님", "XSN")))
+    r = _called(spark, d).select("id", names.review_flags(F.col("text"), morphemes).alias("r"))
+    return r.select("id.*", F.array_join(F.transform("r.flags", lambda f: F.concat(f["type"], F.lit(":"), f["detail"])), "|").alias("flags"), "r.priority")
+
+
+@query(f"""WITH {T.SQL_WORDS}, {T.SQL_TURNS}, v AS (SELECT *, CASE WHEN turn_idx < 5 THEN 'I' ELSE speaker END AS c, 100.0 + 10 * (turn_idx % 3) + ascii(right(speaker, 1)) % 2 AS f0 FROM turns WHERE speaker <> 'S2' OR turn_idx < 5),
+ g AS (SELECT session_id, c, max(end_sec) AS last, quantile_cont(f0, 0.5) AS f0 FROM v GROUP BY ALL), s AS (SELECT session_id, max(end_sec) AS dur FROM words GROUP BY ALL),
+ i AS (SELECT g.*, count(*) OVER (PARTITION BY session_id) > 2 AND last < 0.5 * dur AS ivr FROM g JOIN s USING (session_id)),
+ m AS (SELECT session_id, coalesce(max(CASE WHEN ivr THEN last END), 0) AS cut, count(*) FILTER (WHERE NOT ivr) AS n, arg_min(c, struct_pack(a := f0, b := c)) FILTER (WHERE NOT ivr) AS lo, arg_max(c, struct_pack(a := f0, b := c)) FILTER (WHERE NOT ivr) AS hi,
+  max(f0) FILTER (WHERE NOT ivr) - min(f0) FILTER (WHERE NOT ivr) AS gap, bool_or(ivr) AS announced FROM i GROUP BY session_id),
+ j AS (SELECT w.session_id, w.word_idx, arg_min(v.c, struct_pack(a := CASE WHEN w.start_sec BETWEEN v.start_sec AND v.end_sec THEN 0 ELSE 1 END, b := CASE WHEN w.start_sec BETWEEN v.start_sec AND v.end_sec THEN 0.0 ELSE least(abs(w.start_sec - v.start_sec), abs(w.start_sec - v.end_sec)) END, c := v.turn_idx)) AS c FROM words w JOIN v USING (session_id) GROUP BY ALL)
+ SELECT w.session_id, w.word_idx, CASE WHEN n = 2 AND (gap >= 8 OR announced) THEN CASE WHEN i.ivr OR (cut > 0 AND w.start_sec < cut) THEN 'SPEAKER_IVR' WHEN j.c = lo THEN 'SPEAKER_01' WHEN j.c = hi THEN 'SPEAKER_00' ELSE w.speaker END ELSE w.speaker END AS speaker
+ FROM words w LEFT JOIN m USING (session_id) LEFT JOIN j USING (session_id, word_idx) LEFT JOIN i ON i.session_id = w.session_id AND i.c = j.c""")
+def dz4_rediarized(spark, d):
+    """The first turns of a session as an announcement, two speakers behind them."""
+    t = T.turns(spark, d).where((F.col("speaker") != "S2") | (F.col("turn_idx") < 5))
+    f0 = 100.0 + 10 * (F.col("turn_idx") % 3) + F.ascii(F.right("speaker", F.lit(1))) % 2
+    t = t.withColumn("f0", f0).withColumn("speaker", F.when(F.col("turn_idx") < 5, "I").otherwise(F.col("speaker")))
+    w = T.words(spark, d)
+    return A.rediarized(w, t, w.groupBy("session_id").agg(F.max("end_sec").alias("duration"))).select("session_id", "word_idx", "speaker")

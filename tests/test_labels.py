@@ -162,3 +162,23 @@ def test_mutual_map(spark):
     assert run([*clear[:3], ("b", "y", 0.12)]) == []  # a label that leads by too little
     assert run([("a", "x", 0.9), ("a", "y", 0.2), ("b", "x", 0.8), ("b", "y", 0.3)]) == []  # two labels with one best
     assert run([("a", "x", 0.9)]) == [("a", "x")] and run([("a", "x", -0.97)]) == []
+
+
+def test_names_in_words(spark):
+    w = "array<struct<word:string,start:double>>"
+    rows = [(1, "김현정이 왔다", [("김현정이", 0.0), ("왔다", 1.0), ("(김·현정)", 2.0), (None, 3.0)]), (2, "아무도", [("김현정", 0.0)]), (3, None, None)]
+    got = {r.id: r for r in names.masked_in_step(spark.createDataFrame(rows, f"id int, text string, words {w}")).collect()}
+    # the word's Hangul holds the name, but the name itself doesn't stand in it: it stays
+    assert got[1].masked == "[PII_이름]이 왔다" and [tuple(x) for x in got[1].words] == [("[PII_이름]이", 0.0), ("왔다", 1.0), ("(김·현정)", 2.0), (None, 3.0)] and got[1].n_masked == 1
+    assert [tuple(x) for x in got[2].words] == [("김현정", 0.0)] and got[2].n_masked == 0 and got[3].words is None and got[3].n_masked == 0
+
+
+def test_review_flags(spark):
+    m = "array<struct<form:string,tag:string>>"
+    nim = ("님", "XSN")
+    rows = [(1, "현정아 와라", [("인증서", "NNG"), nim, ("고객", "NNP"), nim]), (2, "", [("선생", "NNG"), nim, ("김현정", "NNP"), nim, ("가", "VV"), nim]), (3, None, [nim]), (4, "x", None)]
+    df = spark.createDataFrame(rows, f"id int, t string, m {m}")
+    got = {r.id: r.r for r in df.select("id", names.review_flags(F.col("t"), F.col("m")).alias("r")).collect()}
+    assert [(f.type, f.severity, f.char_start) for f in got[1].flags][:2] == [("vocative", "low", 0), ("object_nim", "med", None)] and got[1].priority >= 4
+    assert got[2].flags == [] and got[2].priority == 0 and got[3].flags == []
+    assert [r.p for r in df.select(names.review_flags(F.col("t"))["priority"].alias("p")).collect()] == [1, 0, 0, 0]

@@ -109,7 +109,7 @@ def test_confidences(spark):
 
 def test_anchors(spark):
     t = [(1, "a", 0.0, 1.0, 100.0, [3.0, 0.0]), (1, "a", 2.0, 2.5, 110.0, [0.0, 9.0]), (1, "b", 3.0, 4.0, 200.0, [0.0, 2.0]), (1, "b", 5.0, 6.0, 210.0, None)]
-    t += [(2, "a", 0.0, 1.0, 100.0, [1.0, 0.0]), (2, "b", 0.0, 1.0, 110.0, [0.0, 1.0])]  # pitches too near
+    t += [(2, "a", 0.0, 1.0, 100.0, [1.0, 0.0]), (2, "b", 0.0, 1.0, 105.0, [0.0, 1.0])]  # pitches too near
     t += [(3, "a", 0.0, 1.0, 100.0, [1.0, 0.0])] + [(4, s, 0.0, 1.0, f, [1.0, 0.0]) for s, f in (("a", 90.0), ("b", 150.0), ("c", 250.0))]
     t += [(5, "a", 0.0, 1.0, 100.0, [1.0, 0.0]), (5, "b", 0.0, 0.5, 200.0, [0.0, 1.0])]  # no turn is long enough
     got = clustering.anchors(spark.createDataFrame(t, "session_id int, speaker string, start_sec double, end_sec double, f0 double, embedding array<double>")).collect()
@@ -160,3 +160,19 @@ def test_stratified_groups(spark):
         n = len(parts)
         assert [parts.count(p) for p in ("train", "val", "test")] == [int(n * 0.8 + 1e-9), int(n * 0.9 + 1e-9) - int(n * 0.8 + 1e-9), n - int(n * 0.9 + 1e-9)]
     assert df.select(F.lit(1)).count() == len(rows)
+
+
+def test_nearest_edge(spark):
+    from colloquy.operators import intervals
+
+    rng = random.Random(3)
+    spans = [(s, k, a := rng.randint(0, 60) / 2, a + rng.choice([0.5, 1, 4])) for s in range(3) for k in range(8)]
+    points = [(s, i, rng.randint(-4, 90) / 2) for s in range(4) for i in range(40)]
+    got = intervals.nearest_edge(spark.createDataFrame(points, "session_id int, i long, at double"), spark.createDataFrame([(s, k, float(a), float(b)) for s, k, a, b in spans], "session_id int, k int, r_start double, r_end double"), "i", "k")
+
+    def nearest(s, t):
+        own = [(k, a, b) for x, k, a, b in spans if x == s]
+        held = [k for k, a, b in own if a <= t <= b]
+        return held[0] if held else min(own, key=lambda x: (min(abs(t - x[1]), abs(t - x[2])), x[0]))[0] if own else None
+
+    assert {(r.session_id, r.i): r.k for r in got.collect()} == {(s, i): nearest(s, t) for s, i, t in points}
