@@ -127,14 +127,20 @@ class _Open:
         return min(found, default=0)
 
 
+ENDED, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
+
+
 def _tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
     """(begin, end, name, attributes, is an end tag) of each tag or other markup (without a name), each character looked at once or
     so. If a tag's quotes never close, tags end at the first bracket from there on; a last tag without one is text."""
     at, quotes = page.find("<"), True
     while at >= 0:
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            end = len(page) if end < 0 else end + 3
+            if short := ENDED.match(page, at + 4):  # <!--> and <!---> end at once
+                end = short.end()
+            else:
+                over = COMMENT_END.search(page, at + 4)
+                end = over.end() if over else len(page)
             yield at, end, "", "", False
         elif page.startswith("<![CDATA[", at):
             end = page.find("]]>", at)
@@ -196,7 +202,7 @@ def parse(page: str) -> Node:
             continue
         bare = attributes.rstrip().endswith("/")
         if name in RAW and not (bare and tree.last("svg", "math")):
-            over = re.compile(rf"</{name}\s*+>", re.I).search(page, end)
+            over = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, end)
             at = over.end() if over else len(page)
             continue
         if name in ("html", "body", "head"):
