@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hashes, map_shared, saved, texts, tidy, work_dir, write_shared
+from .common import chunks, hashes, map_shared, mix64, saved, texts, tidy, work_dir, write_shared
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -38,7 +38,10 @@ MIN_COUNT = 2
 DISCOUNT = 0.75  # D
 MASS = 4.0  # M
 FILE = 1 << 18
+COUNTS = "-counts"
 CHARS = 3 << 20  # characters that a task looks at together
+IDS = 2 << 20  # bytes of word ids that it does
+BUCKET = 1 << 20  # training tokens for each bucket in which pairs are counted
 HELD = 3_000_000  # distinct pairs that a task holds before it sends them on
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word holds a line feed
 PROB, BACK = 4096.0, 4096.0  # steps per power of ten; 16 powers fit
@@ -234,8 +237,8 @@ class Vocabulary:
 # ---- higher levels
 
 
-def _level_writer(folder: str, level: int, below):
-    """Each task gets a sorted range of (parent, child, c, kept, kinds) and writes it as one file."""
+def _level_writer(folder: str, level: int, below, last_level: bool):
+    """Each task gets a sorted range of (parent, child, c, kept, kinds) and writes it as one file; its counts, which only the next level's building needs, as another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]  # about FILE rows by the choice of partitions
@@ -257,7 +260,9 @@ def _level_writer(folder: str, level: int, below):
         weight = np.zeros(pb - pa + 1, "<u2")
         weight[parent[first] - pa] = np.clip(np.rint(-np.log10(np.maximum(back, 1e-15)) * BACK), 0, 65535)
         name = f"{level}-{pa}-{int(child[0])}"
-        write_shared(f"{folder}/{name}", _pack_file([(pa, []), (pb, []), EliasFano.encode(pointers, len(parent)), EliasFano.encode(values, int(values[-1])), (len(c), [c.astype("<u8").tobytes(), code.tobytes(), b"\0" * (-2 * len(c) % 8)]), (len(weight), [weight.tobytes()])]))
+        write_shared(f"{folder}/{name}", _pack_file([(pa, []), (pb, []), EliasFano.encode(pointers, len(parent)), EliasFano.encode(values, int(values[-1])), (len(c), [code.tobytes(), b"\0" * (-2 * len(c) % 8)]), (len(weight), [weight.tobytes()])]))
+        if not last_level:
+            write_shared(f"{folder}/{name}{COUNTS}", c.astype("<u8").tobytes())
         yield pd.DataFrame({"name": [name], "parent": [pa], "child": [int(child[0])], "n": [len(c)]})
 
     return run
@@ -269,8 +274,15 @@ class _LevelFile:
         self.pa, self.pb = f.numbers(2)
         self.pointers, self.children = f.sequence(), f.sequence()
         n = f.numbers(1)[0]
-        self.count, self.code = f.take(8 * n).view("<u8"), f.take(2 * n + -2 * n % 8)[: 2 * n].view("<u2")
+        self.code = f.take(2 * n + -2 * n % 8)[: 2 * n].view("<u2")
         self.weight = f.take(2 * f.numbers(1)[0]).view("<u2")
+        self.uri, self._count = uri, None
+
+    @property
+    def count(self) -> np.ndarray:
+        if self._count is None:
+            self._count = map_shared(f"{self.uri}{COUNTS}").view("<u8")
+        return self._count
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place or -1, whether the parent has children here)."""
@@ -354,6 +366,7 @@ class Trie:
     def __init__(self, folder: str, bits: int, sizes: dict[int, int], tokens: int):
         self.folder, self.bits, self.sizes, self.tokens = folder, bits, sizes, tokens
         self.kinds = sum(sizes.values())
+        self.id_type = np.dtype("<u4" if self.kinds < (1 << 32) - 1 else "<u8")  # its greatest number: unknown
         self.levels: list[list[tuple[str, int, int, int]]] = []
         self._vocabulary, self._levels = None, {}
 
@@ -380,21 +393,27 @@ def pair_order(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
     return np.lexsort((child, parent))
 
 
+def token_hashes(batch_texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the joined tokens of texts, and how many each text has."""
+    parts = []
+    for t in batch_texts:
+        parts += [hashes(t.encode("utf-8", "surrogatepass").lower().split()), END.reshape(1)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(p) + 1 for p in parts[::2]], np.int64)
+
+
 class Tokens:
-    """The joined tokens of a batch: hashes, document numbers and, with a trie, ids and counts."""
-
-    def __init__(self, batch_texts, trie: Trie | None = None):
-        parts = []
-        for t in batch_texts:
-            parts += [hashes(t.encode("utf-8", "surrogatepass").lower().split()), END.reshape(1)]
-        self.sizes = np.array([len(p) + 1 for p in parts[::2]], np.int64)
-        self.hash = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    """The joined tokens of a batch of coded texts: document numbers, ids (-1: unknown) and counts."""
+
+    def __init__(self, rows: list[bytes], trie: Trie):
+        kind = trie.id_type
+        self.sizes = np.array([len(r) // kind.itemsize for r in rows], np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        if trie:
-            found, back = np.unique(self.hash, return_inverse=True)
-            ids, counts = trie.vocabulary.find(found)
-            self.ids, self.counts = ids[back], counts[back]
-            self.follows = np.r_[False, self.doc[1:] == self.doc[:-1]] if len(self.doc) else np.zeros(0, bool)
+        found, back = np.unique(np.frombuffer(b"".join(rows), kind), return_inverse=True)
+        known = found != np.iinfo(kind).max
+        ids, counts = np.where(known, found, 0).astype(np.int64), np.zeros(len(found), np.int64)
+        counts[known] = trie.vocabulary.count_of(ids[known])
+        self.ids, self.counts = np.where(known, ids, -1)[back], counts[back]
+        self.follows = np.r_[False, self.doc[1:] == self.doc[:-1]] if len(self.doc) else np.zeros(0, bool)
 
     def look_up(self, level: Level, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: (node of parents' n-gram and this token, first term, weight); equal pairs are asked for once."""
@@ -420,19 +439,40 @@ class Tokens:
 
 def _unigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in chunks(batches, CHARS):
-        h, c = np.unique(Tokens(b.text).hash, return_counts=True)
+        h, c = np.unique(token_hashes(b.text)[0], return_counts=True)
         yield pd.DataFrame({"h": h.view(np.int64), "c": c})
 
 
+def _coded_of(trie: Trie):
+    """Texts as the ids of their tokens, side by side in bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = trie.id_type
+        for b in chunks(batches, CHARS):
+            h, sizes = token_hashes(b.text)
+            found, back = np.unique(h, return_inverse=True)
+            ids = trie.vocabulary.find(found)[0]
+            raw = np.where(ids < 0, np.iinfo(kind).max, ids).astype(kind)[back]
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "ids": [x.tobytes() for x in np.split(raw, np.cumsum(sizes)[:-1])]})
+
+    return run
+
+
+def coded(docs: DataFrame, trie: Trie) -> DataFrame:
+    """docs(doc_id, text) as (doc_id, ids): words are split and hashed once, all further passes read ids."""
+    return docs.mapInPandas(tidy(_coded_of(trie)), "doc_id long, ids binary")
+
+
 def _candidates_of(trie: Trie, level: int, least: int):
     """Pairs parent * words + child of the next level, both of whose n-1 word parts are nodes; a task counts its own
-    pairs before it sends them on."""
+    pairs before it sends them on, dealt into buckets."""
+    buckets = max(1, trie.tokens // BUCKET)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
-        for b in chunks(batches, CHARS):
-            t = Tokens(b.text, trie)
+        for b in chunks(batches, IDS, "ids"):
+            t = Tokens(b.ids.to_list(), trie)
             nodes = t.ids
             for k in range(2, level):
                 nodes = t.look_up(trie.level(k), t.parents(nodes))[0]
@@ -447,11 +487,31 @@ def _candidates_of(trie: Trie, level: int, least: int):
                 key, c = _summed(held)
                 held, n = [(key, c)], len(key)
                 if n > HELD // 2:
-                    yield pd.DataFrame({"pair": key, "c": c})
+                    yield _dealt(key, c, buckets)
                     held, n = [], 0
         if n:
-            key, c = _summed(held)
-            yield pd.DataFrame({"pair": key, "c": c})
+            yield _dealt(*_summed(held), buckets)
+
+    return run
+
+
+def _dealt(key: np.ndarray, c: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Pairs and counts side by side in bytes, one row for each bucket that has some."""
+    bucket = (mix64(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket)
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+    parts = list(zip(cuts, [*cuts[1:], len(key)]))
+    key, c = key[order].astype("<i8"), c[order].astype("<u4")  # a task has fewer tokens than that
+    return pd.DataFrame({"bucket": bucket[order][cuts], "pairs": [key[a:z].tobytes() for a, z in parts], "counts": [c[a:z].tobytes() for a, z in parts]})
+
+
+def _merged_of(kinds: int, least: int):
+    """All of a bucket's pairs: there are as many as BUCKET tokens make at most, on average, whatever the corpus' size."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, c = _summed([(np.frombuffer(b"".join(pdf.pairs), "<i8"), np.frombuffer(b"".join(pdf.counts), "<u4").astype(np.int64))])
+        key, c = key[c >= least], c[c >= least]
+        return pd.DataFrame({"parent": key // kinds, "child": key % kinds, "c": c})
 
     return run
 
@@ -464,37 +524,47 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(c[order], first)
 
 
-def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Trie:
-    """Counts all rows of training(doc_id, text) and writes the trie to the shared folder."""
+def vocabulary_of(training: DataFrame) -> Trie:
+    """Counts the words of training(doc_id, text): a trie of one level."""
     folder = work_dir(training.sparkSession, "ngrams")
     words = saved(training.mapInPandas(tidy(_unigrams), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "ngrams")
     bits = max(0, int(words.count() // FILE).bit_length())
     part = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     about = words.withColumn("part", part).groupBy("part").applyInPandas(_vocabulary_writer(folder, bits), "part int, n long, tokens long").toPandas()  # one row per file
-    trie = Trie(folder, bits, dict(zip(about.part.tolist(), about.n.tolist())), int(about.tokens.sum()))
+    return Trie(folder, bits, dict(zip(about.part.tolist(), about.n.tolist())), int(about.tokens.sum()))
+
+
+def grow(trie: Trie, training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Trie:
+    """Adds the levels up to order, counted over all rows of training(doc_id, ids)."""
+    folder = trie.folder
     for level in range(2, order + 1):
         nodes = trie.kinds if level == 2 else int(trie.level(level - 1).starts[-1])
         if nodes * trie.kinds >= 1 << 63:
             raise ValueError("the pairs of this level do not fit into 64 bits")
-        pairs = training.mapInPandas(tidy(_candidates_of(trie, level, min_count)), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-        words_ = F.lit(max(1, trie.kinds)).cast("long")
-        grams = saved(pairs.select(F.expr(f"pair div {max(1, trie.kinds)}L").alias("parent"), F.pmod("pair", words_).alias("child"), "c"), "ngrams")
+        pairs = training.mapInPandas(tidy(_candidates_of(trie, level, min_count)), "bucket long, pairs binary, counts binary")
+        grams = saved(pairs.groupBy("bucket").applyInPandas(_merged_of(max(1, trie.kinds), min_count), "parent long, child long, c long"), "ngrams")
         sums = saved(grams.groupBy("parent").agg(F.sum("c").alias("kept"), F.count("*").alias("kinds")), "ngrams")
         rows = saved(grams.join(sums, "parent").select("parent", "child", "c", "kept", "kinds"), "ngrams")
         files = max(1, -(-rows.count() // FILE))
         below = (lambda t=trie: t.vocabulary) if level == 2 else (lambda t=trie, k=level - 1: t.level(k))
         ranged = rows.repartitionByRange(files, "parent", "child").sortWithinPartitions("parent", "child")
-        written = ranged.mapInPandas(tidy(_level_writer(folder, level, below)), "name string, parent long, child long, n long").toPandas()
+        written = ranged.mapInPandas(tidy(_level_writer(folder, level, below, level == order)), "name string, parent long, child long, n long").toPandas()
         written = written.sort_values(["parent", "child"])
         trie.levels.append(list(written.itertuples(index=False, name=None)))
     return trie
 
 
+def build(training: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Trie:
+    """Counts all rows of training(doc_id, text) and writes the trie to the shared folder."""
+    trie = vocabulary_of(training)
+    return grow(trie, saved(coded(training, trie), "ngrams-ids"), order, min_count)
+
+
 def _scores_of(trie: Trie):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = trie.tokens + 0.5 * (trie.kinds + 1)
-        for b in chunks(batches, CHARS):
-            t = Tokens(b.text, trie)
+        for b in chunks(batches, IDS, "ids"):
+            t = Tokens(b.ids.to_list(), trie)
             p = (t.counts + 0.5) / whole
             n = len(b)
             base = np.bincount(t.doc, np.log10(p), n)
@@ -507,14 +577,21 @@ def _scores_of(trie: Trie):
     return run
 
 
+def scored(rows: DataFrame, trie: Trie) -> DataFrame:
+    """rows(doc_id, ids): doc_id, n_tokens, n_known, base_score, score of each."""
+    return rows.mapInPandas(tidy(_scores_of(trie)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    return texts(docs).mapInPandas(tidy(_scores_of(trie)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored(coded(texts(docs), trie), trie)
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
     """Learns from the training fold of docs and scores all rows. min_count: how often an n-gram of two words or more has to
     occur to be a node; what rarer ones would say comes from the words' own level."""
-    trie = build(texts(docs).where(~held_out()), order, min_count)
-    out = score(docs, trie)
+    rows = texts(docs)
+    trie = vocabulary_of(rows.where(~held_out()))
+    ids = saved(coded(rows, trie), "ngrams-ids")
+    out = scored(ids, grow(trie, ids.where(~held_out()), order, min_count))
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
