@@ -120,9 +120,14 @@ class KeySet:
             i, k = ids[rows], keys[rows]
             h = _pair_hash(i, k)
             at = np.searchsorted(known, h)
-            for step in range(3):  # equal hashes stand side by side
-                n = np.minimum(at + step, len(known) - 1)
-                out[rows] |= (known[n] == h) & (known_ids[n] == i.view(np.uint64)) & (known_keys[n] == k.view(np.uint64))
+            asked = np.flatnonzero(at < len(known))
+            while len(asked):  # equal hashes stand side by side
+                n = at[asked]
+                same = known[n] == h[asked]
+                asked, n = asked[same], n[same]
+                out[rows[asked]] |= (known_ids[n] == i[asked].view(np.uint64)) & (known_keys[n] == k[asked].view(np.uint64))
+                at[asked] += 1
+                asked = asked[at[asked] < len(known)]
         return out
 
 

@@ -225,6 +225,18 @@ def test_key_set(spark, monkeypatch):
     assert not members.find(ids, keys + 1).any() and not common.KeySet(spark.createDataFrame([], "doc_id long, key long"), "test").find(ids, keys).any()
 
 
+def test_keys_of_equal_hash(spark, monkeypatch):
+    """Any number of members may share a hash."""
+    from colloquy.llm import common
+
+    monkeypatch.setattr(common, "_pair_hash", lambda ids, keys: np.full(len(ids), 7, np.uint64))
+    ids = np.arange(9, dtype=np.int64)
+    known = common.KeySet.__new__(common.KeySet)
+    known.parts, known.there, known.files = 1, frozenset([0]), {0: np.array([[7] * 6, [0, 2, 4, 6, 8, 8], [1, 1, 1, 1, 1, 3]], "<u8")}
+    assert list(known.find(ids, np.ones(9, np.int64))) == [True, False, True, False, True, False, True, False, True]
+    assert not known.find(ids, np.full(9, 2, np.int64)).any() and known.find(ids, np.full(9, 3, np.int64)).sum() == 1
+
+
 def test_minimal_perfect_hash():
     r = np.random.default_rng(0)
     digests = r.integers(0, 256, (5000, 32)).astype(np.uint8)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import numpy as np
@@ -266,7 +267,49 @@ def test_kept_and_dropped_elements():
 
 
 def test_pages_query(spark):
-    assert queries.op6_html(spark, DATA).where(F.length("text") > 0).count() == 50
+    """Each page's text against the text of its article element, read by a parser of another kind."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.skip, self.parts = 0, 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag in ("article", "main") or self.depth > 0 and tag not in ("br", "img", "hr", "input", "meta", "link")
+            hidden = tag in ("script", "style", "form", "aside", "nav", "button", "header", "footer") or any(k == "class" and re.search("comment|advert|share|related|promo|banner|cookie|notice", v or "") for k, v in attrs)
+            self.skip += self.depth > 0 and (self.skip > 0 or hidden) and tag not in ("br", "img", "hr", "input", "meta", "link")
+            self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.depth:
+                self.depth -= 1
+                self.skip -= self.skip > 0
+            self.parts.append(" ")
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.parts.append(data)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = {r.page_id: r for r in queries.op6_html(spark, DATA).collect()}
+    assert got.keys() == pages.keys() and all(r.n_chars == len(r.text) for r in got.values())
+    exact = 0
+    for k, page in pages.items():
+        reader = Article()
+        reader.feed(page)
+        want, have = " ".join("".join(reader.parts).split()).split(), got[k].text.split()
+        exact += want == have
+    assert exact >= 0.95 * len(pages)
+
+
+@pytest.mark.parametrize("odd", ["<!-->", "<!--->", "<!-- a > b -->", "<!-- x --!>", "<script>var a = '<p>';</script foo>", "<style>p{}</style\n>", "<script>1</script/>"])
+def test_markup_that_ends_early(odd):
+    assert "Second part" in text_of(html.parse(f"<article><p>First part.</p>{odd}<p>Second part.</p></article>"))
+
+
+def text_of(node):
+    return " ".join(i if isinstance(i, str) else text_of(i) for i in node.items)
 
 
 def test_pipeline(spark):
@@ -290,15 +333,15 @@ def test_pipeline_awkward(spark, rows):
     import corpus_pipeline
 
     docs = table(spark, rows)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         out = corpus_pipeline.saved(stage(spark, docs, DATA), "test")
         assert out.columns == docs.columns and out.exceptAll(docs).isEmpty()
         docs = out
+        if name == "near dedup" and rows:  # of equal texts the largest, of the others that are alike the smallest doc_id
+            assert sorted((r.doc_id for r in docs.collect()), key=lambda i: i or 0) == [None, 2, 4, 6, 7, 8, 10, 11, 11, 12]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     kept = [r.doc_id for r in docs.collect()]
     assert sorted({r.doc_id or 0 for r in packed}) == sorted({i or 0 for i in kept}) and sum(r.piece == 0 for r in packed) == len(kept)
-    if rows:
-        assert {1, 8, 10, 11, None} - set(kept) <= {1, 8, 10, 11, None}
 
 
 def brute_pipeline_copies(rows):
@@ -323,4 +366,4 @@ def test_pipeline_dedup_by_brute_force(spark):
     out = corpus_pipeline.saved(stages["exact dedup"](spark, docs, DATA), "test")
     kept = {r.doc_id for r in stages["near dedup"](spark, out, DATA).collect()}
     want, missed = brute_pipeline_copies(rows)
-    assert kept == want or missed
+    assert kept == want
