@@ -42,6 +42,15 @@ def relation_by_salutation(text: Column) -> Column:
     return out
 
 
+def salutation_rule(text: Column) -> Column:
+    """Number of the first rule that the text meets; the least over several texts is that of all of them together."""
+    return F.coalesce(*(F.when(text.rlike(pattern), i) for i, (pattern, _) in enumerate(SALUTATIONS)))
+
+
+def relation_of_rule(rule: Column) -> Column:
+    return F.get(F.array(*(F.lit(relation) for _, relation in SALUTATIONS)), rule)
+
+
 def relation(inferred: Column, text: Column) -> Column:
     return F.coalesce(inferred, relation_by_salutation(text))
 

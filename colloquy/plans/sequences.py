@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cosine
 from ..operators import scans
 from ..operators import sequences as S
+from ..operators import speakers
 from ..sources import tables as T
 from . import segmentation
 
@@ -109,16 +110,12 @@ def seq16_boundaries(spark, d):
     return segmentation.spaced_boundaries(s)
 
 
-@query(_islands("p_spk <> speaker OR start_sec - p_end > 0.5") + """, r AS (SELECT session_id, utt_idx, min(start_sec) AS a, max(end_sec) AS b FROM u GROUP BY ALL),
- k AS (SELECT *, CAST(ceil((b - a) / 4.0) AS INT) AS n FROM r WHERE b - a >= 1.0)
+@query(_islands("p_spk <> speaker OR start_sec - p_end > 0.5") + """, r AS (SELECT session_id, utt_idx, arg_min(start_sec, word_idx) AS a, arg_max(end_sec, word_idx) AS b FROM u GROUP BY ALL),
+ k AS (SELECT *, CAST(floor((b - a + 3.0) / 4.0) AS INT) AS n FROM r WHERE b - a >= 1.0)
  SELECT session_id, utt_idx, CAST(i AS INT) AS part, round(a + i * (b - a) / n, 6) AS win_start, round(a + (i + 1) * (b - a) / n, 6) AS win_end FROM k, unnest(range(n)) AS t(i)""")
 def seq18_embedding_windows(spark, d):
-    new = lambda before: (before("speaker") != F.col("speaker")) | (F.col("start_sec") - before("end_sec") > 0.5)
-    runs = S.islands(T.words(spark, d), ["session_id"], ["word_idx"], new, "utt_idx").groupBy("session_id", "utt_idx").agg(F.min("start_sec").alias("a"), F.max("end_sec").alias("b"))
-    k = runs.where("b - a >= 1.0").withColumn("n", F.ceil((F.col("b") - F.col("a")) / 4.0).cast("int"))
-    k = k.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda i: F.round(F.col("a") + i * (F.col("b") - F.col("a")) / F.col("n"), 6)
-    return k.select("session_id", "utt_idx", "part", at(F.col("part")).alias("win_start"), at(F.col("part") + 1).alias("win_end"))
+    at = lambda c: F.round(c, 6).alias(c)
+    return speakers.embedding_windows(T.words(spark, d)).select("session_id", "utt_idx", "part", at("win_start"), at("win_end"))
 
 
 @query(f"""WITH {T.SQL_WORDS} SELECT session_id, word_idx, CASE WHEN p = n AND p <> speaker AND start_sec - pe < 2.0 AND ns - end_sec < 2.0 THEN p ELSE speaker END AS smoothed
