@@ -99,9 +99,9 @@ def _labelled(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def reclustered(windows: DataFrame, least: float = 0.30) -> DataFrame:
     """windows(session_id, window_idx, embedding) -> window_idx, speaker, confidence; a session whose clusters are no
-    clearer than `least` keeps one speaker. A session's windows are clustered in one call, in memory that grows with their number; how sure that is, is an aggregate."""
+    clearer than `least` keeps one speaker. A session's windows are clustered in one call, in memory that grows with their number, and checkpointed, as they are read twice; how sure that is, is an aggregate."""
     w = windows.select("session_id", "window_idx", "embedding")
-    labels = w.groupBy("session_id").applyInPandas(_labelled, "session_id long, window_idx long, label int")
+    labels = checkpointed(w.groupBy("session_id").applyInPandas(_labelled, "session_id long, window_idx long, label int"))
     sure = confidences(labels.join(w, ["session_id", "window_idx"]))
     speaker = F.format_string("SPEAKER_%02d", F.when(F.col("confidence") < least, 0).otherwise(F.col("label")))
     return labels.join(sure, "session_id").select("session_id", "window_idx", speaker.alias("speaker"), F.round("confidence", 6).alias("confidence"))

@@ -10,6 +10,7 @@ from ..functions.numbers import cosine
 from . import clustering
 from . import intervals as I
 from . import sequences as S
+from .graph import checkpointed
 
 # Labels that are no persons, likeness to a profile, shortest speech with a usable voice, window lengths.
 NO_PERSON = ("SPEAKER_IVR",)
@@ -120,8 +121,9 @@ def reclustered_words(words: DataFrame, embedded: DataFrame, least: float = 0.30
 
     Words in a window take its cluster's name (in two windows: the later one's), others keep theirs. Sessions whose clusters are no clearer than
     `least`, or without embeddings, stay as they are; where a label changed all are numbered anew by first appearance. Clusters are keyed by window, so a
-    window without an embedding shifts nothing."""
-    clear = clustering.reclustered(embedded.select("session_id", "window_idx", "embedding"), least).where(F.col("confidence") >= least)
+    window without an embedding shifts nothing. Windows, clusters and new labels are read several times and checkpointed, which keeps the plan small."""
+    embedded = checkpointed(embedded)
+    clear = checkpointed(clustering.reclustered(embedded.select("session_id", "window_idx", "embedding"), least).where(F.col("confidence") >= least))
     new = lambda before: ~before("speaker").eqNullSafe(F.col("speaker")) | (F.col("start_sec") - before("end_sec") > PAUSE)
     ran = S.islands(words.select("session_id", "word_idx", "speaker", "start_sec", "end_sec"), ["session_id"], ["word_idx"], new, "utt_idx")
     spans = embedded.select("session_id", "utt_idx", "part", "window_idx", F.col("win_start").alias("r_start"), F.col("win_end").alias("r_end")).join(clear.select("session_id", "window_idx", F.col("speaker").alias("cluster"), "confidence"), ["session_id", "window_idx"])
@@ -130,6 +132,7 @@ def reclustered_words(words: DataFrame, embedded: DataFrame, least: float = 0.30
     last = met.groupBy("session_id", "word_idx").agg(F.max(F.struct("window_idx", "cluster"))["cluster"].alias("cluster"))
     sure = clear.groupBy("session_id").agg(F.max("confidence").alias("confidence"))
     named = words.select("session_id", "word_idx", F.col("speaker").alias("_old")).join(last, ["session_id", "word_idx"], "left").withColumn("speaker", F.coalesce("cluster", "_old")).drop("cluster")
+    named = checkpointed(named)
     changed = named.groupBy("session_id").agg(F.bool_or(~F.col("speaker").eqNullSafe(F.col("_old"))).alias("changed"))
     firsts = named.where("speaker is not null").groupBy("session_id", "speaker").agg(F.min("word_idx").alias("first"))
     listed = firsts.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "speaker"))), lambda x: x["speaker"]).alias("names"))  # a session has few speakers
