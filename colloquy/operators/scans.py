@@ -20,6 +20,7 @@ from .graph import checkpointed
 
 LIMIT = 2_000_000
 QUANTILES = 256
+STEP = 16
 
 
 @dataclass
@@ -90,14 +91,15 @@ class Sliced:
         limit = limit or LIMIT
         shares = [k / QUANTILES for k in range(1, QUANTILES)]
         cuts = F.percentile_approx(at, F.array(*map(F.lit, shares)), 10_000)
-        many = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+        many = rows.groupBy(*(F.col(k).alias(f"_slice_by_{k}") for k in keys)).agg(F.count("*").alias("_n"), F.min(at).alias("_slice_low"), F.max(at).alias("_slice_high"))
         hot = checkpointed(many.where(F.col("_n") > limit))
         self.cut = not hot.isEmpty()
         if self.cut:
-            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-            found = rows.join(hot.select(*(f"_{k}" for k in keys), "_n"), _all(same), "left_semi").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(cuts.alias("_cuts"))
-            hot = checkpointed(_joined(hot, found, [f"_{k}" for k in keys]))
-            rows = rows.join(hot, _all(same), "left").withColumn("_slice", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(_slice(at, limit)))
+            same = [F.col(k).eqNullSafe(F.col(f"_slice_by_{k}")) for k in keys]
+            found = rows.join(hot.select(*(f"_slice_by_{k}" for k in keys), "_n"), _all(same), "left_semi").groupBy(*(F.col(k).alias(f"_slice_by_{k}") for k in keys)).agg(cuts.alias("_slice_cuts"))
+            hot = checkpointed(_joined(hot, found, [f"_slice_by_{k}" for k in keys]))
+            hot = hot.withColumn("_slice_steps_at", F.filter("_slice_cuts", lambda c, i: i % STEP == STEP - 1))
+            rows = _with_slice(rows.join(hot, _all(same), "left"), at, limit)
         else:
             rows = rows.withColumn("_slice", F.lit(0).cast("long")).withColumn("_n", F.lit(None).cast("long"))
         self.rows = rows.select(*self.columns, "_slice", "_n")
@@ -105,18 +107,18 @@ class Sliced:
     def add(self, name: str, scan: Scan) -> Sliced:
         """The scan's value as a column. It may use columns that scans before have added."""
         own = Window.partitionBy(*self.keys, "_slice", "_n").orderBy(*self.order)  # _n: so that the filter below reaches the scan
-        local = self.rows.withColumn("_own", scan.local(own))
+        local = self.rows.withColumn("_slice_own", scan.local(own))
         if not self.cut:
-            self.rows = local.withColumn(name, F.col("_own")).drop("_own")
+            self.rows = local.withColumn(name, F.col("_slice_own")).drop("_slice_own")
         else:
-            local = local.withColumn("_edge", scan.edge(F.lit(1)).over(own).isNull())
-            ids = [F.col(k).alias(f"_{k}") for k in self.keys]
-            sums = self.rows.where("_n is not null").groupBy(*ids, F.col("_slice").alias("_at")).agg(scan.summary(F.struct(*self.order)).alias("_sum"))
-            along = Window.partitionBy(*(f"_{k}" for k in self.keys)).orderBy("_at")
-            carry = sums.withColumn("_carried", scan.carried(F.col("_sum"), along)).drop("_sum")
-            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys]
-            met = local.join(carry, _all([*same, F.col("_slice") == F.col("_at")]), "left")
-            self.rows = met.withColumn(name, scan.joined(F.col("_own"), F.col("_carried"), F.col("_edge"))).drop("_own", "_edge", "_carried", "_at", *(f"_{k}" for k in self.keys))
+            local = local.withColumn("_slice_edge", scan.edge(F.lit(1)).over(own).isNull())
+            ids = [F.col(k).alias(f"_slice_by_{k}") for k in self.keys]
+            sums = self.rows.where("_n is not null").groupBy(*ids, F.col("_slice").alias("_slice_at")).agg(scan.summary(F.struct(*self.order)).alias("_slice_sum"))
+            along = Window.partitionBy(*(f"_slice_by_{k}" for k in self.keys)).orderBy("_slice_at")
+            carry = sums.withColumn("_slice_carried", scan.carried(F.col("_slice_sum"), along)).drop("_slice_sum")
+            same = [F.col(k).eqNullSafe(F.col(f"_slice_by_{k}")) for k in self.keys]
+            met = local.join(carry, _all([*same, F.col("_slice") == F.col("_slice_at")]), "left")
+            self.rows = met.withColumn(name, scan.joined(F.col("_slice_own"), F.col("_slice_carried"), F.col("_slice_edge"))).drop("_slice_own", "_slice_edge", "_slice_carried", "_slice_at", *(f"_slice_by_{k}" for k in self.keys))
         self.columns = [*(c for c in self.columns if c != name), name]
         return self
 
@@ -143,12 +145,17 @@ def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(renamed, _all([F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in keys])).drop(*(f"{k}_b" for k in keys))
 
 
-def _slice(at: Column, limit: int) -> Column:
-    """The number of quantiles below, then the even part within two of them. It never falls as the value rises."""
-    cuts = F.col("_cuts")
-    below = F.size(F.filter(cuts, lambda c: c < at)).cast("long")
-    low = F.when(below == 0, F.col("_low")).otherwise(F.get(cuts, below.cast("int") - 1))
-    high = F.when(below == F.size(cuts), F.col("_high")).otherwise(F.get(cuts, below.cast("int")))
+def _with_slice(rows: DataFrame, at: Column, limit: int) -> DataFrame:
+    """rows with _slice: the number of quantiles below, then the even part within two of them. It never falls as the value rises. Quantiles are looked
+    through in steps of STEP, then one by one, and their number is a column, as a row would otherwise be held against all of them time and again."""
+    cuts = F.col("_slice_cuts")
+    under = lambda some: F.size(F.filter(some, lambda c: c < at))
+    steps = rows.withColumn("_slice_steps", F.when(F.col("_n").isNotNull(), under(F.col("_slice_steps_at"))))
+    found = steps.withColumn("_slice_below", (F.col("_slice_steps") * STEP + under(F.slice(cuts, F.col("_slice_steps") * STEP + 1, STEP))).cast("long"))
+    below = F.col("_slice_below")
+    low = F.when(below == 0, F.col("_slice_low")).otherwise(F.get(cuts, below.cast("int") - 1))
+    high = F.when(below == F.size(cuts), F.col("_slice_high")).otherwise(F.get(cuts, below.cast("int")))
     parts = F.ceil(F.col("_n") / (QUANTILES * limit)).cast("long")
     part = F.when((high > low) & (parts > 1), F.floor((at - low) / (high - low) * parts)).otherwise(0)
-    return F.coalesce(below * (parts + 1) + F.least(F.greatest(part, F.lit(0)), parts), F.lit(-1)).cast("long")
+    number = F.coalesce(below * (parts + 1) + F.least(F.greatest(part, F.lit(0)), parts), F.lit(-1)).cast("long")
+    return found.withColumn("_slice", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(number))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colloquy.operators import intervals, scans, sequences
+from colloquy.operators import intervals, reports, scans, sequences
 
 LIMIT = 40
 
@@ -92,3 +92,17 @@ def test_one_value_and_no_rows(spark, small):
     got = scans.Sliced(equal, ["session_id"], ["t", "k"]).add("n", scans.row_number()).result()
     assert all(r.n == r.k + 1 for r in got.collect())
     assert scans.Sliced(equal.limit(0), ["session_id"], ["t", "k"]).add("n", scans.row_number()).result().count() == 0
+
+
+def test_names_of_callers_do_not_meet_its_own(spark, small):
+    """Keys and columns named as a slice's inner columns are, and queries that number all rows under one key."""
+    taken = spark.createDataFrame([(1, 1, k, k) for k in range(200)], "at int, all int, _sum int, _own int").withColumnRenamed("all", "_all")
+    cut = scans.Sliced(taken, ["at", "_all"], ["_own"]).add("_at", scans.row_number()).add("_carried", scans.running_sum(F.col("_at")))
+    assert cut.cut
+    assert all(r["_at"] == r["_own"] + 1 and r["_carried"] == r["_at"] * (r["_at"] + 1) // 2 for r in cut.result().collect())
+
+
+def test_dummy_rows_when_cut(spark, small):
+    orders = spark.range(500).select((F.col("id") * 3).alias("k"))
+    got = reports.dummy_rows(orders, "k", [("a", "x"), ("b", "y"), ("c", "z")], "label").collect()
+    assert sorted((r.text, r.label, r.source) for r in got) == sorted((f"{'abc'[i % 3]} {i * 3}", "xyz"[i % 3], "dummy") for i in range(500))
