@@ -81,8 +81,8 @@ def overlapping_pairs(turns: DataFrame, least: float, other_speaker: bool) -> Da
 
 
 def merged(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Touching or overlapping ranges as one: a new one starts where start lies beyond all ends before."""
-    cut = scans.Sliced(ranges.select(*keys, "start_sec", "end_sec"), keys, ["start_sec", "end_sec"]).add("_before", scans.highest_before(F.col("end_sec")))
+    """Touching or overlapping ranges as one: a new one starts where start lies beyond all ends before. Equal ranges count once, so both scans see one order."""
+    cut = scans.Sliced(ranges.select(*keys, "start_sec", "end_sec").distinct(), keys, ["start_sec", "end_sec"]).add("_before", scans.highest_before(F.col("end_sec")))
     cut.with_column("_new", F.when(F.col("start_sec") > F.col("_before"), 1).otherwise(0))
     islands = cut.add("_island", scans.running_sum(F.col("_new"))).result()
     return islands.groupBy(*keys, "_island").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec")).drop("_island")
@@ -95,14 +95,14 @@ def overlap_regions(turns: DataFrame, cutoff: float = 0.2) -> DataFrame:
 
 
 def clipped_overlap(spans: DataFrame, regions: DataFrame, key: str) -> DataFrame:
-    """Per span of spans(session_id, key, start_sec, end_sec): number, total and share of regions inside it."""
+    """Per span of spans(session_id, key, start_sec, end_sec): number, total and share of regions inside it, halves rounded up."""
     lo, hi = F.greatest("start_sec", "r_start"), F.least("end_sec", "r_end")
     part = F.rint(hi * 1000) / 1000 - F.rint(lo * 1000) / 1000
     cut = overlap_join(spans, as_right(regions, ["session_id"]), ["session_id"], hi - lo > 0.001).select("session_id", key, part.alias("part"))
     sums = cut.groupBy("session_id", key).agg(F.count("*").alias("n"), F.sum("part").alias("total"))
     length = F.col("end_sec") - F.col("start_sec")
     total = F.coalesce("total", F.lit(0.0))
-    return spans.join(sums, ["session_id", key], "left").select("session_id", key, F.coalesce("n", F.lit(0)).alias("overlap_count"), (F.rint(total * 1000) / 1000).alias("overlap_total"), F.when(length > 0, F.rint(total / length * 10000) / 10000).otherwise(0.0).alias("overlap_ratio"))
+    return spans.join(sums, ["session_id", key], "left").select("session_id", key, F.coalesce("n", F.lit(0)).alias("overlap_count"), (F.round(total * 1000) / 1000).alias("overlap_total"), F.when(length > 0, F.round(total / length * 10000) / 10000).otherwise(0.0).alias("overlap_ratio"))
 
 
 def first_inside(points: DataFrame, spans: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -240,3 +240,11 @@ def test_speaker_fallback(spark):
 
     assert fill([None, "A", None, "B"]) == ["A", "A", "A", "B"]
     assert fill([None, None, "A"])[:1] == ["SPEAKER_00"]
+
+
+def test_clipped_overlap_rounds_halves_up(spark):
+    """As the SQL of jn6_overlap_features says it: 0.004 of 16 seconds are 0.00025, a half of the last place."""
+    spans = spark.createDataFrame([(1, 0, 0.0, 16.0)], "session_id long, turn_idx int, start_sec double, end_sec double")
+    inside = spark.createDataFrame([(1, 0.0, 0.004)], "session_id long, start_sec double, end_sec double")
+    r = intervals.clipped_overlap(spans, inside, "turn_idx").first()
+    assert (r.overlap_count, r.overlap_total, r.overlap_ratio) == (1, 0.004, 0.0003)
