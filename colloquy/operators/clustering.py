@@ -163,21 +163,26 @@ def permutation_accuracy(pairs: DataFrame, a: str, b: str) -> float:
     return best_assignment(gain) / total if total else 0.0
 
 
-def mutual_map(pairs: DataFrame, least: float = 0.05) -> DataFrame:
-    """pairs(la, lb, c): similarity of labels of two sides -> the map (la, lb, c) if it is clear as a whole, else no row: each
-    label's best match leads its second best (-1 without one) by `least`, that match's best is the label itself, and it leads as well."""
+def best_matches(pairs: DataFrame, least: float = 0.05) -> DataFrame:
+    """pairs(la, lb, c): similarity of labels of two sides -> (la, lb, c, mutual, ok, clear): each label's best match (ties: the first label), whether that
+    match's best is the label itself, whether both also lead their second best (-1 without one) by `least`, and whether all labels are so."""
 
     def lead(own: str, other: str) -> DataFrame:
-        two = F.slice(F.sort_array(F.collect_list(F.struct("c", F.col(other).alias("to"))), False), 1, 2)  # labels are few
+        two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), F.col(other).alias("to")))), 1, 2)  # labels are few
         best = pairs.where("c is not null").groupBy(own).agg(two.alias("t"))
-        second = F.coalesce(F.get("t", F.lit(1))["c"], F.lit(-1.0))
-        return best.select(own, F.col("t")[0]["to"].alias(other), F.col("t")[0]["c"].alias("c"), (F.col("t")[0]["c"] - second >= least).alias("leads"))
+        c, second = -F.col("t")[0]["d"], F.coalesce(-F.get("t", F.lit(1))["d"], F.lit(-1.0))
+        return best.select(own, F.col("t")[0]["to"].alias(other), c.alias("c"), (c - second >= least).alias("leads"))
 
     back = lead("lb", "la").select("lb", F.col("la").alias("back"), F.col("leads").alias("back_leads"))
-    met = lead("la", "lb").join(back, "lb").withColumn("ok", F.col("leads") & F.col("back_leads") & (F.col("back") == F.col("la")))
+    met = lead("la", "lb").join(back, "lb").withColumn("mutual", F.col("back") == F.col("la")).withColumn("ok", F.col("leads") & F.col("back_leads") & F.col("mutual"))
     every = pairs.agg(F.count_distinct("la").alias("labels"))
-    all_ok = met.agg(F.count_if("ok").alias("oks")).crossJoin(F.broadcast(every)).where("oks = labels")  # one row or none
-    return met.crossJoin(F.broadcast(all_ok)).select("la", "lb", "c")
+    clear = met.agg(F.count_if("ok").alias("oks")).crossJoin(F.broadcast(every)).select((F.col("oks") == F.col("labels")).alias("clear"))  # one row
+    return met.crossJoin(F.broadcast(clear)).select("la", "lb", "c", "mutual", "ok", "clear")
+
+
+def mutual_map(pairs: DataFrame, least: float = 0.05) -> DataFrame:
+    """pairs as above -> the map (la, lb, c) if it is clear as a whole, else no row."""
+    return best_matches(pairs, least).where("clear").select("la", "lb", "c")
 
 
 def greedy_mapping(areas: list[tuple[str, str, float]]) -> dict[str, str]:

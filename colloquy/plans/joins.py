@@ -173,26 +173,23 @@ _CENTRES = """e AS (SELECT label, vec_id % 2 AS side, generate_subscripts(embedd
  p AS (SELECT a.label AS la, b.label AS lb, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM m a JOIN m b ON a.k = b.k AND a.side = 0 AND b.side = 1 GROUP BY ALL)"""
 
 
-_CLEAR = _CENTRES.replace("unnest(embedding) AS x FROM", "unnest(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN (i - 1) % 10 = label THEN 1 ELSE 0 END)) AS x FROM")
-
-
-def _centre_pairs(spark, d, apart: float = 0.0):
-    """Cosines of label centres of the two halves; the number of labels is fixed, so the pairs are few. apart moves labels away from each other."""
-    moved = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 10 == F.col("label"), apart).otherwise(0.0))
-    e = T.table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("side"), F.posexplode(moved).alias("k", "x"))
+def _centre_pairs(spark, d):
+    """Cosines of label centres of the two halves; the number of labels is fixed, so the pairs are few."""
+    e = T.table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2).alias("side"), F.posexplode("embedding").alias("k", "x"))
     m = e.groupBy("label", "side", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
     v = m.groupBy("label", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
     a, b = v.where("side = 0").select(F.lit(1).alias("one"), F.col("label").alias("la"), F.col("v").alias("va")), v.where("side = 1").select(F.lit(1).alias("one"), F.col("label").alias("lb"), F.col("v").alias("vb"))
     return a.join(b, "one").select("la", "lb", cosine(F.col("va"), F.col("vb")).alias("c"))
 
 
-@query(f"""WITH {_CLEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY la ORDER BY c DESC, lb) AS ra, row_number() OVER (PARTITION BY lb ORDER BY c DESC, la) AS rb FROM p),
+@query(f"""WITH {_CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY la ORDER BY c DESC, lb) AS ra, row_number() OVER (PARTITION BY lb ORDER BY c DESC, la) AS rb FROM p),
  f AS (SELECT la, max(CASE WHEN ra = 1 THEN lb END) AS lb, max(c) AS c, max(c) - coalesce(max(CASE WHEN ra = 2 THEN c END), -1) AS m FROM r GROUP BY la),
  b AS (SELECT lb, max(CASE WHEN rb = 1 THEN la END) AS la, max(c) - coalesce(max(CASE WHEN rb = 2 THEN c END), -1) AS m FROM r GROUP BY lb),
- j AS (SELECT f.la, f.lb, f.c, f.m >= 0.05 AND b.m >= 0.05 AND b.la = f.la AS ok FROM f JOIN b ON f.lb = b.lb)
- SELECT la, lb, round(c, 6) AS cosine FROM j WHERE (SELECT bool_and(ok) FROM j)""")
+ j AS (SELECT f.la, f.lb, f.c, b.la = f.la AS mutual, f.m >= 0.05 AND b.m >= 0.05 AND b.la = f.la AS ok FROM f JOIN b ON f.lb = b.lb)
+ SELECT la, lb, round(c, 6) AS cosine, mutual, ok, bool_and(ok) OVER () AS clear FROM j""")
 def jn24_mutual_best(spark, d):
-    return clustering.mutual_map(_centre_pairs(spark, d, 1.0)).select("la", "lb", F.round("c", 6).alias("cosine"))
+    """Every label's best match over the vectors as they are; mutual ones are marked, and whether the map is clear as a whole."""
+    return clustering.best_matches(_centre_pairs(spark, d)).withColumn("cosine", F.round("c", 6)).select("la", "lb", "cosine", "mutual", "ok", "clear")
 
 
 @query(f"""WITH {_CENTRES}, r AS (SELECT la, c, row_number() OVER (PARTITION BY la ORDER BY c DESC, lb) AS ra FROM p)

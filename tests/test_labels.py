@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy import catalog
 from colloquy.functions import audio, labels, names
 from colloquy.operators import clustering
-from colloquy.plans import models
+from colloquy.plans import joins, models
 
 from .conftest import DATA
 
@@ -164,6 +164,15 @@ def test_mutual_map(spark):
     assert run([("a", "x", 0.9)]) == [("a", "x")] and run([("a", "x", -0.97)]) == []
 
 
+def test_best_matches_keep_every_label(spark):
+    """An unclear map hides no match, equal likeness goes to the first label, and the query's vectors are the table's."""
+    cells = [("a", "x", 0.9), ("a", "y", 0.9), ("b", "x", 0.1), ("b", "y", 0.12)]
+    got = {r.la: (r.lb, r.mutual, r.ok, r.clear) for r in clustering.best_matches(spark.createDataFrame(cells, "la string, lb string, c double")).collect()}
+    assert got == {"a": ("x", True, False, False), "b": ("y", False, False, False)}
+    pairs = joins.QUERIES["jn24_mutual_best"](spark, "/root/testdata/sf0.001").collect()
+    assert len(pairs) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 2 = 0").select("label").distinct().count() and any(r.mutual for r in pairs)
+
+
 def test_names_in_words(spark):
     w = "array<struct<word:string,start:double>>"
     rows = [(1, "김현정이 왔다", [("김현정이", 0.0), ("왔다", 1.0), ("(김·현정)", 2.0), (None, 3.0)]), (2, "아무도", [("김현정", 0.0)]), (3, None, None)]
