@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from colloquy.llm import crf, periodic, turns
@@ -312,3 +313,29 @@ def test_runs_query(spark, sf, awkward, nothing):
     assert periodic.looped_runs(nothing).count() == 0
     [r] = periodic.find_runs(spark.createDataFrame([(1, "so " + "ha ho " * 5 + "end")], "doc_id long, text string")).collect()
     assert r.collapsed == "so ha ho end" and [tuple(x) for x in r.runs] == [(1, 10, 2)]
+
+
+def test_whole_texts_are_decoded(field):
+    """Spans of whole texts are those of plain Viterbi over all tokens, also far from digits, at signs and words for dots."""
+    rng = random.Random(11)
+    odd = ["m² ² ① ٣٤٥ 5", "| _|_ || a|b 10[.]1[.]2[.]3", "", " \n", "+1 (555) 123-4567 at", "jo (at) kami.org", "word " * 200 + "write jo (at) kami.org soon" + " word" * 200]
+    texts = odd + [" ".join(crf._word(rng) for _ in range(rng.randint(0, 60))) + " " + t for t, _ in crf.composed(80, seed=5)]
+    some = 0
+    for text in texts:
+        s = crf.Stretch(text, 0, len(text))
+        starts, ends, e = field.tables().scores(text)
+        assert list(zip(starts.tolist(), ends.tolist())) == s.spans
+        if not s.words:
+            continue
+        [whole] = field.rows([s.features()])
+        assert np.allclose(e, whole)
+        [want] = field.decode([whole])
+        got = np.zeros(len(want), int)
+        parts = list(field.tables().parts(e))
+        for (first, own), path in zip(parts, field.decode([p[1] for p in parts])):
+            got[first : first + len(own)] = np.where(path > 0, path, got[first : first + len(own)])
+        assert got.tolist() == want.tolist(), text
+        some += bool(got.any())
+    assert some > 40
+    far = odd[-1]
+    assert [far[a:b] for _, a, b in crf.added_spans([far], field, [[]])[0]] == ["jo (at) kami.org"]
