@@ -36,17 +36,19 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """edges(u, v) of longs, loops allowed -> (node, root), root the smallest node reachable.
 
     Labels pass along edges and then to the label's own label (pointer jumping), so the number of rounds grows
-    with the logarithm of a component's width. Each round's labels are checkpointed.
+    with the logarithm of a component's width. Each round's labels are checkpointed. Joins are merges: labels and edges are as many as there are
+    nodes, and a broadcast would send them through the driver each round.
     """
     _with_checkpoints(edges.sparkSession)
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")).checkpoint()
     for _ in range(max_rounds):
-        seen = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(seen, "node").select("node", F.least("root", "near").alias("root"))
+        seen = both.join(labels.hint("merge"), both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        low = labels.join(seen.hint("merge"), "node").select("node", F.least("root", "near").alias("root"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = low.join(jump, "root").select("node", F.least("root", "up").alias("root")).checkpoint()
-        if new.exceptAll(labels).isEmpty():
+        new = low.join(jump.hint("merge"), "root").select("node", F.least("root", "up").alias("root")).checkpoint()
+        old = labels.select("node", F.col("root").alias("old"))
+        if new.join(old.hint("merge"), "node").where("root <> old").isEmpty():
             return new
         labels = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import numbers as N
 from colloquy.functions import pii as P
 from colloquy.functions import texts as X
-from colloquy.operators import graph, intervals, relations, repetition, sequences
+from colloquy.operators import graph, intervals, memory, relations, repetition, sequences
 from colloquy.plans import segmentation
 
 
@@ -248,3 +248,26 @@ def test_clipped_overlap_rounds_halves_up(spark):
     inside = spark.createDataFrame([(1, 0.0, 0.004)], "session_id long, start_sec double, end_sec double")
     r = intervals.clipped_overlap(spans, inside, "turn_idx").first()
     assert (r.overlap_count, r.overlap_total, r.overlap_ratio) == (1, 0.004, 0.0003)
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    """Labels and edges stay with the executors, however small they look."""
+    kind, plans = type(spark.range(1)), []
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df, *a))[1])
+    edges = spark.range(1, 40).selectExpr("id u", "id - id % 13 - 1 v")
+    got = {r.node: r.root for r in graph.components(edges.where("v >= 0")).collect()}
+    assert len(set(got.values())) == 1 and len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_phrase_boost_by_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab😀é ") for _ in range(n))
+    texts = [(k, rng.choice([None, "u", "v", "w"]), rng.choice([None, word(rng.randint(0, 30))])) for k in range(120)] + [(998, "u", ""), (999, "v", "a\nb")]
+    kept = [(rng.choice([None, "u", "v"]), rng.choice([None, "?", word(rng.randint(0, 4))]), float(rng.randint(-2, 3))) for _ in range(80)] + [("v", "a\nb", 5.0), ("u", "", 7.0)]
+    want = {k: sum(w for u, p, w in kept if u is not None and u == user and p is not None and t is not None and p in t and w > 0) for k, user, t in texts}
+    t, m = spark.createDataFrame(texts, "k int, user_id string, text string"), spark.createDataFrame(kept, "user_id string, phrase string, weight double")
+    for most in (memory.BROADCAST_ROWS, 0):
+        got = memory.phrase_boost(t, m, ["k"], most)
+        assert {r.k: r.boost for r in got.collect()} == want and got.count() == len(texts)
+        assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()  # no user's memory travels as one array
