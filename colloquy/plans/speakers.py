@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import speakers as P
+from ..operators.graph import checkpointed
 from ..sources import tables as T
 from .joins import _REGIONS
 
@@ -109,8 +110,8 @@ def mx8_routed(spark, d):
 
 @query()
 def vec8_reclustered_words(spark, d):
-    """Embeddings of the given table are dealt to the windows; every eleventh window has none."""
-    words = T.words(spark, d)
+    """Embeddings of the given table are dealt to the windows; every eleventh window has none. Words are numbered once and checkpointed, as three steps read them."""
+    words = checkpointed(T.words(spark, d))
     e = T.table(spark, d, "embeddings").select("vec_id", "embedding")
     windows = P.embedding_windows(words).where(F.col("window_idx") % 11 < 10)
     embedded = windows.withColumn("vec_id", (F.col("session_id") * 31 + F.col("window_idx")) % 500).join(e, "vec_id").drop("vec_id")

@@ -159,3 +159,9 @@ def test_segment_rows(spark):
 def test_gates(spark):
     g = spark.range(1).select(P.gates({"preprocess_gain": False, "loudness_norm": None}).alias("g")).first().g
     assert g.preprocess_gain == "false" and g.loudness_norm is None and g.hybrid_diarization is None
+
+
+def test_reclustered_words_read_events_once(spark):
+    """What is left to run after the checkpoints scans no table again."""
+    plan = Q.vec8_reclustered_words(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan
