@@ -7,6 +7,9 @@ are dropped first.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ CANDIDATES = (
     ("차량번호_구형", r"\b[가-힣]{2}\d{2}[가-힣]\d{4}\b"),
     ("건물동호수", r"\d+\s*동\s*\d+\s*호"),
 )
+MAIL = dict(RULES)["이메일"]
 NUMBER = r"[\d][\d\s가-힣A-Za-z.,/-]{1,30}[\d]"
 HIGH_PRECISION = tuple(dict.fromkeys(label for label, _ in RULES))
 AMBIGUOUS = ("이름",)
@@ -55,6 +59,12 @@ def plain(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "")
 
 
+def holds(text: Column, pattern: str) -> Column:
+    """Whether the pattern matches anywhere. Without an at sign no mail address is tried at each letter."""
+    found = text.rlike("(?U)" + pattern)
+    return text.contains("@") & found if pattern == MAIL else found
+
+
 def matches(text: Column, pattern: str, label: str, rule: int) -> Column:
     """All non-overlapping matches of one pattern, leftmost first."""
     pieces = F.split(F.regexp_replace(text, "(?U)" + pattern, OPEN + "$0" + CLOSE), OPEN)
@@ -67,19 +77,29 @@ def matches(text: Column, pattern: str, label: str, rule: int) -> Column:
         return F.struct((acc["at"] + F.length(piece) - F.when(cut > 0, 1).otherwise(0)).cast("int").alias("at"), F.when(cut > 0, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).cast(SPAN).alias("found"))
 
     # Most texts match no pattern: the fold runs only where a match was marked.
-    return F.when(text.rlike("(?U)" + pattern), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    return F.when(holds(text, pattern), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
 
 
 def may_hold(text: Column, rules) -> Column:
     """The rules and candidates above all need a digit or an at sign: one look at a text spares most of them all others."""
+    if all(pattern == MAIL for _, pattern in rules):
+        return text.contains("@")
     return text.rlike(r"(?U)[\d@]") if set(rules) <= {*RULES, *CANDIDATES} else F.lit(True)
 
 
+def has_span(text: Column, rules=RULES) -> Column:
+    """Whether pii_spans finds any, by the same matches."""
+    return once(lambda s: may_hold(s["t"], rules) & reduce(or_, (holds(s["t"], pattern) for _, pattern in rules), F.lit(False)), t=plain(text))
+
+
 def pii_spans(text: Column, rules=RULES) -> Column:
     """Spans of all rules, in rule order, then by position."""
-    t = plain(text)
-    all_ = F.concat(*(matches(t, pattern, label, i) for i, (label, pattern) in enumerate(rules)))
-    return F.when(may_hold(t, rules), all_).otherwise(F.array().cast(SPAN))
+
+    def found(s: Column) -> Column:
+        all_ = F.concat(*(matches(s["t"], pattern, label, i) for i, (label, pattern) in enumerate(rules)))
+        return F.when(may_hold(s["t"], rules), all_).otherwise(F.array().cast(SPAN))
+
+    return once(found, t=plain(text))
 
 
 def has_pii(text: Column, rules=RULES) -> Column:

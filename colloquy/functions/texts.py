@@ -30,7 +30,7 @@ def squeezed(text: Column) -> Column:
 
 
 def all_tokens(text: Column) -> Column:
-    return F.filter(F.split(squeezed(text), " "), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda t: t != "")
 
 
 def tokens(text: Column) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import pii as P
 from ..functions import texts as X
 from ..functions.numbers import cosine
 from ..operators import intervals as I
 from ..operators import sequences as S
-from ..operators.graph import checkpointed
 from ..sources import tables as T
 from . import segmentation
 
@@ -105,40 +110,106 @@ def masked_words(rows: DataFrame, touched: DataFrame) -> DataFrame:
     return words.groupBy("id").agg(listed.cast(WORDS).alias("words"))
 
 
+def _given(rows: DataFrame) -> Column:
+    """The words as WORDS, null ones as empty."""
+    kind = rows.schema["words"].dataType
+    if isinstance(kind, ArrayType) and not kind.containsNull and not kind.elementType["word"].nullable and kind.simpleString() == WORDS:
+        return F.coalesce("words", F.array().cast(WORDS))
+    return F.transform(F.coalesce(F.col("words"), F.array().cast(WORDS)), lambda w: F.struct(F.coalesce(w["word"], F.lit("")).alias("word"), w["start_sec"].cast("double").alias("start_sec"), w["end_sec"].cast("double").alias("end_sec"))).cast(WORDS)
+
+
 def _located(rows: DataFrame, rules) -> DataFrame:
-    """rows(id, text, words) with text, masked text, words, spans without overlaps."""
-    given = F.transform(F.coalesce(F.col("words"), F.array().cast(WORDS)), lambda w: F.struct(F.coalesce(w["word"], F.lit("")).alias("word"), w["start_sec"].cast("double").alias("start_sec"), w["end_sec"].cast("double").alias("end_sec")))
-    found = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), given.cast(WORDS).alias("words"), P.pii_spans(F.col("text"), rules).alias("raw"))
+    """rows(id, text, words) that hold a span: text, words, all spans (raw), spans without overlaps."""
+    found = rows.where(P.has_span(F.col("text"), rules)).select("id", F.coalesce("text", F.lit("")).alias("text"), _given(rows).alias("words"), P.pii_spans(F.col("text"), rules).alias("raw"))
     taken = F.transform(P.without_overlaps(F.col("raw")), lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["type"].alias("k")))
-    return found.select("id", "text", "words", P.masked(F.col("text"), F.col("raw")).alias("masked"), taken.alias("spans"))
+    return found.select("*", taken.alias("spans"))
+
+
+def _least(times: list):
+    """The least time, or None; null times don't count, NaN lies above all."""
+    return min((t for t in times if t is not None), key=lambda t: (t != t, t), default=None)
+
+
+def _greatest(times: list):
+    return max((t for t in times if t is not None), key=lambda t: (t != t, t), default=None)
+
+
+def _rounded(time: float | None):
+    """To four decimals, halves away from zero, as Spark rounds."""
+    return None if time is None else str(time) if not math.isfinite(time) else Decimal(repr(time)).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+
 
+def _found(low: str, words: list, lengths: list) -> list:
+    """As word_offsets, of a text and words in lower case: (number of the word, start, end) of the words that are found."""
+    at, found = 0, []
+    for i, (word, n) in enumerate(zip(words, lengths)):
+        k = low.find(word, at) if n else -1
+        if k >= 0:
+            at = k + n
+            found.append((i, k, at))
+    return found
 
-def _with_places(found: DataFrame) -> DataFrame:
-    some = found.where((F.size("spans") > 0) & (F.size("words") > 0))
-    return some.withColumn("places", word_offsets(F.col("text"), F.transform("words", lambda w: w["word"])))
+
+def _marks(low: str, words: list, lengths: list, spans: list, starts: list, ends: list, pad: float) -> dict:
+    """What the spans of one text, without overlaps and in order, do to its words: per word 0 (stays), -1 (goes) or the number of the span, from 1, whose token
+    it becomes; per span the last word that it touches; the spans in seconds, equal ranges of one type once. Words that are found lie in
+    order, so those that a span touches follow each other."""
+    places = _found(low, words, lengths)
+    found, begins, stops = ([p[k] for p in places] for k in range(3))
+    marks, lasts, ranges, gone = [0] * len(words), [-1] * len(spans), {}, set()
+    for j, s in enumerate(spans):
+        touched = found[bisect_right(stops, s["a"]) : bisect_left(begins, s["b"])]
+        if not touched:
+            continue
+        marks[touched[0]], lasts[j] = j + 1, touched[-1]
+        gone.update(touched[1:])
+        low, high = _least([starts[i] for i in touched]), _greatest([ends[i] for i in touched])
+        low, high = _greatest([0.0, None if low is None else low - pad]), None if high is None else high + pad
+        ranges.setdefault((s["k"], _rounded(low), _rounded(high)), {"start_sec": low, "end_sec": high, "type": s["k"]})
+    for i in gone:
+        marks[i] = -1
+    return {"marks": marks, "lasts": lasts, "ranges": list(ranges.values())}
+
+
+def _marker(pad: float):
+    kind = pa.struct([("marks", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("ranges", pa.list_(pa.struct([("start_sec", pa.float64()), ("end_sec", pa.float64()), ("type", pa.string())])))])
+
+    def marked(low: pa.Array, words: pa.Array, lengths: pa.Array, spans: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array((_marks(*(x.as_py() for x in row), pad) for row in zip(low, words, lengths, spans, starts, ends)), kind, size=len(low))
+
+    return F.arrow_udf(marked, f"struct<marks:array<int>,lasts:array<int>,ranges:{RANGES}>")
+
+
+def _told(found: DataFrame, pad: float = 0.15) -> DataFrame:
+    """found with what the spans do to the words (`told`, see _marks)."""
+    of = lambda f: F.transform("words", lambda w: f(w["word"]))
+    return found.withColumn("told", _marker(pad)(F.lower("text"), of(F.lower), of(F.length), "spans", "words.start_sec", "words.end_sec"))
 
 
 def masked_utterances(rows: DataFrame, rules=P.RULES) -> DataFrame:
-    """rows(id, text, words array<struct<word, start_sec, end_sec>>), id unique -> id, masked text, masked words, time ranges. Words are only
-    looked for in texts with a span; these texts, and which words their spans touch, are checkpointed, so nothing is searched twice."""
-    found = _located(rows, rules)
-    some = checkpointed(_with_places(found))
-    touched = checkpointed(touched_words(some))
-    ranges = time_ranges(touched).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "start_sec", "end_sec", "type"))), lambda r: F.struct(r["start_sec"].alias("start_sec"), r["end_sec"].alias("end_sec"), r["type"].alias("type"))).alias("ranges"))
-    none = F.array().cast(RANGES)
-    done = some.select("id", "masked").join(masked_words(some, touched), "id", "left").join(ranges, "id", "left")
-    done = done.select("id", "masked", F.coalesce("words", F.array().cast(WORDS)).alias("words"), F.coalesce(F.col("ranges").cast(RANGES), none).alias("ranges"))
-    return found.where((F.size("spans") == 0) | (F.size("words") == 0)).select("id", "masked", "words", none.alias("ranges")).union(done)
+    """rows(id, text, words array<struct<word, start_sec, end_sec>>) -> id, masked text, masked words, time ranges. Rows without a span, most of them,
+    pass as they are; in the others the spans meet the words in the row itself. Nothing is shuffled; rows are read twice, once for each kind. The words
+    are in step with the masked text: the first word of a span becomes its token and lasts to the span's last word, the others go."""
+    found = _told(_located(rows, rules))
+
+    def new(w: Column, i: Column) -> Column:
+        mark = F.col("told.marks")[i]
+        token = F.struct(F.concat(F.lit("[PII_"), F.col("spans")[mark - 1]["k"], F.lit("]")).alias("word"), w["start_sec"].alias("start_sec"), F.col("words")[F.col("told.lasts")[mark - 1]]["end_sec"].alias("end_sec"))
+        return F.when(mark == 0, w).when(mark > 0, token)
+
+    words = F.filter(F.transform("words", new), lambda w: w.isNotNull()).cast(WORDS)
+    done = found.select("id", P.masked(F.col("text"), F.col("raw")).alias("masked"), words.alias("words"), F.col("told.ranges").cast(RANGES).alias("ranges"))
+    none = F.array().cast(RANGES).alias("ranges")
+    return rows.where(~P.has_span(F.col("text"), rules)).select("id", P.plain(F.col("text")).alias("masked"), _given(rows).alias("words"), none).union(done)
 
 
 def pii_summary(rows: DataFrame, rules=P.RULES) -> DataFrame:
     """rows(id, text, words) -> per id and type how many spans were masked and how many time ranges there are; a type that is only
     among the ranges counts as often as it has ranges."""
-    found = _located(rows, rules)
-    spans = found.select("id", F.explode("spans").alias("s")).groupBy("id", F.col("s.k").alias("type")).agg(F.count("*").alias("n_spans"))
-    ranges = time_ranges(touched_words(_with_places(found))).groupBy("id", "type").agg(F.count("*").alias("n_ranges"))
-    both = spans.join(ranges, ["id", "type"], "full")
-    return both.select("id", "type", F.coalesce("n_spans", "n_ranges").alias("n"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"))
+    of = lambda kinds, n: F.transform(kinds, lambda k: F.struct(k.alias("type"), F.lit(n).alias("ranges")))
+    both = F.concat(of(F.col("spans.k"), 0), of(F.col("told.ranges.type"), 1))
+    counts = _told(_located(rows, rules)).select("id", F.inline(both)).groupBy("id", "type").agg(F.count_if(F.col("ranges") == 0).alias("n_spans"), F.count_if(F.col("ranges") == 1).alias("n_ranges"))
+    return counts.select("id", "type", F.when(F.col("n_spans") > 0, F.col("n_spans")).otherwise(F.col("n_ranges")).alias("n"), "n_ranges")
 
 
 def topic_segments(utterances: DataFrame, window: int = 5, least: float = 0.06, apart: int = 3, topics=(("기타", []),), default: str = "기타") -> DataFrame:

@@ -37,6 +37,39 @@ def test_masked_utterances(spark):
     assert b.masked == "" and b.words == [] and b.ranges == []
 
 
+def test_masked_utterances_in_their_rows(spark):
+    """No word is shuffled or checkpointed, and the marks equal the join of all spans and words, on words that are missing, empty, null, of several spans, without times."""
+    import random
+
+    rng, nan = random.Random(5), float("nan")
+    kinds = ["a@b.org", "a@b.org,c@d.org", "x:a@b.org", "010-1234-5678", "010 1234 5678", "İ", "ok", "", None, "Wörter"]
+    rows = []
+    for k in range(80):
+        ws = [rng.choice(kinds) for _ in range(rng.randrange(12))]
+        parts = [p for w in ws if w and rng.random() < 0.9 for p in w.split(" " if rng.random() < 0.5 else "#")]
+        time = lambda i: rng.choice([None, nan, 0.0, 0.1, float(i), float(i)])
+        rows.append((k, " ".join(w for w in ws if w and rng.random() < 0.9), [(w, time(i), time(i + 1)) for i, w in enumerate(parts + ws[:2])]))
+    df = spark.createDataFrame([*rows, (80, None, None), (81, "a@b.org", None), (82, "a@b.org", []), (83, None, [("a", 0.0, 1.0)]), (84, "", [(None, 0.0, 1.0)])], f"id long, text string, words {WORDS}")
+    out = C.masked_utterances(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "Exchange")
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 85
+    found = C._located(df, C.P.RULES).withColumn("places", C.word_offsets(F.col("text"), F.transform("words", lambda w: w["word"])))
+    touched = C.touched_words(found)
+    words = {r.id: r.words for r in C.masked_words(found, touched).collect()}
+    ranges = {}
+    for r in C.time_ranges(touched).orderBy("id", "j").collect():
+        ranges.setdefault(r.id, []).append((r.start_sec, r.end_sec, r.type))
+    spans = {r.id for r in found.collect()}
+    assert len(spans) > 30 and spans == {k for k, r in got.items() if "[PII_" in r.masked}
+    for k, r in got.items():
+        if k < 80:
+            given = words.get(k, []) if k in spans else [[w or "", s, e] for w, s, e in rows[k][2]]
+            assert repr([list(w) for w in r.words]) == repr([list(w) for w in given])
+            assert repr([tuple(x) for x in r.ranges]) == repr(ranges.get(k, []))
+    assert [w.word for w in got[84].words] == [""] and got[80].masked == "" and got[80].words == [] and got[82].words == []
+
+
 def test_long_text(spark):
     """Words, cursor and spans of 20,000 words, against a plain version; the time must not grow with the square."""
     import random
@@ -64,6 +97,14 @@ def test_long_text(spark):
     assert took < 30
 
 
+def test_has_span(spark):
+    """The rows that are looked at are those that hold a span, private-use characters inside a match or not."""
+    texts = [None, "", "nothing", "@", "a@b", "a@b.org", "a@b.or\ue000g", "a\ue001@b.org", "1", "010-1234-5678", "٠10-1234-5678", "1.2.3.4 x", "M12345678"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rules in (C.P.RULES, [C._EMAIL]):
+        assert all(r.a == r.b for r in df.select(C.P.has_span(F.col("t"), rules).alias("a"), (F.size(C.P.pii_spans(F.col("t"), rules)) > 0).alias("b")).collect())
+
+
 def test_summary(spark):
     w = [{"word": "a@b.org", "start_sec": 0.0, "end_sec": 1.0}]
     rows = spark.createDataFrame([(1, "a@b.org and c@d.org", w), (2, "c@d.org", None), (3, "nothing", w)], f"id long, text string, words {WORDS}")
