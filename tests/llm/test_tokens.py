@@ -56,6 +56,19 @@ def check_packing(rows, got, tokenizer, length=2048):
     return len(by_bin), sum(map(len, ids)) / length
 
 
+def test_plain_texts_by_words(tokenizer):
+    """Plain texts are split as the tokenizer splits them, and a word is encoded once whatever stands beside it."""
+    encoder, rng = Encoder(default_path()), random.Random(3)
+    letters = [chr(k) for k in range(0x500)]
+    for k in range(3000):
+        text = "".join(rng.choice(letters if rng.random() < 0.3 else "ab '\t\n st1é  .-_\x1c\x85\xa0") for _ in range(rng.randrange(20))) + ("가" if k % 9 == 0 else "")
+        assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert k % 9 == 0 or encoder.plain(text) == encoder.split(text)
+    encoder.forget()
+    encoder.ids(" ".join(f"{a}word{b}" for a in "([{<" for b in ".,;:!?)]}>"))
+    assert len(encoder.cache) < 30
+
+
 def test_packing_query(spark, tokenizer):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     bins, least = check_packing(rows, queries.op7_packing(spark, DATA).collect(), tokenizer)
